@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, tokens, url_filter
+from . import exact_dedup, mixing, packing, quality, secrets, sharding, tokens, url_filter
 from .common import documents
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
@@ -16,12 +20,34 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_exact_dedup, op9_url_filter)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_mix_sources, op4_token_counts, op5_exact_dedup, op6_sharding, op7_secret_scan, op8_packing, op9_url_filter,
+        op10_quality,
+    )
+}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.sql()}
+    return {"op3_mix_sources": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.sql()}
