@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, secrets, sharding, tokens, url_filter
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, tokens, url_filter
 from .common import documents
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -43,11 +51,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_mix_sources, op4_token_counts, op5_exact_dedup, op6_sharding, op7_secret_scan, op8_packing, op9_url_filter,
-        op10_quality,
+        op1_minhash_dedup, op2_embedding_dedup, op3_mix_sources, op4_token_counts, op5_exact_dedup, op6_sharding,
+        op7_secret_scan, op8_packing, op9_url_filter, op10_quality,
     )
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.sql()}
+    return {
+        "op1_minhash_dedup": minhash_dedup.SQL,
+        "op2_embedding_dedup": embedding_dedup.SQL,
+        "op3_mix_sources": mixing.SQL,
+        "op5_exact_dedup": exact_dedup.SQL,
+        "op9_url_filter": url_filter.sql(),
+    }
