@@ -17,8 +17,9 @@ There is no cap on buckets or partners; work inside a bucket grows with the squa
 the number of its different vectors over the block size.
 
 Defined results: excluded vectors have n_links 0 and their own vec_id as component;
-rows that repeat a vec_id count as separate rows with one id; an empty table gives an
-empty result; other columns are ignored.
+rows that repeat a vec_id count as separate rows with one id; a class without any vec_id
+links its own copies only, with a null component; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     usable = save(_usable(own), "vectors")
     grouped = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = save(_keyed(grouped.select("rep", "label", "vector", "copies")), "vector-classes")
-    buckets = classes.select("rep", F.posexplode("keys").alias("table", "bucket"))
+    buckets = classes.where("rep is not null").select("rep", F.posexplode("keys").alias("table", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
     rows = buckets.join(shared, "bucket").join(classes.select("rep", "vector", "copies", "keys"), "rep")
     found = save(_compare(blocks.block_pairs(rows, "bucket", "rep"), least), "vector-links")
@@ -152,7 +153,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     rest = own.select("vec_id").exceptAll(usable.select("vec_id")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 SQL = """

@@ -13,13 +13,14 @@ rows of hot groups are settled map-side. All other digests, each of which has at
 most ``support`` of the rows, take one ordinary shuffle.
 
 Defined results: an empty table gives an empty result; null and empty and
-white-space-only texts form one group; rows that repeat a doc_id belong to the same
-group and each says whether its doc_id is the one kept; extra columns are ignored.
+white-space-only texts form one group; rows that repeat a doc_id each say whether their
+doc_id is the one kept; a null doc_id stays only where all of its group, or all of the
+group's longest, have none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -28,17 +29,18 @@ from .common import save
 SUPPORT = 0.001
 
 
+def _marks(doc_id: str, text: str) -> list[Column]:
+    whole = F.coalesce(text, F.lit(""))
+    return [
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.sha2(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "").cast("binary"), 256).alias("text_sha256"),
+        F.length(whole).alias("n_cp"),
+    ]
+
+
 def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text)."""
-    text = F.coalesce("text", F.lit(""))
-    rows = save(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256).alias("text_sha256"),
-            F.length(text).alias("n_cp"),
-        ),
-        "digests",
-    )
+    """doc_id, keep_id, group_size, kept, text_sha256, keep_chars for every row of ``docs`` (doc_id, text)."""
+    rows = save(docs.select(*_marks("doc_id", "text")), "digests")
     best = F.struct(F.col("n_cp"), (-F.col("doc_id")).alias("neg_id"))
     proposed = rows.stat.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256")
@@ -47,25 +49,32 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         rows.join(F.broadcast(proposed), "text_sha256", "left_semi")
         .groupBy("text_sha256")
         .agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("text_sha256", (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+        .select("text_sha256", "best", "group_size")
     )
-    hot = rows.join(F.broadcast(winners), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
+    hot = rows.join(F.broadcast(winners), "text_sha256").select("doc_id", "best", "group_size", "text_sha256")
     group = Window.partitionBy("text_sha256")
     rest = (
         rows.join(F.broadcast(proposed), "text_sha256", "left_anti")
         .withColumn("best", F.max(best).over(group))
         .withColumn("group_size", F.count(F.lit(1)).over(group))
-        .select("doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", "text_sha256")
+        .select("doc_id", "best", "group_size", "text_sha256")
     )
+    keep_id = -F.col("best.neg_id")
     return hot.unionByName(rest).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+        "doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
+        F.col("best.n_cp").alias("keep_chars"),
+    )
 
 
 def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a kept doc_id, one."""
-    kept = exact_duplicates(docs, support).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of equal texts, with all the columns of ``docs`` (of any name); of rows equal in doc_id and length, one."""
+    kept = exact_duplicates(docs, support).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_chars").alias("_n")
+    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = rows.select("_row", *_marks("_row.doc_id", "_row.text"))
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["text_sha256"] == kept["_sha"]) & (rows["n_cp"] == kept["_n"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select("_row.*")
 
 
 SQL = """
@@ -79,6 +88,7 @@ SELECT doc_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS kept,
-       text_sha256
+       text_sha256,
+       max(CAST(n_cp AS INTEGER)) OVER (PARTITION BY text_sha256) AS keep_chars
 FROM d
 """

@@ -18,8 +18,9 @@ bucket that stays split grows with the square of its size over BLOCK.
 
 Defined results: a null, empty or white-space text has an empty set, links with
 nothing and is kept; a text of fewer than five words is one shingle; rows that repeat
-a doc_id with the same text share one answer; an empty table gives an empty result;
-other columns are ignored.
+a doc_id with the same text share one answer; a row without doc_id answers with the
+component of the documents of the same set, or, where none has an id, stays with a null
+component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
         "minhash-classes",
     )
     members = save(
-        blocks.drop_repeated_buckets(classes.select("rep", F.explode("bands").alias("bucket")), "bucket", "rep"),
+        blocks.drop_repeated_buckets(classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket")), "bucket", "rep"),
         "minhash-members",
     )
     sets = save(
@@ -190,14 +191,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
         rows.select("doc_id", "n_shingles", "digest")
         .join(answer, "digest", "left")
         .select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    kept = near_duplicates(docs, percent, width).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
 
 
 SQL = r"""

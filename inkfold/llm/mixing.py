@@ -75,13 +75,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
     return rates.mapInPandas(tables, "_source string, rate double, cdf array<double>")
 
 
-def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED
-) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text, source, ...) and rate, copy (from 0), n_copies, shuffle_key, in shuffled order."""
+def _replicated(docs: DataFrame, weights: dict[str, float] | None, size: float, seed: int) -> DataFrame:
+    """_row (the columns of ``docs`` as one struct), rate, copy, n_copies, shuffle_key in shuffled order."""
     rates = source_rates(docs, weights, size)
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    own = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    joined = rows.join(rates, F.col("_row.source").eqNullSafe(F.col("_source"))).drop("_source")
     u = uniform(F.concat(F.lit(f"{seed}:"), own))
     copies = (
         joined.withColumn("_u", u)
@@ -92,10 +91,28 @@ def mix_sources(
         .withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), own, F.lit(":"), F.col("copy").cast("string")).cast("binary")))
     )
     return copies.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key").select(
-        *docs.columns, F.round("rate", 6).alias("rate"), "copy", "n_copies", "shuffle_key"
+        "_row", F.round("rate", 6).alias("rate"), "copy", "n_copies", "shuffle_key"
     )
 
 
+OWN = ("rate", "copy", "n_copies", "shuffle_key")
+
+
+def mix_sources(
+    docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED
+) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text, source, ...) and rate, copy (from 0), n_copies, shuffle_key, in shuffled order.
+
+    A column of ``docs`` with the name of one of these four gives way to it.
+    """
+    return _replicated(docs, weights, size, seed).select(*[f"_row.`{c}`" for c in docs.columns if c not in OWN], *OWN)
+
+
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The mixture with the columns of ``docs`` alone: a document stands there once for each of its copies."""
+    return _replicated(docs, weights, size, seed).select("_row.*")
+
+
 SQL = f"""
 WITH s AS (SELECT source, sum(strlen(coalesce(text, ''))) AS b FROM documents GROUP BY source),
 t AS (SELECT sum(pow(CAST(b AS DOUBLE), {TEMPERATURE})) AS aw, CAST(sum(b) AS DOUBLE) AS ab FROM s),

@@ -17,7 +17,8 @@ source and doc_id are no inputs of a score.
 Defined results: a null text counts as empty and gets the score its shape figures
 give; with no usable label at all every score is 0.5, with one label only, that
 label; a labelled doc_id with several rows counts once, with its lowest label;
-repeated rows are scored alike; an empty table gives an empty result.
+repeated rows are scored alike; a null doc_id is not held out; an empty table gives an
+empty result; extra columns of any name pass through :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -125,7 +126,8 @@ class Voter:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """crc32(doc_id as text) mod 3 is 1; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | float:
@@ -166,30 +168,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text, ...) with score and predicted appended as ``_score`` and ``_predicted``."""
+    """_row (all columns of ``docs`` as one struct), _score and _predicted for every row of ``docs`` (doc_id, text, ...)."""
     model = fit(docs, labels, sample)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
     if isinstance(model, float):
-        scored = docs.withColumn("_score", F.lit(model))
+        scored = rows.withColumn("_score", F.lit(model))
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = [x or "" for x in b.column("text").to_pylist()]
+                texts = [x or "" for x in b.column("_text").to_pylist()]
                 yield b.append_column("_score", pa.array(held.value.scores(texts), pa.float64()))
 
-        scored = docs.mapInArrow(score, docs.withColumn("_score", F.lit(0.5)).schema)
+        scored = rows.mapInArrow(score, rows.withColumn("_score", F.lit(0.5)).schema)
     return scored.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
     return score_quality(docs.select("doc_id", "text"), labels, sample).select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
+        F.col("_row.doc_id").cast("long").alias("doc_id"), held_out("_row.doc_id").alias("held_out"),
         F.col("_score").alias("score"), F.col("_predicted").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` predicted to be of label 1, with their own columns."""
-    return score_quality(docs, labels, sample).where("_predicted = 1").select(docs.columns)
+    return score_quality(docs, labels, sample).where("_predicted = 1").select("_row.*")
