@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries
+from . import corpus_queries, layout_queries
 
-MODULES = (corpus_queries,)
+MODULES = (corpus_queries, layout_queries)
 
 
 def queries() -> dict:
