@@ -12,23 +12,25 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def drop_repeated_buckets(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """Of buckets with the same members, the rows of one; and ``bucket_size``. Buckets of one member go.
+def drop_repeated_buckets(rows: DataFrame, bucket: str, member: str, size: str) -> DataFrame:
+    """Of buckets with the same members, the rows of one. Buckets of one member go.
 
+    Adds ``bucket_size`` and the smallest member's id and ``size``, as ``pivot`` and ``pivot_size``.
     Buckets count as the same when size, smallest member and a 128-bit sum of hashes agree.
     """
     marks = (
         rows.groupBy(bucket)
         .agg(
             F.count(F.lit(1)).alias("bucket_size"),
-            F.min(member).alias("_low"),
+            F.min(F.struct(member, size)).alias("_low"),
             F.bit_xor(F.xxhash64(member)).alias("_h1"),
             F.bit_xor(F.xxhash64(F.lit(1), member)).alias("_h2"),
         )
         .where("bucket_size > 1")
     )
     chosen = marks.groupBy("bucket_size", "_low", "_h1", "_h2").agg(F.min(bucket).alias(bucket))
-    return rows.join(chosen.select(bucket, "bucket_size", F.col("_low").alias("pivot")), bucket)
+    low = [F.col(f"_low.{member}").alias("pivot"), F.col(f"_low.{size}").alias("pivot_size")]
+    return rows.join(chosen.select(bucket, "bucket_size", *low), bucket)
 
 
 def block_pairs(rows: DataFrame, bucket: str, member: str, block: int = BLOCK) -> DataFrame:

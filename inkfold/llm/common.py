@@ -81,6 +81,45 @@ def number_in_class(df: DataFrame, cls: str, order: list[str], out: str = "rank"
     )
 
 
+#: Most bits of a membership bitmap (64 MB), and bits for each id below that.
+MOST_BITS, BITS_PER_ID = 1 << 29, 16
+
+
+def mark_probable(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_probable``: true where its id (long) is in ``ids`` (one long column), and for a few other rows.
+
+    ``df`` isn't shuffled. A bitmap of hashed ids is broadcast: ``BITS_PER_ID`` bits an id, but never more than
+    ``MOST_BITS`` in all. With more ids than that it marks more other rows; it never misses one.
+    """
+    n = ids.count()
+    bits = 1 << 15
+    while bits < min(MOST_BITS, BITS_PER_ID * n):
+        bits *= 2
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    chunk, place = lambda s: F.shiftright(s, 15), lambda s: s.bitwiseAND(F.lit(32767))
+    table = ids.groupBy(chunk(spot(ids.columns[0])).alias("_chunk")).agg(
+        F.bitmap_construct_agg(place(spot(ids.columns[0]))).alias("_bits")
+    )
+    at = place(spot(column))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))
+    return (
+        df.withColumn("_chunk", chunk(spot(column)))
+        .join(F.broadcast(table), "_chunk", "left")
+        .withColumn("_probable", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)))
+        .drop("_chunk", "_bits")
+    )
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node is both centre and leaf, and every leaf (u) has one centre (v)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return ends.where("leaf > 1 or leaf = 1 and centre = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long); component: smallest reachable id.
 
@@ -90,8 +129,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     by adaptive execution. Every round is written to the shared folder.
     """
     now = Saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    mark = None
-    while True:
+    while not _are_stars(now.df):
         # large star: each larger neighbour of u goes to the smallest of u's neighbourhood
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -102,13 +140,9 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low = big.df.groupBy("u").agg(F.min("v").alias("m"))
         small = big.df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = Saved(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        new = after.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         big.drop()
         now.drop()
         now = after
-        if tuple(new) == mark:
-            break
-        mark = tuple(new)
     stars = now.df
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

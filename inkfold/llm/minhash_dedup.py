@@ -4,9 +4,11 @@
    digest of the set and ``BANDS`` band keys of ``ROWS`` circulant MinHash coordinates
    each. Rows with equal sets are one class from here on.
 2. Classes with equal band keys share a bucket. Of buckets with the same members one
-   is kept. Every member is first held against its bucket's smallest member, on full
+   is kept.
+3. The texts are not shuffled: a second pass over them makes the sets of those documents
+   that share a bucket, told by a broadcast bitmap of bounded size. Every member is first held against its bucket's smallest member, on full
    sets; the links give components.
-3. A bucket whose members are all in one component can link nothing more. In all
+4. A bucket whose members are all in one component can link nothing more. In all
    others every pair of members in different components is held against each other,
    again on full sets, in blocks of about ``blocks.BLOCK`` members. A pair of blocks
    is one unit of work and hands back a forest of links, never all pairs.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, shingles
-from .common import connected_components, save
+from .common import connected_components, mark_probable, save
 
 ROWS = 5
 BANDS = 30
@@ -150,18 +152,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = save(_summaries(own, width), "minhash-rows")
     classes = save(
-        rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+        rows.where("n_shingles > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        ),
         "minhash-classes",
     )
     members = save(
-        blocks.drop_repeated_buckets(classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket")), "bucket", "rep"),
+        blocks.drop_repeated_buckets(
+            classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("bucket")), "bucket", "rep", "n"
+        ),
         "minhash-members",
     )
-    sets = save(
-        _sets(own.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width),
-        "minhash-sets",
-    )
-    star = members.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
+    # sets of documents in some bucket, and by chance of a few others, which no later join asks for
+    sets = save(_sets(mark_probable(own, "doc_id", members.select("rep").distinct()).where("_probable"), width), "minhash-sets")
+    alike = 100 * F.least("n", "pivot_size") >= percent * F.greatest("n", "pivot_size")
+    star = members.where("rep <> pivot").where(alike).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
     star = star.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u").join(
         sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v"
     )
