@@ -41,7 +41,11 @@ def inline_markers(answer: Column) -> Column:
 
 def marker_labels(citations: Column, fields: tuple[str, ...] = ("source_id",)) -> Column:
     """Lower-cased labels that a marker may name: ids, and sections and figure labels where the citations have them."""
-    parts = [F.transform(citations, lambda c, f=f: F.lower(c[f])) for f in fields]
+
+    def lowered(field: str) -> Column:
+        return F.transform(citations, lambda c: F.lower(c[field]))
+
+    parts = [lowered(f) for f in fields]
     return F.array_distinct(F.filter(F.array_compact(F.concat(*parts)), lambda x: x != ""))
 
 
