@@ -95,7 +95,7 @@ def _verified(edges: DataFrame, percent: int) -> DataFrame:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of incidence matrices over ranges of hashes."""
+    """Sizes of the intersections of different sets, by products of incidence matrices over ranges of hashes."""
     m, total = len(sets), sum(map(len, sets))
     out = np.zeros((m, m), np.float64)
     bounds = np.linspace(0, 2.0**64, max(1, -(-total // CHUNK)) + 1)[1:-1].astype(np.uint64)
@@ -159,14 +159,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
     )
     members = save(
         blocks.drop_repeated_buckets(
-            classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("bucket")), "bucket", "rep", "n"
+            classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("bucket")), "bucket", "rep"
         ),
         "minhash-members",
     )
     # sets of documents in some bucket, and by chance of a few others, which no later join asks for
     sets = save(_sets(mark_probable(own, "doc_id", members.select("rep").distinct()).where("_probable"), width), "minhash-sets")
-    alike = 100 * F.least("n", "pivot_size") >= percent * F.greatest("n", "pivot_size")
-    star = members.where("rep <> pivot").where(alike).select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
+    alike = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    star = members.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "n").distinct()
+    star = star.join(classes.select(F.col("rep").alias("v"), F.col("n").alias("_n")), "v").where(alike).select("u", "v")
     star = star.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u").join(
         sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v"
     )
