@@ -56,7 +56,7 @@ def json_report(summary: DataFrame, tally: DataFrame, results: DataFrame) -> Dat
 
 def percent(c: Column) -> Column:
     """Percent with one decimal, ``n/a`` for NULL."""
-    return F.coalesce(F.concat(F.format_string("%.1f", c * 100), F.lit("%")), F.lit("n/a"))
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c * 100))
 
 
 def _cut(c: Column, n: int) -> Column:
