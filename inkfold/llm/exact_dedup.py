@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import mark_probable, save
 
 #: Digests above this share of all rows are settled by broadcast; bounds it to 1/SUPPORT rows.
 SUPPORT = 0.001
@@ -68,13 +68,19 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row of each group of equal texts, with all the columns of ``docs`` (of any name); of rows equal in doc_id and length, one."""
-    kept = exact_duplicates(docs, support).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_chars").alias("_n")
-    )
+    said = save(exact_duplicates(docs, support), "exact-decisions")
+    # ids of which some row goes, or that several rows have; all other rows stay where they are
+    open_ = said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("kept").alias("_all"))
+    open_ = save(open_.where("_n > 1 or not _all").select("doc_id"), "exact-open")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = rows.select("_row", *_marks("_row.doc_id", "_row.text"))
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["text_sha256"] == kept["_sha"]) & (rows["n_cp"] == kept["_n"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select("_row.*")
+    rows = mark_probable(rows.withColumn("_id", F.col("_row.doc_id").cast("long")), "_id", open_)
+    kept = said.where("kept").select(
+        F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"), F.col("keep_chars").alias("_n")
+    )
+    held = rows.where("_probable").select("_row", *_marks("_row.doc_id", "_row.text"))
+    same = held["doc_id"].eqNullSafe(kept["_kept"]) & (held["text_sha256"] == kept["_sha"]) & (held["n_cp"] == kept["_n"])
+    held = held.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return rows.where("not _probable").select("_row.*").union(held.select("_row.*"))
 
 
 SQL = """

@@ -203,8 +203,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    kept = near_duplicates(docs, percent, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    gone = save(
+        near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone"
+    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = mark_probable(rows.withColumn("_id", F.col("_row.doc_id").cast("long")), "_id", gone)
+    # only rows that may go are shuffled
+    held = rows.where("_probable").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.where("not _probable").select("_row.*").union(held.select("_row.*"))
 
 
 SQL = r"""
