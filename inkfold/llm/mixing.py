@@ -7,9 +7,10 @@ with it, and is exploded into that many copies; the copies are then shuffled
 globally by a hash of (seed, doc_id, copy). The same seed gives the same mixture
 whatever the partitioning.
 
-Only the per-source statistics are aggregated (partial sums, one row a source). They
-join back with an ordinary join: Spark broadcasts them only when their measured size
-allows, and otherwise splits a hot source's partition.
+Only the per-source statistics are aggregated (partial sums, one row a source), and
+written. Their size is then known: up to ``MOST_CELLS`` numbers they are broadcast, so
+texts move once, in the global shuffle; beyond that they meet the documents in an
+ordinary join, in which adaptive execution splits a hot source's partition.
 
 Defined results: null source is a source of its own; a source without bytes, or with
 weight 0, gives no copies; a null text counts as empty; a null doc_id hashes as the
@@ -26,7 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 SEED = 17
+#: Most numbers in the broadcast table of sources (32 MB).
+MOST_CELLS = 1 << 22
 #: Without explicit weights, a source's target weight is its bytes to this power.
 TEMPERATURE = 0.5
 
@@ -77,7 +82,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
 
 def _replicated(docs: DataFrame, weights: dict[str, float] | None, size: float, seed: int) -> DataFrame:
     """_row (the columns of ``docs`` as one struct), rate, copy, n_copies, shuffle_key in shuffled order."""
-    rates = source_rates(docs, weights, size)
+    rates = save(source_rates(docs, weights, size), "source-rates")
+    cells = rates.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0
+    rates = F.broadcast(rates) if cells <= MOST_CELLS else rates
     own = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     joined = rows.join(rates, F.col("_row.source").eqNullSafe(F.col("_source"))).drop("_source")
