@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.modality import table_rows
-from ..functions.text import strip
+from ..functions.text import SPACE, strip
 
 #: Shortest content by modality for the optional fragment filter.
 LEAST = {"text": 50, "figure": 5, "table": 10, "formula": 5}
 
 
-def spans(text: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """array<struct<s, e>> of the windows over ``text`` (0-based, end exclusive): a fold inside the row, no shuffle.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans(text: Column, n: Column, size: int = 1200, overlap: int = 150) -> Column:
+    """array<struct<s, e>> of the windows over ``text`` of ``n`` characters (0-based, end exclusive): a fold in the row, no shuffle.
 
     A window ends at the last space of its final ``overlap`` characters, if there is one.
     """
-    n = F.length(text)
 
     def step(state: Column, _: Column) -> Column:
         start = state["next"]
-        stop = F.least(start + size, n)
-        tail = F.substr(text, start + (size - overlap + 1), stop - start - (size - overlap))
-        back = F.instr(F.reverse(tail), " ")
-        end = F.when((stop < n) & (back > 0), stop - back).otherwise(stop)
-        more = F.struct(
-            F.when(end >= n, F.lit(None).cast("int")).otherwise(F.greatest(end - overlap, start + 1)).alias("next"),
-            F.concat(state["out"], F.array(F.struct(start.alias("s"), end.alias("e")))).alias("out"),
-        )
-        return F.when(start.isNull(), state).otherwise(more)
+        stop = start + size
+        back = F.instr(F.reverse(F.substr(text, start + (size - overlap + 1), F.lit(overlap))), " ")
+        end = F.when(stop >= n, n).otherwise(_let(back, lambda b: F.when(b > 0, stop - b).otherwise(stop)))
+
+        def more(e: Column) -> Column:
+            return F.struct(
+                F.when(e >= n, F.lit(None).cast("int")).otherwise(F.greatest(e - overlap, start + 1)).alias("next"),
+                F.concat(state["out"], F.array(F.struct(start.alias("s"), e.alias("e")))).alias("out"),
+            )
+
+        return F.when(start.isNull(), state).otherwise(_let(end, more))
 
     empty = F.array().cast("array<struct<s:int,e:int>>")
     rounds = F.sequence(F.lit(1), F.ceil(n / (size - 2 * overlap)).cast("int") + 1)
@@ -42,14 +50,15 @@ def split_text(df: DataFrame, text: str = "text", size: int = 1200, overlap: int
 
     A text that fits is kept as it is; pieces of a longer one are stripped. Nothing is shuffled.
     """
-    whole = F.col(text)
+    whole = F.col("_text")
 
     def cut(w: Column) -> Column:
         p = F.substr(whole, w["s"] + 1, w["e"] - w["s"])
-        return F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(F.length(whole) <= size, p).otherwise(strip(p)).alias("p"))
+        return F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(F.col("_n") <= size, p).otherwise(strip(p)).alias("p"))
 
-    pieces = F.filter(F.transform(spans(whole, size, overlap), cut), lambda x: strip(x["p"]) != "")
-    return df.select("*", F.posexplode(pieces).alias("window", "_w")).select(
+    pieces = F.filter(F.transform(spans(whole, F.col("_n"), size, overlap), cut), lambda x: x["p"].rlike(f"[^{SPACE}]"))
+    sized = df.select("*", F.col(text).alias("_text"), F.length(text).alias("_n"))
+    return sized.select("*", F.posexplode(pieces).alias("window", "_w")).select(
         *df.columns, "window", F.col("_w.s").alias("start"), F.col("_w.e").alias("end"), F.col("_w.p").alias("piece")
     )
 

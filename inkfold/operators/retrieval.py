@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import stored
 from .embedding import DIM, hash_vectors
 
 #: Fixed values of the ranking function and of the fusion.
@@ -43,12 +44,21 @@ class SparseIndex:
 
 
 def build_sparse(corpus: DataFrame) -> SparseIndex:
-    """BM25 statistics. The only wide shuffles are on (term, chunk), combined map-side, and on term."""
+    """BM25 statistics. Texts are partitioned by chunk once, which also serves the sums per chunk and question of a search;
+    document frequencies take a second exchange, on term, combined map-side."""
     tokens = corpus.select("chunk_id", "ord", words(F.col("content")).alias("_w"))
     sized = tokens.withColumn("dl", F.size("_w"))
-    postings = sized.select("chunk_id", "ord", "dl", F.explode("_w").alias("term")).groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = (
+        corpus.select("chunk_id", "ord", "content")
+        .repartition("chunk_id")
+        .select("chunk_id", "ord", words(F.col("content")).alias("_w"))
+        .select("chunk_id", "ord", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+        .groupBy("chunk_id", "ord", "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    stats = stored(sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "bm25-stats")
     df = sized.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(df, "bm25-df")  # read for the mean and for each term
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     with_idf = df.join(F.broadcast(stats.select("n_docs")), F.lit(True)).select("term", "df", raw.alias("_idf"))  # one row
     mean = with_idf.agg(F.avg("_idf").alias("_mean"))
@@ -65,15 +75,16 @@ def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
 def search_sparse(index: SparseIndex, questions: DataFrame, k: int = 10) -> DataFrame:
     """The k best chunks of each question with a score above 0: query_id, chunk_id, ord, score, rank.
 
-    The terms of the questions meet terms and postings by equality; whether that side is
-    broadcast is left to its measured size.
+    The weighted terms of the questions are written, so their size is known: Spark broadcasts them below its threshold,
+    and postings stay partitioned by chunk up to the sums; above it they meet the postings by an exchange on term.
     """
-    asked = (
+    asked = stored(
         questions.select("query_id", F.explode(words(F.col("question"))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qf"))
         .join(index.terms.select("term", "idf"), "term")
-        .select("query_id", "term", (F.col("qf") * F.col("idf")).alias("_q"))
+        .select("query_id", "term", (F.col("qf") * F.col("idf")).alias("_q")),
+        "asked-terms",
     )
     length = 1 - B + B * F.col("dl") / F.col("avgdl")
     weight = F.col("_q") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
@@ -93,10 +104,10 @@ def search_hashed(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int
     Sparse vectors meet on their buckets. A chunk that shares none has score 0 and comes after those that do, in the
     order of the corpus; only a question with fewer than k matches needs such chunks, and the first 2k suffice.
     """
-    docs = hash_vectors(corpus, "chunk_id", "content", dim)
-    asked = hash_vectors(questions, "query_id", "question", dim).withColumnRenamed("weight", "_q")
-    hits = docs.join(asked, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight").cast("double") * F.col("_q").cast("double")).alias("score"))
-    hits = hits.join(corpus.select("chunk_id", "ord"), "chunk_id")
+    docs = hash_vectors(corpus, "chunk_id", "content", dim, ("ord",))
+    asked = stored(hash_vectors(questions, "query_id", "question", dim).withColumnRenamed("weight", "_q"), "asked-vectors")
+    product = F.col("weight").cast("double") * F.col("_q").cast("double")
+    hits = docs.join(asked, "bucket").groupBy("query_id", "chunk_id", "ord").agg(F.sum(product).alias("score"))
     found = _top(hits, k, "ord").select("query_id", "chunk_id", "ord", "score")
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("chunk_id").alias("_have"))
     first = corpus.select("chunk_id", "ord").orderBy("ord").limit(2 * k).agg(F.collect_list(F.struct("chunk_id", "ord")).alias("_first"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import split_text
+from ..sources import tables
 
 #: Fixed texts for the formula rules: (text, font or '').
 FORMULAS = [
@@ -96,13 +97,18 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFram
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, paper_id, ord, content: every document cut into chunks. No shuffle: a document is one element."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", "text")
+    docs = tables.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", "text")
     return split_text(docs).select(
         F.concat("paper_id", F.lit(":c"), F.col("window").cast("string")).alias("chunk_id"), "paper_id",
         (F.col("doc_id") * 1_000_000 + F.col("window")).alias("ord"), "start", "end", F.col("piece").alias("content"),
     )
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`corpus` as a written table: what an index is built from and what hits are joined to."""
+    return tables.stored(corpus(spark, sf_dir).select("chunk_id", "ord", "content"), "chunks")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
 from ..operators import answer, embedding, evaluate, retrieval
-from ..sources import readers, writers
+from ..sources import readers, tables, writers
 from ..streaming import pipelines
-from .fixtures import CHUNKS, corpus, questions, strip_sql, table, words_sql
+from .fixtures import CHUNKS, questions, stored_corpus, strip_sql, table, words_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,29 +66,29 @@ def _search(k: int) -> str:
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_tokens} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build_sparse(corpus(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
+    return retrieval.build_sparse(stored_corpus(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_tokens} SELECT term, chunk_id, tf, CAST(dl AS INTEGER) AS dl FROM postings")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build_sparse(corpus(spark, sf_dir)).postings.select("term", "chunk_id", "tf", "dl")
+    return retrieval.build_sparse(stored_corpus(spark, sf_dir)).postings.select("term", "chunk_id", "tf", "dl")
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_tokens}, {_asked}, {_sparse(10)} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.search_sparse(retrieval.build_sparse(corpus(spark, sf_dir)), questions(spark, sf_dir))
+    hits = retrieval.search_sparse(retrieval.build_sparse(stored_corpus(spark, sf_dir)), questions(spark, sf_dir))
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_hash} SELECT chunk_id, bucket, round(CAST(weight AS DOUBLE), 6) AS weight FROM dvec")
 def hash_embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = embedding.hash_vectors(corpus(spark, sf_dir), "chunk_id", "content")
+    v = embedding.hash_vectors(stored_corpus(spark, sf_dir), "chunk_id", "content")
     return v.select("chunk_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_hash}, {_dense(10)} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dense10")
 def dense_topk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.search_hashed(corpus(spark, sf_dir), questions(spark, sf_dir))
+    hits = retrieval.search_hashed(stored_corpus(spark, sf_dir), questions(spark, sf_dir))
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -128,7 +124,7 @@ def vector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fusion, context, answers ----
 def hits(spark: SparkSession, sf_dir: str, k: int = 10, alpha: float = retrieval.ALPHA) -> DataFrame:
-    chunks = corpus(spark, sf_dir)
+    chunks = stored_corpus(spark, sf_dir)
     return retrieval.search(chunks, retrieval.build_sparse(chunks), questions(spark, sf_dir), k, alpha)
 
 
@@ -190,7 +186,7 @@ res AS (SELECT query_id, answerable, status, len(gold) AS n_gold,
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
+    chunks, asked = stored_corpus(spark, sf_dir), questions(spark, sf_dir)
     index = retrieval.build_sparse(chunks)
     gold = evaluate.gold_by_passage(chunks, asked).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("gold"))
     cases = asked.join(gold, "query_id", "left").select(
@@ -253,25 +249,13 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.upsert(docs, new, "doc_id", "ord").select("doc_id", "text", "ord")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    if not spark.sparkContext.master.startswith("local["):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    path = tempfile.mkdtemp(prefix="inkfold-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}/{name}"
-
-
 @query("SELECT text AS question, CAST(item_id AS VARCHAR) || ':c0' AS gold, item_id % 2 = 0 AS answerable, CASE WHEN item_id % 3 = 0 THEN 'é \"quoted\"' END AS notes FROM benchmark")
 def jsonl_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "benchmark").select(
         F.col("text").alias("question"), F.array(F.concat(F.col("item_id").cast("string"), F.lit(":c0"))).alias("gold_source_ids"),
         (F.col("item_id") % 2 == 0).alias("answerable"), F.when(F.col("item_id") % 3 == 0, 'é "quoted"').alias("notes"),
     )
-    path = _folder(spark, "cases")
+    path = tables.shared_folder(spark, "cases")
     writers.write_cases(made, path)
     return readers.cases(spark, path).select("question", F.get("gold_source_ids", F.lit(0)).alias("gold"), "answerable", "notes")
 
@@ -279,7 +263,7 @@ def jsonl_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, content FROM chunks")
 def file_stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = _folder(spark, "stream")
+    folder = tables.shared_folder(spark, "stream")
     docs.select("doc_id", "text").repartition(4).write.parquet(f"{folder}/in")
     stream = pipelines.file_stream(spark, f"{folder}/in", docs.select("doc_id", "text").schema, window=2)
     pipelines.run_available(stream, f"{folder}/out", f"{folder}/state", pipelines.chunk_stream)

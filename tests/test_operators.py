@@ -29,7 +29,7 @@ def test_windows(spark):
     rng = np.random.default_rng(0)
     texts = ["", "short", "x" * 1200, "x" * 1201, "y" * 5000, " " * 3000] + ["".join(rng.choice(list("abé \n"), n)) for n in (1300, 4000, 9999)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = df.select("i", chunking.spans(F.col("t")).alias("w")).orderBy("i").collect()
+    got = df.select("i", chunking.spans(F.col("t"), F.length("t")).alias("w")).orderBy("i").collect()
     for r, t in zip(got, texts):
         w = [(x.s, x.e) for x in r.w]
         assert w == plain_windows(t)
