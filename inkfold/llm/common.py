@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -150,4 +152,4 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
