@@ -30,21 +30,21 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return ((half(1) % dim + (half(9) % dim) * ((1 << 32) % dim)) % dim).cast("int")
 
 
-def hash_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, bucket, weight (and columns to ``keep``): the non-zero components of each text's unit vector of token counts.
+def hash_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """key, bucket, weight: the non-zero components of each text's unit vector of token counts.
 
     Texts without tokens have no rows. The texts are partitioned by key once; counts, norms and a later sum per key and
     question need no other exchange.
     """
     counts = (
-        texts.select(key, *keep, text)
+        texts.select(key, text)
         .repartition(key)
-        .select(key, *keep, F.explode(words(F.col(text))).alias("_t"))
-        .groupBy(key, *keep, bucket(F.col("_t"), dim).alias("bucket"))
+        .select(key, F.explode(words(F.col(text))).alias("_t"))
+        .groupBy(key, bucket(F.col("_t"), dim).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most ``dim`` rows a key
-    return counts.select(key, *keep, "bucket", (F.col("n") / norm).cast("float").alias("weight"))
+    return counts.select(key, "bucket", (F.col("n") / norm).cast("float").alias("weight"))
 
 
 def dense(vectors: DataFrame, key: str, keys: DataFrame, dim: int = DIM) -> DataFrame:

@@ -26,34 +26,38 @@ DIGITS = 9
 
 @dataclass
 class SparseIndex:
-    """postings (term, chunk_id, ord, tf, dl), terms (term, df, idf) and one row of stats (n_docs, avgdl)."""
+    """postings (ord, term, tf, dl), terms (term, df, idf), one row of stats (n_docs, avgdl), and chunks (ord, chunk_id).
+
+    Sums run over ``ord``, a number; identifiers are looked up for the few rows that are left.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    chunks: DataFrame
 
     def write(self, path: str, partitions: int = 64) -> None:
         """Parquet tables; postings clustered by term, so a lookup of terms skips files and row groups."""
         self.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SparseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats", "chunks")))
 
 
 def build_sparse(corpus: DataFrame) -> SparseIndex:
     """BM25 statistics. Texts are partitioned by chunk once, which also serves the sums per chunk and question of a search;
     document frequencies take a second exchange, on term, combined map-side."""
-    tokens = corpus.select("chunk_id", "ord", words(F.col("content")).alias("_w"))
-    sized = tokens.withColumn("dl", F.size("_w"))
+    sized = corpus.select(words(F.col("content")).alias("_w")).withColumn("dl", F.size("_w"))
     postings = (
-        corpus.select("chunk_id", "ord", "content")
-        .repartition("chunk_id")
-        .select("chunk_id", "ord", words(F.col("content")).alias("_w"))
-        .select("chunk_id", "ord", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-        .groupBy("chunk_id", "ord", "dl", "term")
+        corpus.select("ord", "content")
+        .repartition("ord")
+        .select("ord", words(F.col("content")).alias("_w"))
+        .select("ord", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+        .groupBy("ord", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     stats = stored(sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "bm25-stats")
@@ -64,7 +68,7 @@ def build_sparse(corpus: DataFrame) -> SparseIndex:
     mean = with_idf.agg(F.avg("_idf").alias("_mean"))
     idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf"))
     terms = with_idf.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf"))
-    return SparseIndex(postings, terms, stats)
+    return SparseIndex(postings, terms, stats, corpus.select("ord", "chunk_id"))
 
 
 def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
@@ -73,7 +77,7 @@ def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
 
 
 def search_sparse(index: SparseIndex, questions: DataFrame, k: int = 10) -> DataFrame:
-    """The k best chunks of each question with a score above 0: query_id, chunk_id, ord, score, rank.
+    """The k best chunks of each question with a score above 0: ord, query_id, score, rank, chunk_id.
 
     The weighted terms of the questions are written, so their size is known: Spark broadcasts them below its threshold,
     and postings stay partitioned by chunk up to the sums; above it they meet the postings by an exchange on term.
@@ -91,34 +95,34 @@ def search_sparse(index: SparseIndex, questions: DataFrame, k: int = 10) -> Data
     scored = (
         index.postings.join(asked, "term")
         .join(F.broadcast(index.stats.select("avgdl")), F.lit(True))  # one row
-        .groupBy("query_id", "chunk_id", "ord")
+        .groupBy("query_id", "ord")
         .agg(F.sum(weight).alias("score"))
         .where(F.round("score", DIGITS) > 0)
     )
-    return _top(scored, k, "ord")
+    return _top(scored, k, "ord").join(index.chunks, "ord")
 
 
 def search_hashed(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int = DIM) -> DataFrame:
-    """The k nearest chunks by cosine of hash embeddings: query_id, chunk_id, ord, score, rank.
+    """The k nearest chunks by cosine of hash embeddings: ord, query_id, score, rank, chunk_id.
 
     Sparse vectors meet on their buckets. A chunk that shares none has score 0 and comes after those that do, in the
     order of the corpus; only a question with fewer than k matches needs such chunks, and the first 2k suffice.
     """
-    docs = hash_vectors(corpus, "chunk_id", "content", dim, ("ord",))
+    docs = hash_vectors(corpus, "ord", "content", dim)
     asked = stored(hash_vectors(questions, "query_id", "question", dim).withColumnRenamed("weight", "_q"), "asked-vectors")
     product = F.col("weight").cast("double") * F.col("_q").cast("double")
-    hits = docs.join(asked, "bucket").groupBy("query_id", "chunk_id", "ord").agg(F.sum(product).alias("score"))
-    found = _top(hits, k, "ord").select("query_id", "chunk_id", "ord", "score")
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("chunk_id").alias("_have"))
-    first = corpus.select("chunk_id", "ord").orderBy("ord").limit(2 * k).agg(F.collect_list(F.struct("chunk_id", "ord")).alias("_first"))
+    hits = docs.join(asked, "bucket").groupBy("query_id", "ord").agg(F.sum(product).alias("score"))
+    found = stored(_top(hits, k, "ord").select("query_id", "ord", "score"), "hashed-hits")  # at most k rows a question
+    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("ord").alias("_have"))
+    first = corpus.select("ord").orderBy("ord").limit(2 * k).agg(F.collect_list("ord").alias("_first"))
     short = questions.select("query_id").join(counts, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k)
     rest = (
         short.join(F.broadcast(first), F.lit(True))  # one row
-        .select("query_id", "_have", F.explode("_first").alias("_f"))
-        .where(~F.coalesce(F.array_contains("_have", F.col("_f.chunk_id")), F.lit(False)))
-        .select("query_id", "_f.chunk_id", "_f.ord", F.lit(0.0).alias("score"))
+        .select("query_id", "_have", F.explode("_first").alias("ord"))
+        .where(~F.coalesce(F.array_contains("_have", F.col("ord")), F.lit(False)))
+        .select("query_id", "ord", F.lit(0.0).alias("score"))
     )
-    return _top(found.unionByName(rest), k, "ord")
+    return _top(found.unionByName(rest), k, "ord").join(corpus.select("ord", "chunk_id"), "ord")
 
 
 def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = 4096) -> DataFrame:

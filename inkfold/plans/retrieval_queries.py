@@ -71,7 +71,8 @@ def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_tokens} SELECT term, chunk_id, tf, CAST(dl AS INTEGER) AS dl FROM postings")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build_sparse(stored_corpus(spark, sf_dir)).postings.select("term", "chunk_id", "tf", "dl")
+    index = retrieval.build_sparse(stored_corpus(spark, sf_dir))
+    return index.postings.join(index.chunks, "ord").select("term", "chunk_id", "tf", "dl")
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_tokens}, {_asked}, {_sparse(10)} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse10")
