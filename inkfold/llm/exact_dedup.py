@@ -42,8 +42,10 @@ def exact_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, keep_chars for every row of ``docs`` (doc_id, text)."""
     rows = save(docs.select(*_marks("doc_id", "text")), "digests")
     best = F.struct(F.col("n_cp"), (-F.col("doc_id")).alias("neg_id"))
-    proposed = rows.stat.freqItems(["text_sha256"], support).select(
-        F.explode("text_sha256_freqItems").alias("text_sha256")
+    # written, as the counters depend on the order in which partitions meet and both branches must see the same digests
+    proposed = save(
+        rows.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256")),
+        "frequent-digests",
     )
     winners = (
         rows.join(F.broadcast(proposed), "text_sha256", "left_semi")

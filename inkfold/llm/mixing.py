@@ -65,13 +65,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
         for k, w in weights.items():
             weight = F.when(F.col("_source") == k, F.lit(float(w))).otherwise(weight)
     by = by.withColumn("_w", weight)
-    whole = by.agg(F.sum("_w").alias("_all_w"), F.sum("_bytes").alias("_all_bytes"))
-    rate = F.col("_w") / F.col("_all_w") * F.col("_all_bytes") * F.lit(float(size)) / F.col("_bytes")
-    rates = (
-        by.join(F.broadcast(whole), F.lit(True))  # one row
-        .where("_bytes > 0 and _w > 0")
-        .select("_source", rate.alias("rate"))
-    )
+    by = save(by, "sources")
+    all_w, all_bytes = by.agg(F.sum("_w"), F.sum("_bytes")).first()
+    rate = F.col("_w") / F.lit(float(all_w or 1)) * F.lit(int(all_bytes or 0)) * F.lit(float(size)) / F.col("_bytes")
+    rates = by.where("_bytes > 0 and _w > 0").select("_source", rate.alias("rate"))
 
     def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
