@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -78,6 +79,35 @@ def embed_chunks(chunks: DataFrame, build: Callable[[], Embedder], batch: int =
     return texts.mapInPandas(run, schema)
 
 
+def hash_embedder(dim: int = DIM) -> Embedder:
+    """The same vectors as :func:`hash_vectors`, for texts in a worker."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                out[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little") % dim] += 1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+    return embed
+
+
+def model_or_hash(name: str) -> Callable[[], Embedder]:
+    """Builds a sentence model once in each worker; where that fails, hash embeddings stand in."""
+
+    def build() -> Embedder:
+        try:
+            from sentence_transformers import SentenceTransformer
+
+            model = SentenceTransformer(name)
+            return lambda texts: np.asarray(model.encode(texts, normalize_embeddings=True), np.float32)
+        except Exception:  # no library, no weights or no network
+            return hash_embedder()
+
+    return build
+
+
 def vector_report(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     """One row: count, dimensions and norms of ``embedding``, rounded to 6 digits."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
