@@ -37,6 +37,8 @@ SHAPE = 0.2
 NEIGHBOURS = 15
 SHARPNESS = 8
 BLOCK = 256
+#: Bytes of a text that are counted at a time.
+PART = 1 << 20
 
 
 def _byte_classes() -> np.ndarray:
@@ -64,9 +66,12 @@ _classes = _byte_classes()
 
 def terms(text: str) -> np.ndarray:
     """Square roots of the shares of byte-class pairs: a vector of length 1, or 0."""
-    c = _classes[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    v = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) if len(c) > 1 else np.zeros(CLASSES * CLASSES)
-    return np.sqrt(v / max(1, len(c) - 1)).astype(np.float32)
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    v = np.zeros(CLASSES * CLASSES, np.int64)
+    for i in range(0, len(b) - 1, PART):  # parts share a byte, so that every pair counts once
+        c = _classes[b[i : i + PART + 1]]
+        v += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+    return np.sqrt(v / max(1, len(b) - 1)).astype(np.float32)
 
 
 def shape(text: str) -> list[float]:

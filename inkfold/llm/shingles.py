@@ -7,6 +7,7 @@ without words it is empty. Hashes are the same in every process.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,7 @@ _place = _rng.integers(1, 1 << 63, WIDTH, dtype=_u64) * _u64(2) + _u64(1)
 _BASE = 0x9E3779B97F4A7C15
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+_gap = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,8 +48,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each lower-cased word of ``text`` in order, from one pass of prefix sums."""
+def word_hashes(text: bytes, part: int = 1 << 20) -> np.ndarray:
+    """A hash of each lower-cased word of ``text`` in order, from prefix sums over parts that end between words."""
+    if len(text) <= part:
+        return _word_hashes(text)
+    out, start = [], 0
+    while start < len(text):
+        end = _gap.search(text, start + part)
+        end = end.start() if end else len(text)
+        out.append(_word_hashes(text[start:end]))
+        start = end
+    return np.concatenate(out)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
     b = np.frombuffer(text.lower(), np.uint8)
     if not len(b):
         return np.empty(0, _u64)

@@ -77,6 +77,8 @@ def test_shingles_agree_with_words():
     for _, t in texts():
         got = shingles.shingle_sets([t or ""])[0]
         assert len(got) == len(shingle_set(t))
+    text = b" ".join(b"word%d" % (i % 77) for i in range(3000)) + b"\n" + b"x" * 5000 + b" end"
+    assert (shingles.word_hashes(text, 100) == shingles.word_hashes(text)).all() and len(shingles.word_hashes(text, 64)) == 3002
     a, b = shingles.shingle_sets(["ONE two  three", "one TWO\x0bthree"])
     assert (a == b).all()
     assert len(np.unique(shingles.word_hashes(b" ".join(b"%d" % i for i in range(50_000))))) == 50_000

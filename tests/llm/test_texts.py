@@ -211,6 +211,13 @@ def test_quality_cases(spark, docs, no_docs):
     assert quality.keep_good(docs, labels(spark, docs)).columns == docs.columns
 
 
+def test_terms_in_parts(monkeypatch):
+    text = "Some text, 12 words and é ü " * 50
+    whole = quality.terms(text)
+    monkeypatch.setattr(quality, "PART", 7)
+    assert (quality.terms(text) == whole).all() and abs(np.linalg.norm(whole) - 1) < 1e-5
+
+
 def test_voting_against_brute_force():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("abc dE!"), 80)) for _ in range(60)]
