@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formula as fm
 from ..functions import modality as md
 from ..operators import adapters, layout
+from .corpus_queries import MIXED, MODALITY, mixed_chunks
 from .fixtures import (
     BLOCKS, DUCK_SPACE, FONT_BLOCKS, FORMULAS, IMAGES, REGIONS, TABLES, duck_select, duck_values, literal_rows, orders_as, strip_sql, table,
 )
@@ -240,6 +241,16 @@ def figure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {MIXED}, m AS (SELECT chunk_id, content AS text, {MODALITY} AS modality FROM mixed), v AS (SELECT *, {_verbalized('text')} AS v FROM m)
+SELECT chunk_id, CASE modality WHEN 'formula' THEN CASE WHEN regexp_matches(v, '[a-zA-Z]{{3,}}') THEN 'formula: ' ELSE 'mathematical formula: ' END || v
+WHEN 'table' THEN {strip_sql("'table:  ' || text")} WHEN 'figure' THEN CASE WHEN text = '' THEN 'figure' ELSE text END ELSE text END AS embedded FROM v"""
+)
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = md.modality_of_id(F.col("chunk_id"))
+    return mixed_chunks(spark, sf_dir).select("chunk_id", md.embedding_text(kind, F.col("content")).alias("embedded"))
+
+
 # ---- adapters ----
 _markdown = """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '# Title ' || doc_id || chr(10) || chr(10) END ||
 regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\\. ([A-Z])', '.' || chr(10) || chr(10) || '## \\1', 'g') AS markdown FROM documents""".replace("\\\\", "\\")

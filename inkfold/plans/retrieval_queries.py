@@ -161,6 +161,21 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("query_id", "status", "answer", F.round("confidence", 6).alias("confidence"), F.size("citations").alias("n_citations"))
 
 
+_said = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'I cannot find information about ' || substr(text, 1, 50) WHEN 1 THEN 'There is NO INFORMATION [12:c3]. ' || substr(text, 1, 40)
+WHEN 2 THEN substr(text, 1, 300) WHEN 3 THEN '' WHEN 4 THEN repeat('x', 210) || ' no information' ELSE '  No information here [a b:c]' END AS answer FROM documents"""
+_phrases = ", ".join("'" + p.replace("'", "''") + "'" for p in answer.SOFT_REFUSALS)
+
+
+@query(
+    f"""SELECT doc_id, answer = '' OR (len(list_filter([{_phrases}], lambda p: contains(substr({strip_sql('lower(answer)')}, 1, 200), p))) > 0
+AND NOT regexp_matches(answer, '\[[\pL\pN_.\-:]+:[\pL\pN_]+\]')) AS soft FROM ({_said})"""
+)
+def soft_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_said_documents")
+    said = spark.sql(_said.replace("FROM documents", "FROM _said_documents"))
+    return said.select("doc_id", answer.soft_refusal(F.col("answer")).alias("soft"))
+
+
 # ---- evaluation: gold chunks are those that hold a whole benchmark passage ----
 _gold = """gold AS (SELECT b.item_id AS query_id, list(c.chunk_id ORDER BY c.chunk_id) AS gold FROM benchmark b JOIN chunks c ON contains(c.content, b.text) GROUP BY 1)"""
 _results = f"""top5 AS (SELECT query_id, list(chunk_id ORDER BY rank) AS ids FROM fused5 GROUP BY 1)"""
