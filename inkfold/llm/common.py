@@ -126,20 +126,21 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long); component: smallest reachable id.
 
     Alternates large-star and small-star rounds until the edges are stars around
-    their smallest node. Minima come from partial aggregation and plain joins, so a
-    node with very many neighbours is combined map-side and its join can be split
-    by adaptive execution. Every round is written to the shared folder.
+    their smallest node. Minima come from partial aggregation; they are dealt anew before
+    the join, whose two sides then have exchanges of their own, so that adaptive execution
+    can split the rows of a node with very many neighbours. Every round is written to the
+    shared folder.
     """
     now = Saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while not _are_stars(now.df):
         # large star: each larger neighbour of u goes to the smallest of u's neighbourhood
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         big = Saved(
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name
         )
         # small star: u and its smaller neighbours go to the smallest of them
-        low = big.df.groupBy("u").agg(F.min("v").alias("m"))
+        low = big.df.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = big.df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = Saved(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
         big.drop()

@@ -135,6 +135,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     classes = save(_keyed(grouped.select("rep", "label", "vector", "copies")), "vector-classes")
     buckets = classes.where("rep is not null").select("rep", F.posexplode("keys").alias("table", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
+    shared = shared.hint("rebalance")  # the join gets its own exchanges, so that it can split a hot bucket
     rows = buckets.join(shared, "bucket").join(classes.select("rep", "vector", "copies", "keys"), "rep")
     found = save(_compare(blocks.block_pairs(rows, "bucket", "rep"), least), "vector-links")
     links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
