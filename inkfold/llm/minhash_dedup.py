@@ -175,23 +175,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
-    open_ = (
+    open_ = save(
         placed.groupBy("bucket")
         .agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
         .where("_a <> _b")
-        .select("bucket")
+        .select("bucket"),
+        "minhash-open",
     )
     # a bucket of two has had its only pair held against each other
     rest = placed.where("bucket_size > 2").join(open_, "bucket", "left_semi").select("bucket", "rep", "component", "bucket_size")
     links = _block_links(blocks.block_pairs(rest.join(sets, "rep"), "bucket", "rep"), percent)
     second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_final"))
-    moved = (
-        first.withColumnRenamed("node", "rep")
-        .join(second, "component", "full")
-        .select(F.coalesce("rep", "component").alias("rep"), F.coalesce("_final", "component").alias("component"))
-    )
-    answer = classes.select("digest", "rep").join(moved, "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("_id")
+    # left joins, in which a component of very many classes can be split
+    answer = (
+        classes.select("digest", "rep")
+        .join(first.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("digest", F.coalesce("component", "rep").alias("component"))
+        .join(second.hint("rebalance"), "component", "left")
+        .select("digest", F.coalesce("_final", "component").alias("_id"))
     )
     return (
         rows.select("doc_id", "n_shingles", "digest")
