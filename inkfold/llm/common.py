@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Rows of whole texts in an Arrow batch; Spark's default of 10,000 takes tens of MB on both sides of a worker.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands at most ``TEXT_ROWS`` rows to a Python worker at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a worker makes of a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Saved:
     """A table written to the shared folder: it cuts lineage and outlives lost executors."""
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, shingles
-from .common import connected_components, mark_probable, save
+from .common import connected_components, mark_probable, save, slices, small_batches
 
 ROWS = 5
 BANDS = 30
@@ -46,7 +46,7 @@ CHUNK = 1 << 20
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, digest, keys = [], [], []
             for s in shingles.shingle_sets(b.column("text").to_pylist(), width):
                 n.append(len(s))
@@ -64,7 +64,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """rep, shingles (sorted 64-bit hashes as bytes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = shingles.shingle_sets(b.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "shingles"]
@@ -84,7 +84,7 @@ def _verified(edges: DataFrame, percent: int) -> DataFrame:
     """u, v of the rows (u, v, su, sv) of ``edges`` whose sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             good = [
                 _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                 for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist())
@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = save(_summaries(own, width), "minhash-rows")
     classes = save(

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 SAMPLE = 1024
 CLASSES = 64
 RANK = 64
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
     chosen = known.where("_y = 0").orderBy(*order).limit(sample).union(known.where("_y = 1").orderBy(*order).limit(sample))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,16 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """_row (all columns of ``docs`` as one struct), _score and _predicted for every row of ``docs`` (doc_id, text, ...)."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     if isinstance(model, float):
         scored = rows.withColumn("_score", F.lit(model))
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = [x or "" for x in b.column("_text").to_pylist()]
+            for b in slices(batches):
+                texts = [x or "" for x in b.column("_row").field("text").to_pylist()]
                 yield b.append_column("_score", pa.array(held.value.scores(texts), pa.float64()))
 
         scored = rows.mapInArrow(score, rows.withColumn("_score", F.lit(0.5)).schema)

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoders
+from .common import slices, small_batches
+from .tokens import fast_encoder
 
 KINDS = ("assign", "access", "hex", "token")
 RATIO = 2.2
@@ -56,7 +57,7 @@ def _is_random(run: str) -> bool:
         return False
     if len(run) in DIGEST_LENGTHS and _digest.fullmatch(run) or _uuid.fullmatch(run) or _name.fullmatch(run):
         return False
-    return len(run) < RATIO * len(encoders()[0].encode_ordinary(run))
+    return len(run) < RATIO * len(fast_encoder().encode_ordinary(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,7 +91,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, n_token, spans for every row of ``docs`` (doc_id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts: list[list[int]] = [[], [], [], []]
             sha, spans = [], []
             for text in b.column("text").to_pylist():
@@ -107,6 +108,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(
         scan,

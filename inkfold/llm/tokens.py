@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 VOCABULARY = "byte_bpe_50k"
 BATCH_BYTES = 1 << 20
 SPLIT_CHARS = 1 << 16
@@ -39,17 +41,24 @@ _run = re.compile(r"[A-Za-z]{2000}|[0-9]{2000}|\s{2000}|[^\sA-Za-z0-9]{2000}")
 
 
 @lru_cache(maxsize=2)
-def encoders(vocabulary: str = VOCABULARY):
-    """(tiktoken encoding, tokenizers tokenizer) of one vocabulary; loaded once per process."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def fast_encoder(vocabulary: str = VOCABULARY):
+    """The tiktoken encoding of a vocabulary; loaded once per process."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def full_encoder(vocabulary: str = VOCABULARY):
+    """The tokenizers tokenizer of a vocabulary; loaded once per process, and only if a text needs it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
 def pieces(text: str, size: int = SPLIT_CHARS) -> list[str]:
@@ -68,9 +77,9 @@ def pieces(text: str, size: int = SPLIT_CHARS) -> list[str]:
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     """The ids of one whole text, as tokenizers gives them without added special tokens."""
-    fast, full = encoders(vocabulary)
     if _odd.search(text) or _run.search(text):
-        return full.encode(text, add_special_tokens=False).ids
+        return full_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+    fast = fast_encoder(vocabulary)
     parts = pieces(text)
     if len(parts) == 1:
         return fast.encode_ordinary(text)
@@ -92,7 +101,7 @@ def by_bytes(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
 
 def lengths(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
     """The number of tokens of each text; one encoder call per batch of about ``BATCH_BYTES``."""
-    fast, full = encoders(vocabulary)
+    fast = fast_encoder(vocabulary)
     out = [0] * len(texts)
     plain: list[tuple[int, str]] = []
     rest: list[tuple[int, str]] = []
@@ -108,7 +117,7 @@ def lengths(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
             done += 1
     done = 0
     for part in by_bytes([t for _, t in rest]):
-        for e in full.encode_batch(part, add_special_tokens=False):
+        for e in full_encoder(vocabulary).encode_batch(part, add_special_tokens=False):
             out[rest[done][0]] = len(e)
             done += 1
     return out
@@ -118,13 +127,14 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), pa.array(lengths(texts, vocabulary), pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")

@@ -16,7 +16,7 @@ TEXTS = [t or "" for _, t in texts()]
 
 
 def full_ids(text):
-    return tokens.encoders()[1].encode(text, add_special_tokens=False).ids
+    return tokens.full_encoder().encode(text, add_special_tokens=False).ids
 
 
 def test_tokens_against_library(docs, no_docs):
@@ -34,11 +34,11 @@ def test_encoders_agree(text):
 
 def test_splitting_is_safe(monkeypatch):
     text = " ".join(["The quick, brown fox's 12 tests", "ends here.\n\nNew   line", "über alles don't"] * 40)
-    whole = tokens.encoders()[0].encode_ordinary(text)
+    whole = tokens.fast_encoder().encode_ordinary(text)
     for size in (10, 37, 400):
         parts = tokens.pieces(text, size)
         assert "".join(parts) == text and len(parts) > 2
-        assert [i for p in parts for i in tokens.encoders()[0].encode_ordinary(p)] == whole
+        assert [i for p in parts for i in tokens.fast_encoder().encode_ordinary(p)] == whole
 
 
 def test_real_tokens(spark, sf):
