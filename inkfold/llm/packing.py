@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import number_in_class, save
+from .common import number_in_class, save, slices, small_batches
 from .tokens import VOCABULARY, by_bytes, encode
 
 CAPACITY = 1024
 END = 2
 SMALL = 256
-GROUPS = 128
+GROUPS = 256
 
 Step = tuple[int, int, int, int, int]  # length, first piece, how many, class of the target, first target
 
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs`` (doc_id, text)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids_of = b.column("doc_id").to_pylist()
             i = 0
             for part in by_bytes([t or "" for t in b.column("text").to_pylist()]):
@@ -70,11 +70,40 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
+class Knapsack:
+    """The most valuable multiset of sizes that fits, for many prices. At most capacity // smallest size items fit, so
+    that many levels, each over all capacities at once, give the optimum."""
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.s, self.capacity = np.array(sizes), capacity
+        self.depth = capacity // min(sizes)
+        rest = np.arange(capacity + 1)[:, None] - self.s[None, :]
+        self.fits, self.rest = rest >= 0, np.maximum(rest, 0)
+
+    def best(self, price: np.ndarray) -> tuple[float, list[int]]:
+        """(value, how many of each size)."""
+        value, picks = np.zeros(self.capacity + 1), []
+        for _ in range(self.depth):
+            gain = np.where(self.fits, price[None, :] + value[self.rest], -1.0)
+            pick = gain.argmax(1)
+            top = gain[np.arange(len(gain)), pick]
+            pick[top <= value + 1e-12] = -1
+            value = np.maximum(value, top)
+            picks.append(pick)
+        column, c = [0] * len(self.s), self.capacity
+        for pick in reversed(picks):
+            if pick[c] >= 0:
+                column[pick[c]] += 1
+                c -= int(self.s[pick[c]])
+        return float(value[self.capacity]), column
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(how many of each size, how many bins): the linear optimum of the cutting-stock problem, rounded down.
 
@@ -84,30 +113,15 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
     m = len(sizes)
     if not m:
         return []
-    s, d = np.array(sizes), np.array(demand, float)
+    d = np.array(demand, float)
+    knapsack = Knapsack(sizes, capacity)
     basis = [[capacity // sizes[i] if i == j else 0 for i in range(m)] for j in range(m)]
     inverse = np.diag([1 / (capacity // x) for x in sizes])
     for _ in range(40 * m):
         x = inverse @ d
-        price = inverse.sum(0)
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(s.min()), capacity + 1):
-            fit = np.flatnonzero(s <= c)
-            gain = price[fit] + best[c - s[fit]]
-            k = int(gain.argmax())
-            if gain[k] > best[c - 1] + 1e-12:
-                best[c], pick[c] = gain[k], fit[k]
-            else:
-                best[c] = best[c - 1]
-        if best[capacity] <= 1 + 1e-7:
+        gain, column = knapsack.best(inverse.sum(0))
+        if gain <= 1 + 1e-7:
             break
-        column, c = [0] * m, capacity
-        while c > 0:
-            if pick[c] >= 0:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
-            else:
-                c -= 1
         u = inverse @ np.array(column, float)
         ratio = np.where(u > 1e-9, np.maximum(x, 0) / np.where(u > 1e-9, u, 1), np.inf)
         r = int(ratio.argmin())
