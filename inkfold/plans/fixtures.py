@@ -87,7 +87,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders_as(spark: SparkSession, sf_dir: str, spec: dict[str, str]) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*spark_columns(spec))
+    return tables.spread(table(spark, sf_dir, "orders")).selectExpr(*spark_columns(spec))
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formula as fm
 from ..functions import modality as md
 from ..operators import adapters, layout
+from ..sources.tables import spread
 from .corpus_queries import MIXED, MODALITY, mixed_chunks
 from .fixtures import (
     BLOCKS, DUCK_SPACE, FONT_BLOCKS, FORMULAS, IMAGES, REGIONS, TABLES, duck_select, duck_values, literal_rows, orders_as, strip_sql, table,
@@ -259,7 +260,8 @@ regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\\. ([A-Z])', '.' ||
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\n")))
     body = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), r"\. ([A-Z])", ".\n\n## $1")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(title, body).alias("markdown"))
+    docs = spread(table(spark, sf_dir, "documents"))
+    return docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(title, body).alias("markdown"))
 
 
 @query(
