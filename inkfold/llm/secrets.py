@@ -6,11 +6,12 @@ text: ``assign`` (a keyword, a separator and a value of 6 or more characters),
 hexadecimal digits). A match that is too short uses up its text and is dropped.
 
 The method adds ``token`` spans: runs of 20 or more characters of a key alphabet, with
-a digit and a letter, whose characters per token under the tiktoken vocabulary are
-below ``RATIO``. Random strings split into many short tokens; words do not. Before
-that, known digests (32, 40, 64, 96 or 128 hexadecimal digits and nothing else) and
-identifiers (UUIDs, dotted, dashed or underscored words and numbers, paths) are left
-out; so are runs that touch a base span, which is reported already.
+a letter, whose characters per token under the tiktoken vocabulary are below ``RATIO``.
+Random strings split into many short tokens; words do not. Left out are known digests
+(32, 40, 64, 96 or 128 hexadecimal digits and nothing else), UUIDs and identifiers, whose
+letters are all in words (4 or more letters, with ``WORD_RATIO`` characters per token or
+more on their own) or in single tokens of up to 3 letters between separators; so are runs
+that touch a base span, which is reported already.
 
 Defined results: null counts as empty, with no spans and the sha256 of the empty
 string; rows are scanned each; an empty table gives an empty result.
@@ -22,6 +23,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ from .tokens import fast_encoder
 KINDS = ("assign", "access", "hex", "token")
 RATIO = 2.2
 LEAST = 20
+#: Least characters per token of a word of an identifier, in the best of its own case, lower case and lower case after a space.
+WORD_RATIO = 2.5
 
 # The base patterns.
 ASSIGN = re.compile(
@@ -48,16 +52,36 @@ _long_hex = re.compile(r"[0-9a-f]{24,}")
 _run = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _digest = re.compile(r"[0-9A-Fa-f]+")
 _uuid = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_name = re.compile(r"([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([_./=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=-]*|(?:[A-Z]?[a-z]{2,}+|[0-9]++)++")
+_letters = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_separators = "_./=-"
 DIGEST_LENGTHS = (32, 40, 64, 96, 128)
 
 
+@lru_cache(maxsize=1 << 14)
+def _n_tokens(word: str) -> int:
+    return min(len(fast_encoder().encode_ordinary(w)) for w in (word, word.lower(), " " + word.lower()))
+
+
+def _is_name(run: str) -> bool:
+    """Whether all letters of ``run`` are in words, or in short single tokens between separators."""
+    if "+" in run:
+        return False
+    for m in _letters.finditer(run):
+        a, b = m.span()
+        if b - a > 3:
+            if b - a < WORD_RATIO * _n_tokens(m[0]):
+                return False
+        elif run[a - 1 : a] not in _separators or run[b : b + 1] not in _separators or _n_tokens(m[0]) > 1:
+            return False
+    return True
+
+
 def _is_random(run: str) -> bool:
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if not re.search("[A-Za-z]", run):
         return False
-    if len(run) in DIGEST_LENGTHS and _digest.fullmatch(run) or _uuid.fullmatch(run) or _name.fullmatch(run):
+    if len(run) in DIGEST_LENGTHS and _digest.fullmatch(run) or _uuid.fullmatch(run):
         return False
-    return len(run) < RATIO * len(fast_encoder().encode_ordinary(run))
+    return len(run) < RATIO * len(fast_encoder().encode_ordinary(run)) and not _is_name(run)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

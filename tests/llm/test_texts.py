@@ -141,6 +141,29 @@ def test_token_efficiency():
     assert secrets.token_spans("a" * 200_000 + "B1", []) == []  # no pattern backtracks without bound
 
 
+def found(text):
+    base = secrets.base_spans(text)
+    return base + secrets.token_spans(text, base)
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("alphabet", [LOWER, UPPER, LOWER + UPPER, LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "-_"])
+@pytest.mark.parametrize("n", [20, 24, 32, 40])
+def test_random_strings_are_found(alphabet, n):
+    rng = np.random.default_rng(n)
+    assert sum(bool(found("".join(rng.choice(list(alphabet), n)))) for _ in range(300)) >= 290
+
+
+def test_names_are_not_random():
+    for t in (
+        "SCHEDULED_BACKUP_TUPLE_2024", "report/2024/01/15/23/59/59/final", "getElementsByTagNameAndClassName", "//www.example.org/es/1/2/3/4/index",
+        "Einkommensteuererklaerung", "responsabilidades.internacionales", "configuration2024backup12",
+    ):
+        assert found(t) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="AKI0123456789abcdefZ=:\"' tokensecrpiy_-", max_size=80))
 def test_base_spans(text):
