@@ -2,7 +2,8 @@
 
 1. One pass over the texts writes, per row, the size of its shingle set, a 128-bit
    digest of the set and ``BANDS`` band keys of ``ROWS`` circulant MinHash coordinates
-   each. Rows with equal sets are one class from here on.
+   each. Rows with equal sets are one class from here on, with a number of its own,
+   whatever ids its rows have.
 2. Classes with equal band keys share a bucket. Of buckets with the same members one
    is kept.
 3. The texts are not shuffled: a second pass over them makes the sets of those documents
@@ -19,10 +20,11 @@ for shares a bucket but for a chance of (1 - s**ROWS)**BANDS: 7e-6 at 0.8, 2e-8
 bucket that stays split grows with the square of its size over BLOCK.
 
 Defined results: a null, empty or white-space text has an empty set, links with
-nothing and is kept; a text of fewer than five words is one shingle; rows that repeat
-a doc_id with the same text share one answer; a row without doc_id answers with the
-component of the documents of the same set, or, where none has an id, stays with a null
-component; an empty table gives an empty result; other columns are ignored.
+nothing and is kept; a text of fewer than five words is one shingle; a component has the
+smallest doc_id of its rows, or null where none has one, and the rows kept are those of
+that doc_id and of one class that has it; rows that repeat a doc_id with the same set share
+one answer, and with different sets have one each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, shingles
@@ -44,13 +46,17 @@ BANDS = 30
 CHUNK = 1 << 20
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, digest, keys = [], [], []
             for s in shingles.shingle_sets(b.column("text").to_pylist(), width):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest(s))
                 keys.append(shingles.band_keys(shingles.signature(s, ROWS * BANDS), BANDS, ROWS) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -61,16 +67,22 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """rep, shingles (sorted 64-bit hashes as bytes)."""
+    """rep (never null), digest, shingles (sorted 64-bit hashes as bytes) of each row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = shingles.shingle_sets(b.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "shingles"]
+                [b.column("doc_id"), pa.array(map(_digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                ["doc_id", "digest", "shingles"],
             )
 
-    return docs.mapInArrow(sets, "rep long, shingles binary")
+    return docs.mapInArrow(sets, "doc_id long, digest binary, shingles binary").select(_some("doc_id"), "digest", "shingles")
+
+
+def _some(doc_id: str) -> Column:
+    """An id that is never null; with the digest it still tells a class from all others."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63))).alias("rep")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -144,38 +156,35 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets.
-    """
+def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, n_shingles, digest (null for an empty set), component_id, kept for every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = save(_summaries(own, width), "minhash-rows")
-    classes = save(
-        rows.where("n_shingles > 0").groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-        ),
-        "minhash-classes",
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
+    # written with its numbers, so that all branches see the same ones
+    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     members = save(
-        blocks.drop_repeated_buckets(
-            classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("bucket")), "bucket", "rep"
-        ),
+        blocks.drop_repeated_buckets(classes.select("node", "n", F.explode("bands").alias("bucket")), "bucket", "node"),
         "minhash-members",
     )
-    # sets of documents in some bucket, and by chance of a few others, which no later join asks for
-    sets = save(_sets(mark_probable(own, "doc_id", members.select("rep").distinct()).where("_probable"), width), "minhash-sets")
+    # sets of the classes in some bucket, each from the rows of one doc_id
+    asked = save(
+        classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest"), "minhash-asked"
+    )
+    held = mark_probable(own, "doc_id", asked.select("rep")).where("_probable")
+    sets = _sets(held, width).dropDuplicates(["rep", "digest"])
+    sets = save(sets.join(asked.select(_some("rep"), "digest", "node"), ["rep", "digest"]).select("node", "shingles"), "minhash-sets")
     alike = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    star = members.where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"), "n").distinct()
-    star = star.join(classes.select(F.col("rep").alias("v"), F.col("n").alias("_n")), "v").where(alike).select("u", "v")
-    star = star.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u").join(
-        sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v"
+    star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"), "n").distinct()
+    star = star.join(classes.select(F.col("node").alias("v"), F.col("n").alias("_n")), "v").where(alike).select("u", "v")
+    star = star.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v"
     )
     first = save(connected_components(_verified(star.select("u", "v", "su", "sv"), percent)), "minhash-first")
-    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
+    placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = save(
         placed.groupBy("bucket")
         .agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
@@ -184,35 +193,64 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
         "minhash-open",
     )
     # a bucket of two has had its only pair held against each other
-    rest = placed.where("bucket_size > 2").join(open_, "bucket", "left_semi").select("bucket", "rep", "component", "bucket_size")
-    links = _block_links(blocks.block_pairs(rest.join(sets, "rep"), "bucket", "rep"), percent)
+    rest = placed.where("bucket_size > 2").join(open_, "bucket", "left_semi").select("bucket", "node", "component", "bucket_size")
+    links = _block_links(blocks.block_pairs(rest.join(sets, "node"), "bucket", "node"), percent)
     second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_final"))
     # left joins, in which a component of very many classes can be split
-    answer = (
-        classes.select("digest", "rep")
-        .join(first.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("component"))
+    answer = save(
+        classes.select("digest", "rep", "node")
+        .join(first, "node", "left")
+        .select("digest", "rep", F.coalesce("component", "node").alias("component"))
         .join(second.hint("rebalance"), "component", "left")
-        .select("digest", F.coalesce("_final", "component").alias("_id"))
+        .select("digest", "rep", F.coalesce("_final", "component").alias("component")),
+        "minhash-answer",
+    )
+    # of the classes of a component, the one with the smallest id, then digest
+    best = answer.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("best"))
+    answer = answer.join(best.hint("rebalance"), "component", "left").select(
+        "digest", F.col("best.rep").alias("component_id"), (F.col("digest") == F.col("best.digest")).alias("_stays")
     )
     return (
         rows.select("doc_id", "n_shingles", "digest")
         .join(answer, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("kept", F.coalesce("_stays", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "digest", "component_id", "kept")
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked when 100 * intersection >= percent * union of their shingle sets.
+    """
+    return _decisions(docs, percent, width).drop("digest")
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    gone = save(
-        near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "minhash-gone"
-    )
+    """The rows of ``docs`` that are kept, with all their columns; of rows equal in doc_id and shingle set, one."""
+
+    @F.arrow_udf("binary")
+    def digest_of(text: pa.Array) -> pa.Array:
+        return pa.array(map(_digest, shingles.shingle_sets(text.to_pylist(), width)), pa.binary())
+
+    said = save(_decisions(docs, percent, width).where("digest is not null").select("doc_id", "digest", "kept"), "minhash-decisions")
+    # what goes, or has several rows; all other rows stay where they are
+    open_ = said.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"), F.first("kept").alias("_kept")).where("_n > 1 or not _kept")
+    open_ = save(open_.select(F.col("doc_id").alias("_open"), F.col("digest").alias("_open_digest"), "_kept"), "minhash-open-rows")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = mark_probable(rows.withColumn("_id", F.col("_row.doc_id").cast("long")), "_id", gone)
+    rows = rows.withColumn("_id", F.col("_row.doc_id").cast("long"))
+    marked = mark_probable(rows, "_id", open_.select("_open"))
+    same = F.col("_id").eqNullSafe(F.col("_open")) & (F.col("_digest") == F.col("_open_digest"))
+    digest = digest_of(F.coalesce(F.col("_row.text"), F.lit(""))).alias("_digest")
     # only rows that may go are shuffled
-    held = rows.where("_probable").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return rows.where("not _probable").select("_row.*").union(held.select("_row.*"))
+    out = marked.where("not _probable").select("_row.*")
+    out = out.union(marked.where("_probable").select("_row", "_id", digest).join(open_, same, "left_anti").select("_row.*"))
+    again = open_.where("_kept")
+    if again.isEmpty():
+        return out
+    again_rows = mark_probable(rows, "_id", again.select("_open")).where("_probable").select("_row", "_id", digest)
+    return out.union(again_rows.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*"))
 
 
 SQL = r"""

@@ -141,6 +141,25 @@ def test_minhash_stage(docs, no_docs):
     assert minhash_dedup.near_duplicates(no_docs).count() == 0 == minhash_dedup.keep_one_of_each(no_docs).count()
 
 
+def test_minhash_stage_goes_by_row(spark, docs):
+    """Rows without id or with a repeated id go by their own text, not by the id."""
+    left = [(r.doc_id, r.text) for r in minhash_dedup.keep_one_of_each(docs).collect()]
+    assert (None, None) in left and (None, "no id here at all, none") not in left and left.count((9, passage(0))) == 1
+    alone, other = passage(101, 80), " ".join(f"q{i}" for i in range(70))
+    rows = [
+        (1, passage(0)), (7, passage(0, change=59)), (7, alone), (None, passage(0).upper()), (None, other), (None, ""), (None, "short one"),
+        (8, passage(2, 90)), (8, passage(2, 90, change=89)), (None, passage(4, 90)), (None, passage(4, 90, change=89)), (None, passage(4, 90).upper()),
+        (None, passage(2, 90, change=0)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = minhash_dedup.keep_one_of_each(df).collect()
+    assert [(r.doc_id, r.text) for r in left if r.text in (alone, other, "", "short one")].__len__() == 4
+    sets = sorted((r.doc_id or 0, r.text.lower()[:6]) for r in left if r.text not in (alone, other, "", "short one"))
+    assert sets == sorted([(1, passage(0)[:6]), (8, passage(2)[:6]), (0, passage(4)[:6])])
+    got = minhash_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r.component_id == 7 for r in got) == 1 and sum(r.component_id == 8 for r in got) == 3
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 200, n).astype(np.uint64) << np.uint64(56)) for n in (1, 5, 50, 300)]
