@@ -10,8 +10,14 @@ a letter, whose characters per token under the tiktoken vocabulary are below ``R
 Random strings split into many short tokens; words do not. Left out are known digests
 (32, 40, 64, 96 or 128 hexadecimal digits and nothing else), UUIDs and identifiers, whose
 letters are all in words (4 or more letters, with ``WORD_RATIO`` characters per token or
-more on their own) or in single tokens of up to 3 letters between separators; so are runs
-that touch a base span, which is reported already.
+more on their own) or in single tokens of up to 3 letters between separators. Base spans,
+which are reported already, are cut out of the runs first.
+
+A run that passes as a whole may hide a key behind host, path or names. Its windows of 20
+or more characters are held against ``RATIO`` too; parts between separators that are
+identifiers or digests, or letters alone that pass as a whole (a long word of some
+language), don't count for a window there, only against it. What is reported is every
+part that such a window reaches.
 
 Defined results: null counts as empty, with no spans and the sha256 of the empty
 string; rows are scanned each; an empty table gives an empty result.
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -54,6 +60,7 @@ _digest = re.compile(r"[0-9A-Fa-f]+")
 _uuid = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _letters = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _separators = "_./=-"
+_part = re.compile(r"[A-Za-z0-9+]+")
 DIGEST_LENGTHS = (32, 40, 64, 96, 128)
 
 
@@ -84,6 +91,53 @@ def _is_random(run: str) -> bool:
     return len(run) < RATIO * len(fast_encoder().encode_ordinary(run)) and not _is_name(run)
 
 
+def _hidden(run: str) -> list[tuple[int, int]]:
+    """The stretches of parts of ``run`` in which some window of ``LEAST`` or more characters is random."""
+    known = bytearray(len(run))  # characters that don't count for a window
+    parts = [m.span() for m in _part.finditer(run)]
+    first, last = [0] * len(run), [0] * len(run)
+    for a, b in parts:
+        first[a:b], last[a:b] = [a] * (b - a), [b] * (b - a)
+        word = _letters.fullmatch(run, a, b) and b - a >= RATIO * _n_tokens(run[a:b])
+        if word or b - a in DIGEST_LENGTHS and _digest.fullmatch(run, a, b) or _is_name(run[a:b]):
+            known[a:b] = b"\1" * (b - a)
+    for m in _uuid.finditer(run):
+        known[m.start() : m.end()] = b"\1" * len(m[0])
+    if all(known[a] for a, _ in parts):
+        return []
+    ends = list(accumulate(map(len, fast_encoder().decode_tokens_bytes(fast_encoder().encode_ordinary(run)))))
+    starts = [0, *ends[:-1]]
+    score, odd, edge = [], [], []
+    for a, b in zip(starts, ends):
+        inside = [i for i in range(a, b) if last[i]]
+        odd.append(bool(inside) and not known[inside[-1]])
+        edge.append(not inside or odd[-1] or last[inside[-1]] - first[inside[-1]] <= 3)
+        near = [i for i in ((inside[-1],) if inside else (a - 1, b)) if 0 <= i < len(run)]
+        score.append(RATIO - (b - a) if not any(known[i] for i in near) else min(0.0, RATIO - (b - a)))
+
+    def reached(allowed: list[bool]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for i, a in enumerate(starts):
+            if not allowed[i]:
+                continue
+            total, j = 0.0, i
+            # a longer window that is random has a random half
+            while j < len(ends) and starts[j] - a < 2 * LEAST:
+                total += score[j]
+                if allowed[j] and total > 0 and ends[j] - a >= LEAST:
+                    x = next(k for k in range(a, ends[j]) if last[k])
+                    y = next(k for k in range(ends[j] - 1, a - 1, -1) if last[k])
+                    if out and first[x] <= out[-1][1]:
+                        out[-1] = (out[-1][0], max(out[-1][1], last[y]))
+                    else:
+                        out.append((first[x], last[y]))
+                j += 1
+        return [(a, b) for a, b in out if re.search("[A-Za-z]", run[a:b])]
+
+    # a key of little more than LEAST may itself begin or end with a separator or a short part
+    return reached(odd) or reached(edge)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of the base kinds, in order."""
     out = []
@@ -101,9 +155,16 @@ def token_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     starts = [a for a, _, _ in base]
     ends = [0, *accumulate((b for _, _, b in base), max)]  # ends[i]: the furthest end of the first i
     for m in _run.finditer(text):
-        a, b = m.span()
-        if ends[bisect_left(starts, b)] <= a and _is_random(m[0]):
-            out.append((a, 3, b))
+        a = m.start()
+        for i in range(bisect_right(ends, a) - 1, bisect_left(starts, m.end()) + 1):
+            b = min(starts[i], m.end()) if i < len(starts) else m.end()
+            if b - a >= LEAST:
+                if _is_random(text[a:b]):
+                    out.append((a, 3, b))
+                else:
+                    out += [(a + x, 3, a + y) for x, y in _hidden(text[a:b])]
+            if i < len(starts):
+                a = max(a, ends[i + 1])
     return out
 
 

@@ -156,8 +156,23 @@ def test_random_strings_are_found(alphabet, n):
     assert sum(bool(found("".join(rng.choice(list(alphabet), n)))) for _ in range(300)) >= 290
 
 
+@pytest.mark.parametrize("path", ["www.example.com/documents/download/archive/", "//example.com/reset/account/confirm/", "document_archive_production_settings_"])
+@pytest.mark.parametrize("n", [20, 24, 32])
+def test_keys_behind_words_are_found(path, n):
+    rng = np.random.default_rng(n)
+    keys = ["".join(rng.choice(list(LOWER + UPPER + DIGITS), n)) for _ in range(300)]
+    assert sum(any(a <= len(path) and b == len(path) + n for a, _, b in found(path + k)) for k in keys) >= 297
+    assert found(path) == [] and found("documentation_" + keys[0] + "/documentation/of/the/archive/and/all/its/directories/international")
+
+
+def test_keys_beside_base_spans_are_found():
+    text = "objects/d41d8cd98f00b204e9800998ecf8427e/x7Kp2QmZ9vRt4LwN8sYb1DfH6jCg3A"
+    assert [k for _, k, _ in found(text)] == [2, 3] and found(text)[1][2] == len(text)
+
+
 def test_names_are_not_random():
     for t in (
+        "//www.example.org/documents/123e4567-e89b-12d3-a456-426614174000/download/archive/final",
         "SCHEDULED_BACKUP_TUPLE_2024", "report/2024/01/15/23/59/59/final", "getElementsByTagNameAndClassName", "//www.example.org/es/1/2/3/4/index",
         "Einkommensteuererklaerung", "responsabilidades.internacionales", "configuration2024backup12",
     ):
