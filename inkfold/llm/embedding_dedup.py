@@ -4,7 +4,8 @@ Only vectors with equal, non-null labels (and equally many components) are compa
 A vector that is null, empty or zero, or holds a null or non-finite component, links
 with nothing.
 
-1. Vectors with equal label and components are one class, with its number of copies.
+1. Vectors with equal label and components are one class, with its number of copies and
+   a number of its own, whatever ids its rows have.
 2. Each class has a key for each of ``TABLES`` tables: the signs of ``BITS`` random
    projections, with the label and the dimension. Classes with a key in common are
    candidates; a pair at cosine 0.98 shares none with a chance below 1e-6.
@@ -17,9 +18,10 @@ There is no cap on buckets or partners; work inside a bucket grows with the squa
 the number of its different vectors over the block size.
 
 Defined results: excluded vectors have n_links 0 and their own vec_id as component;
-rows that repeat a vec_id count as separate rows with one id; a class without any vec_id
-links its own copies only, with a null component; an empty table gives an empty result;
-other columns are ignored.
+rows that repeat a vec_id count as separate rows, each with its own vector; a component has
+the smallest vec_id of its rows, or null where none has one, and the rows kept are those of
+that vec_id and of one class that has it; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,13 +109,13 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
             for k in range(table):
                 new &= keys[i, k] != keys[j, k]
             i, j = i[new], j[new]
-            rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-            n = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+            n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
             some = np.flatnonzero(n)
-            pairs = blocks.forest(np.stack([rep[i], rep[j]], 1))
+            pairs = blocks.forest(np.stack([node[i], node[j]], 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*rep[some].tolist(), *(p[0] for p in pairs)], pa.int64()),
+                    pa.array([*node[some].tolist(), *(p[0] for p in pairs)], pa.int64()),
                     pa.array([*[None] * len(some), *(p[1] for p in pairs)], pa.int64()),
                     pa.array([*n[some].astype(np.int64).tolist(), *[None] * len(pairs)], pa.int64()),
                 ],
@@ -132,29 +134,38 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     )
     usable = save(_usable(own), "vectors")
     grouped = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = save(_keyed(grouped.select("rep", "label", "vector", "copies")), "vector-classes")
-    buckets = classes.where("rep is not null").select("rep", F.posexplode("keys").alias("table", "bucket"))
+    keyed = _keyed(grouped.select("rep", "label", "vector", "copies"))
+    # written with its numbers, so that all branches see the same ones
+    classes = save(keyed.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    buckets = classes.select("node", F.posexplode("keys").alias("table", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
     shared = shared.hint("rebalance")  # the join gets its own exchanges, so that it can split a hot bucket
-    rows = buckets.join(shared, "bucket").join(classes.select("rep", "vector", "copies", "keys"), "rep")
-    found = save(_compare(blocks.block_pairs(rows, "bucket", "rep"), least), "vector-links")
-    links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    rows = buckets.join(shared, "bucket").join(classes.select("node", "vector", "copies", "keys"), "node")
+    found = save(_compare(blocks.block_pairs(rows, "bucket", "node"), least), "vector-links")
+    links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    answer = (
-        classes.select("rep", "label", "vector", "copies")
-        .join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    answer = save(
+        classes.select("node", "rep", "label", "vector", "copies")
+        .join(links, "node", "left")
+        .join(components, "node", "left")
         .select(
-            "label", "vector",
+            "node", "rep", "label", "vector",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+            F.coalesce("component", "node").alias("component"),
+        ),
+        "vector-answer",
     )
-    linked = usable.join(answer, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    # of the classes of a component, the one with the smallest id, then vector
+    best = answer.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vector", "node")).alias("best"))
+    answer = answer.join(best.hint("rebalance"), "component", "left").select(
+        "label", "vector", "n_links", F.col("best.rep").alias("component_id"), (F.col("node") == F.col("best.node")).alias("_stays")
+    )
+    linked = usable.join(answer, ["label", "vector"]).select("vec_id", "n_links", "component_id", "_stays")
     rest = own.select("vec_id").exceptAll(usable.select("vec_id")).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("_stays")
     )
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    kept = F.col("_stays") & F.col("vec_id").eqNullSafe(F.col("component_id"))
+    return linked.unionByName(rest).withColumn("kept", kept).drop("_stays")
 
 
 SQL = """

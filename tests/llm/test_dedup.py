@@ -228,3 +228,20 @@ def test_embeddings_against_brute_force(spark):
         blocks.BLOCK = old
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_without_ids_or_with_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.standard_normal((3, 16))
+    near = lambda v: (v + 0.01).tolist()
+    rows = [(1, a.tolist(), 0), (None, near(a), 0), (None, b.tolist(), 0), (None, near(b), 0), (7, near(near(a) + np.array(0.01)), 0), (7, c.tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicate_vectors(df).collect()))
+    assert got == [(0, 1, 0, False), (0, 1, 0, True), (0, 2, 1, False), (1, 2, 1, True), (7, 0, 7, True), (7, 2, 1, False)]
+
+
+def test_minhash_links_rows_without_ids(spark):
+    rows = [(None, passage(0, 90)), (None, passage(0, 90, change=89)), (3, passage(5, 90)), (None, passage(5, 90, change=0)), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True)]
