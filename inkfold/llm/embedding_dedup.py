@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from . import blocks
 from .common import connected_components, save
@@ -57,20 +58,26 @@ def table_keys(x: np.ndarray, label: int) -> np.ndarray:
     return (k ^ (k >> np.uint64(33))).view(np.int64)
 
 
-def _usable(rows: DataFrame) -> DataFrame:
-    """vec_id, label, vector (float32 components as bytes) of the rows that can link."""
+def _components(vector: bytes, kind: type) -> np.ndarray:
+    """A vector in double precision; one of doubles is scaled by a power of two, so that no product is out of range."""
+    x = np.frombuffer(vector, kind).astype(np.float64)
+    return x if kind is np.float32 else np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+
+
+def _usable(rows: DataFrame, kind: type) -> DataFrame:
+    """vec_id, label, vector (components of ``kind`` as bytes) of the rows that can link."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col, label = b.column("embedding"), b.column("label")
-            values = col.values.to_numpy(zero_copy_only=False).astype(np.float32)  # a null component becomes NaN
+            values = col.values.to_numpy(zero_copy_only=False).astype(kind)  # a null component becomes NaN
             offsets = col.offsets.to_numpy()
             index, vectors = [], []
             for i in range(b.num_rows):
                 v = values[offsets[i] : offsets[i + 1]]
                 if col[i].is_valid and label[i].is_valid and len(v) and np.isfinite(v).all() and v.any():
                     index.append(i)
-                    vectors.append((v + np.float32(0)).tobytes())  # -0.0 counts as 0.0
+                    vectors.append((v + kind(0)).tobytes())  # -0.0 counts as 0.0
             at = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("vec_id").take(at), label.take(at), pa.array(vectors, pa.binary())], ["vec_id", "label", "vector"]
@@ -79,22 +86,22 @@ def _usable(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(keep, "vec_id long, label long, vector binary")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, kind: type) -> DataFrame:
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors, labels = b.column("vector").to_pylist(), b.column("label").to_pylist()
-            keys = [table_keys(np.frombuffer(v, np.float32)[None].astype(float), y)[0] for v, y in zip(vectors, labels)]
+            keys = [table_keys(_components(v, kind)[None], y)[0] for v, y in zip(vectors, labels)]
             yield b.append_column("keys", pa.array(keys, pa.list_(pa.int64())))
 
     return classes.mapInArrow(key, "rep long, label long, vector binary, copies long, keys array<long>")
 
 
-def _compare(rows: DataFrame, least: float) -> DataFrame:
+def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
     """a, n: class a has n more links; a, b: classes a and b are connected. The other column is null."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks.runs(batches, ["bucket", "first_block", "second_block"]):
-            x = np.stack([np.frombuffer(v, np.float32) for v in t.column("vector").to_pylist()]).astype(np.float64)
+            x = np.stack([_components(v, kind) for v in t.column("vector").to_pylist()])
             norm = np.linalg.norm(x, axis=1)
             link = np.triu(x @ x.T / norm[:, None] / norm[None, :] >= least, 1)
             if t.column("first_block")[0].as_py() != t.column("second_block")[0].as_py():
@@ -127,21 +134,23 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
 
 def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``embeddings`` (vec_id, embedding, label)."""
+    single = embeddings.schema["embedding"].dataType == ArrayType(FloatType(), embeddings.schema["embedding"].dataType.containsNull)
+    kind = np.float32 if single else np.float64
     own = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("label").cast("long").alias("label"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
     )
-    usable = save(_usable(own), "vectors")
+    usable = save(_usable(own, kind), "vectors")
     grouped = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    keyed = _keyed(grouped.select("rep", "label", "vector", "copies"))
+    keyed = _keyed(grouped.select("rep", "label", "vector", "copies"), kind)
     # written with its numbers, so that all branches see the same ones
     classes = save(keyed.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     buckets = classes.select("node", F.posexplode("keys").alias("table", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
     shared = shared.hint("rebalance")  # the join gets its own exchanges, so that it can split a hot bucket
     rows = buckets.join(shared, "bucket").join(classes.select("node", "vector", "copies", "keys"), "node")
-    found = save(_compare(blocks.block_pairs(rows, "bucket", "node"), least), "vector-links")
+    found = save(_compare(blocks.block_pairs(rows, "bucket", "node"), least, kind), "vector-links")
     links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     answer = save(

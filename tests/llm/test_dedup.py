@@ -245,3 +245,12 @@ def test_minhash_links_rows_without_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
     assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True)]
+
+
+def test_embeddings_of_doubles(spark):
+    big, small = [1e300, 2e300, -1e300], [1e-300, 2e-300, -1e-300]
+    edge = [0.98 - 1e-10, (1 - (0.98 - 1e-10) ** 2) ** 0.5, 0.0]  # just below 0.98 to the axis
+    rows = [(1, big, 0), (2, small, 0), (3, [1.0, 0.0, 0.0], 1), (4, edge, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).select("vec_id", "n_links", "component_id").collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
