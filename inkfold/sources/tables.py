@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder: under ``spark.checkpoint.dir`` where it is set, else in the warehouse; with a local master in a
-    temporary folder that goes with the process."""
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` where it is set, as the cluster names it. With a local master else a temporary folder, and on
+    a cluster the warehouse, unless that is a folder of one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_{name}-{uuid.uuid4().hex}"
-    path = tempfile.mkdtemp(prefix="inkfold-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}/{name}"
+        return named.rstrip("/")
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        app = spark.sparkContext.applicationId
+        return _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="inkfold-"))
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if _system(spark, warehouse).getScheme() == "file":
+        raise ValueError(f"executors may not share {warehouse}: set spark.checkpoint.dir to a folder that all of them see")
+    return warehouse
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{_root(spark)}/_inkfold-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    own = _own(spark)
+    _system(spark, own).deleteOnExit(_path(spark, own))
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    _system(spark, path).delete(_path(spark, path), True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has put in the shared folder; results that still read them are lost."""
+    remove(spark, _own(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
