@@ -9,37 +9,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+#: Most elements (hashes of a set, components of a vector) in a block, but for a member that has more by itself.
+ELEMENTS = 1 << 20
 
 
-def drop_repeated_buckets(rows: DataFrame, bucket: str, member: str) -> DataFrame:
+def drop_repeated_buckets(rows: DataFrame, bucket: str, member: str, size: str) -> DataFrame:
     """Of buckets with the same members, the rows of one. Buckets of one member go.
 
-    Adds ``bucket_size`` and the smallest member, as ``pivot``. count as the same when size, smallest member and a 128-bit sum of hashes agree. All aggregates are of fixed width, so
-    they are hashed, not sorted.
+    Adds ``bucket_size``, the sum of ``size`` over its members as ``bucket_elements``, and the smallest member, as
+    ``pivot``. Buckets count as the same when size, smallest member and a 128-bit sum of hashes agree. All aggregates are
+    of fixed width, so they are hashed, not sorted.
     """
     marks = (
         rows.groupBy(bucket)
         .agg(
             F.count(F.lit(1)).alias("bucket_size"),
+            F.sum(size).cast("long").alias("bucket_elements"),
             F.min(member).alias("_low"),
             F.bit_xor(F.xxhash64(member)).alias("_h1"),
             F.bit_xor(F.xxhash64(F.lit(1), member)).alias("_h2"),
         )
         .where("bucket_size > 1")
     )
-    chosen = marks.groupBy("bucket_size", "_low", "_h1", "_h2").agg(F.min(bucket).alias(bucket))
-    return rows.join(chosen.select(bucket, "bucket_size", F.col("_low").alias("pivot")), bucket)
+    chosen = marks.groupBy("bucket_size", "bucket_elements", "_low", "_h1", "_h2").agg(F.min(bucket).alias(bucket))
+    return rows.join(chosen.select(bucket, "bucket_size", "bucket_elements", F.col("_low").alias("pivot")), bucket)
 
 
-def block_pairs(rows: DataFrame, bucket: str, member: str, block: int | None = None) -> DataFrame:
-    """``rows`` (with bucket_size) dealt to the pairs of blocks of their bucket: own_block, first_block, second_block.
+def block_pairs(rows: DataFrame, bucket: str, member: str, block: int, elements: int | None = None) -> DataFrame:
+    """``rows`` (with bucket_size and bucket_elements) dealt to the pairs of blocks of their bucket: own_block, first_block, second_block.
 
-    A bucket of n members is split by hash into about n / block blocks; each member
-    goes to every pair that its block is in. Rows of one pair of blocks arrive
-    together and sorted, never more than about two blocks of them.
+    A bucket is split by hash into blocks of about ``block`` members and about ``elements`` elements, whichever is less;
+    each member goes to every pair that its block is in. Rows of one pair of blocks arrive together and sorted, never
+    more than about two blocks of them.
     """
-    blocks = F.ceil(F.col("bucket_size") / (block or BLOCK)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("bucket_size") / block, F.col("bucket_elements") / (elements or ELEMENTS))).cast("int")
     return (
         rows.withColumn("own_block", F.pmod(F.xxhash64(F.lit(3), member), blocks).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))

@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.tables import spread
+from ..sources.tables import remove, shared_folder, spread
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. Where it is unset, a local master gets a
-    temporary folder that goes with the process; any other master gets a folder
-    in the warehouse, which executors share too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkfold"
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        path = tempfile.mkdtemp(prefix="inkfold-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own_dirs[app] = "file://" + path
-    return _own_dirs[app]
-
-
-#: Rows of whole texts in an Arrow batch; Spark's default of 10,000 takes tens of MB on both sides of a worker.
+#: Rows of whole texts in an Arrow batch. Spark bounds a batch by 10,000 rows and 64 MB, which is tens of MB on both sides of a worker.
 TEXT_ROWS = 500
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on this session hands at most ``TEXT_ROWS`` rows to a Python worker at a time."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, the session hands at most ``TEXT_ROWS`` rows to a Python worker at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
-        spark.conf.set(key, TEXT_ROWS)
+    before = spark.conf.get(key)
+    if 0 < int(before) <= TEXT_ROWS:
+        yield
+        return
+    spark.conf.set(key, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
@@ -60,14 +44,13 @@ class Saved:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = shared_folder(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only when nothing reads ``df`` any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -75,30 +58,62 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
-def number_in_class(df: DataFrame, cls: str, order: list[str], out: str = "rank") -> DataFrame:
-    """Number the rows of each class from 0 without gaps, in the given order.
+class Scratch:
+    """Tables that are needed only until the next ones are written."""
+
+    def __init__(self) -> None:
+        self.tables: list[Saved] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Saved(df, name))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables.clear()
+
+
+def _run_places(df: DataFrame, cls: str) -> DataFrame:
+    """``df`` with _i: a row's place in its run of equal ``cls`` (long, not null) inside its partition, from 0."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(cls).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([k[0] != last], k[1:] != k[:-1]))
+            n = np.arange(len(k))
+            i = n - np.maximum.accumulate(np.where(new, n, -done))
+            last, done = k[-1], int(i[-1]) + 1
+            yield b.append_column("_i", pa.array(i))
+
+    return df.mapInArrow(place, StructType([*df.schema.fields, StructField("_i", LongType())]))
 
-    A class may hold any share of all rows: rows are range partitioned on
-    (class, order), numbered inside their partition, and shifted by the count of
-    the class in earlier partitions. The broadcast table has one row per
-    partition and class in it, at most partitions + classes rows.
+
+def number_in_class(df: DataFrame, cls: str, order: list[str], out: str = "rank", scratch: Scratch | None = None) -> DataFrame:
+    """Number the rows of each class (long) from 0 without gaps, in the given order.
+
+    A class may hold any share of all rows: rows are range partitioned on (class, order) and
+    their number in the table, which tells rows apart that are equal in all else. They are
+    numbered inside their partition and shifted by the count of the class in earlier
+    partitions. Only a class that goes on from one partition to the next needs a shift, so
+    the broadcast table has at most one row per partition.
     ``df`` is read twice (range bounds are sampled), so pass a saved table.
     """
-    placed = save(
-        df.repartitionByRange(cls, *order)
-        .sortWithinPartitions(cls, *order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
-        "numbered",
-    )
-    runs = placed.groupBy("_pid", cls).agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    by = [cls, *order, "_row"]
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_row")
+    placed = (scratch.save if scratch else save)(_run_places(placed.withColumn("_pid", F.spark_partition_id()), cls), "numbered")
+    runs = placed.groupBy("_pid", cls).agg(F.count(F.lit(1)).alias("_n"))
+    ends = runs.groupBy("_pid").agg(F.min(cls).alias("_a"), F.max(cls).alias("_b"))
+    # the first and the last class of each partition: two rows per partition
+    ends = runs.join(ends, "_pid").where((F.col(cls) == F.col("_a")) | (F.col(cls) == F.col("_b")))
     before = Window.partitionBy(cls).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    shift = runs.select(
-        "_pid", cls, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_shift")
-    )
+    shift = ends.select("_pid", cls, F.sum("_n").over(before).alias("_shift")).where("_shift is not null")
     return (
-        placed.join(F.broadcast(shift), ["_pid", cls])
-        .withColumn(out, F.col("_i") + F.col("_shift"))
+        placed.join(F.broadcast(shift), ["_pid", cls], "left")
+        .withColumn(out, F.col("_i") + F.coalesce("_shift", F.lit(0)))
         .drop("_pid", "_i", "_shift")
     )
 

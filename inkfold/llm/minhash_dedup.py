@@ -11,20 +11,23 @@
    sets; the links give components.
 4. A bucket whose members are all in one component can link nothing more. In all
    others every pair of members in different components is held against each other,
-   again on full sets, in blocks of about ``blocks.BLOCK`` members. A pair of blocks
-   is one unit of work and hands back a forest of links, never all pairs.
+   again on full sets, in blocks of about ``BLOCK`` members and at most about
+   ``blocks.ELEMENTS`` shingles. A pair of blocks is one unit of work and hands back a
+   forest of links, never all pairs.
 
 There is no cap on buckets, partners or candidates. Each pair at the similarity asked
 for shares a bucket but for a chance of (1 - s**ROWS)**BANDS: 7e-6 at 0.8, 2e-8 at
-0.85. Sets are joined by class, so copies are not expanded. Work on the members of a
-bucket that stays split grows with the square of its size over BLOCK.
+0.85 if coordinates were independent; README has the measured recall. Sets are joined by class, so copies are
+not expanded. Work on the members of a bucket that stays split grows with the square of
+its size over BLOCK.
 
 Defined results: a null, empty or white-space text has an empty set, links with
 nothing and is kept; a text of fewer than five words is one shingle; a component has the
 smallest doc_id of its rows, or null where none has one, and the rows kept are those of
 that doc_id and of one class that has it; rows that repeat a doc_id with the same set share
-one answer, and with different sets have one each; an empty table gives an empty result;
-other columns are ignored.
+one answer, and with different sets have one each; a very long text is hashed in parts and
+its set held whole; an empty table gives an empty result; other columns of any name are ignored
+by :func:`near_duplicates` and pass through :func:`keep_one_of_each`.
 """
 
 from __future__ import annotations
@@ -38,10 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, shingles
-from .common import connected_components, mark_probable, save, slices, small_batches
+from .common import Scratch, connected_components, mark_probable, save, slices, small_batches
 
 ROWS = 5
 BANDS = 30
+#: Members in a block.
+BLOCK = 512
 #: Elements of sets compared at a time inside a block.
 CHUNK = 1 << 20
 
@@ -158,34 +163,39 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (null for an empty set), component_id, kept for every row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = save(_summaries(own, width), "minhash-rows")
+    scratch = Scratch()
+    with small_batches(docs.sparkSession):
+        rows = save(_summaries(own, width), "minhash-rows")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     # written with its numbers, so that all branches see the same ones
-    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    members = save(
-        blocks.drop_repeated_buckets(classes.select("node", "n", F.explode("bands").alias("bucket")), "bucket", "node"),
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    members = scratch.save(
+        blocks.drop_repeated_buckets(classes.select("node", "n", F.explode("bands").alias("bucket")), "bucket", "node", "n"),
         "minhash-members",
     )
     # sets of the classes in some bucket, each from the rows of one doc_id
-    asked = save(
+    asked = scratch.save(
         classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest"), "minhash-asked"
     )
     held = mark_probable(own, "doc_id", asked.select("rep")).where("_probable")
     sets = _sets(held, width).dropDuplicates(["rep", "digest"])
-    sets = save(sets.join(asked.select(_some("rep"), "digest", "node"), ["rep", "digest"]).select("node", "shingles"), "minhash-sets")
+    with small_batches(docs.sparkSession):
+        sets = scratch.save(
+            sets.join(asked.select(_some("rep"), "digest", "node"), ["rep", "digest"]).select("node", "shingles"), "minhash-sets"
+        )
     alike = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
     star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"), "n").distinct()
     star = star.join(classes.select(F.col("node").alias("v"), F.col("n").alias("_n")), "v").where(alike).select("u", "v")
     star = star.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v"
     )
-    first = save(connected_components(_verified(star.select("u", "v", "su", "sv"), percent)), "minhash-first")
+    with small_batches(docs.sparkSession):
+        first = scratch.save(connected_components(_verified(star.select("u", "v", "su", "sv"), percent)), "minhash-first")
     placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = save(
+    open_ = scratch.save(
         placed.groupBy("bucket")
         .agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
         .where("_a <> _b")
@@ -193,9 +203,12 @@ def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
         "minhash-open",
     )
     # a bucket of two has had its only pair held against each other
-    rest = placed.where("bucket_size > 2").join(open_, "bucket", "left_semi").select("bucket", "node", "component", "bucket_size")
-    links = _block_links(blocks.block_pairs(rest.join(sets, "node"), "bucket", "node"), percent)
-    second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_final"))
+    rest = placed.where("bucket_size > 2").join(open_, "bucket", "left_semi").select(
+        "bucket", "node", "component", "bucket_size", "bucket_elements"
+    )
+    links = _block_links(blocks.block_pairs(rest.join(sets, "node"), "bucket", "node", BLOCK), percent)
+    with small_batches(docs.sparkSession):
+        second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("_final"))
     # left joins, in which a component of very many classes can be split
     answer = save(
         classes.select("digest", "rep", "node")
@@ -205,18 +218,17 @@ def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .select("digest", "rep", F.coalesce("_final", "component").alias("component")),
         "minhash-answer",
     )
+    scratch.drop()
     # of the classes of a component, the one with the smallest id, then digest
     best = answer.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("best"))
     answer = answer.join(best.hint("rebalance"), "component", "left").select(
         "digest", F.col("best.rep").alias("component_id"), (F.col("digest") == F.col("best.digest")).alias("_stays")
     )
-    return (
-        rows.select("doc_id", "n_shingles", "digest")
-        .join(answer, "digest", "left")
-        .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .withColumn("kept", F.coalesce("_stays", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "digest", "component_id", "kept")
-    )
+    own = ["doc_id", "n_shingles", "digest"]
+    kept = F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    some = rows.where("digest is not null").select(*own).join(answer, "digest").withColumn("kept", kept).drop("_stays")
+    none = rows.where("digest is null").select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return some.select(*own, "component_id", "kept").union(none)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:

@@ -3,6 +3,10 @@
 Words are runs of anything but ``\\x20\\x09-\\x0D``, with A-Z lower-cased. A document's
 set holds its distinct runs of ``WIDTH`` words; with fewer words, the whole sequence;
 without words it is empty. Hashes are the same in every process.
+
+A word's hash is the sum of one pseudo-random number for each (place in the word,
+byte): tabulation hashing, in which two given words collide with a chance of 2**-64,
+whatever structure they have.
 """
 
 from __future__ import annotations
@@ -14,13 +18,12 @@ import numpy as np
 
 WIDTH = 5
 #: Slots of the MinHash universe.
-UNIVERSE = 1 << 20
+UNIVERSE = 1 << 24
 
 _u64 = np.uint64
 _rng = np.random.default_rng(20240229)
-_byte = _rng.integers(1, 1 << 63, 256, dtype=_u64) * _u64(2) + _u64(1)
 _place = _rng.integers(1, 1 << 63, WIDTH, dtype=_u64) * _u64(2) + _u64(1)
-_BASE = 0x9E3779B97F4A7C15
+_key = _rng.integers(1, 1 << 63, 2, dtype=_u64)
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 _gap = re.compile(rb"[\x20\x09-\x0D]")
@@ -32,22 +35,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u64(33))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0 to n - 1 modulo 2**64, and their inverses."""
-    up = np.empty(n, _u64)
-    down = np.empty(n, _u64)
-    inverse = pow(_BASE, -1, 1 << 64)
-    for out, b in ((up, _BASE), (down, inverse)):
-        out[0] = 1
-        have = 1
-        while have < n:
-            k = min(have, n - have)
-            out[have : have + k] = out[:k] * _u64(pow(b, have, 1 << 64))
-            have += k
-    return up, down
-
-
 def word_hashes(text: bytes, part: int = 1 << 20) -> np.ndarray:
     """A hash of each lower-cased word of ``text`` in order, from prefix sums over parts that end between words."""
     if len(text) <= part:
@@ -63,13 +50,16 @@ def word_hashes(text: bytes, part: int = 1 << 20) -> np.ndarray:
 
 def _word_hashes(text: bytes) -> np.ndarray:
     b = np.frombuffer(text.lower(), np.uint8)
-    if not len(b):
-        return np.empty(0, _u64)
-    up, down = _powers(1 << max(16, (len(b)).bit_length()))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _space[b], [True])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    total = np.concatenate((np.zeros(1, _u64), np.cumsum(_byte[b] * up[: len(b)], dtype=_u64)))
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(_u64))
+    if not len(start):
+        return np.empty(0, _u64)
+    b = b[start[0] :]
+    start, end = start - start[0], end - start[0]
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    number = _mix((place.astype(_u64) << _u64(8)) + b + _key[0]) ^ _key[1]
+    total = np.concatenate((np.zeros(1, _u64), np.cumsum(number, dtype=_u64)))
+    return _mix(total[end] - total[start] + (end - start).astype(_u64))
 
 
 def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
@@ -88,25 +78,31 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
+def _permuted(x: np.ndarray, odd: tuple[int, ...]) -> np.ndarray:
+    """A permutation of the universe, in place: odd multipliers and shifts are one-to-one on it."""
+    mask = np.uint32(UNIVERSE - 1)
+    for m in odd:
+        x *= np.uint32(m)
+        x &= mask
+        x ^= x >> np.uint32(13)
+    return x
+
+
 @lru_cache(maxsize=2)
 def _shifted(k: int) -> np.ndarray:
     """Row x holds the second permutation at x, x + 1, ..., x + k - 1: all its circular shifts at x."""
-    p = np.random.default_rng(7).permutation(UNIVERSE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate((p, p[: k - 1])), k)
+    p = np.arange(UNIVERSE + k - 1, dtype=np.uint32)
+    p &= np.uint32(UNIVERSE - 1)
+    return np.lib.stride_tricks.sliding_window_view(_permuted(p, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE3D, 0x27D4EB2F)), k)
 
 
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:
     """``k`` circulant MinHash coordinates of a set that isn't empty.
 
-    The first permutation spreads the slots (an odd multiplier and a shift, both
-    one-to-one on the universe); coordinate j is the minimum of the second
-    permutation shifted by j. A slot's k values stand side by side, so a set's
-    signature is a minimum over rows.
+    The first permutation spreads the slots; coordinate j is the minimum of the second permutation shifted by j. A
+    slot's k values stand side by side, so a set's signature is a minimum over rows.
     """
-    mask = UNIVERSE - 1
-    x = (shingles & _u64(mask)).astype(np.int64)
-    x = (x * 0x2C1B3) & mask
-    x ^= x >> 9
+    x = _permuted((shingles & _u64(UNIVERSE - 1)).astype(np.uint32), (0x2C1B3C6D, 0x297A2D39))
     table = _shifted(k)
     low = None
     for i in range(0, len(x), 1024):

@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -50,6 +51,18 @@ def test_exact_against_brute_force(spark, docs):
             assert (r.keep_id, r.group_size, r.kept) == (keep, len(g), i == keep)
 
 
+def test_exact_at_the_ends_of_long(spark):
+    rows = [(-(1 << 63), "a b"), ((1 << 63) - 1, "ab"), (0, "a b"), (None, "a  b"), (-(1 << 63), "c"), (5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for support in (0.001, 0.4):
+        got = exact_dedup.exact_duplicates(df, support).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [
+            (False, -(1 << 63), -(1 << 63), 2, True), (False, -(1 << 63), 0, 4, False), (False, 0, 0, 4, False),
+            (False, 5, -(1 << 63), 2, False), (False, (1 << 63) - 1, 0, 4, False), (True, 0, 0, 4, True),
+        ]
+    assert sorted((r.text, r.doc_id) for r in exact_dedup.drop_exact_duplicates(df).collect()) == [("a  b", None), ("c", -(1 << 63))]
+
+
 @pytest.mark.parametrize("support", [0.001, 0.2, 0.9])
 def test_exact_support_changes_nothing(docs, support):
     rows = lambda s: sorted(map(str, exact_dedup.exact_duplicates(docs, s).collect()))
@@ -84,6 +97,22 @@ def test_shingles_agree_with_words():
     assert len(np.unique(shingles.word_hashes(b" ".join(b"%d" % i for i in range(50_000))))) == 50_000
 
 
+def test_structured_words_do_not_collide(spark):
+    """Words on which polynomial hashes cancel: a sequence over two letters and its complement, doubled again and again."""
+    word, pairs = "a", []
+    for _ in range(13):
+        word += word.translate(str.maketrans("ab", "ba"))
+        pairs += [word, word.translate(str.maketrans("ab", "ba"))]
+    hashes = shingles.word_hashes(" ".join(pairs).encode())
+    assert len(np.unique(hashes)) == len(pairs)
+    a, b = pairs[-2:]
+    rows = [(1, a), (2, b), (3, f"{a} q {b}"), (4, f"{b} q {a}"), (5, f"{a} {a} {a} {b} {b} {b}"), (6, f"{b} {b} {b} {a} {a} {a}")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got)
+    swapped = shingles.shingle_sets(["a b c d e", "b a c d e", "e d c b a", "ab c d e", "a bc d e"])
+    assert len({tuple(x) for x in swapped}) == 5
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
@@ -112,7 +141,7 @@ def test_minhash_without_ids(docs):
     assert sorted((r.component_id is None, r.kept) for r in rows) == [(False, False), (True, True)]
 
 
-def test_minhash_hot_family(spark):
+def test_minhash_hot_family(spark, monkeypatch):
     """Chains and stars of near copies around one text, in blocks smaller than the family."""
     rng = np.random.default_rng(3)
     base = passage(11, 100).split()
@@ -125,11 +154,12 @@ def test_minhash_hot_family(spark):
     sets = {i: shingle_set(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     best = components(sets, links)
-    old, blocks.BLOCK = blocks.BLOCK, 16
-    try:
-        got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
-    finally:
-        blocks.BLOCK = old
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == best
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10_000)
+    monkeypatch.setattr(blocks, "ELEMENTS", 2000)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
     assert {r.doc_id: r.component_id for r in got} == best
 
 
@@ -182,12 +212,34 @@ def test_mark_probable_misses_none(spark):
     assert out.count() == 5000 and set(range(0, 5000, 7)) <= marked and len(marked) < 1500
 
 
-def test_number_in_class(spark):
-    df = common.save(spark.range(1000).select((F.col("id") % 3).alias("c"), (-F.col("id")).alias("k")), "t")
-    got = common.number_in_class(df, "c", ["k"]).collect()
-    for c in range(3):
-        own = sorted((r.k, r["rank"]) for r in got if r.c == c)
-        assert [n for _, n in own] == list(range(len(own)))
+@pytest.mark.parametrize("classes", [1, 3, 100, 5000])
+@pytest.mark.parametrize("key", ["-id", "id div 300", "cast(null as long)"])
+def test_number_in_class(spark, classes, key):
+    df = common.save(spark.range(6000).selectExpr(f"id % {classes} as c", f"{key} as k").repartition(5), "t")
+    own = {}
+    for r in common.number_in_class(df, "c", ["k"]).collect():
+        own.setdefault(r.c, []).append((r["rank"], r.k or 0))
+    for rows in own.values():
+        rows.sort()
+        assert [n for n, _ in rows] == list(range(len(rows))) and [k for _, k in rows] == sorted(k for _, k in rows)
+    assert sum(map(len, own.values())) == 6000
+
+
+def test_batches_are_small_only_for_a_while(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.small_batches(spark):
+        assert spark.conf.get(key) == str(common.TEXT_ROWS)
+    assert spark.conf.get(key) == before
+
+
+def test_tables_can_be_removed(spark):
+    scratch = common.Scratch()
+    scratch.save(spark.range(3), "gone")
+    path = scratch.tables[0].path.removeprefix("file://")
+    assert os.path.exists(path)
+    scratch.drop()
+    assert not os.path.exists(path) and not scratch.tables
 
 
 def vectors():
@@ -202,7 +254,7 @@ def vectors():
     return rows
 
 
-def test_embeddings_against_brute_force(spark):
+def test_embeddings_against_brute_force(spark, monkeypatch):
     rows = vectors()
     ok = [
         k for k, (_, v, y) in enumerate(rows)
@@ -221,12 +273,9 @@ def test_embeddings_against_brute_force(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(
         (i, n[k], best[i], best[i] == i) for k, (i, _, _) in enumerate(rows)
     )
-    old, blocks.BLOCK = blocks.BLOCK, 8
-    try:
-        again = embedding_dedup.near_duplicate_vectors(df).collect()
-    finally:
-        blocks.BLOCK = old
-    assert sorted(map(str, again)) == sorted(map(str, got))
+    for name, value in (("BLOCK", 8), ("ELEMENTS", 100), ("BITS", 20)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+        assert sorted(map(str, embedding_dedup.near_duplicate_vectors(df).collect())) == sorted(map(str, got))
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
@@ -254,3 +303,27 @@ def test_embeddings_of_doubles(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).select("vec_id", "n_links", "component_id").collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
+def test_embedding_keys_find_pairs_at_the_edge():
+    """Recall of the candidate search, for pairs exactly at the least cosine and the settings of small to huge labels."""
+    rng = np.random.default_rng(2)
+    for classes in (100, 50_000, 10**8):
+        bits, tables = embedding_dedup.settings(classes, 0.98)
+        assert 2.0**-bits * classes * tables < tables  # unrelated vectors of a label share few buckets
+        a = rng.standard_normal((3000, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((3000, 64))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        same = embedding_dedup.table_codes(a, bits, tables) == embedding_dedup.table_codes(b, bits, tables)
+        assert same.any(1).all()
+    keys = embedding_dedup.table_keys(np.zeros((3, 2), np.uint32), np.array([0, 1, -1]), 64)
+    assert len(np.unique(keys)) == 6
+
+
+def test_embeddings_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, "x", 5, b"y"), (2, [1.0, 0.001], 0, "x", 5, b"y"), (3, [0.0, 1.0], 0, "x", 5, b"y"), (4, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, bucket string, node int, digest binary")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
