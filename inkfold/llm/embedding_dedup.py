@@ -6,12 +6,16 @@ with nothing.
 
 1. Vectors with equal label and components are one class, with its number of copies and
    a number of its own, whatever ids its rows have.
-2. Each class has a key for each of ``TABLES`` tables: the signs of ``BITS`` random
-   projections, with the label and the dimension. Classes with a key in common are
-   candidates; a pair at cosine 0.98 shares none with a chance below 1e-6.
-3. Members of a bucket are compared in blocks of bounded size by one matrix product
-   in double precision. A pair counts in the first table whose key both share, so
-   links are counted once; a block hands back sums per member and a forest of links.
+2. Each class has a key in each of several tables: the signs of random projections, with
+   the label and the dimension. The number of signs grows with the logarithm of the
+   largest label's number of classes, so that unrelated vectors of a label share about one
+   bucket in four tables at any size; the number of tables is then what keeps the chance
+   that a pair at the least cosine shares none at ``MISS``. Classes with a key in common
+   are candidates.
+3. Only keys are exploded; vectors are joined to the members of buckets that have more
+   than one. Those are compared in blocks of bounded size by matrix products in double
+   precision. A pair counts in the first table whose key both share, so links are counted
+   once; a block hands back sums per member and a forest of links.
 4. Components come from the distributed star algorithm over those forests.
 
 There is no cap on buckets or partners; work inside a bucket grows with the square of
@@ -20,12 +24,14 @@ the number of its different vectors over the block size.
 Defined results: excluded vectors have n_links 0 and their own vec_id as component;
 rows that repeat a vec_id count as separate rows, each with its own vector; a component has
 the smallest vec_id of its rows, or null where none has one, and the rows kept are those of
-that vec_id and of one class that has it; an empty table gives an empty result; other
-columns are ignored.
+that vec_id and of one class that has it; a vector of any length is compared whole; an empty
+table gives an empty result; other columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,24 +42,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from . import blocks
-from .common import connected_components, save
+from .common import Scratch, connected_components, save
 
-BITS = 12
-TABLES = 24
+#: Signs of a key, at least and at most; chance that a pair at the least cosine shares no key.
+BITS, MOST_BITS, MISS = 12, 32, 1e-6
+#: Members and components in a block.
+BLOCK, ELEMENTS = 2048, 1 << 19
 _odd = np.random.default_rng(5).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def settings(classes: int, least: float) -> tuple[int, int]:
+    """(bits, tables) for a label of so many different vectors and pairs at cosine ``least``."""
+    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(2, classes))) + 2))
+    alike = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi  # chance of one sign to agree
+    return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-(alike**bits)))) if alike < 1 else 1
+
+
 @lru_cache(maxsize=8)
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([11, dim]).standard_normal((dim, TABLES * BITS))
+def _planes(dim: int, n: int) -> np.ndarray:
+    return np.random.default_rng([11, dim]).standard_normal((n, dim)).T
+
 
+def table_codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The signs of each row of ``x`` in each table, as unsigned 32-bit numbers."""
+    out = np.empty((len(x), tables), np.uint32)
+    for i in range(0, len(x), 256):
+        signs = (x[i : i + 256] @ _planes(x.shape[1], bits * tables) > 0).reshape(-1, tables, bits)
+        out[i : i + 256] = (signs * (np.uint32(1) << np.arange(bits, dtype=np.uint32))).sum(2, dtype=np.uint32)
+    return out
 
-def table_keys(x: np.ndarray, label: int) -> np.ndarray:
-    """``TABLES`` 64-bit keys (as int64) for each row of ``x``."""
-    bits = (x @ _planes(x.shape[1]) > 0).reshape(len(x), TABLES, BITS)
-    code = (bits * (1 << np.arange(BITS))).sum(2).astype(np.uint64)
-    tag = np.uint64((label * int(_odd[0]) + x.shape[1] * int(_odd[1])) & ((1 << 64) - 1))
-    k = (code + np.uint64(1)) * _odd[2] + np.arange(TABLES, dtype=np.uint64) * _odd[3] + tag
+
+def table_keys(codes: np.ndarray, labels: np.ndarray, dim: int) -> np.ndarray:
+    """64-bit keys (as int64) of codes, with the table, the label and the dimension in them."""
+    tag = labels.astype(np.uint64) * _odd[0] + np.array([dim], np.uint64) * _odd[1]
+    k = (codes.astype(np.uint64) + np.uint64(1)) * _odd[2] + np.arange(codes.shape[1], dtype=np.uint64) * _odd[3] + tag[:, None]
     k = (k ^ (k >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
     return (k ^ (k >> np.uint64(33))).view(np.int64)
 
@@ -64,36 +86,55 @@ def _components(vector: bytes, kind: type) -> np.ndarray:
     return x if kind is np.float32 else np.ldexp(x, -np.frexp(np.abs(x).max())[1])
 
 
-def _usable(rows: DataFrame, kind: type) -> DataFrame:
-    """vec_id, label, vector (components of ``kind`` as bytes) of the rows that can link."""
+def _checked(rows: DataFrame, kind: type) -> DataFrame:
+    """vec_id, label, digest, vector (components of ``kind`` as bytes) of every row; the last two are null where it can't link."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col, label = b.column("embedding"), b.column("label")
             values = col.values.to_numpy(zero_copy_only=False).astype(kind)  # a null component becomes NaN
-            offsets = col.offsets.to_numpy()
-            index, vectors = [], []
-            for i in range(b.num_rows):
+            offsets, there = col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
+            names = label.to_pylist()
+            digests: list[bytes | None] = []
+            vectors: list[bytes | None] = []
+            for i, y in enumerate(names):
                 v = values[offsets[i] : offsets[i + 1]]
-                if col[i].is_valid and label[i].is_valid and len(v) and np.isfinite(v).all() and v.any():
-                    index.append(i)
+                if there[i] and y is not None and len(v) and np.isfinite(v).all() and v.any():
                     vectors.append((v + kind(0)).tobytes())  # -0.0 counts as 0.0
-            at = pa.array(index, pa.int64())
+                    digests.append(hashlib.blake2b(vectors[-1], digest_size=16, salt=int(y).to_bytes(8, "little", signed=True)).digest())
+                else:
+                    vectors.append(None)
+                    digests.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id").take(at), label.take(at), pa.array(vectors, pa.binary())], ["vec_id", "label", "vector"]
+                [b.column("vec_id"), label, pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())],
+                ["vec_id", "label", "digest", "vector"],
             )
 
-    return rows.mapInArrow(keep, "vec_id long, label long, vector binary")
+    return rows.mapInArrow(check, "vec_id long, label long, digest binary, vector binary")
+
 
+def _keyed(classes: DataFrame, kind: type, bits: int, tables: int) -> DataFrame:
+    """node, codes (of all tables, as bytes), keys of every class."""
 
-def _keyed(classes: DataFrame, kind: type) -> DataFrame:
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors, labels = b.column("vector").to_pylist(), b.column("label").to_pylist()
-            keys = [table_keys(_components(v, kind)[None], y)[0] for v, y in zip(vectors, labels)]
-            yield b.append_column("keys", pa.array(keys, pa.list_(pa.int64())))
+            vectors, labels = b.column("vector").to_pylist(), b.column("label").to_numpy()
+            codes: list[bytes] = [b""] * len(vectors)
+            keys = np.empty((len(vectors), tables), np.int64)
+            for n in set(map(len, vectors)):
+                at = [i for i, v in enumerate(vectors) if len(v) == n]
+                x = np.stack([_components(vectors[i], kind) for i in at])
+                found = table_codes(x, bits, tables)
+                keys[at] = table_keys(found, labels[at], x.shape[1])
+                for i, c in zip(at, found):
+                    codes[i] = c.tobytes()
+            offsets = pa.array(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                ["node", "codes", "keys"],
+            )
 
-    return classes.mapInArrow(key, "rep long, label long, vector binary, copies long, keys array<long>")
+    return classes.select("node", "label", "vector").mapInArrow(key, "node long, codes binary, keys array<long>")
 
 
 def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
@@ -103,31 +144,35 @@ def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
         for t in blocks.runs(batches, ["bucket", "first_block", "second_block"]):
             x = np.stack([_components(v, kind) for v in t.column("vector").to_pylist()])
             norm = np.linalg.norm(x, axis=1)
-            link = np.triu(x @ x.T / norm[:, None] / norm[None, :] >= least, 1)
-            if t.column("first_block")[0].as_py() != t.column("second_block")[0].as_py():
-                own = t.column("own_block").to_numpy()
-                link &= own[:, None] != own[None, :]
-            i, j = np.nonzero(link)
-            if not len(i):
-                continue
-            keys = np.array(t.column("keys").to_pylist(), np.int64)
-            table = t.column("table")[0].as_py()
-            new = np.ones(len(i), bool)
-            for k in range(table):
-                new &= keys[i, k] != keys[j, k]
-            i, j = i[new], j[new]
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint32).reshape(len(x), -1)
+            table, own = t.column("table")[0].as_py(), t.column("own_block").to_numpy()
+            two = t.column("first_block")[0].as_py() != t.column("second_block")[0].as_py()
             node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
-            n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+            n, found = np.zeros(len(x), np.int64), []
+            for lo in range(0, len(x), 256):
+                i, j = np.nonzero(x[lo : lo + 256] @ x.T / norm[lo : lo + 256, None] / norm[None, :] >= least)
+                i += lo
+                keep = (i < j) & ((own[i] != own[j]) if two else True)
+                i, j = i[keep], j[keep]
+                new = np.ones(len(i), bool)
+                for k in range(0, table, 8):
+                    at = np.flatnonzero(new)
+                    new[at] = (codes[i[at], k : min(k + 8, table)] != codes[j[at], k : min(k + 8, table)]).all(1)
+                i, j = i[new], j[new]
+                if len(i):
+                    np.add.at(n, i, copies[j])
+                    np.add.at(n, j, copies[i])
+                    found = blocks.forest(np.concatenate((np.array(found, np.int64).reshape(-1, 2), np.stack([node[i], node[j]], 1))))
             some = np.flatnonzero(n)
-            pairs = blocks.forest(np.stack([node[i], node[j]], 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*node[some].tolist(), *(p[0] for p in pairs)], pa.int64()),
-                    pa.array([*[None] * len(some), *(p[1] for p in pairs)], pa.int64()),
-                    pa.array([*n[some].astype(np.int64).tolist(), *[None] * len(pairs)], pa.int64()),
-                ],
-                ["a", "b", "n"],
-            )
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*node[some].tolist(), *(p[0] for p in found)], pa.int64()),
+                        pa.array([*[None] * len(some), *(p[1] for p in found)], pa.int64()),
+                        pa.array([*n[some].tolist(), *[None] * len(found)], pa.int64()),
+                    ],
+                    ["a", "b", "n"],
+                )
 
     return rows.mapInArrow(compare, "a long, b long, n long")
 
@@ -141,40 +186,47 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
         F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
     )
-    usable = save(_usable(own, kind), "vectors")
-    grouped = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    keyed = _keyed(grouped.select("rep", "label", "vector", "copies"), kind)
+    scratch = Scratch()
+    rows = save(_checked(own, kind), "vectors")
+    grouped = rows.where("digest is not null").groupBy("digest").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")
+    )
     # written with its numbers, so that all branches see the same ones
-    classes = save(keyed.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    buckets = classes.select("node", F.posexplode("keys").alias("table", "bucket"))
+    classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    keyed = scratch.save(_keyed(classes, kind, *settings(largest, least)), "vector-keys")
+    buckets = keyed.select("node", F.posexplode("keys").alias("table", "bucket"))
+    size = F.length("vector") / np.dtype(kind).itemsize
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
     shared = shared.hint("rebalance")  # the join gets its own exchanges, so that it can split a hot bucket
-    rows = buckets.join(shared, "bucket").join(classes.select("node", "vector", "copies", "keys"), "node")
-    found = save(_compare(blocks.block_pairs(rows, "bucket", "node"), least, kind), "vector-links")
+    held = classes.select("node", "vector", "copies", size.alias("_d")).join(keyed.select("node", "codes"), "node")
+    members = buckets.join(shared, "bucket").join(held, "node").withColumn("bucket_elements", F.col("bucket_size") * F.col("_d"))
+    found = scratch.save(_compare(blocks.block_pairs(members.drop("_d"), "bucket", "node", BLOCK, ELEMENTS), least, kind), "vector-links")
     links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     answer = save(
-        classes.select("node", "rep", "label", "vector", "copies")
+        classes.select("node", "rep", "digest", "copies")
         .join(links, "node", "left")
         .join(components, "node", "left")
         .select(
-            "node", "rep", "label", "vector",
+            "node", "rep", "digest",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component", "node").alias("component"),
         ),
         "vector-answer",
     )
-    # of the classes of a component, the one with the smallest id, then vector
-    best = answer.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vector", "node")).alias("best"))
+    scratch.drop()
+    # of the classes of a component, the one with the smallest id, then digest
+    best = answer.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("best"))
     answer = answer.join(best.hint("rebalance"), "component", "left").select(
-        "label", "vector", "n_links", F.col("best.rep").alias("component_id"), (F.col("node") == F.col("best.node")).alias("_stays")
+        "digest", "n_links", F.col("best.rep").alias("component_id"), (F.col("digest") == F.col("best.digest")).alias("_stays")
     )
-    linked = usable.join(answer, ["label", "vector"]).select("vec_id", "n_links", "component_id", "_stays")
-    rest = own.select("vec_id").exceptAll(usable.select("vec_id")).select(
+    linked = rows.where("digest is not null").join(answer, "digest").select("vec_id", "n_links", "component_id", "_stays")
+    alone = rows.where("digest is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("_stays")
     )
     kept = F.col("_stays") & F.col("vec_id").eqNullSafe(F.col("component_id"))
-    return linked.unionByName(rest).withColumn("kept", kept).drop("_stays")
+    return linked.unionByName(alone).withColumn("kept", kept).drop("_stays")
 
 
 SQL = """
