@@ -1,51 +1,87 @@
 """Sharding by longest-processing-time scheduling (law ``bytes``: shard sizes near equal).
 
 Rows with equal texts form a group and stay together (null counts as empty). A row's
-size is the UTF-8 bytes of its text plus 8. Groups, largest first, go to the shard
-with the least load, taken from a heap.
+size is the UTF-8 bytes of its text plus 8, a group's the sum of its rows'. Groups,
+largest first, go to the shard with the least load, taken from a heap.
 
-The heap runs on the driver over a bounded number of items. Every group larger than
-1/``LARGE`` of all bytes is an item of its own (fewer than ``LARGE``); smaller groups
-are first put together into ``BUNDLES`` bundles by a hash of the group, and a bundle
-is an item. With fewer groups than that a bundle mostly is one group. Both tables of
-decisions are bounded by these constants and are broadcast.
+Groups of one size are alike, so the driver schedules over a histogram: (size, number
+of groups). It holds fewer than sqrt(2 * all bytes) rows, since the sizes differ: 14
+million at 100 TB. A run of equal groups is dealt through the heap, in whole rounds
+where it is long, and each shard takes a range of their numbers. Groups are numbered
+within their size by a range partition and look their range up in the plan, a written
+table of at most (rows of the histogram) * ``shards`` entries, and never more than
+groups; Spark broadcasts it only below its threshold. The result is that of one heap
+over all groups.
 
 Slots number the rows of a shard from 0 in the order of doc_id; a range partition on
 (shard, doc_id) spreads a shard over many tasks. grown_shard is null, as the law is
 not ``key``. Defined results: an empty table gives an empty result; a row that
-repeats a doc_id has a slot of its own; other columns are ignored.
+repeats a doc_id has a slot of its own, rows without doc_id come first; a very long
+text is a group of its own size, whole; other columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_in_class, save
+from .common import Scratch, number_in_class
 
 SHARDS = 24
-LARGE = 2048
-BUNDLES = 1 << 16
 
 
-def schedule(sizes: list[tuple[object, int]], shards: int) -> dict[object, int]:
-    """Longest processing time: {item: shard}; ties go to the lower shard, and in the order of str(item)."""
+def deal(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest processing time over ``counts`` groups of each of the descending ``sizes``; ties go to the lower shard.
+
+    Returns ranges, as arrays (size, first number, last number + 1, shard).
+    """
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
-        load, s = heapq.heappop(heap)
-        out[item] = s
-        heapq.heappush(heap, (load + size, s))
-    return out
+    out: list[tuple[int, int, int, int]] = []
+    for size, n in zip(sizes.tolist(), counts.tolist()):
+        if n == 1:
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            out.append((size, 0, 1, s))
+            continue
+        got = dict.fromkeys(range(shards), 0)
+        if n > shards * 4:
+            # whole rounds at once: every shard below the level that so many groups reach for certain
+            low, high = 0, n
+            top = max(heap)[0]
+            while low < high:  # the most rounds k after which no more than n groups are placed below top + k * size
+                k = (low + high + 1) // 2
+                if sum((top + k * size - load) // size for load, _ in heap) <= n:
+                    low = k
+                else:
+                    high = k - 1
+            for i, (load, s) in enumerate(heap):
+                q = (top + low * size - load) // size if low else 0
+                got[s], n = q, n - q
+                heap[i] = (load + q * size, s)
+            heapq.heapify(heap)
+        for _ in range(n):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            got[s] += 1
+        at = 0
+        for s, q in got.items():
+            if q:
+                out.append((size, at, at + q, s))
+                at += q
+    table = np.array(out, np.int64).reshape(-1, 4)
+    return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = save(
+    scratch = Scratch()
+    rows = scratch.save(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
@@ -54,26 +90,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = save(
-        rows.groupBy("group")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("bundle", F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("int")),
-        "shard-groups",
-    )
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") * LARGE > total
-    own = {bytes(r.group): r.size for r in groups.where(large).select("group", "size").collect()}
-    some = {r.bundle: r.s for r in groups.where(~large).groupBy("bundle").agg(F.sum("size").alias("s")).collect()}
-    placed = schedule([*own.items(), *some.items()], shards)
-    by_group = spark.createDataFrame([(bytearray(g), placed[g]) for g in own], "group binary, _own int")
-    by_bundle = spark.createDataFrame([(b, placed[b]) for b in some], "bundle int, _some int")
-    dealt = save(
-        rows.withColumn("bundle", F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("int"))
-        .join(F.broadcast(by_group), "group", "left")
-        .join(F.broadcast(by_bundle), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_some").alias("shard")),
-        "shard-dealt",
+    groups = scratch.save(rows.groupBy("group").agg(F.sum("size").alias("group_size")), "shard-groups")
+    counts = groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sizes, n = counts.column("group_size").to_numpy(), counts.column("n").to_numpy()
+    order = np.argsort(-sizes)
+    ranges = deal(sizes[order], n[order], shards)
+    plan = spark.createDataFrame(pa.table(dict(zip(("group_size", "_from", "_to", "_shard"), ranges))))
+    plan = scratch.save(plan, "shard-plan")
+    # a size may have any share of all groups, and a group any share of all rows: both joins can be split
+    numbered = number_in_class(groups, "group_size", ["group"], scratch=scratch)
+    within = (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
+    placed = scratch.save(
+        numbered.join(plan, "group_size").where(within).select("group", F.col("_shard").cast("int").alias("shard")), "shard-placed"
     )
-    return number_in_class(dealt, "shard", ["doc_id"], "slot").select(
+    dealt = scratch.save(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
+    slots = number_in_class(dealt, "shard", ["doc_id"], "slot")
+    scratch.drop()
+    return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
