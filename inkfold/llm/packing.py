@@ -7,21 +7,24 @@ The others are packed:
 1. Lengths above ``SMALL``, in descending order, are cut into ``GROUPS`` groups of
    equal cardinality, and each length counts as its group's largest.
 2. The few sizes left are packed by a cutting-stock linear programme: configurations
-   are generated by a knapsack over the dual prices, and the optimum is rounded down.
+   are generated by a knapsack over the dual prices, and the optimum is rounded.
 3. The actual documents take the places of their group, which frees the difference
    between their own and the rounded length.
 4. What is left over and all small lengths go, longest first, to the open sequence
    with the least sufficient room; a new sequence opens when none has room.
 
-The driver sees histograms only: how many pieces have each length (at most 1024
-rows), and how many sequences have each amount of room after step 3 (at most 1024).
-A decision is a range: pieces number r to r + q of length L go to sequences number
-s to s + q. Pieces and sequences are numbered within their length or room class by a
-range partition, so no class meets in one task, and look their range up in a table of
-a few thousand entries, bounded by the number of classes and configurations.
-
-Defined results: a null text counts as empty, a document of the end id alone; rows
-that repeat a doc_id are packed each; an empty table gives an empty result.
+The driver sees one histogram: how many pieces have each length, at most 1024 rows. With
+groups as fine as ``GROUPS`` most hold one length, and nothing is lost by rounding. Best fit
+alone, over all lengths, is planned on the same histogram and taken if it needs fewer.
+A plan is a table of ranges: pieces number r to r + q of length L go to sequences number
+s to s + q. Pieces are numbered within their length by a range partition, so no length
+meets in one task, and look their range up in that table of a few thousand entries,
+bounded by the number of lengths and configurations.
+
+Defined results: a null text counts as empty, a document of the end id alone; a very long
+text is cut like any other, and its ids are held as one array; rows that repeat a doc_id
+are packed each; an empty table gives an empty result; other columns of any name are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import number_in_class, save, slices, small_batches
-from .tokens import VOCABULARY, by_bytes, encode
+from .common import Scratch, number_in_class, slices, small_batches
+from .tokens import VOCABULARY, id_arrays
 
 CAPACITY = 1024
 END = 2
 SMALL = 256
-GROUPS = 256
+GROUPS = 4096
+#: Most entries into the basis of the linear programme for each size.
+ROUNDS = 40
 
-Step = tuple[int, int, int, int, int]  # length, first piece, how many, class of the target, first target
+Step = tuple[int, int, int, int]  # length, first piece, how many, first sequence
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -56,59 +61,83 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs`` (doc_id, text)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids_of = b.column("doc_id").to_pylist()
-            i = 0
-            for part in by_bytes([t or "" for t in b.column("text").to_pylist()]):
-                rows: list[tuple] = []
-                for text in part:
-                    ids = np.array([*encode(text, vocabulary), END], "<u4")
-                    for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                        rows.append((ids_of[i], k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-                    i += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    small_batches(docs.sparkSession)
+        for b in slices(batches, 200):
+            rows: list[tuple] = []
+            for doc_id, found in zip(b.column("doc_id").to_pylist(), id_arrays([t or "" for t in b.column("text").to_pylist()], vocabulary)):
+                ids = np.append(found, np.array([END], "<u4"))
+                for k, (s, n) in enumerate(cut(len(ids), capacity)):
+                    rows.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
 class Knapsack:
-    """The most valuable multiset of sizes that fits, for many prices. At most capacity // smallest size items fit, so
-    that many levels, each over all capacities at once, give the optimum."""
+    """The most valuable multiset of sizes (descending) that fits, for many prices.
+
+    At most ``depth`` = capacity // smallest size items fit. Level j holds the best values of up to j items for those
+    capacities that leave room for the items of later levels; the last level needs the whole capacity alone.
+    """
 
     def __init__(self, sizes: list[int], capacity: int):
-        self.s, self.capacity = np.array(sizes), capacity
-        self.depth = capacity // min(sizes)
-        rest = np.arange(capacity + 1)[:, None] - self.s[None, :]
-        self.fits, self.rest = rest >= 0, np.maximum(rest, 0)
+        self.s, self.capacity, least = np.array(sizes), capacity, min(sizes)
+        self.depth = capacity // least
+        self.levels = []
+        for j in range(2, self.depth):
+            room = np.arange(2 * least, capacity - (self.depth - j) * least + 1)
+            first = int(np.searchsorted(-self.s, -(room[-1] - least)))  # larger sizes leave no room for another
+            rest = room[:, None] - self.s[None, first:]
+            self.levels.append((room, first, np.maximum(rest, 0), np.where(rest < 0, -np.inf, 0.0)))
+        self.reach = len(sizes) - np.searchsorted(self.s[::-1], np.arange(capacity + 1), "right")  # the first that fits
 
     def best(self, price: np.ndarray) -> tuple[float, list[int]]:
         """(value, how many of each size)."""
-        value, picks = np.zeros(self.capacity + 1), []
-        for _ in range(self.depth):
-            gain = np.where(self.fits, price[None, :] + value[self.rest], -1.0)
+        tail = np.maximum.accumulate(price[::-1])[::-1]  # the best price from a size on
+        is_best = np.where(price >= tail, np.arange(len(price)), len(price))
+        item = np.minimum.accumulate(is_best[::-1])[::-1]
+        some = self.reach < len(price)
+        at = np.minimum(self.reach, len(price) - 1)
+        one = np.where(some & (tail[at] > 0), tail[at], 0.0)
+        picks = [(0, np.where(one > 0, item[at], -1))]
+        value = one
+        for room, first, rest, short in self.levels:
+            gain = value[rest] + price[None, first:]
+            gain += short
             pick = gain.argmax(1)
-            top = gain[np.arange(len(gain)), pick]
-            pick[top <= value + 1e-12] = -1
-            value = np.maximum(value, top)
-            picks.append(pick)
-        column, c = [0] * len(self.s), self.capacity
-        for pick in reversed(picks):
-            if pick[c] >= 0:
-                column[pick[c]] += 1
-                c -= int(self.s[pick[c]])
-        return float(value[self.capacity]), column
+            top = gain[np.arange(len(room)), pick]
+            better = top > one[room]
+            value = one.copy()
+            value[room] = np.where(better, top, one[room])
+            picks.append((int(room[0]), np.where(better, pick + first, picks[0][1][room])))
+        column, c, total = [0] * len(self.s), self.capacity, float(one[-1])
+        if self.depth > 1:
+            last = np.where(self.s <= c, price + value[np.maximum(c - self.s, 0)], -1.0)
+            i = int(last.argmax())
+            if last[i] > total:
+                total, c = float(last[i]), c - int(self.s[i])
+                column[i] += 1
+            else:
+                picks = picks[:1]
+        for least, pick in reversed(picks):
+            if least <= c < least + len(pick):
+                if pick[c - least] >= 0:
+                    i = int(pick[c - least])
+                    column[i] += 1
+                    c -= int(self.s[i])
+        return total, column
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(how many of each size, how many bins): the linear optimum of the cutting-stock problem, rounded down.
+    """(how many of each size, how many bins): the linear optimum of the cutting-stock problem, rounded.
 
     Column generation: a basis of as many configurations as sizes; the knapsack over
-    the dual prices finds a configuration to enter until none gains.
+    the dual prices finds a configuration to enter until none gains. Two entries a size
+    were enough in all measurements; after ``ROUNDS`` a size the basis is taken as it is,
+    which is a valid packing, only not the best.
     """
     m = len(sizes)
     if not m:
@@ -117,33 +146,37 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
     knapsack = Knapsack(sizes, capacity)
     basis = [[capacity // sizes[i] if i == j else 0 for i in range(m)] for j in range(m)]
     inverse = np.diag([1 / (capacity // x) for x in sizes])
-    for _ in range(40 * m):
-        x = inverse @ d
+    for _ in range(ROUNDS * m):
         gain, column = knapsack.best(inverse.sum(0))
         if gain <= 1 + 1e-7:
             break
+        x = np.maximum(inverse @ d, 0)
         u = inverse @ np.array(column, float)
-        ratio = np.where(u > 1e-9, np.maximum(x, 0) / np.where(u > 1e-9, u, 1), np.inf)
+        ratio = np.divide(x, u, out=np.full(m, np.inf), where=u > 1e-9)
         r = int(ratio.argmin())
         if not np.isfinite(ratio[r]):
             break
         row = inverse[r] / u[r]
-        inverse = inverse - np.outer(u, row)
+        some = np.flatnonzero(u)
+        inverse[some] -= u[some, None] * row
         inverse[r] = row
         basis[r] = column
-    # rounding down, with what the demand still allows
-    left, out = list(demand), []
-    for column, x in zip(basis, inverse @ d):
-        n = max(0, int(x + 1e-6))
-        n = min([n, *(left[g] // a for g, a in enumerate(column) if a)])
+    # rounded down, then up where the demand still allows a whole configuration, the largest fractions first
+    left, out = list(demand), [0] * m
+    exact = np.maximum(inverse @ d, 0)
+    whole = np.floor(exact + 1e-6)
+    for up, i in [*((0, i) for i in range(m)), *((1, i) for i in np.argsort(whole - exact, kind="stable").tolist())]:
+        own = [(g, a) for g, a in enumerate(basis[i]) if a]
+        n = min([1 if up else int(whole[i]), *(left[g] // a for g, a in own)])
         if n:
-            left = [v - n * a for v, a in zip(left, column)]
-            out.append((column, n))
-    return out
+            out[i] += n
+            for g, a in own:
+                left[g] -= n * a
+    return [(column, n) for column, n in zip(basis, out) if n]
 
 
-def plan_groups(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS):
-    """Steps 1 to 3 on a histogram: (steps to sequences, sequences used, {length: ranges left over})."""
+def plan_groups(counts: dict[int, int], capacity: int, small: int, groups: int):
+    """Steps 1 to 3 on a histogram: (steps, sequences used, {length: ranges left over})."""
     order = sorted((x for x in counts if x > small), reverse=True)
     first, total = {}, 0  # number of the first piece of a length in the descending order
     for x in order:
@@ -164,9 +197,8 @@ def plan_groups(counts: dict[int, int], capacity: int = CAPACITY, small: int = S
             a, i = end, i + 1
 
     bounds = sorted({round(total * g / groups) for g in range(groups + 1)})
-    ranges = list(zip(bounds, bounds[1:]))
     sizes: dict[int, list[tuple[int, int]]] = {}
-    for a, b in ranges:
+    for a, b in zip(bounds, bounds[1:]):
         sizes.setdefault(next(segments(a, b))[0], []).append((a, b))
     names = sorted(sizes, reverse=True)
     free = {x: (sizes[x][0][0], sizes[x][-1][1]) for x in names}  # groups of the same size are neighbours
@@ -178,7 +210,7 @@ def plan_groups(counts: dict[int, int], capacity: int = CAPACITY, small: int = S
                 lo, hi = free[names[g]]
                 at = used
                 for x, r0, r1 in segments(lo, lo + n):
-                    steps.append((x, r0, r1 - r0, 0, at))
+                    steps.append((x, r0, r1 - r0, at))
                     at += r1 - r0
                 free[names[g]] = (lo + n, hi)
         used += n
@@ -188,105 +220,103 @@ def plan_groups(counts: dict[int, int], capacity: int = CAPACITY, small: int = S
     return steps, used, left
 
 
-def plan_best_fit(left: dict[int, list[tuple[int, int]]], room: dict[int, int], capacity: int = CAPACITY):
-    """Step 4 on histograms: (steps to (room class, number), new sequences); class ``capacity`` holds the new ones."""
-    open_: dict[int, list[tuple[int, int, int]]] = {r: [(r, 0, n)] for r, n in room.items() if r > 0 and n}
-    rooms = sorted(open_)
+def rooms(steps: list[Step], used: int, capacity: int) -> dict[int, list[tuple[int, int]]]:
+    """{room: [(first sequence, how many)]} of the sequences 0 to ``used`` after ``steps``."""
+    change = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if steps:
+        s = np.array(steps, np.int64)
+        change = np.concatenate((s[:, 3], s[:, 3] + s[:, 2])), np.concatenate((s[:, 0], -s[:, 0]))
+    at, inverse = np.unique(np.concatenate((change[0], [0, used])), return_inverse=True)
+    load = np.zeros(len(at), np.int64)
+    np.add.at(load, inverse[: len(change[0])], change[1])
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a, b, r in zip(at.tolist(), at[1:].tolist(), (capacity - np.cumsum(load)).tolist()):
+        out.setdefault(r, []).append((a, b - a))
+    return out
+
+
+def plan_best_fit(left: dict[int, list[tuple[int, int]]], room: dict[int, list[tuple[int, int]]], used: int, capacity: int):
+    """Step 4 on histograms: (steps, sequences used in all)."""
+    open_ = {r: list(seg) for r, seg in room.items() if r > 0}
+    places = sorted(open_)
     steps: list[Step] = []
-    new = 0
 
-    def put(r: int, seg: tuple[int, int, int]) -> None:
+    def put(r: int, seg: tuple[int, int]) -> None:
         if r <= 0:
             return
         if r not in open_:
-            insort(rooms, r)
+            insort(places, r)
             open_[r] = []
         open_[r].append(seg)
 
     for x in sorted(left, reverse=True):
         for lo, hi in left[x]:
             while lo < hi:
-                i = bisect_left(rooms, x)
-                if i < len(rooms):
-                    r = rooms[i]
-                    c, at, n = open_[r].pop()
+                i = bisect_left(places, x)
+                if i < len(places):
+                    r = places[i]
+                    at, n = open_[r].pop()
                     q = min(n, hi - lo)
                     if q < n:
-                        open_[r].append((c, at + q, n - q))
+                        open_[r].append((at + q, n - q))
                     if not open_[r]:
                         del open_[r]
-                        rooms.pop(i)
-                    steps.append((x, lo, q, c, at))
-                    put(r - x, (c, at, q))
+                        places.pop(i)
+                    steps.append((x, lo, q, at))
+                    put(r - x, (at, q))
                     lo += q
                 else:  # as many new sequences as these pieces fill, each with as many as it holds
                     each = capacity // x
                     n = max(1, (hi - lo) // each)
                     layers = min(each, hi - lo)
                     for _ in range(layers):
-                        steps.append((x, lo, n, capacity, new))
+                        steps.append((x, lo, n, used))
                         lo += n
-                    put(capacity - layers * x, (capacity, new, n))
-                    new += n
-    return steps, new
+                    put(capacity - layers * x, (used, n))
+                    used += n
+    return steps, used
+
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> tuple[list[Step], int]:
+    """(steps, sequences used): the grouped plan, or best fit over all lengths where that needs fewer sequences."""
+    steps, used, left = plan_groups(counts, capacity, small, groups)
+    more, total = plan_best_fit(left, rooms(steps, used, capacity), used, capacity)
+    plain, n = plan_best_fit({x: [(0, k)] for x, k in counts.items()}, {}, 0, capacity)
+    return (steps + more, total) if total <= n else (plain, n)
 
-def _look_up(df: DataFrame, steps: list[Step], capacity: int) -> DataFrame:
-    """``df`` (length, rank, ...) with target_class and target; both null where no step holds."""
+
+def _look_up(df: DataFrame, steps: list[Step], total: int, capacity: int) -> DataFrame:
+    """``df`` (length, rank, ...) with sequence_id: as the plan says, and after its ``total`` sequences the full pieces."""
     steps = sorted(steps)
     keys = np.array([(x << 40) + lo for x, lo, *_ in steps] or [0], np.int64)
-    sizes = np.array([s[2] for s in steps] or [0], np.int64)
-    classes = np.array([s[3] for s in steps] or [0], np.int64)
-    firsts = np.array([s[4] for s in steps] or [0], np.int64)
+    firsts = np.array([s[3] for s in steps] or [0], np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = (b.column("length").to_numpy(zero_copy_only=False) << 40) + b.column("rank").to_numpy(zero_copy_only=False)
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            key = (length << 40) + rank
             at = np.maximum(np.searchsorted(keys, key, "right") - 1, 0)
-            off = key - keys[at]
-            miss = (off < 0) | (off >= sizes[at])
-            yield b.append_column("target_class", pa.array(classes[at], mask=miss)).append_column(
-                "target", pa.array(firsts[at] + off, mask=miss)
-            )
+            yield b.append_column("sequence_id", pa.array(np.where(length == capacity, total + rank, firsts[at] + key - keys[at])))
 
-    none = F.lit(None).cast("long")
-    return df.mapInArrow(find, df.select("*", none.alias("target_class"), none.alias("target")).schema)
+    return df.mapInArrow(find, df.select("*", F.lit(None).cast("long").alias("sequence_id")).schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs`` (doc_id, text)."""
-    pieces = save(token_pieces(docs, capacity, vocabulary), "pieces")
-    numbered = number_in_class(pieces, "length", ["doc_id", "piece"])
+    scratch = Scratch()
+    with small_batches(docs.sparkSession):
+        pieces = scratch.save(token_pieces(docs, capacity, vocabulary), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts.pop(capacity, None)  # a full piece is a sequence of its own
-    steps, used, left = plan_groups(counts, capacity)
-    first = save(_look_up(numbered, steps, capacity), "grouped")
-    grouped = first.where("target is not null")
-    # room of the sequences of step 3
-    rooms = grouped.groupBy(F.col("target").alias("sequence_id")).agg((F.lit(capacity) - F.sum("length")).alias("room"))
-    bins = save(number_in_class(save(rooms.where("room > 0"), "rooms"), "room", ["sequence_id"], "number"), "bins")
-    room = {r["room"]: r["n"] for r in bins.groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()}
-    more, new = plan_best_fit(left, room, capacity)
-    rest = first.where(F.col("target").isNull() & (F.col("length") < capacity)).drop("target_class", "target")
-    rest = _look_up(rest, more, capacity)
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    # sequence numbers: those of step 3, then the new ones, then the full pieces
-    parts = [
-        grouped.select(*cols, F.col("target").alias("sequence_id")),
-        rest.where(F.col("target_class") == capacity).select(*cols, (F.col("target") + used).alias("sequence_id")),
-        first.where(F.col("length") == capacity).select(*cols, (F.col("rank") + (used + new)).alias("sequence_id")),
-        rest.where(F.col("target_class") < capacity)
-        .join(bins.select(F.col("room").alias("target_class"), F.col("number").alias("target"), "sequence_id"), ["target_class", "target"])
-        .select(*cols, "sequence_id"),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    steps, total = plan(counts, capacity)
+    numbered = number_in_class(pieces, "length", ["doc_id", "piece"])
+    scratch.drop()
     before = (
         Window.partitionBy("sequence_id")
         .orderBy(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
         .rowsBetween(Window.unboundedPreceding, -1)
     )  # a sequence has at most ``capacity`` pieces
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(
-        *cols, F.col("sequence_id").cast("long").alias("sequence_id"), "offset"
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
+    return _look_up(numbered, steps, total, capacity).withColumn("offset", offset).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

@@ -1,17 +1,22 @@
 """Token counts of whole texts under a public byte-level BPE vocabulary.
 
 Arrow batches are regrouped so that each call of the encoder gets about
-``BATCH_BYTES`` of text, and a text longer than ``SPLIT_CHARS`` is cut where the
-vocabulary's splitting pattern always starts a new piece: before a single space that
-stands between two ASCII letters. Only lengths leave the function.
+``BATCH_BYTES`` of UTF-8, and a text longer than ``SPLIT_CHARS`` is cut where the
+vocabulary's splitting pattern always starts a new piece: between a character that is
+no white space and a blank or line feed, and between a Han, kana or Hangul letter and a
+full-width mark. No alternative of the pattern reaches over such a place, none looks
+behind, and the special string holds no such place. Only lengths leave the function.
+A text without any such place in it is one piece, as it is for the vocabulary.
 
 Two encoders of the same vocabulary are used. Texts made only of the characters in
 ``PLAIN`` go to tiktoken; a text with any other character, or with the vocabulary's
 special string, goes to tokenizers itself, whose tables of Unicode classes and
-handling of special strings then apply. Tests hold one against the other.
+handling of special strings then apply. Tests hold one against the other, and cut
+texts against whole ones.
 
 Defined results: null counts as empty (0 bytes, 0 tokens, not over the limit); an
-empty table gives an empty result; repeated rows are counted each.
+empty table gives an empty result; repeated rows are counted each; other columns of
+any name are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 
 VOCABULARY = "byte_bpe_50k"
 BATCH_BYTES = 1 << 20
@@ -36,7 +42,9 @@ LIMIT = 1024
 PLAIN = "\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ſ"
 
 _odd = re.compile(f"[^{PLAIN}]|<\\|")
-_safe = re.compile("[A-Za-z] [A-Za-z]")
+_safe = re.compile(
+    r"[^\s\u180e](?=[ \n])|[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3](?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
+)
 _run = re.compile(r"[A-Za-z]{2000}|[0-9]{2000}|\s{2000}|[^\sA-Za-z0-9]{2000}")
 
 
@@ -67,31 +75,21 @@ def pieces(text: str, size: int = SPLIT_CHARS) -> list[str]:
         return [text]
     out, start = [], 0
     while len(text) - start > size:
-        m = _safe.search(text, start + size)
+        m = _safe.search(text, start + size - 1)
         if not m:
             break
-        out.append(text[start : m.start() + 1])
-        start = m.start() + 1
-    return [*out, text[start:]]
-
-
-def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    """The ids of one whole text, as tokenizers gives them without added special tokens."""
-    if _odd.search(text) or _run.search(text):
-        return full_encoder(vocabulary).encode(text, add_special_tokens=False).ids
-    fast = fast_encoder(vocabulary)
-    parts = pieces(text)
-    if len(parts) == 1:
-        return fast.encode_ordinary(text)
-    return [i for p in parts for i in fast.encode_ordinary(p)]
-
-
-def by_bytes(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """``texts`` in order, in lists of about ``size`` characters."""
-    part, total = [], 0
-    for t in texts:
-        part.append(t)
-        total += len(t)
+        out.append(text[start : m.end()])
+        start = m.end()
+    return [*out, text[start:]] if start < len(text) else out
+
+
+def by_bytes(texts: list[tuple[int, str]], size: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """(index, text) in order, in lists of about ``size`` bytes of UTF-8."""
+    part: list[tuple[int, str]] = []
+    total = 0
+    for i, t in texts:
+        part.append((i, t))
+        total += len(t) if t.isascii() else len(t.encode())
         if total >= size:
             yield part
             part, total = [], 0
@@ -99,30 +97,37 @@ def by_bytes(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
         yield part
 
 
-def lengths(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
-    """The number of tokens of each text; one encoder call per batch of about ``BATCH_BYTES``."""
-    fast = fast_encoder(vocabulary)
-    out = [0] * len(texts)
+def encoded(texts: list[str], vocabulary: str = VOCABULARY) -> Iterator[tuple[int, list[int]]]:
+    """(index of the text, ids) of the pieces of each text in order, as tokenizers gives the whole text without added
+    special tokens; one encoder call per batch of about ``BATCH_BYTES``."""
     plain: list[tuple[int, str]] = []
     rest: list[tuple[int, str]] = []
     for i, t in enumerate(texts):
-        if _odd.search(t) or _run.search(t):
-            rest.append((i, t))
-        else:
-            plain += [(i, p) for p in pieces(t)]
-    done = 0
-    for part in by_bytes([t for _, t in plain]):
-        for ids in fast.encode_ordinary_batch(part, num_threads=1):
-            out[plain[done][0]] += len(ids)
-            done += 1
-    done = 0
-    for part in by_bytes([t for _, t in rest]):
-        for e in full_encoder(vocabulary).encode_batch(part, add_special_tokens=False):
-            out[rest[done][0]] = len(e)
-            done += 1
+        (rest if _odd.search(t) or _run.search(t) else plain).extend((i, p) for p in pieces(t))
+    for part in by_bytes(plain):
+        found = fast_encoder(vocabulary).encode_ordinary_batch([t for _, t in part], num_threads=1)
+        yield from zip([i for i, _ in part], found)
+    for part in by_bytes(rest):
+        found = full_encoder(vocabulary).encode_batch([t for _, t in part], add_special_tokens=False)
+        yield from zip([i for i, _ in part], (e.ids for e in found))
+
+
+def lengths(texts: list[str], vocabulary: str = VOCABULARY) -> list[int]:
+    """The number of tokens of each text."""
+    out = [0] * len(texts)
+    for i, ids in encoded(texts, vocabulary):
+        out[i] += len(ids)
     return out
 
 
+def id_arrays(texts: list[str], vocabulary: str = VOCABULARY) -> list[np.ndarray]:
+    """The ids of each text, as little-endian unsigned 32-bit numbers."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, ids in encoded(texts, vocabulary):
+        out[i].append(np.array(ids, "<u4"))
+    return [np.concatenate(x) if x else np.empty(0, "<u4") for x in out]
+
+
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
 
@@ -134,7 +139,6 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")

@@ -1,4 +1,6 @@
+import bisect
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -29,16 +31,50 @@ def test_tokens_against_library(docs, no_docs):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab Z9.,'\n\t  é<|endoftext|>\u00a0"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_encoders_agree(text):
-    assert tokens.encode(text) == full_ids(text) and tokens.lengths([text]) == [len(full_ids(text))]
+    assert tokens.id_arrays([text])[0].tolist() == full_ids(text) and tokens.lengths([text]) == [len(full_ids(text))]
 
 
-def test_splitting_is_safe(monkeypatch):
-    text = " ".join(["The quick, brown fox's 12 tests", "ends here.\n\nNew   line", "über alles don't"] * 40)
-    whole = tokens.fast_encoder().encode_ordinary(text)
+def test_splitting_is_safe():
+    text = " ".join(["The quick, brown fox's 12 tests", "ends here.\n\nNew   line", "über alles don't", "你好，世界。今天 ’quoted’ <|endoftext|> 한국어。"] * 40)
+    whole = full_ids(text)
     for size in (10, 37, 400):
         parts = tokens.pieces(text, size)
         assert "".join(parts) == text and len(parts) > 2
-        assert [i for p in parts for i in tokens.fast_encoder().encode_ordinary(p)] == whole
+        assert [i for p in parts for i in full_ids(p)] == whole
+
+
+MIXED = ["a", "Z", "'s", "'", "é", "’", "你好", "。", "，", "ア", "한", "！", "1", "²", " ", " ", "\u180e", "\u0085", "\u00a0", "  ", "\n", "\n\n", "\t",
+         "<|endoftext|>", "<|", "..", "😀", "\u0301", "\x1c", "\x1f", "ß", "ا", "ह", "\u200b", "_"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(MIXED), max_size=40).map("".join), st.integers(1, 6))
+def test_pieces_encode_as_the_whole(text, size):
+    parts = tokens.pieces(text, size)
+    assert "".join(parts) == text and [i for p in parts for i in full_ids(p)] == full_ids(text)
+
+
+def test_long_texts_of_other_scripts_are_split(spark):
+    long_ = ["The fox’s tail — end. " * 20_000, "你好，世界。今天天气很好！" * 15_000, "مرحبا بالعالم " * 15_000, "plain words only " * 20_000]
+    for t in long_:
+        assert max(map(len, tokens.pieces(t))) < 1.1 * tokens.SPLIT_CHARS
+    df = spark.createDataFrame(list(enumerate(long_)), "doc_id long, text string")
+    want = [full_ids(t) for t in long_]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokens.token_counts(df).collect()}
+    assert got == {i: (len(t.encode()), len(w)) for (i, t), w in zip(enumerate(long_), want)}
+    assert [x.tolist() for x in tokens.id_arrays(long_)] == want
+    check_packing(packing.pack(df).collect(), [p for t in long_ for p in pieces_of(t)])
+
+
+def test_batches_go_by_bytes():
+    texts_ = [(0, "a" * 50), (1, "é" * 30), (2, "你" * 40), (3, "b")]
+    assert [[i for i, _ in part] for part in tokens.by_bytes(texts_, 100)] == [[0, 1], [2], [3]]
+
+
+def test_tokens_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 3, 4)], "doc_id long, text string, n_tokens int, n_bytes string, length int, rank int")
+    assert [tuple(r) for r in tokens.token_counts(df).collect()] == [(1, 3, 2, False)]
+    assert packing.pack(df).drop("ids_crc32").collect() == [(1, 0, 0, 3, 0, 0)]
 
 
 def test_real_tokens(spark, sf):
@@ -84,29 +120,60 @@ def test_packing_is_tight(spark, sf):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 1023), st.integers(1, 40), max_size=60), st.sampled_from([4, 16]))
-def test_plans_place_every_piece_once(counts, groups):
-    steps, used, left = packing.plan_groups(counts, groups=groups)
-    load = dict.fromkeys(range(used), 0)
+@given(st.dictionaries(st.integers(1, 1023), st.integers(1, 40), max_size=60), st.sampled_from([4, 16, 4096]), st.sampled_from([60, 256]))
+def test_plans_place_every_piece_once(counts, groups, small):
+    grouped, used, left = packing.plan_groups(counts, 1024, small, groups)
+    room = packing.rooms(grouped, used, 1024)
+    more, total = packing.plan_best_fit(left, room, used, 1024)
+    load = dict.fromkeys(range(total), 0)
     placed = {x: 0 for x in counts}
-    for x, lo, q, _, at in steps:
+    for n, (x, lo, q, at) in enumerate([*grouped, *more]):
+        if n == len(grouped):
+            assert sorted((1024 - load[i], i) for i in range(used)) == sorted((r, i) for r, seg in room.items() for a, k in seg for i in range(a, a + k))
         placed[x] += q
         for i in range(at, at + q):
             load[i] += x
-    room = {}
-    for v in load.values():
-        assert 0 < v <= 1024
-        room[1024 - v] = room.get(1024 - v, 0) + 1
-    more, new = packing.plan_best_fit(left, room)
-    held = {(c, i): 1024 - c for c, n in room.items() for i in range(n)} | {(1024, i): 0 for i in range(new)}
-    for x, lo, q, c, at in more:
-        placed[x] += q
-        for i in range(at, at + q):
-            held[c, i] += x
-    assert placed == counts and all(0 < v <= 1024 or (c == 1024 and v == 0) for (c, _), v in held.items())
-    seen = sorted((x, lo, q) for x, lo, q, _, _ in [*steps, *more])
+    assert placed == counts and all(0 < v <= 1024 for v in load.values())
+    seen = sorted((x, lo, q) for x, lo, q, _ in [*grouped, *more])
     for (x, lo, q), (y, m, _) in zip(seen, seen[1:]):
         assert x != y or lo + q == m
+    steps, best = packing.plan(counts, 1024, small, groups)
+    assert best <= plain_best_fit(counts) and sum(q for _, _, q, _ in steps) == sum(counts.values())
+
+
+def plain_best_fit(counts):
+    """The sequences of best-fit decreasing, one piece at a time."""
+    rooms, used = [], 0
+    for x in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        used += i == len(rooms)
+        r = rooms.pop(i) if i < len(rooms) else 1024
+        if r > x:
+            bisect.insort(rooms, r - x)
+    return used
+
+
+def test_knapsack_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        sizes = sorted(set(rng.integers(5, 40, rng.integers(1, 7)).tolist()), reverse=True)
+        price = rng.random(len(sizes)) - 0.2
+        value, column = packing.Knapsack(sizes, 60).best(price)
+        best = [0.0] * 61
+        for c in range(61):
+            best[c] = max([0.0] + [price[i] + best[c - x] for i, x in enumerate(sizes) if x <= c])
+        assert abs(value - best[60]) < 1e-9 and abs(sum(p * k for p, k in zip(price, column)) - value) < 1e-9
+        assert sum(x * k for x, k in zip(sizes, column)) <= 60
+
+
+@pytest.mark.parametrize("name", ["lognormal", "uniform"])
+def test_packing_is_no_worse_than_best_fit(name):
+    rng = np.random.default_rng(4)
+    lengths = np.clip(rng.lognormal(5.5, 1.0, 20_000).astype(int), 1, 1023) if name == "lognormal" else rng.integers(200, 700, 20_000)
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    grouped, used, left = packing.plan_groups(counts, 1024, packing.SMALL, packing.GROUPS)
+    n = packing.plan_best_fit(left, packing.rooms(grouped, used, 1024), used, 1024)[1]
+    assert n <= 1.001 * plain_best_fit(counts) + 1 and packing.plan(counts)[1] <= plain_best_fit(counts)
 
 
 def naive_spans(text):
@@ -197,13 +264,45 @@ def test_sharding(docs, no_docs):
     assert sharding.shard_documents(no_docs).count() == 0
 
 
+def plain_schedule(sizes, shards):
+    """Loads of longest processing time, one group at a time."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+    return {s: load for load, s in heap}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=300), st.integers(1, 7))
+def test_dealing_is_the_heap(sizes, shards):
+    found, n = np.unique(np.array(sizes, np.int64), return_counts=True)
+    load, seen = dict.fromkeys(range(shards), 0), {}
+    for size, a, b, s in zip(*(x.tolist() for x in sharding.deal(found[::-1], n[::-1], shards))):
+        load[s] += size * (b - a)
+        seen.setdefault(size, []).append((a, b))
+    assert load == plain_schedule(sizes, shards)
+    for size, k in zip(found.tolist(), n.tolist()):
+        assert [i for a, b in seen[size] for i in range(a, b)] == list(range(k))
+
+
 def test_sharding_is_balanced(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     load = {r.shard: r.s for r in sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-    groups = {r.text: r.s for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 8).alias("s")).collect()}
-    best = sharding.schedule(list(groups.items()), 24)
-    want = [sum(s for g, s in groups.items() if best[g] == k) for k in range(24)]
-    assert sorted(load.values()) == sorted(want)
+    groups = [r.s for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 8).alias("s")).collect()]
+    assert load == {s: x for s, x in plain_schedule(groups, 24).items() if x}
+
+
+def test_sharding_of_many_groups(spark):
+    """100,000 groups, one of them a third of all rows: the loads of one heap over all groups."""
+    text = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE repeat('x', CAST(pow(id % 997, 1.3) AS INT)) || id END"
+    docs = spark.range(150_000).selectExpr("id AS doc_id", f"{text} AS text", "'a' AS group", "1 AS bundle", "2 AS shard", "3 AS slot", "4 AS rank")
+    out = sharding.shard_documents(docs)
+    load = {r.shard: r.s for r in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    groups = [r.s for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 8).alias("s")).collect()]
+    assert len(groups) == 100_001 and load == plain_schedule(groups, 24)
+    slots = out.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("n"), F.count("*").alias("k")).collect()
+    assert all((r.a, r.b, r.n) == (0, r.k - 1, r.k) for r in slots) and sum(r.k for r in slots) == 150_000
 
 
 URLS = [
