@@ -25,7 +25,16 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--reset", action="store_true", help="ingest and index again")
     a = p.parse_args(args)
     readers.load_env(".env")
-    spark = SparkSession.builder.appName("inkfold").getOrCreate()
+    running = SparkSession.getActiveSession()
+    spark = running or SparkSession.builder.appName("inkfold").getOrCreate()
+    try:
+        return _run(spark, a)
+    finally:
+        if not running:
+            spark.stop()
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     store = Store(spark, os.path.abspath(a.store) if "://" not in a.store else a.store)
     if a.docs and (a.run_all or a.reset or not a.query):
         files = readers.document_files(spark, a.docs, a.pattern)

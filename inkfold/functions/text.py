@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ STOPWORDS = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -45,3 +52,15 @@ def content_terms(c: Column) -> Column:
     """Distinct lower-case runs of three or more ASCII letters, without stop words."""
     found = F.regexp_extract_all(F.lower(c), F.lit("([a-zA-Z]{3,})"), 1)
     return F.array_except(found, F.array(*[F.lit(w) for w in STOPWORDS]))
+
+
+def counted(values: Column) -> Column:
+    """array<struct<value, n>> in the order of the values: how often each stands in an array. One sort inside the row."""
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
+        starts = F.filter(places, lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        end = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(s))
+        return let(starts, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("value"), (end(b, k) - at).alias("n"))))
+
+    return let(F.sort_array(values), runs)

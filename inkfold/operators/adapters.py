@@ -61,11 +61,11 @@ def merge_short_blocks(blocks: DataFrame, least: int = MERGE_LENGTH) -> DataFram
     """
     kept = blocks.withColumn("text", strip(F.col("text"))).where("text <> ''")
     kept = kept.withColumn("_alone", is_formula(F.col("text"), F.col("fonts")) | (F.length("text") >= least))
-    items = F.array_sort(F.collect_list(F.struct("ord", "text", "_alone")))
+    items = F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("length"), "_alone")))
 
-    # the fold only tells each block the number of its group
+    # the fold sees lengths, not texts, and only tells each block the number of its group
     def step(s: Column, x: Column) -> Column:
-        size = s["size"] + F.length(x["text"]) + 1
+        size = s["size"] + x["length"] + 1
         g = F.when(x["_alone"] & (s["size"] > 0), s["group"] + 1).otherwise(s["group"])
         ends = x["_alone"] | (size >= least)
         return F.struct(

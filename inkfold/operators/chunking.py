@@ -8,57 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.modality import table_rows
-from ..functions.text import SPACE, strip
+from ..functions.text import SPACE, let, strip
 
 #: Shortest content by modality for the optional fragment filter.
 LEAST = {"text": 50, "figure": 5, "table": 10, "formula": 5}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _steps(text: Column, size: int, overlap: int) -> Column:
+    """What each window adds to the text: all of it but its last ``overlap`` characters, and all of the last window.
 
+    One pass of a pattern over the text. Where more than ``size`` characters are left, a window ends at the last space of its
+    final ``overlap`` characters, if there is one, and the next starts ``overlap`` characters before that end.
+    """
+    if size <= 2 * overlap:
+        raise ValueError("a window must be longer than two overlaps")
+    end = f".{{{size - 2 * overlap},{size - overlap - 1}}}(?=.{{{overlap}}} )|.{{{size - overlap}}}"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=.{{{size + 1}}})(?:{end})|.{{1,{size}}}"), 0)
 
-def spans(text: Column, n: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """array<struct<s, e>> of the windows over ``text`` of ``n`` characters (0-based, end exclusive): a fold in the row, no shuffle.
 
-    A window ends at the last space of its final ``overlap`` characters, if there is one.
-    """
+def _sums_before(n: Column, block: int = 256) -> Column:
+    """The sum of the numbers before each one: in blocks, so that no long array is copied for each of its elements."""
 
-    def step(state: Column, _: Column) -> Column:
-        start = state["next"]
-        stop = start + size
-        back = F.instr(F.reverse(F.substr(text, start + (size - overlap + 1), F.lit(overlap))), " ")
-        end = F.when(stop >= n, n).otherwise(_let(back, lambda b: F.when(b > 0, stop - b).otherwise(stop)))
+    def running(xs: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+        add = lambda s, x: F.struct((s["sum"] + value(x)).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before"))
+        return F.aggregate(xs, start, add)
 
-        def more(e: Column) -> Column:
-            return F.struct(
-                F.when(e >= n, F.lit(None).cast("int")).otherwise(F.greatest(e - overlap, start + 1)).alias("next"),
-                F.concat(state["out"], F.array(F.struct(start.alias("s"), e.alias("e")))).alias("out"),
-            )
+    places = F.sequence(F.lit(0), F.greatest(F.floor((F.size(n) - 1) / block), F.lit(0)).cast("int"))
+    parts = F.transform(places, lambda i: running(F.slice(n, i * block + 1, F.lit(block)), lambda x: x))
 
-        return F.when(start.isNull(), state).otherwise(_let(end, more))
+    def whole(p: Column) -> Column:
+        first = running(p, lambda x: x["sum"])["before"]
+        return F.flatten(F.zip_with(p, first, lambda x, f: F.transform(x["before"], lambda b: b + f)))
 
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    rounds = F.sequence(F.lit(1), F.ceil(n / (size - 2 * overlap)).cast("int") + 1)
-    folded = F.aggregate(rounds, F.struct(F.lit(0).alias("next"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(n <= size, F.array(F.struct(F.lit(0).alias("s"), n.alias("e")))).otherwise(folded)
+    return let(parts, whole)
+
+
+def spans(text: Column, n: Column, size: int = 1200, overlap: int = 150) -> Column:
+    """array<struct<s, e>> of the windows over ``text`` of ``n`` characters (0-based, end exclusive), in time linear in the text."""
+
+    def placed(lengths: Column) -> Column:
+        last = F.size(lengths) - 1
+        end = lambda s, i: s + F.get(lengths, i) + F.when(i < last, overlap).otherwise(0)
+        return F.transform(_sums_before(lengths), lambda s, i: F.struct(s.alias("s"), end(s, i).alias("e")))
+
+    one = F.array(F.struct(F.lit(0).alias("s"), n.alias("e")))
+    return F.when(n <= size, one).otherwise(let(F.transform(_steps(text, size, overlap), F.length), placed))
 
 
 def split_text(df: DataFrame, text: str = "text", size: int = 1200, overlap: int = 150) -> DataFrame:
     """``df`` with one row per piece: ``window`` (its number in the row), ``start``, ``end``, ``piece``. Blank pieces go.
 
-    A text that fits is kept as it is; pieces of a longer one are stripped. Nothing is shuffled.
+    A text that fits is kept as it is; pieces of a longer one are stripped. Nothing is shuffled, and a text is walked once.
     """
     whole = F.col("_text")
 
-    def cut(w: Column) -> Column:
-        p = F.substr(whole, w["s"] + 1, w["e"] - w["s"])
-        return F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(F.col("_n") <= size, p).otherwise(strip(p)).alias("p"))
-
-    pieces = F.filter(F.transform(spans(whole, F.col("_n"), size, overlap), cut), lambda x: x["p"].rlike(f"[^{SPACE}]"))
-    sized = df.select("*", F.col(text).alias("_text"), F.length(text).alias("_n"))
-    return sized.select("*", F.posexplode(pieces).alias("window", "_w")).select(
+    def cut(steps: Column) -> Column:
+        more = lambda i: F.coalesce(F.left(F.get(steps, i + 1), F.lit(overlap)), F.lit(""))
+        begins = _sums_before(F.transform(steps, F.length))
+        piece = lambda s, t: F.struct(s.alias("s"), (s + F.length(t)).alias("e"), strip(t).alias("p"))
+        joined = F.transform(steps, lambda t, i: F.concat(t, more(i)))
+        return F.zip_with(begins, joined, piece)
+
+    one = F.array(F.struct(F.lit(0).alias("s"), F.length(whole).alias("e"), whole.alias("p")))
+    pieces = F.when(F.length(whole) <= size, one).otherwise(let(_steps(whole, size, overlap), cut))
+    pieces = F.filter(pieces, lambda x: x["p"].rlike(f"[^{SPACE}]"))
+    return df.select("*", F.col(text).alias("_text")).select("*", F.posexplode(pieces).alias("window", "_w")).select(
         *df.columns, "window", F.col("_w.s").alias("start"), F.col("_w.e").alias("end"), F.col("_w.p").alias("piece")
     )
 

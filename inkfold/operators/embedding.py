@@ -8,12 +8,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.modality import embedding_text
-from ..functions.text import words
+from ..functions.text import counted, let, words
 
 DIM = 384
 
@@ -31,21 +32,21 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return ((half(1) % dim + (half(9) % dim) * ((1 << 32) % dim)) % dim).cast("int")
 
 
-def hash_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """key, bucket, weight: the non-zero components of each text's unit vector of token counts.
+def hash_vector(text: Column, dim: int = DIM) -> Column:
+    """array<struct<bucket, weight>>: the non-zero components of a text's unit vector of token counts, made inside the row."""
 
-    Texts without tokens have no rows. The texts are partitioned by key once; counts, norms and a later sum per key and
-    question need no other exchange.
-    """
-    counts = (
-        texts.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(words(F.col(text))).alias("_t"))
-        .groupBy(key, bucket(F.col("_t"), dim).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most ``dim`` rows a key
-    return counts.select(key, "bucket", (F.col("n") / norm).cast("float").alias("weight"))
+    def weighted(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x["n"].cast("long") * x["n"]))
+        part = lambda x, n: F.struct(x["value"].alias("bucket"), (x["n"] / n).cast("float").alias("weight"))
+        return let(norm, lambda n: F.transform(counts, lambda x: part(x, n)))
+
+    return let(counted(F.transform(words(text), lambda w: bucket(w, dim))), weighted)
+
+
+def hash_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """key, bucket, weight: the non-zero components of each text's unit vector. Texts without tokens have no rows, and
+    nothing is shuffled."""
+    return texts.select(key, F.inline(hash_vector(F.col(text), dim)))
 
 
 def dense(vectors: DataFrame, key: str, keys: DataFrame, dim: int = DIM) -> DataFrame:
@@ -65,8 +66,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def embed_chunks(chunks: DataFrame, build: Callable[[], Embedder], batch: int = 8, clean_tables: bool = False) -> DataFrame:
-    """``chunks`` with embedding array<float> of the text that its modality is embedded with."""
+def embed_chunks(
+    chunks: DataFrame, build: Callable[[], Embedder], batch: int = 8, clean_tables: bool = False, workers: int | None = None, resources: ResourceProfile | None = None
+) -> DataFrame:
+    """``chunks`` with embedding array<float> of the text that its modality is embedded with.
+
+    ``workers`` bounds how many tasks run the model at a time, and ``resources`` tells what each needs (a GPU, say).
+    """
     schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +82,7 @@ def embed_chunks(chunks: DataFrame, build: Callable[[], Embedder], batch: int =
             yield f.drop(columns="_text").assign(embedding=vectors)
 
     texts = chunks.withColumn("_text", embedding_text(F.col("modality"), F.col("content"), clean_tables))
-    return texts.mapInPandas(run, schema)
+    return (texts.repartition(workers) if workers else texts).mapInPandas(run, schema, profile=resources)
 
 
 def hash_embedder(dim: int = DIM) -> Embedder:
@@ -115,3 +121,24 @@ def vector_report(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
         F.count(F.lit(1)).alias("n_vectors"), F.min("d").alias("min_dim"), F.max("d").alias("max_dim"),
         F.round(F.min("n"), 6).alias("min_norm"), F.round(F.max("n"), 6).alias("max_norm"), F.round(F.avg("n"), 6).alias("avg_norm"),
     )
+
+
+# Pairs of texts for a look at a model; the first and third should be near, the others far.
+PAIRS = [
+    ("dose-response relationship", "dosage effect"),
+    ("dose-response relationship", "quantum entanglement"),
+    ("machine learning model", "neural network"),
+    ("machine learning model", "chocolate cake recipe"),
+]
+
+
+def pair_similarities(spark: SparkSession, build: Callable[[], Embedder], pairs: list[tuple[str, str]] = PAIRS) -> DataFrame:
+    """a, b, dtype, similarity (dot product) of pairs of texts under a model."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = build()
+        for f in frames:
+            x, y = model(f["a"].tolist()), model(f["b"].tolist())
+            yield f.assign(dtype=str(x.dtype), similarity=(x.astype("float64") * y.astype("float64")).sum(1))
+
+    return spark.createDataFrame(pairs, "a string, b string").mapInPandas(run, "a string, b string, dtype string, similarity double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.modality import modality_of_id, paper_of_id
 from ..functions.text import strip
+from ..sources.remote import retried
+from ..sources.tables import stored
 
 SEED = 7
 #: Shares and shortest contents by modality; sizes of prompts and questions.
@@ -57,7 +60,9 @@ def stratified_sample(chunks: DataFrame, n: int, per_paper: int = 2, seed: int =
     pool = pool.withColumn("_first", F.min("ord").over(paper)).withColumn("_n", F.row_number().over(paper.orderBy("_r", "chunk_id")))
     order = Window.partitionBy("modality").orderBy("_first", "_paper", "_n")
     kept = pool.where(F.col("_n") <= per_paper).withColumn("_k", F.row_number().over(order))
-    return kept.where(F.col("_k") <= quota).select("chunk_id", "content", "modality")
+    # the fixed limit lets each task hand on only that many rows of a modality
+    most = max(int(n * share + 1e-9) for share in SHARES.values())
+    return kept.where(F.col("_k") <= most).where(F.col("_k") <= quota).select("chunk_id", "content", "modality")
 
 
 def topic_snippets(chunks: DataFrame, papers: int = 20, least: int = 100, cut: int = 150) -> DataFrame:
@@ -71,64 +76,93 @@ def question_tokens(question: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit("([a-z]{4,})"), 1))
 
 
-def reject_near_duplicates(questions: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
-    """query_id, question, accepted: in order of query_id, a question too like an accepted one is rejected.
+def similar_questions(questions: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
+    """a, b, jaccard of all pairs of questions above the threshold (a < b).
 
-    The decision depends on all accepted before, so it is one fold; the list is the set of questions being built,
-    which is bounded by its target size.
+    Two token sets that are alike share a token among the rarest of each: of n tokens, the first n - ceil(above * n) + 1 in
+    the order of frequency. So only those meet, and a token that is in most questions hardly ever does.
     """
-    def like(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0)) > above
-
-    def step(s: Column, x: Column) -> Column:
-        same = F.exists(s["sets"], lambda t: (F.size(t) > 0) & (F.size(x["_t"]) > 0) & like(t, x["_t"]))
-        return F.struct(
-            F.when(same, s["sets"]).otherwise(F.concat(s["sets"], F.array(x["_t"]))).alias("sets"),
-            F.concat(s["out"], F.array(F.struct(x["query_id"].alias("query_id"), (~same).alias("accepted")))).alias("out"),
-        )
+    rows = stored(questions.select("query_id", question_tokens(F.col("question")).alias("_t")), "question-tokens")
+    each = rows.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    often = each.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_f", "_w"))
+    rare = each.join(often, "_w").withColumn("_k", rank).where(F.col("_k") <= F.col("_n") - F.ceil(F.col("_n") * above) + 1)
+    one = rare.select(F.col("query_id").alias("a"), F.col("_n").alias("_na"), "_w")
+    two = rare.select(F.col("query_id").alias("b"), F.col("_n").alias("_nb"), "_w")
+    near = F.least("_na", "_nb") > above * F.greatest("_na", "_nb")
+    pairs = one.join(two, "_w").where(near & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    sets = pairs.join(rows.select(F.col("query_id").alias("a"), F.col("_t").alias("_ta")), "a").join(
+        rows.select(F.col("query_id").alias("b"), F.col("_t").alias("_tb")), "b"
+    )
+    jaccard = F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb"))
+    return sets.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") > above)
 
-    rows = questions.select(F.col("query_id").cast("long").alias("query_id"), "question").withColumn("_t", question_tokens(F.col("question")))
-    start = F.struct(F.array().cast("array<array<string>>").alias("sets"), F.array().cast("array<struct<query_id:bigint,accepted:boolean>>").alias("out"))
-    said = rows.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("query_id", "_t"))), start, step, lambda s: s["out"]).alias("_o"))
-    return rows.select("query_id", "question").join(said.select(F.explode("_o").alias("_o")).select("_o.*"), "query_id")
-
-
-def similar_questions(questions: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
-    """a, b, jaccard of all pairs of questions above the threshold; candidates meet on a shared token."""
-    rows = questions.select("query_id", question_tokens(F.col("question")).alias("_t"))
-    one = rows.select("query_id", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
-    two = one.select(F.col("query_id").alias("b"), F.col("_n").alias("_m"), "_w")
-    both = one.withColumnRenamed("query_id", "a").join(two, "_w").where("a < b").groupBy("a", "b", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
-    jaccard = F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") > above)
 
+def reject_near_duplicates(questions: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
+    """query_id, question, accepted: in order of query_id, a question too like an accepted one is rejected.
 
-def generated_cases(sample: DataFrame, build: Callable[[], Callable[[str, str], tuple[str, str]]], tries: int = 3) -> DataFrame:
+    Questions without a like one are accepted at once. The others are settled in rounds: one is rejected when an earlier
+    like one is accepted, and accepted when all earlier like ones are rejected; every round settles at least the first of
+    those that are left. Each round is a join of the like pairs, and is written.
+    """
+    rows = questions.select(F.col("query_id").cast("long").alias("query_id"), "question")
+    pairs = stored(similar_questions(rows, above).select("a", "b"), "like-questions")
+    said = stored(pairs.select(F.col("a").alias("q")).union(pairs.select("b")).distinct().select("q", F.lit(None).cast("boolean").alias("ok")), "said")
+    while not said.where("ok is null").isEmpty():
+        earlier = pairs.join(said.select(F.col("q").alias("a"), F.col("ok").alias("_ok")), "a").groupBy(F.col("b").alias("q"))
+        earlier = earlier.agg(F.bool_or(F.coalesce("_ok", F.lit(False))).alias("_any"), F.bool_or(F.col("_ok").isNull()).alias("_open"))
+        now = F.when(F.coalesce("_any", F.lit(False)), False).when(~F.coalesce("_open", F.lit(False)), True)
+        said = stored(said.join(earlier, "q", "left").select("q", F.coalesce("ok", now).alias("ok")), "said")
+    return rows.join(said.select(F.col("q").alias("query_id"), "ok"), "query_id", "left").select(
+        "query_id", "question", F.coalesce("ok", F.lit(True)).alias("accepted")
+    )
+
+
+def generated_cases(sample: DataFrame, build: Callable[[], Callable[[str, str], tuple[str, str]]], tries: int = 3, wait: float = 2.0) -> DataFrame:
     """Cases from a plug-in that maps (modality, content) to (question, verdict): question, gold, answerable, modality, kept.
 
-    Contents are cut before the call, a call is tried up to ``tries`` times, and a case is kept when its question is long
-    enough and the verdict says YES.
+    Contents are cut before the call, a call is tried up to ``tries`` times with growing waits, and a case is kept when its
+    question is long enough and the verdict says YES. A call that fails every time gives a case that isn't kept.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = build()
         for f in frames:
-            out = []
+            out: list[tuple[str | None, str | None]] = []
             for m, c in zip(f["modality"], f["content"]):
-                for i in range(tries):
-                    try:
-                        out.append(ask(m, c[:PROMPT_CUT]))
-                        break
-                    except Exception:
-                        if i == tries - 1:
-                            raise
+                try:
+                    out.append(retried(lambda: ask(m, c[:PROMPT_CUT]), tries, wait))
+                except Exception:  # belongs to this case alone
+                    out.append((None, None))
             yield f.assign(question=[q for q, _ in out], verdict=[v for _, v in out]).drop(columns="content")
 
     made = sample.select("chunk_id", "content", "modality").mapInPandas(run, "chunk_id string, modality string, question string, verdict string")
-    kept = (F.length("question") >= LEAST_QUESTION) & F.contains(F.upper("verdict"), F.lit("YES"))
+    kept = F.coalesce((F.length("question") >= LEAST_QUESTION) & F.contains(F.upper("verdict"), F.lit("YES")), F.lit(False))
     return made.select("question", F.array("chunk_id").alias("gold"), F.lit(True).alias("answerable"), "modality", kept.alias("kept"))
 
 
+def build_cases(
+    sample: DataFrame, build: Callable[[], Callable[[str, str], tuple[str, str]]], target: int, factor: int = 3, wait: float = 2.0
+) -> DataFrame:
+    """At most ``target`` kept cases from at most ``factor`` times as many attempts, in the order of ``sample``'s position.
+
+    Attempts are made in rounds of what is still missing, each of them one distributed batch; the cases are few by design.
+    """
+    got, tried, rounds = 0, 0, []
+    while got < target and tried < factor * target:
+        n = min(target - got, factor * target - tried)
+        batch = sample.where((F.col("position") > tried) & (F.col("position") <= tried + n))
+        cases = stored(generated_cases(batch, build, wait=wait), "cases")
+        made = cases.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("k")).first()
+        if not made["n"]:
+            break
+        rounds.append(cases)
+        tried, got = tried + n, got + made["k"]
+    if not rounds:
+        return generated_cases(sample.limit(0), build)
+    return reduce(lambda a, b: a.unionByName(b), rounds)
+
+
 def build_stats(cases: DataFrame) -> DataFrame:
     """modality, n_sampled, n_kept, n_failed, success_rate."""
     return cases.groupBy("modality").agg(

@@ -92,24 +92,40 @@ def refusal_tally(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Most passages of one or two words that are looked for by a broadcast.
+MOST_SHORT = 10_000
+
+
 def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, chunk_id of chunks that contain a whole passage (query_id, question).
 
-    The second to sixth word of a passage stand between white space in any text that holds it, so chunks and passages
-    meet by equality of five words before the text is searched. Passages of fewer than seven words are searched in full.
+    The second to last but one word of a passage stand between white space in any text that holds it. A passage of seven or
+    more words meets the chunks by equality of five of them, one of three to six by its longest one, and only then is the
+    text searched. One or two words may lie inside other words: up to ``MOST_SHORT`` such passages go to every task.
     """
-    w = F.filter(F.split("content", r"[\t-\r\x1c-\x20]+"), lambda x: x != "")
+    space = r"[\t-\r\x1c-\x20]+"
+    w = F.filter(F.split("content", space), lambda x: x != "")
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.array_join(F.slice("_w", i, 5), " "))
     )
-    keyed = corpus.withColumn("_w", w).where(F.size("_w") >= 5).select("chunk_id", "content", F.explode(grams).alias("_g"))
-    q = passages.withColumn("_w", F.filter(F.split("question", r"[\t-\r\x1c-\x20]+"), lambda x: x != ""))
-    long_ = q.where(F.size("_w") >= 7).select("query_id", "question", F.array_join(F.slice("_w", 2, 5), " ").alias("_g"))
-    short = q.where(F.size("_w") < 7).select("query_id", "question")
+    keyed = corpus.withColumn("_w", w)
+    by_five = keyed.where(F.size("_w") >= 5).select("chunk_id", "content", F.explode(grams).alias("_g"))
+    by_one = keyed.select("chunk_id", "content", F.explode(F.array_distinct("_w")).alias("_g"))
+    q = passages.select("query_id", "question", F.filter(F.split("question", space), lambda x: x != "").alias("_w")).withColumn("_n", F.size("_w"))
+    inner = F.slice("_w", 2, F.greatest(F.col("_n") - 2, F.lit(0)))
+    longest = F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    long_ = q.where("_n >= 7").select("query_id", "question", F.array_join(F.slice("_w", 2, 5), " ").alias("_g"))
+    middle = q.where("_n between 3 and 6").select("query_id", "question", longest.alias("_g"))
+    short = q.where("_n < 3").select("query_id", "question")
     hit = F.contains("content", "question")
-    return keyed.join(long_, "_g").where(hit).select("query_id", "chunk_id").distinct().unionByName(
-        corpus.join(short, hit).select("query_id", "chunk_id").distinct()
-    )
+    found = by_five.join(long_, "_g").where(hit).select("query_id", "chunk_id").distinct()
+    if not middle.isEmpty():
+        found = found.unionByName(by_one.join(middle, "_g").where(hit).select("query_id", "chunk_id").distinct())
+    n = short.count()
+    if n:
+        short = F.broadcast(short) if n <= MOST_SHORT else short
+        found = found.unionByName(corpus.join(short, hit).select("query_id", "chunk_id").distinct())
+    return found
 
 
 def evaluate(cases: DataFrame, hits: DataFrame, answers: DataFrame, k: int = 5) -> DataFrame:

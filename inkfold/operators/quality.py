@@ -89,3 +89,9 @@ def report(chunks: DataFrame) -> DataFrame:
         F.struct("n_chunks", "n_papers").alias("totals"), "modalities",
         F.struct("n_garbled", "n_fragments", "n_formula_like", "n_odd_ids").alias("anomalies"),
     )
+
+
+def head_sample(chunks: DataFrame, n: int = 5, cut: int = 300) -> DataFrame:
+    """chunk_id, length, head of the first n chunks, for a look at them."""
+    first = chunks.orderBy("ord").limit(n)
+    return first.select("chunk_id", F.length("content").alias("length"), F.substring("content", 1, cut).alias("head"))

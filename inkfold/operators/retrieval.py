@@ -8,20 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import counted, words
 from ..sources.tables import stored
-from .embedding import DIM, hash_vectors
+from .embedding import DIM, hash_vector
 
 #: Fixed values of the ranking function and of the fusion.
 K1, B, EPSILON, ALPHA = 1.5, 0.75, 0.25, 0.7
 #: Scores are ranked to so many digits, so that sums in another order rank alike.
 DIGITS = 9
+#: Rows in a block of vectors (12 MB at 384 components), most blocks of queries that are broadcast, and that have their best kept in a worker.
+BLOCK, MOST_BROADCAST, MOST_KEPT = 4096, 8, 64
+
+
+class Searcher(Protocol):
+    """A search: questions (query_id, question) to hits (query_id, chunk_id, score, rank, ...)."""
+
+    def __call__(self, questions: DataFrame, k: int = 10) -> DataFrame: ...
 
 
 @dataclass
@@ -49,26 +58,19 @@ class SparseIndex:
 
 
 def build_sparse(corpus: DataFrame) -> SparseIndex:
-    """BM25 statistics. Texts are partitioned by chunk once, which also serves the sums per chunk and question of a search;
-    document frequencies take a second exchange, on term, combined map-side."""
-    sized = corpus.select(words(F.col("content")).alias("_w")).withColumn("dl", F.size("_w"))
-    postings = (
-        corpus.select("ord", "content")
-        .repartition("ord")
-        .select("ord", words(F.col("content")).alias("_w"))
-        .select("ord", F.size("_w").alias("dl"), F.explode("_w").alias("term"))
-        .groupBy("ord", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = stored(sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "bm25-stats")
-    df = sized.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = stored(df, "bm25-df")  # read for the mean and for each term
+    """BM25 statistics. Terms are counted inside each chunk's row, so texts are read once and not shuffled; the counts are
+    written, and only document frequencies take an exchange, on term, combined map-side."""
+    rows = corpus.select("ord", "chunk_id", words(F.col("content")).alias("_w"))
+    rows = stored(rows.select("ord", "chunk_id", F.size("_w").alias("dl"), counted(F.col("_w")).alias("_t")), "bm25-counts")
+    postings = rows.select("ord", "dl", F.inline("_t")).select("ord", "dl", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
+    stats = stored(rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "bm25-stats")
+    df = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-df")  # read for the mean and for each term
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     with_idf = df.join(F.broadcast(stats.select("n_docs")), F.lit(True)).select("term", "df", raw.alias("_idf"))  # one row
     mean = with_idf.agg(F.avg("_idf").alias("_mean"))
     idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf"))
     terms = with_idf.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf"))
-    return SparseIndex(postings, terms, stats, corpus.select("ord", "chunk_id"))
+    return SparseIndex(postings, terms, stats, rows.select("ord", "chunk_id"))
 
 
 def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
@@ -102,73 +104,106 @@ def search_sparse(index: SparseIndex, questions: DataFrame, k: int = 10) -> Data
     return _top(scored, k, "ord").join(index.chunks, "ord")
 
 
+def _packed(rows: DataFrame, key: str, values: str, dim: int | None = None, size: int = BLOCK) -> DataFrame:
+    """keys, width, matrix: blocks of up to ``size`` rows (key, values), as bytes. Values are arrays of numbers, or with ``dim``
+    arrays of (bucket, weight); rows of different widths go to different blocks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("_v")
+            keys, there = b.column("_k").to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
+            offsets, flat = col.offsets.to_numpy(), col.values
+            width = np.where(there, np.diff(offsets), -1) if dim is None else np.where(there, dim, -1)
+            for d in np.unique(width[width > 0]).tolist():
+                own = np.flatnonzero(width == d)
+                for i in range(0, len(own), size):
+                    at = own[i : i + size]
+                    if dim is None:
+                        x = flat.to_numpy(zero_copy_only=False)[offsets[at][:, None] + np.arange(d)].astype("<f8")
+                    else:
+                        n = offsets[at + 1] - offsets[at]
+                        part = np.repeat(offsets[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        x = np.zeros((len(at), d), "<f8")
+                        bucket, weight = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
+                        x[np.repeat(np.arange(len(at)), n), bucket[part]] = weight[part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([keys[at].astype("<i8").tobytes()], pa.binary()), pa.array([d], pa.int32()), pa.array([x.tobytes()], pa.binary())],
+                        ["keys", "width", "matrix"],
+                    )
+
+    return rows.select(F.col(key).cast("long").alias("_k"), F.col(values).alias("_v")).mapInArrow(pack, "keys binary, width int, matrix binary")
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, unit: bool) -> DataFrame:
+    """query_id, key, score of the k best per partition of blocks of ``vectors`` for each query, by matrix products.
+
+    Blocks of queries meet blocks of vectors, never rows. Their number is known, as they are written: up to
+    ``MOST_BROADCAST`` they are broadcast.
+    """
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_block", F.monotonically_increasing_id())
+    asked = stored(asked, "query-blocks")
+    pairs = vectors.crossJoin(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for ids, score, own in best.values():
+                cols = np.repeat(ids, own.shape[1]), own.ravel(), score.ravel() / 10.0**DIGITS
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", key, "score"])
+            best.clear()
+
+        def normal(x: np.ndarray) -> np.ndarray:
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            return np.divide(x, n, out=np.zeros_like(x), where=n > 0) if unit else x
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["width"] != r["q_width"]:
+                    continue
+                keys = np.frombuffer(r["keys"], "<i8")
+                order = np.argsort(keys, kind="stable")
+                v = normal(np.frombuffer(r["matrix"], "<f8").reshape(len(keys), -1)[order])
+                q = normal(np.frombuffer(r["q_matrix"], "<f8").reshape(-1, r["width"]))
+                keys = keys[order]
+                scores, found = [], []
+                for i in range(0, len(q), 256):
+                    # digits and place in one number: the larger is the better, and no two are equal
+                    s = (np.rint(q[i : i + 256] @ v.T * 10.0**DIGITS).astype(np.int64) << 16) + np.arange(len(keys))[::-1]
+                    if len(keys) > k:
+                        s = np.partition(s, len(keys) - k, axis=1)[:, -k:]
+                    scores.append(s >> 16)
+                    found.append(keys[len(keys) - 1 - (s & 0xFFFF)])
+                score, own = np.concatenate(scores), np.concatenate(found)
+                if r["q_block"] in best:
+                    score, own = (np.concatenate(x, axis=1) for x in zip(best[r["q_block"]][1:], (score, own)))
+                    at = np.lexsort((own, -score), axis=1)[:, :k]
+                    score, own = np.take_along_axis(score, at, 1), np.take_along_axis(own, at, 1)
+                best[r["q_block"]] = np.frombuffer(r["q_keys"], "<i8"), score, own
+                if len(best) > MOST_KEPT:
+                    yield from rows()
+        yield from rows()
+
+    return pairs.mapInArrow(search, f"query_id long, {key} long, score double")
+
+
 def search_hashed(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int = DIM) -> DataFrame:
     """The k nearest chunks by cosine of hash embeddings: ord, query_id, score, rank, chunk_id.
 
-    Sparse vectors meet on their buckets. A chunk that shares none has score 0 and comes after those that do, in the
-    order of the corpus; only a question with fewer than k matches needs such chunks, and the first 2k suffice.
+    Exact, by blocked products; equal scores, 0 included, come in the order of the corpus.
     """
-    docs = hash_vectors(corpus, "ord", "content", dim)
-    asked = stored(hash_vectors(questions, "query_id", "question", dim).withColumnRenamed("weight", "_q"), "asked-vectors")
-    product = F.col("weight").cast("double") * F.col("_q").cast("double")
-    hits = docs.join(asked, "bucket").groupBy("query_id", "ord").agg(F.sum(product).alias("score"))
-    found = stored(_top(hits, k, "ord").select("query_id", "ord", "score"), "hashed-hits")  # at most k rows a question
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("ord").alias("_have"))
-    first = corpus.select("ord").orderBy("ord").limit(2 * k).agg(F.collect_list("ord").alias("_first"))
-    short = questions.select("query_id").join(counts, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k)
-    rest = (
-        short.join(F.broadcast(first), F.lit(True))  # one row
-        .select("query_id", "_have", F.explode("_first").alias("ord"))
-        .where(~F.coalesce(F.array_contains("_have", F.col("ord")), F.lit(False)))
-        .select("query_id", "ord", F.lit(0.0).alias("score"))
-    )
-    return _top(found.unionByName(rest), k, "ord").join(corpus.select("ord", "chunk_id"), "ord")
+    vectors = _packed(corpus.select("ord", hash_vector(F.col("content"), dim).alias("v")), "ord", "v", dim)
+    asked = _packed(questions.select("query_id", hash_vector(F.col("question"), dim).alias("v")), "query_id", "v", dim)
+    return _top(_nearest(vectors, asked, k, "ord", unit=False), k, "ord").join(corpus.select("ord", "chunk_id"), "ord")
 
 
-def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = 4096) -> DataFrame:
+def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """Exact cosine search: query_id, key, score, rank. vectors (key, embedding), queries (query_id, embedding).
 
-    The queries go to the workers in blocks of bounded size; a batch of vectors returns its k best for each
-    query of the block, so what is shuffled is batches times k, not vectors.
+    One plan for any number of queries; what is shuffled is partitions times k for each query, not vectors. A zero
+    vector has score 0; a null one is left out, and so are vectors of another width than the query.
     """
-    spark = vectors.sparkSession
-    parts: list[DataFrame] = []
-    pending: list = []
-
-    def search(rows: list) -> DataFrame:
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        ids = np.array([r["query_id"] for r in rows])
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        held = spark.sparkContext.broadcast((ids, np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, unit = held.value
-            for f in frames:
-                f = f[f["embedding"].notna()]
-                if not len(f):
-                    continue
-                x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, DIGITS)
-                own = f[key].to_numpy()
-                order = np.argsort(own, kind="stable")
-                s, own = s[:, order], own[order]
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), key: own[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-        return vectors.select(key, "embedding").mapInPandas(run, f"query_id long, {key} long, score double")
-
-    for row in queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").toLocalIterator():
-        pending.append(row)
-        if len(pending) == block:
-            parts.append(search(pending))
-            pending = []
-    if pending or not parts:
-        parts.append(search(pending) if pending else vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, score double"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return _top(whole, k, key)
+    return _top(_nearest(_packed(vectors, key, "embedding", size=block), _packed(queries, "query_id", "embedding", size=block), k, key, unit=True), k, key)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.modality import embedding_text
 from ..operators import adapters, answer, chunking, evaluate, quality, retrieval
-from ..sources import parsers, readers, remote, writers  # noqa: F401  the last registers the chat generator
+from ..sources import parsers, readers, remote, tables  # noqa: F401  remote registers the chat generators
 
 
 @dataclass
@@ -31,14 +31,17 @@ class Store:
         if parser is None:
             chunks = chunking.document_chunks(**parsers.page_elements(parsers.extract_pages(files)))
         else:
-            found = readers.parse_documents(files, parser)
-            md = adapters.markdown_elements(found.where("kind = 'markdown'").select("paper_id", F.col("text").alias("markdown")))
-            chunks = chunking.text_chunks(md).unionByName(
-                found.where("kind in ('figure', 'table', 'formula')").select(
-                    F.concat_ws(":", "paper_id", "element_id").alias("chunk_id"), "paper_id", F.col("kind").alias("modality"),
-                    F.col("text").alias("content"), "section", F.lit(None).cast("string").alias("image_uri"),
-                )
-            )
+            # written, as the rows of each engine go their own way and a document is parsed once
+            found = tables.stored(readers.parse_documents(files, parser), "parsed")
+            e = adapters.adapt(parsers.records(found))
+            of = lambda kind, *cols: e.where(F.col("kind") == kind).select("paper_id", *cols)
+            none, text = F.lit(None).cast("string"), F.col("text")
+            chunks = chunking.document_chunks(
+                e.where("kind is null or kind = 'text'").select("paper_id", "ord", "text", "section"),
+                of("figure", F.col("element_id").alias("fig_id"), text.alias("caption"), none.alias("image_uri")),
+                of("table", F.col("element_id").alias("table_id"), text.alias("markdown"), none.alias("caption")),
+                of("formula", F.col("element_id").alias("formula_id"), text.alias("latex")),
+            )
         # the order of the corpus is the order of ids: a range partition numbers it without a window over all rows
         n = F.regexp_extract("chunk_id", r"([0-9]+)$", 1).cast("long")
         placed = chunks.withColumn("_n", n).repartitionByRange("paper_id", "modality", "_n", "chunk_id")

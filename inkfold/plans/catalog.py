@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, layout_queries, retrieval_queries
+from . import corpus_queries, layout_queries, retrieval_queries, system_queries
 
-MODULES = (corpus_queries, layout_queries, retrieval_queries)
+MODULES = (corpus_queries, layout_queries, retrieval_queries, system_queries)
 
 
 def queries() -> dict:

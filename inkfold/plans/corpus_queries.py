@@ -54,7 +54,7 @@ BUILDER = (
 )
 #: Chunks with identifiers of every modality, from the keys of documents.
 _mixed_sql = """SELECT CAST(doc_id AS VARCHAR) || CASE doc_id % 7 WHEN 0 THEN ':fig_p1_i0' WHEN 1 THEN ':tbl_p0_t1:r3' WHEN 2 THEN ':t0:r2' WHEN 3 THEN ':f4'
-ELSE ':c' || doc_id % 5 END AS chunk_id, substr(text, 1, 50 + doc_id % 1500) AS content, doc_id AS ord FROM documents"""
+ELSE ':c' || doc_id % 5 END AS chunk_id, text AS content, doc_id AS ord FROM documents"""
 MIXED = f"mixed AS ({_mixed_sql})"
 
 
@@ -105,10 +105,10 @@ def length_histogram_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.length_histogram(corpus(spark, sf_dir), quality.EDGES_5)
 
 
-#: Documents, some of them garbled, emptied or with formula marks.
-_flag_text = """CASE doc_id % 13 WHEN 0 THEN repeat('é∑', CAST(doc_id % 40 AS INTEGER)) || substr(text, 1, 30) WHEN 1 THEN '' WHEN 2 THEN 'x^{2} and ' || substr(text, 1, 200)
-WHEN 3 THEN substr(text, 1, 49) ELSE text END"""
-_flags_sql = f"SELECT CAST(doc_id * 17 AS VARCHAR) AS paper_id, CAST(doc_id * 17 AS VARCHAR) || ':c0' AS chunk_id, {_flag_text} AS content, doc_id AS ord FROM documents"
+#: Every document, and beside it a row that is garbled, empty, a formula or short.
+_flags_sql = """SELECT CAST(doc_id * 17 AS VARCHAR) AS paper_id, CAST(doc_id * 17 AS VARCHAR) || ':c0' AS chunk_id, text AS content, doc_id * 2 AS ord FROM documents
+UNION ALL SELECT CAST(doc_id * 17 AS VARCHAR), CAST(doc_id * 17 AS VARCHAR) || CASE doc_id % 2 WHEN 0 THEN ':c1' ELSE ':f1' END,
+CASE doc_id % 4 WHEN 0 THEN repeat('é∑', CAST(doc_id % 40 AS INTEGER)) || lang WHEN 1 THEN '' WHEN 2 THEN 'x^{2} and y' ELSE 'short ' || lang END, doc_id * 2 + 1 FROM documents"""
 _odd = r"length(regexp_replace(content, '[\x00-\x7F]', '', 'g'))"
 _garbled = f"CASE WHEN content = '' THEN TRUE ELSE {_odd} / length(content) > 0.3 END"
 _formula_like = r"(contains(content, '^{') OR contains(content, '_{') OR contains(content, '\frac') OR contains(content, '\sum')) AND length(content) < 300"
@@ -140,24 +140,26 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(flagged_chunks(spark, sf_dir)).select("totals.*", "anomalies.*", F.col("modalities")["text"].alias("n_text"))
 
 
-_pages_sql = """SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, p.page_no, CASE WHEN doc_id % 10 = 0 THEN replace(substr(text, 1 + 800 * p.page_no, 800), 'e', '_{')
-WHEN doc_id % 10 = 1 THEN substr(text, 1, 20) ELSE substr(text, 1 + 800 * p.page_no, 800) END AS text
-FROM documents d JOIN (VALUES (0), (1), (2), (3)) AS p(page_no) ON length(d.text) > 800 * p.page_no AND doc_id % 10 <> 2"""
+#: Every document on four pages, and beside it one with formulas (f), one with blank pages (b) and one without pages (n).
+_route_sql = """SELECT CAST(doc_id AS VARCHAR) || v.kind AS paper_id, v.kind, d.text FROM documents d CROSS JOIN (VALUES (''), ('f'), ('b'), ('n')) AS v(kind)"""
+_pages_sql = """SELECT paper_id, page_no, CASE kind WHEN 'f' THEN replace(t, 'e', '_{') WHEN 'b' THEN '  ' ELSE t END AS text
+FROM (SELECT *, substr(text, 1 + page_no * CAST(ceil(length(text) / 4) AS INTEGER), CAST(ceil(length(text) / 4) AS INTEGER)) AS t
+FROM (ROUTED) r CROSS JOIN (VALUES (0), (1), (2), (3)) AS p(page_no) WHERE kind <> 'n') x"""
 
 
 @query(
-    f"""WITH pages_ AS ({_pages_sql}), s AS (SELECT paper_id, count(*) AS n, sum(length({strip_sql('text')})) AS st, sum(length(text)) AS al,
+    f"""WITH pages_ AS ({_pages_sql.replace('ROUTED', _route_sql)}), s AS (SELECT paper_id, count(*) AS n, sum(length({strip_sql('text')})) AS st, sum(length(text)) AS al,
 sum(list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda l: contains(l, '\\frac') OR contains(l, '\\sum') OR contains(l, '_{{') OR contains(l, '^{{') OR contains(l, '\\int')), lambda l: length(l)))) AS m
 FROM pages_ WHERE page_no < 3 GROUP BY 1),
-r AS (SELECT CAST(d.doc_id AS VARCHAR) AS paper_id, coalesce(st, 0) / greatest(coalesce(n, 0), 1) < 50 AS scanned, coalesce(m, 0) / greatest(coalesce(al, 0), 1) AS density
-FROM documents d LEFT JOIN s ON s.paper_id = CAST(d.doc_id AS VARCHAR))
+r AS (SELECT d.paper_id, coalesce(st, 0) / greatest(coalesce(n, 0), 1) < 50 AS scanned, coalesce(m, 0) / greatest(coalesce(al, 0), 1) AS density
+FROM ({_route_sql}) d LEFT JOIN s ON s.paper_id = d.paper_id)
 SELECT paper_id, scanned, round(density, 6) AS formula_density, CASE WHEN scanned THEN 'surya' WHEN density > 0.05 THEN 'mineru' ELSE 'docling' END AS parser FROM r"""
 )
 def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs.createOrReplaceTempView("_route_documents")
-    pages = spark.sql(_pages_sql.replace("FROM documents", "FROM _route_documents").replace("AS VARCHAR", "AS STRING"))
-    routed = routing.route(docs.select(F.col("doc_id").cast("string").alias("paper_id")), pages)
+    all_ = _route_sql.replace("FROM documents", "FROM _route_documents").replace("AS VARCHAR", "AS STRING")
+    routed = routing.route(spark.sql(all_).select("paper_id"), spark.sql(_pages_sql.replace("ROUTED", all_)))
     return routed.withColumn("formula_density", F.round("formula_density", 6))
 
 

@@ -65,7 +65,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- captions and regions ----
-_images = f"images AS ({duck_select(IMAGES, 'o_orderkey % 4 = 0')})"
+_images = f"images AS ({duck_select(IMAGES)})"
 _caption = r"'(?i)^\s*(?:figure|fig\.?|table|tab\.?)\s*(\d+)[.:\s]'"
 _below = f"""found AS (SELECT i.paper_id, i.page_no, i.img_idx, b.text, b.y0 - i.iy1 AS distance,
   row_number() OVER (PARTITION BY i.paper_id, i.page_no, i.img_idx ORDER BY b.y0 - i.iy1, i.rect_no, b.block_no) AS n
@@ -74,7 +74,7 @@ _below = f"""found AS (SELECT i.paper_id, i.page_no, i.img_idx, b.text, b.y0 - i
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_as(spark, sf_dir, IMAGES).where("img_idx % 4 = 0")
+    return orders_as(spark, sf_dir, IMAGES)
 
 
 @query(f"WITH {_blocks}, {_images}, {_below} SELECT paper_id, page_no, img_idx, {strip_sql('substr(text, 1, 800)')} AS caption, distance FROM found WHERE n = 1")
@@ -94,14 +94,13 @@ def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_blocks}, regions AS ({duck_select(REGIONS, 'o_orderkey % 3 = 0')})
+    f"""WITH {_blocks}, regions AS ({duck_select(REGIONS)})
 SELECT r.paper_id, r.page_no, r.region_no, count(b.text) AS n_lines, coalesce(string_agg(b.text, ' ' ORDER BY b.y0, b.block_no), '') AS text
 FROM regions r LEFT JOIN blocks b ON b.paper_id = r.paper_id AND b.page_no = r.page_no AND (b.x0 + b.x1) / 2 BETWEEN r.rx0 AND r.rx1 AND (b.y0 + b.y1) / 2 BETWEEN r.ry0 AND r.ry1
 GROUP BY 1, 2, 3"""
 )
 def region_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").selectExpr(*[f"{v.format(div='div')} AS {k}" for k, v in REGIONS.items()])
-    return layout.region_texts(regions, blocks(spark, sf_dir).withColumnRenamed("block_no", "line_no"))
+    return layout.region_texts(orders_as(spark, sf_dir, REGIONS), blocks(spark, sf_dir).withColumnRenamed("block_no", "line_no"))
 
 
 @query("SELECT o_orderkey, o_custkey * 7 AS n_bytes FROM orders WHERE o_custkey * 7 > 5000")

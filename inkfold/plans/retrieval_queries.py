@@ -26,17 +26,19 @@ def query(sql: str | None = None):
 
 
 # ---- indexes ----
-_tokens = f"""toks AS (SELECT chunk_id, ord, {words_sql('content')} AS w FROM chunks),
-postings AS (SELECT chunk_id, ord, len(w) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, ord, w, unnest(w) AS term FROM toks) GROUP BY 1, 2, 3, 4),
-stats AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM toks),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n_docs FROM stats) - count(*) + 0.5) - ln(count(*) + 0.5) AS i FROM postings GROUP BY 1),
-terms AS (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw) ELSE i END AS idf FROM raw)"""
+_tokens = f"""toks AS MATERIALIZED (SELECT chunk_id, ord, {words_sql('content')} AS w FROM chunks),
+postings AS MATERIALIZED (SELECT chunk_id, ord, len(w) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, ord, w, unnest(w) AS term FROM toks) GROUP BY 1, 2, 3, 4),
+stats AS MATERIALIZED (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM toks),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+raw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS i FROM dfs, stats),
+mean AS MATERIALIZED (SELECT avg(i) AS m FROM raw),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN i < 0 THEN 0.25 * m ELSE i END AS idf FROM raw, mean)"""
 _asked = f"""asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({words_sql('text')}) AS term FROM benchmark) GROUP BY 1, 2)"""
 
 
 def _sparse(k: int) -> str:
-    return f"""sp_scored AS (SELECT query_id, chunk_id, ord, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM stats)))) AS score
-  FROM postings JOIN asked USING (term) JOIN terms USING (term) GROUP BY 1, 2, 3),
+    return f"""sp_scored AS (SELECT query_id, chunk_id, ord, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+  FROM postings JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY 1, 2, 3),
 sparse{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM sp_scored WHERE round(score, 9) > 0) WHERE rank <= {k})"""
 
 
@@ -161,14 +163,16 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("query_id", "status", "answer", F.round("confidence", 6).alias("confidence"), F.size("citations").alias("n_citations"))
 
 
-_said = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'I cannot find information about ' || substr(text, 1, 50) WHEN 1 THEN 'There is NO INFORMATION [12:c3]. ' || substr(text, 1, 40)
-WHEN 2 THEN substr(text, 1, 300) WHEN 3 THEN '' WHEN 4 THEN repeat('x', 210) || ' no information' ELSE '  No information here [a b:c]' END AS answer FROM documents"""
+#: Every text as an answer, and beside it one that refuses in some way.
+_said = """SELECT doc_id, text AS answer FROM documents UNION ALL
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'I cannot find information about ' || text WHEN 1 THEN 'There is NO INFORMATION [12:c3]. ' || text
+WHEN 2 THEN text || ' no information' WHEN 3 THEN '' WHEN 4 THEN repeat('x', 210) || ' no information' ELSE '  No information here [a b:c]' END FROM documents"""
 _phrases = ", ".join("'" + p.replace("'", "''") + "'" for p in answer.SOFT_REFUSALS)
 
 
 @query(
     f"""SELECT doc_id, answer = '' OR (len(list_filter([{_phrases}], lambda p: contains(substr({strip_sql('lower(answer)')}, 1, 200), p))) > 0
-AND NOT regexp_matches(answer, '\[[\pL\pN_.\-:]+:[\pL\pN_]+\]')) AS soft FROM ({_said})"""
+AND NOT regexp_matches(answer, '\\[[\\pL\\pN_.\\-:]+:[\\pL\\pN_]+\\]')) AS soft FROM ({_said})"""
 )
 def soft_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").createOrReplaceTempView("_said_documents")
@@ -253,14 +257,14 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sinks and sources ----
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || substr(text, 1, 50) ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN doc_id + 10000000 ELSE doc_id END AS ord FROM documents
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN doc_id + 10000000 ELSE doc_id END AS ord FROM documents
 UNION ALL SELECT doc_id + 5000000, 'added', doc_id FROM documents WHERE doc_id % 100 = 0"""
 )
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("ord"))
     again = docs.where("doc_id % 3 = 0")
     new = again.withColumn("text", F.lit("old")).withColumn("ord", F.col("doc_id") + 5_000_000)
-    new = new.union(again.select("doc_id", F.concat(F.lit("new "), F.substring("text", 1, 50)), F.col("doc_id") + 10_000_000))
+    new = new.union(again.select("doc_id", F.concat(F.lit("new "), "text"), F.col("doc_id") + 10_000_000))
     new = new.union(docs.where("doc_id % 100 = 0").select(F.col("doc_id") + 5_000_000, F.lit("added"), "ord"))
     return writers.upsert(docs, new, "doc_id", "ord").select("doc_id", "text", "ord")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -102,11 +102,51 @@ def _on_file(call: Callable[[str], list[dict]]) -> Callable[[str, bytes], list[d
     return parse
 
 
+def _mineru() -> Callable[[str, bytes], list[dict]]:
+    from mineru.cli.client import parse_pdf
+
+    def call(path: str) -> list[dict]:
+        found = parse_pdf(path, output_dir=os.path.dirname(path), lang="en", formula_enable=True, table_enable=True)
+        return [{"kind": "markdown", "element_id": "m0", "text": found.get("markdown", "") if isinstance(found, dict) else str(found)}]
+
+    return _on_file(call)
+
+
 def _docling() -> Callable[[str, bytes], list[dict]]:
     from docling.document_converter import DocumentConverter
 
     convert = DocumentConverter()
-    return _on_file(lambda path: [{"kind": "markdown", "element_id": "m0", "text": convert.convert(path).document.export_to_markdown()}])
+
+    def call(path: str) -> list[dict]:
+        doc = convert.convert(path).document
+        parts = {
+            "text": [(t.text, "c") for t in doc.texts],
+            "table": [(t.export_to_markdown(), "t") for t in doc.tables],
+            "figure": [("", "fig") for _ in doc.pictures],
+        }
+        return [{"kind": kind, "element_id": f"{head}{i}", "text": text} for kind, rows in parts.items() for i, (text, head) in enumerate(rows)]
+
+    return _on_file(call)
+
+
+def _surya() -> Callable[[str, bytes], list[dict]]:
+    """OCR lines and layout regions of pages drawn at twice their size. No other parser stands in for it."""
+    import pypdfium2
+    from surya.detection import DetectionPredictor
+    from surya.layout import LayoutPredictor
+    from surya.recognition import RecognitionPredictor
+
+    find, read, place = DetectionPredictor(), RecognitionPredictor(), LayoutPredictor()
+
+    def parse(name: str, content: bytes) -> list[dict]:
+        images = [page.render(scale=2.0).to_pil() for page in pypdfium2.PdfDocument(content)]
+        out = []
+        for i, (lines, regions) in enumerate(zip(read(images, det_predictor=find), place(images))):
+            out += [{"kind": "line", "text": x.text, "page": i + 1} for x in lines.text_lines]
+            out += [{"kind": "region", "text": x.label, "page": i + 1} for x in regions.bboxes]
+        return out
+
+    return parse
 
 
 def _pymupdf() -> Callable[[str, bytes], list[dict]]:
@@ -119,7 +159,9 @@ def _pymupdf() -> Callable[[str, bytes], list[dict]]:
     return parse
 
 
+register_parser("mineru", _mineru)
 register_parser("docling", _docling)
+register_parser("surya", _surya)
 register_parser("pymupdf", _pymupdf)
 
 
@@ -128,3 +170,17 @@ def failed(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("error").isNotNull()).select("path", "error")
 
 
+def records(parsed: DataFrame) -> dict[str, tuple[DataFrame, ...]]:
+    """Parsed rows of :func:`~inkfold.sources.readers.parse_documents` as the tables that the adapter of each engine takes."""
+    good = parsed.where(F.col("error").isNull())
+
+    def texts(kind: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "text")))), lambda x: x["text"])
+
+    whole = good.where(F.col("kind") == "markdown").groupBy("paper_id").agg(F.array_join(texts("markdown"), "\n\n").alias("markdown"))
+    parts = good.where(F.col("kind").isin("text", "table", "figure")).groupBy("paper_id")
+    parts = parts.agg(texts("text").alias("texts"), texts("table").alias("tables"), texts("figure").alias("pictures"))
+    place = ["paper_id", (F.col("page") - 1).alias("page_idx")]
+    lines = good.where(F.col("kind") == "line").select(*place, F.col("ord").alias("line_no"), "text")
+    regions = good.where(F.col("kind") == "region").select(*place, F.col("ord").alias("region_no"), F.col("text").alias("label"))
+    return {"mineru": (whole,), "docling": (parts,), "surya": (lines, regions)}

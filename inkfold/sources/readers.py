@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +61,13 @@ def _utf8() -> Parser:
 register_parser("utf8", _utf8)
 
 
-def parse_documents(files: DataFrame, parser: str | None = None) -> DataFrame:
+def parse_documents(files: DataFrame, parser: str | None = None, builders: dict[str, Callable[[], Parser]] | None = None) -> DataFrame:
     """Elements of files (path, paper_id, content and, without ``parser``, a column parser), with the engine that served.
 
-    A failing parser hands over to its stand-in; a document that none can read gives one row with its error, and no
+    ``builders`` stand before the registered ones. Each parser is built once in a worker. A failing parser hands over to its stand-in; a document that none can read gives one row with its error, and no
     other document suffers.
     """
-    registry, fallback = dict(PARSERS), dict(FALLBACK)
+    registry, fallback = PARSERS | (builders or {}), dict(FALLBACK)
     rows = files.select("path", "paper_id", "content", (F.lit(parser) if parser else F.col("parser")).alias("parser"))
 
     def run(frames: Iterator) -> Iterator:
@@ -137,37 +141,68 @@ def load_env(path: str) -> dict[str, str]:
 
 
 def listing_query(categories: list[str] | None = None, words: str | None = None) -> str:
-    """The search expression of a paper listing: any of the categories, and all words."""
-    cats = " OR ".join(f"cat:{c}" for c in categories or ["cs.CL"])
-    return f'({cats}) AND all:"{words}"' if words else f"({cats})"
+    """The search expression of a paper listing: any of the categories, and all words; one fixed category without either."""
+    parts = ["(" + " OR ".join(f"cat:{c}" for c in categories) + ")"] if categories else []
+    parts += [f'all:"{words}"'] if words else []
+    return " AND ".join(parts) or "cat:cs.CL"
 
 
 class _Page(InputPartition):
-    def __init__(self, start: int):
-        self.start = start
+    def __init__(self, entries: list[tuple]):
+        self.entries = entries
+
+
+def _atom_page(url: str, search: str, start: int, n: int) -> list[tuple]:
+    """One page of a listing service that answers in Atom, newest first."""
+    ask = {"search_query": search, "start": start, "max_results": n, "sortBy": "submittedDate", "sortOrder": "descending"}
+    with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(ask)}", timeout=60) as r:
+        root = ElementTree.fromstring(r.read())
+    atom = "{http://www.w3.org/2005/Atom}"
+    text = lambda e, tag: (e.findtext(atom + tag) or "").strip()
+    return [(text(e, "id").rsplit("/", 1)[-1], text(e, "title"), text(e, "published")) for e in root.iter(atom + "entry")]
 
 
 class _ListingReader(DataSourceReader):
     PAGE = 100
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("max", 100))
+        self.options, self.most = dict(options), int(options.get("max", 100))
+
+    def _pages(self) -> Iterator[list[tuple]]:
+        if "url" not in self.options:
+            with open(self.options["path"], encoding="utf-8") as f:
+                entries = [(e["id"], e.get("title", ""), e["submitted"]) for e in json.load(f)]
+            entries.sort(key=lambda e: (e[2], e[0]), reverse=True)
+            yield from (entries[i : i + self.PAGE] for i in range(0, len(entries), self.PAGE))
+            return
+        search = self.options.get("query") or listing_query()
+        for start in range(0, self.most, self.PAGE):
+            if start:
+                time.sleep(float(self.options.get("pause", 3)))
+            found = _atom_page(self.options["url"], search, start, min(self.PAGE, self.most - start))
+            if not found:
+                return
+            yield found
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(s) for s in range(0, self.most, self.PAGE)]
+        """Pages are asked for one after the other, as services want it, by the driver; there are ``max`` entries at most."""
+        out, n = [], 0
+        for page in self._pages():
+            out.append(_Page(page[: self.most - n]))
+            n += len(page)
+            if n >= self.most:
+                break
+        return out or [_Page([])]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as f:
-            entries = json.load(f)
-        entries.sort(key=lambda e: (e["submitted"], e["id"]), reverse=True)
-        for e in entries[partition.start : min(partition.start + self.PAGE, self.most)]:
-            yield (e["id"], e.get("title", ""), e["submitted"])
+        yield from partition.entries
 
 
 class PaperListing(DataSource):
-    """``spark.read.format("paper_listing")``: ids of papers, newest first, page by page up to ``max``.
+    """``spark.read.format("paper_listing")``: ids of papers, newest first, page by page up to ``max`` or an empty page.
 
-    Without a network the pages come from a JSON file (option ``path``) that every executor can open.
+    Options: ``url`` of a service that answers in Atom with ``query`` and ``pause`` (seconds between pages), or ``path`` of a
+    JSON file with the entries.
     """
 
     @classmethod

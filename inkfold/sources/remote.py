@@ -52,5 +52,22 @@ def chat_generator() -> Generator:
     return answer
 
 
+def vision_generator(model: str = "Qwen/Qwen2.5-VL-3B-Instruct", max_tokens: int = 512) -> Generator:
+    """A local vision-language model, loaded once in each worker that has the libraries and the weights."""
+    from transformers import AutoModelForImageTextToText, AutoProcessor
+
+    net, prepare = AutoModelForImageTextToText.from_pretrained(model, dtype="auto", device_map="auto"), AutoProcessor.from_pretrained(model)
+
+    def complete(question: str, sources: list[dict]) -> str:
+        asked = PROMPT.format(sources="\n\n".join(f"[{c['source_id']}] {c['snippet']}" for c in sources), question=question)
+        text = prepare.apply_chat_template([{"role": "user", "content": asked}], tokenize=False, add_generation_prompt=True)
+        given = prepare(text=[text], return_tensors="pt").to(net.device)
+        made = net.generate(**given, max_new_tokens=max_tokens)[:, given["input_ids"].shape[1] :]
+        return prepare.batch_decode(made, skip_special_tokens=True)[0].strip()
+
+    return lambda questions, citations: [complete(q, cs) if cs else "" for q, cs in zip(questions, citations)]
+
+
 register_generator("chat", chat_generator)
+register_generator("qwen-vision", vision_generator)
 register_generator("deepseek", chat_generator)

@@ -29,13 +29,31 @@ def dense_records(chunks: DataFrame, dim: int = DIM) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("id"), F.coalesce("embedding", zero).alias("vector"), "content", "modality", "paper_id")
 
 
-def create_vector_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id STRING, vector ARRAY<FLOAT>, content STRING, modality STRING, paper_id STRING) USING parquet")
+def create_vector_table(spark: SparkSession, name: str, dim: int = DIM, metric: str = "COSINE", path: str | None = None) -> None:
+    """A table for :func:`dense_records`, only if there is none; its dimension and metric are table properties."""
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (id STRING, vector ARRAY<FLOAT>, content STRING, modality STRING, paper_id STRING) USING parquet"
+        f"{place} TBLPROPERTIES ('dimension' = '{dim}', 'metric' = '{metric}')"
+    )
+
+
+def vector_table_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect() if r["key"] in ("dimension", "metric")}
+
 
+def insert_vectors(spark: SparkSession, name: str, records: DataFrame) -> None:
+    """Append records; a vector of another dimension than the table's is an error."""
+    dim = int(vector_table_properties(spark, name)["dimension"])
+    same = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("wrong dimension: "), "id")).cast("array<float>"))
+    records.select("id", same.alias("vector"), "content", "modality", "paper_id").write.insertInto(name)
 
-def reset_vector_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    create_vector_table(spark, name)
+
+def reset_vector_table(spark: SparkSession, name: str, dim: int = DIM, metric: str = "COSINE", path: str | None = None) -> None:
+    """An empty table, whatever was there."""
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE {name}")
+    create_vector_table(spark, name, dim, metric, path)
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
@@ -44,7 +62,7 @@ def write_cases(cases: DataFrame, path: str) -> None:
 
 
 def json_report(summary: DataFrame, tally: DataFrame, results: DataFrame) -> DataFrame:
-    """One row with one JSON text: means, tally and every case. For reports on an evaluation set."""
+    """One row with one JSON text: means, tally and every case. All cases are held in one row: for evaluation sets, which are small."""
     cases = results.agg(F.array_sort(F.collect_list(F.struct("query_id", *[c for c in results.columns if c != "query_id"]))).alias("cases"))
     return (
         summary.select(F.struct("*").alias("aggregate"))
@@ -63,12 +81,17 @@ def _cut(c: Column, n: int) -> Column:
     return F.substring(F.regexp_replace(c, r"[\r\n|]", " "), 1, n)
 
 
+def report_lines(results: DataFrame, cut: int, form: str) -> DataFrame:
+    """query_id, line: a formatted line of question, status, recall and reciprocal rank for each case."""
+    cells = _cut(F.col("question"), cut), F.coalesce("status", F.lit("-")), percent(F.col("recall")), percent(F.col("rr"))
+    return results.select("query_id", F.format_string(form, *cells).alias("line"))
+
+
 def markdown_report(results: DataFrame, summary: DataFrame, cut: int = 50) -> str:
     """Two Markdown tables: the means, and a line per question."""
     s = summary.select("n_cases", *[percent(F.col(c)).alias(c) for c in ("recall", "mrr")], "n_refused").first()
     head = ["| metric | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in s.asDict().items())]
-    line = F.format_string("| %s | %s | %s | %s |", _cut(F.col("question"), cut), F.coalesce("status", F.lit("-")), percent(F.col("recall")), percent(F.col("rr")))
-    rows = [r[0] for r in results.orderBy("query_id").select(line).toLocalIterator()]
+    rows = [r["line"] for r in report_lines(results, cut, "| %s | %s | %s | %s |").orderBy("query_id").toLocalIterator()]
     return "\n".join([*head, "", "| question | status | recall | rr |", "| --- | --- | --- | --- |", *rows])
 
 
@@ -76,8 +99,7 @@ def console_report(results: DataFrame, summary: DataFrame, cut: int = 45) -> str
     """The same figures as plain lines."""
     names = ["recall", "mrr", "citation_precision", "citation_recall", "groundedness"]
     s = summary.select("n_cases", "n_refused", *[percent(F.col(c)).alias(c) for c in names]).first()
-    line = F.format_string("%-" + str(cut) + "s %-9s %8s %8s", _cut(F.col("question"), cut), F.coalesce("status", F.lit("-")), percent(F.col("recall")), percent(F.col("rr")))
-    rows = [r[0] for r in results.orderBy("query_id").select(line).toLocalIterator()]
+    rows = [r["line"] for r in report_lines(results, cut, "%-" + str(cut) + "s %-9s %8s %8s").orderBy("query_id").toLocalIterator()]
     return "\n".join([*(f"{k}: {v}" for k, v in s.asDict().items()), "", *rows])
 
 
