@@ -46,7 +46,7 @@ from .common import Scratch, connected_components, mark_probable, save, slices,
 ROWS = 5
 BANDS = 30
 #: Members in a block.
-BLOCK = 512
+BLOCK = 256
 #: Elements of sets compared at a time inside a block.
 CHUNK = 1 << 20
 

@@ -17,8 +17,9 @@ source and doc_id are no inputs of a score.
 Defined results: a null text counts as empty and gets the score its shape figures
 give; with no usable label at all every score is 0.5, with one label only, that
 label; a labelled doc_id with several rows counts once, with its lowest label;
-repeated rows are scored alike; a null doc_id is not held out; an empty table gives an
-empty result; extra columns of any name pass through :func:`keep_good`.
+repeated rows are scored alike; a null doc_id is not held out; a very long text is counted
+in parts, whole; an empty table gives an empty result; extra columns of any name are ignored by
+:func:`quality_scores` and pass through :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 
 SAMPLE = 1024
 CLASSES = 64
@@ -176,7 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """_row (all columns of ``docs`` as one struct), _score and _predicted for every row of ``docs`` (doc_id, text, ...)."""
-    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     if isinstance(model, float):

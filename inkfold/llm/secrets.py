@@ -20,7 +20,8 @@ language), don't count for a window there, only against it. What is reported is
 part that such a window reaches.
 
 Defined results: null counts as empty, with no spans and the sha256 of the empty
-string; rows are scanned each; an empty table gives an empty result.
+string; a very long text is scanned whole; repeated rows are scanned each; other columns
+of any name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 from .tokens import fast_encoder
 
 KINDS = ("assign", "access", "hex", "token")
@@ -193,7 +194,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token"],
             )
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(
         scan,

@@ -10,7 +10,8 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 Path: from there up to ``?``, ``#`` or the end. A null url or one without ``://`` has
 both empty and is judged by the method's intercept alone. A rule fits its host and
 all subdomains when the path starts with the rule's path; the longest rule wins.
-Empty tables give empty results; repeated rows are judged each.
+Empty tables give empty results; repeated rows and rows without page_id are judged
+each; a very long url is judged whole; other columns of any name are ignored.
 """
 
 from __future__ import annotations

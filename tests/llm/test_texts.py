@@ -237,6 +237,109 @@ def test_keys_beside_base_spans_are_found():
     assert [k for _, k, _ in found(text)] == [2, 3] and found(text)[1][2] == len(text)
 
 
+def naive_known(run):
+    """The characters that don't count for a window: parts that are words, names or digests, and UUIDs."""
+    known = [False] * len(run)
+    for m in re.finditer("[A-Za-z0-9+]+", run):
+        part = m[0]
+        letters = re.fullmatch("[A-Z]+|[A-Z]?[a-z]+", part)
+        word = letters and len(part) >= secrets.RATIO * min(len(full_ids(w)) for w in (part, part.lower(), " " + part.lower()))
+        digest = len(part) in (32, 40, 64, 96, 128) and re.fullmatch("[0-9A-Fa-f]+", part)
+        if word or digest or secrets._is_name(part):
+            known[m.start() : m.end()] = [True] * len(part)
+    for m in re.finditer("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run):
+        known[m.start() : m.end()] = [True] * len(m[0])
+    return known
+
+
+def naive_hidden(run):
+    """Every window between two tokens, of any length, in the two passes that the module tells of."""
+    known = naive_known(run)
+    part = {i: (m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+]+", run) for i in range(m.start(), m.end())}
+    cuts, at = [0], 0
+    for b in secrets.fast_encoder().decode_tokens_bytes(full_ids(run)):
+        at += len(b)
+        cuts.append(at)
+    pieces = list(zip(cuts, cuts[1:]))
+    inside = [[i for i in range(a, b) if i in part] for a, b in pieces]
+    odd = [bool(x) and not known[x[-1]] for x in inside]
+    edge = [not x or o or part[x[-1]][1] - part[x[-1]][0] <= 3 for x, o in zip(inside, odd)]
+    near = [x[-1:] or [i for i in (a - 1, b) if 0 <= i < len(run)] for x, (a, b) in zip(inside, pieces)]
+    score = [min(secrets.RATIO - (b - a), 0 if any(known[i] for i in n) else 9) for n, (a, b) in zip(near, pieces)]
+    if all(known[a] for a, _ in part.values()):
+        return []
+    for allowed in (odd, edge):
+        spots = set()
+        for i in range(len(pieces)):
+            for j in range(i, len(pieces)):
+                length, window = pieces[j][1] - pieces[i][0], range(pieces[i][0], pieces[j][1])
+                held = [k for k in window if k in part]
+                if allowed[i] and allowed[j] and 20 <= length and sum(score[i : j + 1]) > 0 and held:
+                    spots.add((part[held[0]][0], part[held[-1]][1]))
+        merged = []
+        for a, b in sorted(spots):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        merged = [(a, b) for a, b in merged if re.search("[A-Za-z]", run[a:b])]
+        if merged:
+            return merged
+    return []
+
+
+def naive_token_spans(text, base):
+    free = [True] * len(text)
+    for a, _, b in base:
+        free[a:b] = [False] * (b - a)
+    out, at = [], 0
+    chars = [c if f else "\n" for c, f in zip(text, free)]
+    for m in re.finditer("[A-Za-z0-9+/_=.-]{20,}", "".join(chars)):
+        run, at = m[0], m.start()
+        digest = len(run) in (32, 40, 64, 96, 128) and re.fullmatch("[0-9A-Fa-f]+", run) or re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run)
+        ratio = len(run) / len(full_ids(run))
+        if re.search("[A-Za-z]", run) and not digest and ratio < secrets.RATIO and not secrets._is_name(run):
+            out.append((at, 3, at + len(run)))
+        else:
+            out += [(at + a, 3, at + b) for a, b in naive_hidden(run)]
+    return out
+
+
+WORDS = ["document", "archive", "www", "example", "com", "Access", "KEY", "v2", "2024", "international", "d41d8cd98f00b204e9800998ecf8427e", "x", "und", "einlich"]
+
+
+def runs_of_parts(seed, n):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.integers(1, 7)):
+            if rng.random() < 0.4:
+                parts.append("".join(rng.choice(list(LOWER + UPPER + DIGITS), rng.integers(1, 40))))
+            else:
+                parts.append(str(rng.choice(WORDS)))
+        out.append(str(rng.choice(list("/._-="))).join(parts))
+    return out
+
+
+def test_token_spans_against_brute_force(spark):
+    rows = [*runs_of_parts(1, 300), *SECRET_TEXTS, *(" ".join(runs_of_parts(k, 4)) + " token=abcdefgh" for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r, t in zip(secrets.scan_secrets(df).orderBy("doc_id").collect(), rows):
+        base = naive_spans(t)
+        want = naive_token_spans(t, base)
+        assert r.n_token == len(want) and r.spans == secrets.joined(base + want), t
+    assert sum(bool(naive_token_spans(t, naive_spans(t))) for t in rows) > 100
+
+
+def test_secrets_with_clashing_columns_and_very_long_text(spark):
+    key = "x7Kp2QmZ9vRt4LwN8sYb1DfH6jCg3A"
+    long_ = "plain words here " * 100_000 + key
+    df = spark.createDataFrame([(1, long_, 5, "a"), (2, "plain", 5, "a")], "doc_id long, text string, n_token int, spans string")
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert got == {1: f"token:{len(long_) - len(key)}:{len(long_)}", 2: ""}
+
+
 def test_names_are_not_random():
     for t in (
         "//www.example.org/documents/123e4567-e89b-12d3-a456-426614174000/download/archive/final",
