@@ -9,7 +9,7 @@ with nothing.
 2. Each class has a key in each of several tables: the signs of random projections, with
    the label and the dimension. The number of signs grows with the logarithm of the
    largest label's number of classes, so that unrelated vectors of a label share about one
-   bucket in four tables at any size; the number of tables is then what keeps the chance
+   bucket in sixteen tables at any size; the number of tables is then what keeps the chance
    that a pair at the least cosine shares none at ``MISS``. Classes with a key in common
    are candidates.
 3. Only keys are exploded; vectors are joined to the members of buckets that have more
@@ -53,7 +53,7 @@ _odd = np.random.default_rng(5).integers(1, 1 << 62, 4, dtype=np.uint64) * np.ui
 
 def settings(classes: int, least: float) -> tuple[int, int]:
     """(bits, tables) for a label of so many different vectors and pairs at cosine ``least``."""
-    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(2, classes))) + 2))
+    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(2, classes))) + 4))
     alike = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi  # chance of one sign to agree
     return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-(alike**bits)))) if alike < 1 else 1
 
