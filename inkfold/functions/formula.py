@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from .text import count_of, strip
 
 # Alternatives of a math font's name, symbol sets and common words.
-MATH_FONTS = (
-    "cmr cmmi cmsy cmex cmbx cmti cmss cmb cmdunh symbol mtextra stix stixgeneral mathjax mtmi mtsy mtm mtext euclid euler rsfs math"
-).split()
+MATH_FONTS = [
+    "cmr", "cmmi", "cmsy", "cmex", "cmbx", "cmti", "cmss", "cmb", "cmdunh", "symbol", "mtextra", "stix", "stixgeneral", "mathjax", "mtmi",
+    "mtsy", "mtm", "mtext", "euclid", "euler", "rsfs", "math",
+]
 STRONG = "∫∑∏√∛±×÷∂∇∞≈≠≤≥≡∝∈∉⊂⊃∪∩∀∃∅→←⇒⇔↦⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
-SYMBOLS = STRONG + "αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ↑↓"
+SYMBOLS = "∫∑∏√∛±×÷∂∇∞≈≠≤≥≡∝∈∉⊂⊃∪∩∀∃∅→←⇒⇔↦⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ↑↓"
 ASCII_MATH = "=+-*/^_(){}[]<>|"
-COMMON_WORDS = (
-    "the is are was were we this that these those and or with from have has had been which what how does do did can could "
-    "will would not but all any one two a an of to in on for by as at"
-).split()
+COMMON_WORDS = [
+    "the", "is", "are", "was", "were", "we", "this", "that", "these", "those", "and", "or", "with", "from", "have", "has", "had", "been",
+    "which", "what", "how", "does", "do", "did", "can", "could", "will", "would", "not", "but", "all", "any", "one", "two", "a", "an", "of",
+    "to", "in", "on", "for", "by", "as", "at",
+]
 LATEX = r"\\[a-zA-Z]+|\^\{|_\{"
 
 

@@ -22,7 +22,7 @@ def _steps(text: Column, size: int, overlap: int) -> Column:
     """
     if size <= 2 * overlap:
         raise ValueError("a window must be longer than two overlaps")
-    end = f".{{{size - 2 * overlap},{size - overlap - 1}}}(?=.{{{overlap}}} )|.{{{size - overlap}}}"
+    end = f".{{{size - 2 * overlap},{size - overlap - 1}}}(?=.{{{overlap}}} )|.{{{size - overlap}}}" if overlap else f".{{{size}}}"
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=.{{{size + 1}}})(?:{end})|.{{1,{size}}}"), 0)
 
 

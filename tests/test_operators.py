@@ -1,12 +1,19 @@
 import hashlib
 import json
+import sys
+import threading
+import time
+import types
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkfold.operators import adapters, answer, chunking, embedding, evaluate, evalset, layout, quality, retrieval, routing
-from inkfold.sources import readers, writers
+from inkfold.sources import parsers, readers, tables, writers
 from inkfold.streaming import pipelines
 
 
@@ -39,6 +46,28 @@ def test_windows(spark):
     assert chunking.split_text(df, "t").where("i in (0, 5)").count() == 0
 
 
+def test_windows_of_a_long_text(spark):
+    """4 MB of text with letters beyond ASCII, in time linear in its length."""
+    texts = ["Ein paar Wörter mit Umlauten äöü. " * 120_000, "x" * 3_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    began = time.perf_counter()
+    rows = chunking.split_text(df, "t").select("i", "window", "start", "end").collect()
+    assert time.perf_counter() - began < 30
+    for i, t in enumerate(texts):
+        assert [(a, b) for _, a, b in sorted((r.window, r.start, r.end) for r in rows if r.i == i)] == plain_windows(t)
+    with pytest.raises(ValueError):
+        chunking.spans(F.lit("x"), F.lit(1), size=300, overlap=150)
+
+
+@pytest.mark.parametrize("size, overlap", [(50, 10), (7, 2), (5, 0)])
+def test_windows_of_other_sizes(spark, size, overlap):
+    rng = np.random.default_rng(size)
+    texts = ["".join(rng.choice(list("ab😀 \n"), n)) for n in (0, 1, size, size + 1, 300, 2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", chunking.spans(F.col("t"), F.length("t"), size, overlap).alias("w")).collect():
+        assert [(x.s, x.e) for x in r.w] == plain_windows(texts[r.i], size, overlap)
+
+
 def test_document_chunks(spark):
     texts = spark.createDataFrame([("21", 0, "a" * 1300, "S"), ("21", 1, "tail of text", None), ("22", 0, " ", None)], "paper_id string, ord int, text string, section string")
     figures = spark.createDataFrame([("21", "fig1", "", None), ("21", "fig2", "cap", "u")], "paper_id string, fig_id string, caption string, image_uri string")
@@ -151,6 +180,23 @@ def test_vector_search(spark):
         assert own == sorted(range(200), key=lambda i: (-round(u[q] @ u[i], 9), i))[:5]
 
 
+def test_vector_search_in_many_blocks(spark, monkeypatch):
+    """More blocks of queries than are broadcast or kept, ties, repeated query ids and vectors of several widths."""
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 1)
+    monkeypatch.setattr(retrieval, "MOST_KEPT", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(0, 2, 3 + i % 2).astype(float).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in retrieval.search_vectors(df, asked, 4, block=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-9) for i, v in rows}
+    for q in range(0, 90, 9):
+        own = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i, v in rows if len(v) == len(unit[q]))[:4]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(own)]
+
+
 def test_fusion(spark):
     hit = "query_id int, chunk_id string, ord int, score double, rank int"
     dense = spark.createDataFrame([(1, "a", 0, 0.9, 1), (1, "b", 1, 0.8, 2)], hit)
@@ -230,6 +276,37 @@ def test_quality_report(spark):
     assert r.modalities == {"figure": 0, "formula": 1, "table": 0, "text": 2}
 
 
+def test_like_questions_are_settled_in_order(spark):
+    """Chains of like questions, in which a rejected one doesn't reject the next."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 12])) for i in range(16)] + [(100, "a b c"), (101, ""), (102, "a b c"), (103, " ".join(words[:12]))]
+    df = spark.createDataFrame(rows, "query_id long, question string")
+    accepted, want = [], {}
+    for q, text in rows:
+        t = {w for w in text.split() if len(w) >= 4}
+        want[q] = not any(t and s and len(t & s) / len(t | s) > 0.5 for s in accepted)
+        accepted += [t] * want[q]
+    assert {r.query_id: r.accepted for r in evalset.reject_near_duplicates(df).collect()} == want and not all(want.values())
+    assert evalset.reject_near_duplicates(df.limit(0)).count() == 0
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words[:14], rng.integers(1, 9)))) for i in range(80)]
+    got = {(r.a, r.b): r.jaccard for r in evalset.similar_questions(spark.createDataFrame(rows, df.schema)).collect()}
+    sets = {i: set(t.split()) for i, t in rows}
+    assert got == {(a, b): j for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) > 0.5}
+
+
+def test_passages_of_any_length(spark):
+    texts = ["one two three four five six seven eight nine", "xone two three", "red  fox", "the redfox jumps over two three four", ""]
+    asked = ["two three four five six seven eight", "two three four", "one two three", "red", "ne tw", "three fou", "d  f", "zzz", "over two three", "x"]
+    corpus = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    df = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    for most in (10_000, 0):
+        evaluate.MOST_SHORT, old = most, evaluate.MOST_SHORT
+        got = {(r.query_id, r.chunk_id) for r in evaluate.gold_by_passage(corpus, df).collect()}
+        evaluate.MOST_SHORT = old
+        assert got == {(q, str(i)) for q, a in enumerate(asked) for i, t in enumerate(texts) if a in t}
+
+
 def test_generated_cases(spark):
     df = spark.createDataFrame([("1:c0", "long text", "text"), ("1:c1", "bad", "text")], "chunk_id string, content string, modality string")
 
@@ -244,12 +321,24 @@ def test_generated_cases(spark):
 
         return ask
 
-    got = evalset.generated_cases(df.coalesce(1), build)
+    got = evalset.generated_cases(df.coalesce(1), build, wait=0)
     assert sorted((r.gold[0], r.kept) for r in got.collect()) == [("1:c0", True), ("1:c1", False)]
     s = evalset.build_stats(got).first()
     assert (s.n_sampled, s.n_kept, s.n_failed, s.success_rate) == (2, 1, 1, 0.5)
 
 
+def test_cases_are_built_in_bounded_attempts(spark):
+    rows = [(f"1:c{i}", f"text {i}", "text", i + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string, modality string, position int")
+    fifth = lambda: lambda m, c: ("What is " + c + "?", "yes" if int(c[5:]) % 5 == 0 else "no")
+    made = evalset.build_cases(df, fifth, 6, wait=0)
+    assert made.where("kept").count() == 4 and made.count() == 18  # three times the target, and no more
+    assert evalset.build_cases(df, lambda: lambda m, c: ("What is " + c, "yes"), 6, wait=0).count() == 6
+    assert evalset.build_cases(df.limit(0), fifth, 6, wait=0).count() == 0
+    broken = evalset.build_cases(df, lambda: lambda m, c: 1 / 0, 2, wait=0)
+    assert broken.count() == 6 and broken.where("kept").count() == 0
+
+
 def test_files_parsers_and_cache(spark, tmp_path):
     for name, body in (("b.pdf", b"hello"), ("a.pdf", b"\xff\xfe"), ("c.txt", b"no")):
         (tmp_path / name).write_bytes(body)
@@ -281,6 +370,8 @@ def test_listing_source(spark, tmp_path):
     rows = spark.read.format("paper_listing").option("path", str(tmp_path / "l.json")).option("max", "120").load()
     want = sorted(entries, key=lambda e: (e["submitted"], e["id"]), reverse=True)[:120]
     assert {r.id for r in rows.collect()} == {e["id"] for e in want}
+    assert spark.read.format("paper_listing").option("path", str(tmp_path / "l.json")).load().count() == 100
+    assert readers.listing_query() == "cat:cs.CL" and readers.listing_query(None, "rag") == 'all:"rag"'
     assert readers.listing_query(["cs.CL", "cs.AI"], "rag") == '(cat:cs.CL OR cat:cs.AI) AND all:"rag"'
     seen = str(tmp_path)
 
@@ -320,6 +411,11 @@ def test_vector_table_and_reports(spark, tmp_path):
     writers.create_vector_table(spark, "test_vectors")
     r = spark.table("test_vectors").first()
     assert len(r.vector) == 384 and not any(r.vector)
+    assert writers.vector_table_properties(spark, "test_vectors") == {"dimension": "384", "metric": "COSINE"}
+    writers.reset_vector_table(spark, "test_vectors", dim=2, metric="L2")
+    assert spark.table("test_vectors").count() == 0 and writers.vector_table_properties(spark, "test_vectors")["metric"] == "L2"
+    with pytest.raises(Exception, match="wrong dimension: a:c0"):
+        writers.insert_vectors(spark, "test_vectors", writers.dense_records(chunks))
     spark.sql("DROP TABLE test_vectors")
     results = spark.createDataFrame(
         [(1, "a | long question " * 5, True, "answered", 1.0, 0.5, None, None, None), (2, "q", False, "refused", None, 0.0, None, None, None)],
@@ -346,3 +442,77 @@ def test_stream_restarts(spark, tmp_path):
     docs.where("doc_id >= 3").write.mode("append").parquet(str(tmp_path / "in"))
     go()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * first == 12
+
+
+def test_remote_listing(spark):
+    """A service that answers in Atom, page by page, until a page is empty."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            start, n = int(q["start"][0]), int(q["max_results"][0])
+            asked.append((q["search_query"][0], start, n))
+            entries = "".join(f"<entry><id>http://x/abs/2610.{i:05d}v2</id><title>t{i}</title><published>2026-01-01</published></entry>" for i in range(start, min(start + n, 230)))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(f'<feed xmlns="http://www.w3.org/2005/Atom">{entries}</feed>'.encode())
+
+        def log_message(self, *x):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(readers.PaperListing)
+    load = lambda most: spark.read.format("paper_listing").options(url=f"http://127.0.0.1:{server.server_port}/q", pause="0", max=str(most)).load()
+    rows = load(1000).collect()
+    assert [r.id for r in rows] == [f"2610.{i:05d}v2" for i in range(230)] and rows[7].title == "t7"
+    assert {a[0] for a in asked} == {"cat:cs.CL"} and max(a[1] for a in asked) == 300
+    assert load(120).count() == 120
+    server.shutdown()
+
+
+def test_tables_of_engines_through_their_adapters(spark):
+    def docling(name, content):
+        return [{"kind": "text", "text": "first"}, {"kind": "text", "text": " "}, {"kind": "text", "text": "second"}, {"kind": "table", "text": "| a |"}, {"kind": "figure", "text": ""}]
+
+    def surya(name, content):
+        return [{"kind": "line", "text": "ocr line", "page": 1}, {"kind": "region", "text": "Table", "page": 1}, {"kind": "region", "text": "Text", "page": 1}]
+
+    files = spark.createDataFrame([("/a", "a", b"x", "docling"), ("/b", "b", b"x", "surya"), ("/c", "c", b"# T\n\nbody", "utf8"), ("/d", "d", b"x", "nothing")], "path string, paper_id string, content binary, parser string")
+    parsed = readers.parse_documents(files, builders={"docling": lambda: docling, "surya": lambda: surya})
+    assert [r.paper_id for r in parsed.where("error is not null").collect()] == ["d"]
+    got = adapters.adapt(parsers.records(parsed)).select("paper_id", "kind", "ord", "text", "page").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [
+        Row(paper_id="a", kind="text", ord=0, text="first", page=None), Row(paper_id="a", kind="text", ord=1, text="second", page=None),
+        Row(paper_id="a", kind="table", ord=0, text="| a |", page=None), Row(paper_id="a", kind="figure", ord=0, text="", page=None),
+        Row(paper_id="b", kind="text", ord=0, text="ocr line", page=1), Row(paper_id="b", kind="table", ord=0, text="", page=1),
+        Row(paper_id="c", kind=None, ord=0, text="body", page=None),
+    ]))
+
+
+def test_shared_folder_of_one_machine_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_folder(spark, "x")
+
+
+def test_external_parsers(monkeypatch):
+    """The builders of parsers with outside libraries, against stand-ins of those."""
+    module = types.SimpleNamespace
+    item = lambda x: module(text=x, export_to_markdown=lambda: x)
+    doc = module(texts=[item("t")], tables=[item("|a|")], pictures=[1])
+    monkeypatch.setitem(sys.modules, "docling", module())
+    monkeypatch.setitem(sys.modules, "docling.document_converter", module(DocumentConverter=lambda: module(convert=lambda p: module(document=doc))))
+    assert [(e["kind"], e["element_id"], e["text"]) for e in parsers._docling()("n", b"x")] == [("text", "c0", "t"), ("table", "t0", "|a|"), ("figure", "fig0", "")]
+    for name in ("mineru", "mineru.cli", "surya", "pypdfium2"):
+        monkeypatch.setitem(sys.modules, name, module(PdfDocument=lambda b: [module(render=lambda scale: module(to_pil=lambda: scale))]))
+    monkeypatch.setitem(sys.modules, "mineru.cli.client", module(parse_pdf=lambda p, **k: {"markdown": "# m"} if k["formula_enable"] else ""))
+    assert parsers._mineru()("n", b"x")[0]["text"] == "# m"
+    line, region = module(text_lines=[module(text="l")]), module(bboxes=[module(label="Figure")])
+    monkeypatch.setitem(sys.modules, "surya.detection", module(DetectionPredictor=lambda: 1))
+    monkeypatch.setitem(sys.modules, "surya.recognition", module(RecognitionPredictor=lambda: lambda images, det_predictor: [line for _ in images]))
+    monkeypatch.setitem(sys.modules, "surya.layout", module(LayoutPredictor=lambda: lambda images: [region for _ in images]))
+    assert [(e["kind"], e["text"], e["page"]) for e in parsers._surya()("n", b"x")] == [("line", "l", 1), ("region", "Figure", 1)]
+    assert readers.FALLBACK.get("surya") is None
