@@ -51,14 +51,20 @@ def _grams(text: str, shift: int) -> list[int]:
     return [shift + (961 * x + 31 * y + z) % BUCKETS for x, y, z in zip(c, c[1:], c[2:])]
 
 
+def grams_of(url: str) -> list[int]:
+    host, _, path = url.partition("/")
+    return _grams(host, 0) + _grams("/" + path, BUCKETS)
+
+
 @lru_cache(maxsize=1)
-def fitted(rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
+def fitted() -> tuple[int, tuple[int, ...]]:
+    """:func:`train` on the whole labelled table."""
+    return train(BLOCKED, ALLOWED)
+
+
+def train(blocked: list[str], allowed: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
     """(intercept, weights) in micro-units; a positive sum means block."""
-    rows = []
-    for urls, y in ((BLOCKED, 1.0), (ALLOWED, 0.0)):
-        for u in urls:
-            host, _, path = u.partition("/")
-            rows.append((_grams(host, 0) + _grams("/" + path, BUCKETS), y))
+    rows = [(grams_of(u), y) for urls, y in ((blocked, 1.0), (allowed, 0.0)) for u in urls]
     w, bias = [0.0] * (2 * BUCKETS), 0.0
     for _ in range(rounds):
         grad: dict[int, float] = {}
