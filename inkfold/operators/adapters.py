@@ -56,32 +56,41 @@ def merge_short_blocks(blocks: DataFrame, least: int = MERGE_LENGTH) -> DataFram
     """paper_id, ord, text, fonts, page, y0, y1, merged from (paper_id, ord, text, fonts, page, y0, y1).
 
     Short blocks of a paper are joined until they reach ``least`` characters; formulas and long blocks stand alone and
-    end a run. A running sum that starts anew is no window function: the fold runs inside a paper's row. Joined
-    blocks have no page and no box.
+    end a run. A running sum that starts anew is no window function: it is a fold inside a row for each run. Joined blocks
+    have no page and no box.
     """
     kept = blocks.withColumn("text", strip(F.col("text"))).where("text <> ''")
     kept = kept.withColumn("_alone", is_formula(F.col("text"), F.col("fonts")) | (F.length("text") >= least))
-    items = F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("length"), "_alone")))
+    by_place = Window.partitionBy("paper_id").orderBy("ord")
+    # what stands alone ends a run, so the fold sees the lengths of one run, and numbers the groups in it
+    before = F.sum(F.col("_alone").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("_run", F.coalesce(before, F.lit(0)))
 
-    # the fold sees lengths, not texts, and only tells each block the number of its group
     def step(s: Column, x: Column) -> Column:
         size = s["size"] + x["length"] + 1
-        g = F.when(x["_alone"] & (s["size"] > 0), s["group"] + 1).otherwise(s["group"])
-        ends = x["_alone"] | (size >= least)
+        ends = size >= least
         return F.struct(
-            F.when(ends, g + 1).otherwise(g).alias("group"),
+            F.when(ends, s["group"] + 1).otherwise(s["group"]).alias("group"),
             F.when(ends, F.lit(0)).otherwise(size).alias("size"),
-            F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), g.alias("group")))).alias("out"),
+            F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), s["group"].alias("group")))).alias("out"),
         )
 
+    items = F.array_sort(F.collect_list(F.when(~F.col("_alone"), F.struct("ord", F.length("text").alias("length")))))
     start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("size"), F.array().cast("array<struct<ord:bigint,group:int>>").alias("out"))
-    groups = kept.groupBy("paper_id").agg(F.aggregate(items, start, step, lambda s: s["out"]).alias("_g"))
-    groups = groups.select("paper_id", F.explode("_g").alias("_g")).select("paper_id", "_g.ord", F.col("_g.group").alias("_group"))
+    groups = kept.groupBy("paper_id", "_run").agg(
+        F.aggregate(items, start, step, lambda s: s["out"]).alias("_g"), F.max(F.when(F.col("_alone"), F.col("ord").cast("bigint"))).alias("_last")
+    )
+    last = F.when(F.col("_last").isNull(), F.array().cast("array<struct<ord:bigint,group:int>>"))
+    last = last.otherwise(F.array(F.struct(F.col("_last").alias("ord"), F.lit(2**31 - 1).alias("group"))))
+    groups = groups.select("paper_id", "_run", F.explode(F.concat("_g", last)).alias("_g")).select("paper_id", "_run", "_g.*")
+    number = F.dense_rank().over(Window.partitionBy("paper_id").orderBy("_run", "group")) - 1
+    groups = groups.select("paper_id", "ord", number.alias("_group"))
     alone = F.max("_alone")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
     one = lambda c, zero: F.when(alone, F.max(c)).otherwise(zero)
     return (
-        kept.join(groups, ["paper_id", "ord"])
+        kept.drop("_run")
+        .join(groups, ["paper_id", "ord"])
         .groupBy("paper_id", "_group")
         .agg(
             F.array_join(F.transform(ordered, lambda b: b["text"]), " ").alias("text"),

@@ -96,7 +96,7 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFram
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, paper_id, ord, content: every document cut into chunks. No shuffle: a document is one element."""
+    """chunk_id, paper_id, ord, content: every document (doc_id below 9 * 10**12) cut into chunks. No shuffle: a document is one element."""
     docs = tables.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("paper_id"), "doc_id", "text")
     return split_text(docs).select(
         F.concat("paper_id", F.lit(":c"), F.col("window").cast("string")).alias("chunk_id"), "paper_id",

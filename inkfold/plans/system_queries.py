@@ -152,6 +152,16 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.download(listing, fetch, store)
 
 
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of a folder, read whole, and the lines in them."""
+    path = tables.shared_folder(spark, "folder")
+    tables.spread(table(spark, sf_dir, "documents")).select("text").write.text(path)
+    body = F.col("content").cast("string")
+    lines = readers.document_files(spark, path, "*.txt").select(F.explode(F.split(F.substr(body, F.lit(1), F.length(body) - 1), "\n")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- chunks of every kind and their embeddings ----
 def _all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.spread(table(spark, sf_dir, "documents"))
@@ -339,6 +349,22 @@ def generated_case_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalset.build_stats(_made(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
 
 
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, r AS (SELECT *, md5('7:' || chunk_id) AS r FROM chunks), f AS (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY r, chunk_id) > 2 AS INTEGER) AS fill FROM r),
+t AS (SELECT * FROM f ORDER BY fill, r, chunk_id LIMIT 200), p AS (SELECT *, row_number() OVER (ORDER BY md5('8:' || chunk_id), chunk_id) AS position FROM t)
+SELECT chunk_id, 'What is ' || content || '?' AS question, length(content) % 5 = 0 AS kept FROM (SELECT * REPLACE (substr(content, 1, 1500) AS content) FROM p) WHERE position <= 120"""
+)
+def bounded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 cases are wanted and a fifth of the attempts succeed, so three times as many are made, and no more."""
+    sample = evalset.diverse_sample(corpus(spark, sf_dir), 200).withColumn("modality", F.lit("text"))
+
+    def build():
+        return lambda modality, content: (f"What is {content}?", "yes" if len(content) % 5 == 0 else "no")
+
+    made = evalset.build_cases(tables.stored(sample, "sample"), build, 40, wait=0)
+    return made.select(F.get("gold", F.lit(0)).alias("chunk_id"), "question", "kept")
+
+
 _pct = lambda c: f"CASE WHEN {c} IS NULL THEN 'n/a' ELSE format('{{:.1f}}%', {c} * 100) END"
 _cut = lambda n: f"substr(regexp_replace(question, '[\\r\\n|]', ' ', 'g'), 1, {n})"
 
