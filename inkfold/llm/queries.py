@@ -63,5 +63,6 @@ def oracles() -> dict[str, str]:
         "op2_embedding_dedup": embedding_dedup.SQL,
         "op3_mix_sources": mixing.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
+        "op6_sharding": sharding.SQL,
         "op9_url_filter": url_filter.sql(),
     }

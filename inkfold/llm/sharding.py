@@ -109,3 +109,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The heap as a recursion over the groups, largest first; groups of one size take its places in the order of their digests.
+SQL = f"""
+WITH RECURSIVE
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, sha256(coalesce(text, '')) AS grp FROM documents),
+c AS (SELECT doc_id, size, grp, xor(list_reduce(range(CAST(length(h) // 2 AS BIGINT)), lambda v, i: xor(v >> 8, t[1 + (xor(v, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) & 255)]),
+  CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM d, crc_table),
+g AS (SELECT grp, CAST(sum(size) AS BIGINT) AS gs FROM d GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY gs DESC, grp) AS n, row_number() OVER (PARTITION BY gs ORDER BY grp) AS k FROM g),
+lpt(n, gs, shard, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER), list_transform(range({SHARDS}), lambda i: CAST(0 AS BIGINT))
+  UNION ALL
+  SELECT o.n, o.gs, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+         list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + o.gs ELSE x END)
+  FROM lpt JOIN o ON o.n = lpt.n + 1),
+placed AS (SELECT gs, shard, row_number() OVER (PARTITION BY gs ORDER BY shard, n) AS k FROM lpt WHERE n > 0)
+SELECT c.doc_id, c.size, c.text_crc32, 'bytes' AS law, p.shard, row_number() OVER (PARTITION BY p.shard ORDER BY c.doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM c JOIN o ON o.grp = c.grp JOIN placed p ON p.gs = o.gs AND p.k = o.k
+"""
