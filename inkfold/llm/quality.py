@@ -98,28 +98,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def leading(g: np.ndarray, k: int, spare: int = 64, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` leading eigenvalues and eigenvectors of a positive matrix, by subspace iteration in little memory."""
+    if len(g) <= 2 * (k + spare):
+        w, u = np.linalg.eigh(g)
+    else:
+        q = np.random.default_rng(3).standard_normal((len(g), k + spare)).astype(g.dtype)
+        for _ in range(rounds):
+            q = np.linalg.qr(g @ q)[0]
+        w, u = np.linalg.eigh(q.T @ g @ q)
+        u = q @ u
+    return w[::-1][:k], u[:, ::-1][:, :k]
+
+
 class Voter:
     """Labelled vectors and the projection; small enough to broadcast."""
 
     def __init__(self, t: np.ndarray, s: np.ndarray, labels: np.ndarray):
+        """``t`` is used up: it is weighted in place, as it is the largest thing on the driver."""
         self.labels = labels.astype(np.float32)
         self.idf = (np.log((1 + len(t)) / (1 + (t > 0).sum(0))) + 1).astype(np.float32)
         self.mean, self.std = s.mean(0), s.std(0) + 1e-6
-        a = _unit(t * self.idf)
+        t *= self.idf
+        t /= np.maximum(np.sqrt(np.einsum("ij,ij->i", t, t))[:, None], 1e-9)
         # the leading right singular vectors, from the smaller Gram matrix
-        if len(a) <= a.shape[1]:
-            w, u = np.linalg.eigh(a @ a.T)
-            keep = np.argsort(-w)[: min(RANK, len(a))]
-            self.axes = (a.T @ u[:, keep]) / np.sqrt(np.maximum(w[keep], 1e-9))
+        if len(t) <= t.shape[1]:
+            w, u = leading(t @ t.T, RANK)
+            self.axes = (t.T @ u) / np.sqrt(np.maximum(w, 1e-9))
         else:
-            w, u = np.linalg.eigh(a.T @ a)
-            self.axes = u[:, np.argsort(-w)[:RANK]]
+            self.axes = leading(t.T @ t, RANK)[1]
         self.axes = self.axes.astype(np.float32)
-        self.vectors = self.place(t, s)
+        self.vectors = self._beside(t @ self.axes, s)
+
+    def _beside(self, latent: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return _unit(np.hstack([_unit(latent), SHAPE * np.clip((s - self.mean) / self.std, -4, 4)])).astype(np.float32)
 
     def place(self, t: np.ndarray, s: np.ndarray) -> np.ndarray:
-        z = _unit(_unit(t * self.idf) @ self.axes)
-        return _unit(np.hstack([z, SHAPE * np.clip((s - self.mean) / self.std, -4, 4)])).astype(np.float32)
+        return self._beside(_unit(t * self.idf) @ self.axes, s)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -171,8 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
     rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.t)))}.values(), key=lambda r: r.doc_id)
     if len({r.y for r in rows}) < 2:
         return float(rows[0].y) if rows else 0.5
-    t = np.array([np.frombuffer(bytes(r.t), np.float16) for r in rows], np.float32)
-    return Voter(t, np.array([r.s for r in rows]), np.array([r.y for r in rows]))
+    t = np.empty((len(rows), CLASSES * CLASSES), np.float32)
+    for i, r in enumerate(rows):
+        t[i] = np.frombuffer(r.t, np.float16)
+    s, y = np.array([r.s for r in rows]), np.array([r.y for r in rows])
+    del rows
+    return Voter(t, s, y)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
