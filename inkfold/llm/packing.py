@@ -253,27 +253,23 @@ def plan_best_fit(left: dict[int, list[tuple[int, int]]], room: dict[int, list[t
         for lo, hi in left[x]:
             while lo < hi:
                 i = bisect_left(places, x)
+                r = places[i] if i < len(places) else capacity
+                each = r // x  # a sequence stays the best fit until it can't hold another
+                q, layers = max(1, (hi - lo) // each), min(each, hi - lo)
                 if i < len(places):
-                    r = places[i]
                     at, n = open_[r].pop()
-                    q = min(n, hi - lo)
+                    q = min(q, n)
                     if q < n:
                         open_[r].append((at + q, n - q))
                     if not open_[r]:
                         del open_[r]
                         places.pop(i)
+                else:
+                    at, used = used, used + q
+                for _ in range(layers):
                     steps.append((x, lo, q, at))
-                    put(r - x, (at, q))
                     lo += q
-                else:  # as many new sequences as these pieces fill, each with as many as it holds
-                    each = capacity // x
-                    n = max(1, (hi - lo) // each)
-                    layers = min(each, hi - lo)
-                    for _ in range(layers):
-                        steps.append((x, lo, n, used))
-                        lo += n
-                    put(capacity - layers * x, (used, n))
-                    used += n
+                put(r - layers * x, (at, q))
     return steps, used
 
 
