@@ -138,3 +138,28 @@ def test_compare(spark):
 
     got = compare({"a": lambda: spark.range(10), "b": lambda: spark.range(1000)}, units=10)
     assert set(got) == {"a", "b"} and min(x["speed"] for x in got.values()) == 1.0
+
+
+def test_vision_generator(monkeypatch):
+    """A local model behind the usual interface of such libraries."""
+    import numpy as np
+
+    class Given(dict):
+        def to(self, device):
+            return self
+
+    class Processor:
+        def apply_chat_template(self, messages, tokenize, add_generation_prompt):
+            return messages[0]["content"]
+
+        def __call__(self, text, return_tensors):
+            self.asked = text[0]
+            return Given(input_ids=np.zeros((1, 4), int))
+
+        def batch_decode(self, ids, skip_special_tokens):
+            return [f" {ids.shape[1]} new; {'[a] s' in self.asked} "]
+
+    loads = lambda made: types.SimpleNamespace(from_pretrained=lambda name, **k: made)
+    net = types.SimpleNamespace(device="cpu", generate=lambda input_ids, max_new_tokens: np.zeros((1, 4 + max_new_tokens), int))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoProcessor=loads(Processor()), AutoModelForImageTextToText=loads(net)))
+    assert remote.vision_generator(max_tokens=7)(["q", "r"], [[{"source_id": "a", "snippet": "s"}], []]) == ["7 new; True", ""]
