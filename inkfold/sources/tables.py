@@ -40,8 +40,9 @@ def _own(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in this application's part of the shared folder, which goes when the application ends."""
-    own = _own(spark)
-    _system(spark, own).deleteOnExit(_path(spark, own))
+    own, root = _own(spark), _root(spark)
+    gone = root if root in _local.values() else own
+    _system(spark, gone).deleteOnExit(_path(spark, gone))
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
