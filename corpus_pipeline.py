@@ -2,6 +2,9 @@
 
 Each stage takes any table with (doc_id, text), and for mixing source, and looks at whole texts. Every stage gives an
 empty result for an empty table. All but the last return the columns of their input, of any name and type.
+
+As an application of its own, the pipeline bounds the rows that its session hands to a Python worker at a time, so that
+whole texts take little memory there; operators don't touch the session beyond their own writes.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is scored by its shape alone; rows with equal texts go or stay together, whatever their ids;
     without labels all stay. A very long text is counted in parts, whole.
     """
+    common.set_small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

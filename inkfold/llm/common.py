@@ -17,19 +17,24 @@ from ..sources.tables import remove, shared_folder, spread
 TEXT_ROWS = 500
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def set_small_batches(spark: SparkSession) -> None:
+    """From now on this session hands at most ``TEXT_ROWS`` rows to a Python worker at a time. For whole applications."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= TEXT_ROWS:
+        spark.conf.set(BATCH_KEY, TEXT_ROWS)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """While a table is written, the session hands at most ``TEXT_ROWS`` rows to a Python worker at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if 0 < int(before) <= TEXT_ROWS:
-        yield
-        return
-    spark.conf.set(key, TEXT_ROWS)
+    before = spark.conf.get(BATCH_KEY)
+    set_small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH_KEY, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ with nothing.
    bucket in sixteen tables at any size; the number of tables is then what keeps the chance
    that a pair at the least cosine shares none at ``MISS``. Classes with a key in common
    are candidates.
-3. Only keys are exploded; vectors are joined to the members of buckets that have more
-   than one. Those are compared in blocks of bounded size by matrix products in double
+3. Only keys are exploded; of buckets with the same members one is kept, and vectors are
+   joined to the members of those that have more than one. Those are compared in blocks of bounded size by matrix products in double
    precision. A pair counts in the first table whose key both share, so links are counted
    once; a block hands back sums per member and a forest of links.
 4. Components come from the distributed star algorithm over those forests.
@@ -46,6 +46,8 @@ from .common import Scratch, connected_components, save
 
 #: Signs of a key, at least and at most; chance that a pair at the least cosine shares no key.
 BITS, MOST_BITS, MISS = 12, 32, 1e-6
+#: Bits of a key for the number of its table.
+TABLE_BIT = 16
 #: Members and components in a block.
 BLOCK, ELEMENTS = 2048, 1 << 19
 _odd = np.random.default_rng(5).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,11 +75,12 @@ def table_codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def table_keys(codes: np.ndarray, labels: np.ndarray, dim: int) -> np.ndarray:
-    """64-bit keys (as int64) of codes, with the table, the label and the dimension in them."""
+    """Keys (as int64) of codes: the table in the upper bits, then 48 bits of a hash of code, table, label and dimension."""
     tag = labels.astype(np.uint64) * _odd[0] + np.array([dim], np.uint64) * _odd[1]
     k = (codes.astype(np.uint64) + np.uint64(1)) * _odd[2] + np.arange(codes.shape[1], dtype=np.uint64) * _odd[3] + tag[:, None]
     k = (k ^ (k >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (k ^ (k >> np.uint64(33))).view(np.int64)
+    k = (k ^ (k >> np.uint64(33))) >> np.uint64(TABLE_BIT)
+    return (k | np.arange(codes.shape[1], dtype=np.uint64) << np.uint64(64 - TABLE_BIT)).view(np.int64)
 
 
 def _components(vector: bytes, kind: type) -> np.ndarray:
@@ -114,12 +117,13 @@ def _checked(rows: DataFrame, kind: type) -> DataFrame:
 
 
 def _keyed(classes: DataFrame, kind: type, bits: int, tables: int) -> DataFrame:
-    """node, codes (of all tables, as bytes), keys of every class."""
+    """node, dim, codes (of all tables, as bytes), keys of every class."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors, labels = b.column("vector").to_pylist(), b.column("label").to_numpy()
             codes: list[bytes] = [b""] * len(vectors)
+            dim = [0] * len(vectors)
             keys = np.empty((len(vectors), tables), np.int64)
             for n in set(map(len, vectors)):
                 at = [i for i, v in enumerate(vectors) if len(v) == n]
@@ -127,14 +131,14 @@ def _keyed(classes: DataFrame, kind: type, bits: int, tables: int) -> DataFrame:
                 found = table_codes(x, bits, tables)
                 keys[at] = table_keys(found, labels[at], x.shape[1])
                 for i, c in zip(at, found):
-                    codes[i] = c.tobytes()
+                    codes[i], dim[i] = c.tobytes(), x.shape[1]
             offsets = pa.array(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                ["node", "codes", "keys"],
+                [b.column("node"), pa.array(dim, pa.int32()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                ["node", "dim", "codes", "keys"],
             )
 
-    return classes.select("node", "label", "vector").mapInArrow(key, "node long, codes binary, keys array<long>")
+    return classes.select("node", "label", "vector").mapInArrow(key, "node long, dim int, codes binary, keys array<long>")
 
 
 def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
@@ -145,7 +149,7 @@ def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
             x = np.stack([_components(v, kind) for v in t.column("vector").to_pylist()])
             norm = np.linalg.norm(x, axis=1)
             codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint32).reshape(len(x), -1)
-            table, own = t.column("table")[0].as_py(), t.column("own_block").to_numpy()
+            table, own = t.column("bucket")[0].as_py() >> (64 - TABLE_BIT), t.column("own_block").to_numpy()
             two = t.column("first_block")[0].as_py() != t.column("second_block")[0].as_py()
             node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
             n, found = np.zeros(len(x), np.int64), []
@@ -154,7 +158,7 @@ def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
                 i += lo
                 keep = (i < j) & ((own[i] != own[j]) if two else True)
                 i, j = i[keep], j[keep]
-                new = np.ones(len(i), bool)
+                new = codes[i, table] == codes[j, table]
                 for k in range(0, table, 8):
                     at = np.flatnonzero(new)
                     new[at] = (codes[i[at], k : min(k + 8, table)] != codes[j[at], k : min(k + 8, table)]).all(1)
@@ -195,13 +199,12 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     keyed = scratch.save(_keyed(classes, kind, *settings(largest, least)), "vector-keys")
-    buckets = keyed.select("node", F.posexplode("keys").alias("table", "bucket"))
-    size = F.length("vector") / np.dtype(kind).itemsize
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size")).where("bucket_size > 1")
-    shared = shared.hint("rebalance")  # the join gets its own exchanges, so that it can split a hot bucket
-    held = classes.select("node", "vector", "copies", size.alias("_d")).join(keyed.select("node", "codes"), "node")
-    members = buckets.join(shared, "bucket").join(held, "node").withColumn("bucket_elements", F.col("bucket_size") * F.col("_d"))
-    found = scratch.save(_compare(blocks.block_pairs(members.drop("_d"), "bucket", "node", BLOCK, ELEMENTS), least, kind), "vector-links")
+    # of buckets with the same members the one in the first table stays, which is the first that any two of them share
+    buckets = keyed.select("node", "dim", F.explode("keys").alias("bucket"))
+    members = blocks.drop_repeated_buckets(buckets, "bucket", "node", "dim").drop("dim", "pivot")
+    held = classes.select("node", "vector", "copies").join(keyed.select("node", "codes"), "node")
+    members = blocks.block_pairs(members.join(held, "node"), "bucket", "node", BLOCK, ELEMENTS)
+    found = scratch.save(_compare(members, least, kind), "vector-links")
     links = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     answer = save(

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, shingles
@@ -56,6 +56,8 @@ def _digest(s: np.ndarray) -> bytes | None:
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, mark (as given), n_shingles, digest (null for an empty set) and band keys of each row."""
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, digest, keys = [], [], []
@@ -64,11 +66,11 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
                 digest.append(_digest(s))
                 keys.append(shingles.band_keys(shingles.signature(s, ROWS * BANDS), BANDS, ROWS) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                [b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n_shingles", "digest", "bands"],
             )
 
-    return docs.mapInArrow(summarise, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(summarise, "doc_id long, mark binary, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -85,6 +87,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id long, digest binary, shingles binary").select(_some("doc_id"), "digest", "shingles")
 
 
+def _mark(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _some(doc_id: str) -> Column:
     """An id that is never null; with the digest it still tells a class from all others."""
     return F.coalesce(doc_id, F.lit(-(1 << 63))).alias("rep")
@@ -162,8 +168,10 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), component_id, kept for every row of ``docs`` (doc_id, text)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, mark (digest of the text), n_shingles, digest (of the set, null for an empty one), component_id, kept for every
+    row of ``docs`` (doc_id, text)."""
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(text).alias("mark"), text.alias("text"))
     scratch = Scratch()
     with small_batches(docs.sparkSession):
         rows = save(_summaries(own, width), "minhash-rows")
@@ -181,7 +189,7 @@ def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
         classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "digest"), "minhash-asked"
     )
     held = mark_probable(own, "doc_id", asked.select("rep")).where("_probable")
-    sets = _sets(held, width).dropDuplicates(["rep", "digest"])
+    sets = _sets(held.select("doc_id", "text"), width).dropDuplicates(["rep", "digest"])
     with small_batches(docs.sparkSession):
         sets = scratch.save(
             sets.join(asked.select(_some("rep"), "digest", "node"), ["rep", "digest"]).select("node", "shingles"), "minhash-sets"
@@ -224,7 +232,7 @@ def _decisions(docs: DataFrame, percent: int, width: int) -> DataFrame:
     answer = answer.join(best.hint("rebalance"), "component", "left").select(
         "digest", F.col("best.rep").alias("component_id"), (F.col("digest") == F.col("best.digest")).alias("_stays")
     )
-    own = ["doc_id", "n_shingles", "digest"]
+    own = ["doc_id", "mark", "n_shingles", "digest"]
     kept = F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     some = rows.where("digest is not null").select(*own).join(answer, "digest").withColumn("kept", kept).drop("_stays")
     none = rows.where("digest is null").select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -236,33 +244,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = shingles.WI
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
-    return _decisions(docs, percent, width).drop("digest")
+    return _decisions(docs, percent, width).drop("digest", "mark")
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = shingles.WIDTH) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; of rows equal in doc_id and shingle set, one."""
-
-    @F.arrow_udf("binary")
-    def digest_of(text: pa.Array) -> pa.Array:
-        return pa.array(map(_digest, shingles.shingle_sets(text.to_pylist(), width)), pa.binary())
-
-    said = save(_decisions(docs, percent, width).where("digest is not null").select("doc_id", "digest", "kept"), "minhash-decisions")
+    said = save(_decisions(docs, percent, width).where("digest is not null").select("doc_id", "mark", "digest", "kept"), "minhash-decisions")
+    # texts of one id with the same set: the one with the least mark stays
+    texts = said.groupBy("doc_id", "digest", "mark").agg(F.count(F.lit(1)).alias("_n"), F.first("kept").alias("_kept"))
+    least = F.col("mark") == F.min("mark").over(Window.partitionBy("doc_id", "digest"))
+    texts = texts.select("doc_id", "mark", "_n", (F.col("_kept") & least).alias("_kept"))
     # what goes, or has several rows; all other rows stay where they are
-    open_ = said.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"), F.first("kept").alias("_kept")).where("_n > 1 or not _kept")
-    open_ = save(open_.select(F.col("doc_id").alias("_open"), F.col("digest").alias("_open_digest"), "_kept"), "minhash-open-rows")
+    open_ = texts.where("_n > 1 or not _kept")
+    open_ = save(open_.select(F.col("doc_id").alias("_open"), F.col("mark").alias("_open_mark"), "_kept"), "minhash-open-rows")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     rows = rows.withColumn("_id", F.col("_row.doc_id").cast("long"))
     marked = mark_probable(rows, "_id", open_.select("_open"))
-    same = F.col("_id").eqNullSafe(F.col("_open")) & (F.col("_digest") == F.col("_open_digest"))
-    digest = digest_of(F.coalesce(F.col("_row.text"), F.lit(""))).alias("_digest")
+    same = F.col("_id").eqNullSafe(F.col("_open")) & (F.col("_mark") == F.col("_open_mark"))
+    mark = _mark(F.coalesce(F.col("_row.text"), F.lit(""))).alias("_mark")
     # only rows that may go are shuffled
     out = marked.where("not _probable").select("_row.*")
-    out = out.union(marked.where("_probable").select("_row", "_id", digest).join(open_, same, "left_anti").select("_row.*"))
+    out = out.union(marked.where("_probable").select("_row", "_id", mark).join(open_, same, "left_anti").select("_row.*"))
     again = open_.where("_kept")
     if again.isEmpty():
         return out
-    again_rows = mark_probable(rows, "_id", again.select("_open")).where("_probable").select("_row", "_id", digest)
-    return out.union(again_rows.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*"))
+    again_rows = mark_probable(rows, "_id", again.select("_open")).where("_probable").select("_row", "_id", mark)
+    return out.union(again_rows.join(again, same, "left_semi").dropDuplicates(["_id", "_mark"]).select("_row.*"))
 
 
 SQL = r"""

@@ -14,8 +14,9 @@ ordinary join, in which adaptive execution splits a hot source's partition.
 
 Defined results: null source is a source of its own; a source without bytes, or with
 weight 0, gives no copies; a null text counts as empty; a null doc_id hashes as the
-empty string; rows that repeat a doc_id are repeated alike; an empty table gives an
-empty result; other columns pass through.
+empty string; rows that repeat a doc_id are repeated alike; a very long text weighs its
+bytes and passes through whole; an empty table gives an empty result; other columns pass
+through, but for those named like one of the four that are added.
 """
 
 from __future__ import annotations

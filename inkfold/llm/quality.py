@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import TEXT_ROWS, slices
 
 SAMPLE = 1024
 CLASSES = 64
@@ -195,7 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | flo
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """_row (all columns of ``docs`` as one struct), _score and _predicted for every row of ``docs`` (doc_id, text, ...)."""
+    """_row (all columns of ``docs`` as one struct), _score and _predicted for every row of ``docs`` (doc_id, text, ...).
+
+    Only texts go to the workers, and only scores come back.
+    """
     model = fit(docs, labels, sample)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     if isinstance(model, float):
@@ -203,12 +206,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                texts = [x or "" for x in b.column("_row").field("text").to_pylist()]
-                yield b.append_column("_score", pa.array(held.value.scores(texts), pa.float64()))
+        @F.arrow_udf("double")
+        def score(text: pa.Array) -> pa.Array:
+            parts = [held.value.scores(text.slice(i, TEXT_ROWS).to_pylist()) for i in range(0, len(text), TEXT_ROWS)]
+            return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-        scored = rows.mapInArrow(score, rows.withColumn("_score", F.lit(0.5)).schema)
+        # said to vary, so that a filter on it isn't moved below the exchange that deals few files to all cores
+        scored = rows.withColumn("_score", score.asNondeterministic()(F.coalesce("_row.text", F.lit(""))))
     return scored.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
 
 

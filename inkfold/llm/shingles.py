@@ -88,12 +88,21 @@ def _permuted(x: np.ndarray, odd: tuple[int, ...]) -> np.ndarray:
     return x
 
 
+def _rounded(rank: np.ndarray) -> np.ndarray:
+    """Ranks in 16 bits: exact below 2**13, then rounded down to 13 bits. The order stays, so a minimum of rounded ranks is
+    the rounded minimum; ranks of unlike sets become equal with a chance of some 1e-4, and never fewer of like ones."""
+    shift = np.maximum(np.frexp(rank.astype(np.float32))[1] - 13, 0).astype(np.uint32)
+    return ((shift << np.uint32(12)) + (rank >> shift)).astype(np.uint16)
+
+
 @lru_cache(maxsize=2)
 def _shifted(k: int) -> np.ndarray:
-    """Row x holds the second permutation at x, x + 1, ..., x + k - 1: all its circular shifts at x."""
-    p = np.arange(UNIVERSE + k - 1, dtype=np.uint32)
-    p &= np.uint32(UNIVERSE - 1)
-    return np.lib.stride_tricks.sliding_window_view(_permuted(p, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE3D, 0x27D4EB2F)), k)
+    """Row x holds the second permutation at x, x + 1, ..., x + k - 1: all its circular shifts at x, as rounded ranks."""
+    p = np.empty(UNIVERSE + k - 1, np.uint16)
+    for i in range(0, len(p), 1 << 20):
+        x = np.arange(i, min(i + (1 << 20), len(p)), dtype=np.uint32) & np.uint32(UNIVERSE - 1)
+        p[i : i + len(x)] = _rounded(_permuted(x, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE3D, 0x27D4EB2F)))
+    return np.lib.stride_tricks.sliding_window_view(p, k)
 
 
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:

@@ -113,6 +113,15 @@ def test_structured_words_do_not_collide(spark):
     assert len({tuple(x) for x in swapped}) == 5
 
 
+def test_rounded_ranks_keep_their_order():
+    ranks = np.unique(np.concatenate((np.arange(20_000), np.arange(0, shingles.UNIVERSE, 997), [shingles.UNIVERSE - 1]))).astype(np.uint32)
+    got = shingles._rounded(ranks).astype(np.int64)
+    assert (np.diff(got) >= 0).all() and (got[:8192] == np.arange(8192)).all()
+    changes = np.flatnonzero(np.diff(got))
+    assert len(np.unique(got)) > 0.9 * len(ranks[ranks < 8192]) and (np.diff(ranks[changes].astype(float)) / ranks[changes][1:] < 0.01)[-1000:].all()
+    assert len(np.unique(shingles._permuted(np.arange(shingles.UNIVERSE, dtype=np.uint32), (0x9E3779B1, 0x27D4EB2F)))) == shingles.UNIVERSE
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
