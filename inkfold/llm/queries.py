@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, tokens, url_filter
+from . import embedding_dedup, exact_dedup, merkle, minhash_dedup, mixing, packing, quality, secrets, sharding, suffix_dedup, tokens, url_filter
 from .common import documents
 
 
@@ -48,11 +48,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_embedding_dedup, op3_mix_sources, op4_token_counts, op5_exact_dedup, op6_sharding,
-        op7_secret_scan, op8_packing, op9_url_filter, op10_quality,
+        op7_secret_scan, op8_packing, op9_url_filter, op10_quality, op11_merkle_manifest, op12_suffix_dedup,
     )
 }
 
@@ -65,4 +73,6 @@ def oracles() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_sharding": sharding.SQL,
         "op9_url_filter": url_filter.sql(),
+        "op11_merkle_manifest": merkle.SQL,
+        "op12_suffix_dedup": suffix_dedup.SQL,
     }
