@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.tables import stored
 
 
 def _set(c: Column) -> Column:
@@ -108,9 +111,10 @@ def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.array_join(F.slice("_w", i, 5), " "))
     )
-    keyed = corpus.withColumn("_w", w)
-    by_five = keyed.where(F.size("_w") >= 5).select("chunk_id", "content", F.explode(grams).alias("_g"))
-    by_one = keyed.select("chunk_id", "content", F.explode(F.array_distinct("_w")).alias("_g"))
+    # keys travel without the text they are from
+    keyed = corpus.select("chunk_id", w.alias("_w"))
+    by_five = keyed.where(F.size("_w") >= 5).select("chunk_id", F.explode(grams).alias("_g"))
+    by_one = keyed.select("chunk_id", F.explode(F.array_distinct("_w")).alias("_g"))
     q = passages.select("query_id", "question", F.filter(F.split("question", space), lambda x: x != "").alias("_w")).withColumn("_n", F.size("_w"))
     inner = F.slice("_w", 2, F.greatest(F.col("_n") - 2, F.lit(0)))
     longest = F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
@@ -118,9 +122,12 @@ def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     middle = q.where("_n between 3 and 6").select("query_id", "question", longest.alias("_g"))
     short = q.where("_n < 3").select("query_id", "question")
     hit = F.contains("content", "question")
-    found = by_five.join(long_, "_g").where(hit).select("query_id", "chunk_id").distinct()
+    asked = [by_five.join(long_, "_g")]
     if not middle.isEmpty():
-        found = found.unionByName(by_one.join(middle, "_g").where(hit).select("query_id", "chunk_id").distinct())
+        asked.append(by_one.join(middle, "_g"))
+    # written: few chunks share a key with a passage, and their number is known before the texts are looked at
+    asked = stored(reduce(DataFrame.unionByName, [a.select("query_id", "question", "chunk_id") for a in asked]).distinct(), "passage-candidates")
+    found = corpus.select("chunk_id", "content").join(asked, "chunk_id").where(hit).select("query_id", "chunk_id").distinct()
     n = short.count()
     if n:
         short = F.broadcast(short) if n <= MOST_SHORT else short

@@ -57,6 +57,15 @@ class SparseIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats", "chunks")))
 
 
+def weighted_terms(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of the terms of a written table (term, df); a negative idf becomes a part of the mean. ``stats`` has one row."""
+    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    with_idf = df.join(F.broadcast(stats.select("n_docs")), F.lit(True)).select("term", "df", raw.alias("_idf"))
+    mean = with_idf.agg(F.avg("_idf").alias("_mean"))
+    idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf"))
+    return with_idf.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf"))
+
+
 def build_sparse(corpus: DataFrame) -> SparseIndex:
     """BM25 statistics. Terms are counted inside each chunk's row, so texts are read once and not shuffled; the counts are
     written, and only document frequencies take an exchange, on term, combined map-side."""
@@ -65,12 +74,7 @@ def build_sparse(corpus: DataFrame) -> SparseIndex:
     postings = rows.select("ord", "dl", F.inline("_t")).select("ord", "dl", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
     stats = stored(rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "bm25-stats")
     df = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-df")  # read for the mean and for each term
-    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    with_idf = df.join(F.broadcast(stats.select("n_docs")), F.lit(True)).select("term", "df", raw.alias("_idf"))  # one row
-    mean = with_idf.agg(F.avg("_idf").alias("_mean"))
-    idf = F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf"))
-    terms = with_idf.join(F.broadcast(mean), F.lit(True)).select("term", "df", idf.alias("idf"))
-    return SparseIndex(postings, terms, stats, rows.select("ord", "chunk_id"))
+    return SparseIndex(postings, weighted_terms(df, stats), stats, rows.select("ord", "chunk_id"))
 
 
 def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:

@@ -219,6 +219,20 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(cases, five, answer.answer_questions(asked, ten))
 
 
+def sweep_sql(alphas: list[float], k: int, depth: int) -> str:
+    """Cases under each weight of the dense list, with both lists ``depth`` deep."""
+    lists = f"WITH RECURSIVE {CHUNKS}, {_tokens}, {_asked}, {_sparse(depth)}, {_hash}, {_dense(depth)}"
+    return f"""{lists}, {_gold}, weights AS (SELECT CAST(unnest({list(map(float, alphas))}) AS DOUBLE) AS alpha),
+both_ AS (SELECT query_id, chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank FROM dense{depth} d FULL JOIN sparse{depth} s USING (query_id, chunk_id)),
+scored AS (SELECT alpha, query_id, chunk_id, dense_rank, sparse_rank, coalesce(alpha / dense_rank, 0) + coalesce((1 - alpha) / sparse_rank, 0) AS score FROM both_, weights),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(score, 9) DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank FROM scored),
+top AS (SELECT alpha, query_id, list(chunk_id ORDER BY rank) AS ids FROM ranked WHERE rank <= {k} GROUP BY 1, 2),
+cases AS (SELECT weights.alpha, b.item_id AS query_id, coalesce(gold, []) AS gold, coalesce(ids, []) AS ids FROM weights CROSS JOIN benchmark b
+  LEFT JOIN gold g ON g.query_id = b.item_id LEFT JOIN top t ON t.alpha = weights.alpha AND t.query_id = b.item_id)
+SELECT alpha, query_id, len(gold) > 0 AS answerable, CAST(len(gold) AS INTEGER) AS n_gold, CASE WHEN len(gold) > 0 THEN round(len(list_intersect(gold, ids)) / len(gold), 6) END AS recall,
+round(coalesce(1 / list_min(list_filter(list_transform(gold, lambda g: list_position(ids, g)), lambda p: p > 0)), 0), 6) AS rr, ids[1] AS best_id FROM cases"""
+
+
 @query(
     f"""{_evaluation()} SELECT query_id, answerable, status, CAST(n_gold AS INTEGER) AS n_gold, round(recall, 6) AS recall, round(rr, 6) AS rr,
 round(citation_precision, 6) AS citation_precision, round(citation_recall, 6) AS citation_recall, round(groundedness, 6) AS groundedness FROM res"""

@@ -19,8 +19,8 @@ def _system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where it is set, as the cluster names it. With a local master else a temporary folder, and on
+def root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set, as the cluster names it. With a local master else a temporary folder, and on
     a cluster the warehouse, unless that is a folder of one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,13 +35,13 @@ def _root(spark: SparkSession) -> str:
 
 
 def _own(spark: SparkSession) -> str:
-    return f"{_root(spark)}/_inkfold-{spark.sparkContext.applicationId}"
+    return f"{root(spark)}/_inkfold-{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in this application's part of the shared folder, which goes when the application ends."""
-    own, root = _own(spark), _root(spark)
-    gone = root if root in _local.values() else own
+    own, shared = _own(spark), root(spark)
+    gone = shared if shared in _local.values() else own
     _system(spark, gone).deleteOnExit(_path(spark, gone))
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
