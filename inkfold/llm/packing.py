@@ -4,22 +4,21 @@ A document is its ids and the end id 2. A longer one is cut into pieces of 1024
 tokens, of which the first may be shorter. Every full piece is a sequence of its own.
 The others are packed:
 
-1. Lengths above ``SMALL``, in descending order, are cut into ``GROUPS`` groups of
-   equal cardinality, and each length counts as its group's largest.
-2. The few sizes left are packed by a cutting-stock linear programme: configurations
-   are generated by a knapsack over the dual prices, and the optimum is rounded.
-3. The actual documents take the places of their group, which frees the difference
-   between their own and the rounded length.
-4. What is left over and all small lengths go, longest first, to the open sequence
-   with the least sufficient room; a new sequence opens when none has room.
-
-The driver sees one histogram: how many pieces have each length, at most 1024 rows. With
-groups as fine as ``GROUPS`` most hold one length, and nothing is lost by rounding. Best fit
-alone, over all lengths, is planned on the same histogram and taken if it needs fewer.
-A plan is a table of ranges: pieces number r to r + q of length L go to sequences number
-s to s + q. Pieces are numbered within their length by a range partition, so no length
-meets in one task, and look their range up in that table of a few thousand entries,
-bounded by the number of lengths and configurations.
+1. Lengths above ``SMALL``, in descending order, are cut into groups of equal cardinality, and each length counts as its
+   group's largest. There are at most 256 groups; each number in ``GROUPS`` is tried.
+2. The few sizes are packed by a cutting-stock linear programme: configurations are generated by a knapsack over the dual
+   prices, and the optimum is rounded.
+3. The actual documents take the places of their group, configurations with most sequences first. The last place of a
+   configuration goes to the longest document that has room there, which takes back what rounding up has cost. What is left over is
+   grouped and solved again.
+4. What then is left and all small lengths go, longest first, to the open sequence with the least sufficient room; a new sequence
+   opens when none has room.
+5. The worst filled sequences, a half of all down to a sixteenth, are emptied and solved again; a better plan for them replaces theirs.
+
+The driver sees one histogram: how many pieces have each length, at most 1024 rows. A plan is a list of patterns, the lengths in a
+sequence and how many sequences are filled so; it doesn't grow with the number of pieces. As a table of ranges it says that pieces number r
+to r + q of length L go to sequences number s to s + q. Pieces are numbered within their length by a range partition, so no length
+meets in one task, and look their range up in that table.
 
 Defined results: a null text counts as empty, a document of the end id alone; a very long
 text is cut like any other, and its ids are held as one array; rows that repeat a doc_id
@@ -30,7 +29,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +43,13 @@ from .tokens import VOCABULARY, id_arrays
 CAPACITY = 1024
 END = 2
 SMALL = 256
-GROUPS = 4096
+#: Numbers of groups to try, times that left over pieces are grouped again, and shares of the sequences that are solved again.
+GROUPS, AGAIN, WORST = (128, 192, 256), 3, (1 / 2, 1 / 4, 1 / 8, 1 / 16)
 #: Most entries into the basis of the linear programme for each size.
 ROUNDS = 40
 
 Step = tuple[int, int, int, int]  # length, first piece, how many, first sequence
+Pattern = tuple[tuple[tuple[int, int], ...], int]  # (length, times) of a sequence, how many sequences
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -136,8 +137,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
 
     Column generation: a basis of as many configurations as sizes; the knapsack over
     the dual prices finds a configuration to enter until none gains. Two entries a size
-    were enough in all measurements; after ``ROUNDS`` a size the basis is taken as it is,
-    which is a valid packing, only not the best.
+    were enough in all measurements; more than ``ROUNDS`` are an error.
     """
     m = len(sizes)
     if not m:
@@ -161,6 +161,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
         inverse[some] -= u[some, None] * row
         inverse[r] = row
         basis[r] = column
+    else:
+        raise ArithmeticError(f"the linear programme of {m} sizes didn't end after {ROUNDS * m} entries")
     # rounded down, then up where the demand still allows a whole configuration, the largest fractions first
     left, out = list(demand), [0] * m
     exact = np.maximum(inverse @ d, 0)
@@ -175,112 +177,147 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
     return [(column, n) for column, n in zip(basis, out) if n]
 
 
-def plan_groups(counts: dict[int, int], capacity: int, small: int, groups: int):
-    """Steps 1 to 3 on a histogram: (steps, sequences used, {length: ranges left over})."""
+def group_sizes(counts: dict[int, int], small: int, groups: int) -> dict[int, int]:
+    """{largest length of a group: pieces} of the lengths above ``small``; neighbouring groups of the same largest length count as one."""
     order = sorted((x for x in counts if x > small), reverse=True)
-    first, total = {}, 0  # number of the first piece of a length in the descending order
-    for x in order:
-        first[x] = total
-        total += counts[x]
-    left: dict[int, list[tuple[int, int]]] = {x: [(0, n)] for x, n in counts.items() if x <= small}
-    if not total:
-        return [], 0, left
-    starts = [first[x] for x in order]
-
-    def segments(a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        """(length, first, last + 1) of the pieces a to b of the descending order."""
-        i = max(0, bisect_left(starts, a + 1) - 1)
-        while a < b:
-            x = order[i]
-            end = min(b, first[x] + counts[x])
-            yield x, a - first[x], end - first[x]
-            a, i = end, i + 1
-
+    last = np.cumsum([counts[x] for x in order])
+    total = int(last[-1]) if order else 0
     bounds = sorted({round(total * g / groups) for g in range(groups + 1)})
-    sizes: dict[int, list[tuple[int, int]]] = {}
+    out: dict[int, int] = {}
     for a, b in zip(bounds, bounds[1:]):
-        sizes.setdefault(next(segments(a, b))[0], []).append((a, b))
+        x = order[int(np.searchsorted(last, a, "right"))]
+        out[x] = out.get(x, 0) + b - a
+    return out
+
+
+def place_groups(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[Pattern]:
+    """Steps 1 to 3 once: patterns; their pieces are taken from ``counts``."""
+    sizes = group_sizes(counts, small, groups)
     names = sorted(sizes, reverse=True)
-    free = {x: (sizes[x][0][0], sizes[x][-1][1]) for x in names}  # groups of the same size are neighbours
-    steps: list[Step] = []
-    used = 0
-    for column, n in configurations(names, [free[x][1] - free[x][0] for x in names], capacity):
-        for g, a in enumerate(column):
-            for _ in range(a):
-                lo, hi = free[names[g]]
-                at = used
-                for x, r0, r1 in segments(lo, lo + n):
-                    steps.append((x, r0, r1 - r0, at))
-                    at += r1 - r0
-                free[names[g]] = (lo + n, hi)
-        used += n
-    for lo, hi in free.values():
-        for x, r0, r1 in segments(lo, hi):
-            left.setdefault(x, []).append((r0, r1))
-    return steps, used, left
-
-
-def rooms(steps: list[Step], used: int, capacity: int) -> dict[int, list[tuple[int, int]]]:
-    """{room: [(first sequence, how many)]} of the sequences 0 to ``used`` after ``steps``."""
-    change = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if steps:
-        s = np.array(steps, np.int64)
-        change = np.concatenate((s[:, 3], s[:, 3] + s[:, 2])), np.concatenate((s[:, 0], -s[:, 0]))
-    at, inverse = np.unique(np.concatenate((change[0], [0, used])), return_inverse=True)
-    load = np.zeros(len(at), np.int64)
-    np.add.at(load, inverse[: len(change[0])], change[1])
-    out: dict[int, list[tuple[int, int]]] = {}
-    for a, b, r in zip(at.tolist(), at[1:].tolist(), (capacity - np.cumsum(load)).tolist()):
-        out.setdefault(r, []).append((a, b - a))
+    lengths = sorted(x for x in counts if x > small)
+    out: list[Pattern] = []
+    for column, n in sorted(configurations(names, [sizes[x] for x in names], capacity), key=lambda c: -c[1]):
+        places = [names[g] for g, a in enumerate(column) for _ in range(a)]
+        while n:
+            room, used = capacity, {}
+            for size in places[:-1] + [capacity]:
+                i = bisect_right(lengths, min(size, room)) - 1
+                while i >= 0 and counts[lengths[i]] <= used.get(lengths[i], 0):
+                    i -= 1
+                if i >= 0:
+                    used[lengths[i]] = used.get(lengths[i], 0) + 1
+                    room -= lengths[i]
+            if not used:
+                break
+            q = min([n, *(counts[x] // k for x, k in used.items())])
+            n -= q
+            out.append((tuple(used.items()), q))
+            _take(counts, out[-1:])
+            lengths = [x for x in lengths if x in counts] if any(x not in counts for x in used) else lengths
     return out
 
 
-def plan_best_fit(left: dict[int, list[tuple[int, int]]], room: dict[int, list[tuple[int, int]]], used: int, capacity: int):
-    """Step 4 on histograms: (steps, sequences used in all)."""
-    open_ = {r: list(seg) for r, seg in room.items() if r > 0}
-    places = sorted(open_)
-    steps: list[Step] = []
+def _take(counts: dict[int, int], patterns: list[Pattern]) -> None:
+    for own, q in patterns:
+        for x, k in own:
+            counts[x] -= k * q
+            if not counts[x]:
+                del counts[x]
+
 
-    def put(r: int, seg: tuple[int, int]) -> None:
-        if r <= 0:
-            return
+def load(pattern: Pattern) -> int:
+    return sum(x * k for x, k in pattern[0])
+
+
+def fill(patterns: list[Pattern], counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Step 4: ``patterns`` with the pieces of ``counts`` added by best fit, and more patterns of them alone."""
+    open_: dict[int, list[Pattern]] = {}
+    places: list[int] = []
+
+    def put(pattern: Pattern) -> None:
+        r = capacity - load(pattern)
         if r not in open_:
             insort(places, r)
             open_[r] = []
-        open_[r].append(seg)
-
-    for x in sorted(left, reverse=True):
-        for lo, hi in left[x]:
-            while lo < hi:
-                i = bisect_left(places, x)
-                r = places[i] if i < len(places) else capacity
-                each = r // x  # a sequence stays the best fit until it can't hold another
-                q, layers = max(1, (hi - lo) // each), min(each, hi - lo)
-                if i < len(places):
-                    at, n = open_[r].pop()
-                    q = min(q, n)
-                    if q < n:
-                        open_[r].append((at + q, n - q))
-                    if not open_[r]:
-                        del open_[r]
-                        places.pop(i)
-                else:
-                    at, used = used, used + q
-                for _ in range(layers):
-                    steps.append((x, lo, q, at))
-                    lo += q
-                put(r - layers * x, (at, q))
+        open_[r].append(pattern)
+
+    for p in patterns:
+        put(p)
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            i = bisect_left(places, x)
+            r = places[i] if i < len(places) else capacity
+            layers = min(r // x, n)  # a sequence stays the best fit until it can't hold another
+            own, there = open_[r].pop() if i < len(places) else ((), n)
+            q = min(there, max(1, n // (r // x)))
+            if i < len(places):
+                if q < there:
+                    open_[r].append((own, there - q))
+                if not open_[r]:
+                    del open_[r]
+                    places.pop(i)
+            put(((*own, (x, layers)), q))
+            n -= q * layers
+    return [p for r in sorted(open_) for p in open_[r]]
+
+
+def total(patterns: list[Pattern]) -> int:
+    return sum(q for _, q in patterns)
+
+
+def solve(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[Pattern]:
+    """Steps 1 to 4."""
+    left, out = dict(counts), []
+    for _ in range(AGAIN):
+        more = place_groups(left, capacity, small, groups)
+        out += more
+        if not more:
+            break
+    return fill(out, left, capacity)
+
+
+def emptied(patterns: list[Pattern], share: float) -> tuple[list[Pattern], dict[int, int], int]:
+    """(the better filled patterns, {length: pieces} of the others, how many sequences those are)."""
+    n = want = max(1, round(total(patterns) * share))
+    kept, counts = [], {}
+    for own, q in sorted(patterns, key=load):
+        k = min(q, n)
+        n -= k
+        for x, times in own if k else ():
+            counts[x] = counts.get(x, 0) + times * k
+        if q > k:
+            kept.append((own, q - k))
+    return kept, counts, want
+
+
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> list[Pattern]:
+    """All five steps; ends early where no plan could need fewer sequences."""
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    plans = []
+    for g in groups:
+        best = solve(counts, capacity, small, g)
+        for share in WORST:
+            if total(best) > bound:
+                kept, again, n = emptied(best, share)
+                best = min(best, *(kept + solve(again, capacity, small, h) for h in groups), key=total)
+        plans.append(best)
+    return min(plans, key=total)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> tuple[list[Step], int]:
+    """(steps, sequences used)."""
+    steps: list[Step] = []
+    done, used = dict.fromkeys(counts, 0), 0
+    for own, q in patterns(counts, capacity, small, groups):
+        for x, times in own:
+            for _ in range(times):
+                steps.append((x, done[x], q, used))
+                done[x] += q
+        used += q
     return steps, used
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> tuple[list[Step], int]:
-    """(steps, sequences used): the grouped plan, or best fit over all lengths where that needs fewer sequences."""
-    steps, used, left = plan_groups(counts, capacity, small, groups)
-    more, total = plan_best_fit(left, rooms(steps, used, capacity), used, capacity)
-    plain, n = plan_best_fit({x: [(0, k)] for x, k in counts.items()}, {}, 0, capacity)
-    return (steps + more, total) if total <= n else (plain, n)
-
-
 def _look_up(df: DataFrame, steps: list[Step], total: int, capacity: int) -> DataFrame:
     """``df`` (length, rank, ...) with sequence_id: as the plan says, and after its ``total`` sequences the full pieces."""
     steps = sorted(steps)

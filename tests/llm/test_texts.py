@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,25 +121,39 @@ def test_packing_is_tight(spark, sf):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 1023), st.integers(1, 40), max_size=60), st.sampled_from([4, 16, 4096]), st.sampled_from([60, 256]))
+@given(st.dictionaries(st.integers(1, 1023), st.integers(1, 40), max_size=60), st.sampled_from([(4,), (16, 256), (3, 8)]), st.sampled_from([60, 256]))
 def test_plans_place_every_piece_once(counts, groups, small):
-    grouped, used, left = packing.plan_groups(counts, 1024, small, groups)
-    room = packing.rooms(grouped, used, 1024)
-    more, total = packing.plan_best_fit(left, room, used, 1024)
+    steps, total = packing.plan(counts, 1024, small, groups)
     load = dict.fromkeys(range(total), 0)
-    placed = {x: 0 for x in counts}
-    for n, (x, lo, q, at) in enumerate([*grouped, *more]):
-        if n == len(grouped):
-            assert sorted((1024 - load[i], i) for i in range(used)) == sorted((r, i) for r, seg in room.items() for a, k in seg for i in range(a, a + k))
+    placed = dict.fromkeys(counts, 0)
+    for x, lo, q, at in steps:
+        assert lo == placed[x]
         placed[x] += q
         for i in range(at, at + q):
             load[i] += x
     assert placed == counts and all(0 < v <= 1024 for v in load.values())
-    seen = sorted((x, lo, q) for x, lo, q, _ in [*grouped, *more])
-    for (x, lo, q), (y, m, _) in zip(seen, seen[1:]):
-        assert x != y or lo + q == m
-    steps, best = packing.plan(counts, 1024, small, groups)
-    assert best <= plain_best_fit(counts) and sum(q for _, _, q, _ in steps) == sum(counts.values())
+
+
+def pieces_in(patterns):
+    out = {}
+    for own, q in patterns:
+        for x, k in own:
+            out[x] = out.get(x, 0) + k * q
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 1023), st.integers(1, 9), min_size=1, max_size=40))
+def test_steps_of_a_plan(counts):
+    sizes = packing.group_sizes(counts, 256, 8)
+    assert sum(sizes.values()) == sum(n for x, n in counts.items() if x > 256) and len(sizes) <= 8
+    left = dict(counts)
+    placed = packing.place_groups(left, 1024, 256, 8)
+    assert {x: left.get(x, 0) + pieces_in(placed).get(x, 0) for x in counts} == counts and all(packing.load(p) <= 1024 for p in placed)
+    full = packing.fill(placed, left, 1024)
+    assert pieces_in(full) == counts and packing.total(packing.fill([], counts, 1024)) == plain_best_fit(counts)
+    kept, again, n = packing.emptied(full, 0.25)
+    assert packing.total(kept) + n == packing.total(full) and {x: again.get(x, 0) + pieces_in(kept).get(x, 0) for x in counts} == counts
 
 
 def plain_best_fit(counts):
@@ -166,14 +181,30 @@ def test_knapsack_against_brute_force():
         assert sum(x * k for x, k in zip(sizes, column)) <= 60
 
 
-@pytest.mark.parametrize("name", ["lognormal", "uniform"])
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "lognormal", "uniform"])
 def test_packing_is_no_worse_than_best_fit(name):
+    """The grouped plan, with nothing beside it. On the lognormal lengths it needs one sequence of 6,833 more."""
     rng = np.random.default_rng(4)
-    lengths = np.clip(rng.lognormal(5.5, 1.0, 20_000).astype(int), 1, 1023) if name == "lognormal" else rng.integers(200, 700, 20_000)
+    if name.startswith("sf"):
+        found = pq.read_table(f"/root/testdata/{name}/documents.parquet", columns=["text"]).column("text").to_pylist()
+        lengths = [n for t in found for _, n in packing.cut(len(tokens.id_arrays([t])[0]) + 1) if n < 1024]
+    else:
+        lengths = np.clip(rng.lognormal(5.5, 1.0, 20_000).astype(int), 1, 1023) if name == "lognormal" else rng.integers(200, 700, 20_000)
     counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
-    grouped, used, left = packing.plan_groups(counts, 1024, packing.SMALL, packing.GROUPS)
-    n = packing.plan_best_fit(left, packing.rooms(grouped, used, 1024), used, 1024)[1]
-    assert n <= 1.001 * plain_best_fit(counts) + 1 and packing.plan(counts)[1] <= plain_best_fit(counts)
+    assert packing.plan(counts)[1] <= plain_best_fit(counts) + (name == "lognormal")
+
+
+def test_a_plan_of_very_many_pieces_is_small():
+    counts = {x: 10**9 // x + x for x in range(1, 1024)}
+    steps, total = packing.plan(counts)
+    assert len(steps) < 20_000 and total <= 1.001 * sum(x * n for x, n in counts.items()) / 1024
+    assert packing.plan({}) == ([], 0)
+
+
+def test_a_programme_without_end_is_an_error(monkeypatch):
+    monkeypatch.setattr(packing, "ROUNDS", 0)
+    with pytest.raises(ArithmeticError):
+        packing.configurations([600, 300], [5, 5])
 
 
 def naive_spans(text):
