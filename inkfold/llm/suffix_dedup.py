@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ SPAN = LEAST - GRAM + 1
 #: Share of all anchors above which a slot is settled by an aggregate and a join.
 HOT = 1e-5
 #: Bytes that are scanned at a time, anchors that a task counts at a time, and mean anchors of a bucket.
-PART, COUNTED, BUCKET = 1 << 18, 1 << 22, 1 << 18
+PART, COUNTED, BUCKET = 1 << 17, 1 << 22, 1 << 18
 #: Windows that are sorted at a time.
 SORTED = 1 << 18
 
@@ -68,6 +69,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _ROOM = 2 * PART + 256
 _UP, _DOWN = _powers(_MULTIPLIER, _ROOM), _powers(pow(_MULTIPLIER, -1, 1 << 64), _ROOM)
+#: The upper bits of a product with it depend on all bits; only upper bits of a gram's hash are used.
+_SPREAD, _PLACES = _DOWN * np.uint64(0xD6E8FEB86659FD93), np.arange(_ROOM, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,8 +109,11 @@ class Part:
         n = len(data)
         whole = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[data] * _UP[:n], out=whole[1:])
-        gram = _mix((whole[GRAM:] - whole[:-GRAM]) * _DOWN[: n - GRAM + 1])
-        best = _sliding_min((gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64), SPAN)
+        gram = whole[GRAM:] - whole[:-GRAM]
+        gram *= _SPREAD[: len(gram)]
+        best = gram & ~_PLACE
+        best |= _PLACES[: len(gram)]
+        best = _sliding_min(best, SPAN)
         base = np.array([p[2] for p in pieces])
         own = np.zeros(len(best) + 1, np.int8)
         first = start[:-1] + np.array([p[3] for p in pieces]) - base
@@ -131,12 +137,20 @@ class Part:
         self.low = self.at - start[piece] + base[piece]
         self.high = self.low + to - self.at
 
-    def windows(self) -> pa.Array:
-        """The bytes of each anchor's windows."""
-        size = self.high - self.low + LEAST
-        ends = np.cumsum(np.concatenate(([0], size)))
-        take = np.arange(ends[-1]) + np.repeat(self.at - ends[:-1], size)
-        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.data[take])])
+    def windows(self) -> tuple[pa.Array, np.ndarray]:
+        """(the bytes from each anchor's first window on, the anchors in their order).
+
+        As many bytes as the longest neighbourhood has, copied as rows of one width; anchors of longer runs come last, with all of theirs.
+        """
+        width, size = SPAN + LEAST - 1, self.high - self.low + LEAST
+        short, long_ = np.flatnonzero(size <= width), np.flatnonzero(size > width)
+        padded = np.concatenate((self.data, np.zeros(width, np.uint8)))
+        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[self.at[short]]
+        more = [self.data[a : a + n] for a, n in zip(self.at[long_], size[long_])]
+        ends = np.cumsum(np.concatenate(([0], np.full(len(short), width), size[long_])))
+        data = np.concatenate((rows.ravel(), *more))
+        found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        return found, np.concatenate((short, long_))
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Part]]:
@@ -211,14 +225,16 @@ def shared_slots(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def anchors(texts: DataFrame, bits: int, windows: bool = False) -> DataFrame:
-    """doc_id, key, slot, hood, low, high, and if asked the windows' bytes, of every anchor of ``texts`` (doc_id, key, text binary)."""
+    """doc_id, key, slot, hood, low, high, and if asked the bytes from the first window on, of every anchor of ``texts`` (doc_id, key, text binary)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, part in scan(batches):
-            cols = [b.column("doc_id").take(pa.array(part.row)), b.column("key").take(pa.array(part.row))]
-            cols += [pa.array(x) for x in (_slots(part.gram, bits).astype(np.int64), part.hood.view(np.int64), part.low, part.high)]
+            data, order = part.windows() if windows else (None, slice(None))
+            row = pa.array(part.row[order])
+            cols = [b.column("doc_id").take(row), b.column("key").take(row)]
+            cols += [pa.array(x[order]) for x in (_slots(part.gram, bits).astype(np.int64), part.hood.view(np.int64), part.low, part.high)]
             names = ["doc_id", "key", "slot", "hood", "low", "high"]
-            yield pa.RecordBatch.from_arrays([*cols, part.windows()] if windows else cols, [*names, "bytes"] if windows else names)
+            yield pa.RecordBatch.from_arrays([*cols, data] if windows else cols, [*names, "bytes"] if windows else names)
 
     schema = "doc_id long, key long, slot long, hood long, low long, high long" + ", bytes binary" * windows
     return texts.mapInArrow(find, schema)
@@ -239,15 +255,15 @@ def smaller_before(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
         p[bad] = p[p[bad]]
 
 
-def longest_previous(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor reaches the whole window: suffixes cut to ``LEAST`` bytes as rows of ``words`` (big-endian).
+def longest_previous(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor reaches the whole window: ``windows`` are suffixes cut to ``LEAST`` bytes.
 
     In suffix order, the suffixes next before and after with a smaller doc are looked up; a common prefix of all between is one of the two.
     """
-    order = np.lexsort(words.T[::-1])
-    own, d = words[order], doc[order]
+    order = np.argsort(windows, kind="stable")
+    own, d = windows[order], doc[order]
     n = np.arange(len(d))
-    new = np.concatenate(([True], (own[1:] != own[:-1]).any(1)))  # the common prefix with the suffix before is shorter
+    new = np.concatenate(([True], own[1:] != own[:-1]))  # the common prefix with the suffix before is shorter
     first = np.maximum.accumulate(np.where(new, n, 0))
     last = np.append(np.flatnonzero(new)[1:], len(d))[np.cumsum(new) - 1] - 1
     before = smaller_before(d, first)
@@ -257,34 +273,35 @@ def longest_previous(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the text, big-endian words) of every window of ``t`` (low, high, bytes)."""
+def _windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the text, bytes) of every window of ``t`` (low, high, bytes)."""
     low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
     n = high - low + 1
-    data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
+    found = t.column("bytes").to_pylist()
+    data = np.frombuffer(b"".join(found), np.uint8)
     row = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    text = np.cumsum(n + LEAST - 1) - (n + LEAST - 1)
-    found = np.zeros((len(row), -(-LEAST // 8) * 8), np.uint8)
-    found[:, :LEAST] = np.lib.stride_tricks.sliding_window_view(data, LEAST)[text[row] + nth]
-    return row, low[row] + nth, found.view(">u8").astype(np.uint64)
+    size = np.array([len(x) for x in found])
+    text = np.cumsum(size) - size
+    found = np.lib.stride_tricks.sliding_window_view(data, LEAST)[text[row] + nth]
+    return row, low[row] + nth, np.ascontiguousarray(found).view(f"S{LEAST}").ravel()  # of one length, so zero bytes at an end count
 
 
 def repeated_windows(rows: DataFrame, at_once: int = SORTED) -> DataFrame:
     """doc_id, key, start, stop of the windows of ``rows`` (doc_id, key, slot, low, high, bytes) that a smaller doc_id also has.
 
-    Rows of a slot arrive together by rising doc_id. ``at_once`` windows or more are settled at a time; of a slot that goes on, its
-    different windows are carried, as of each the first has the smallest doc_id.
+    Rows of a slot arrive together by rising doc_id, and about ``at_once`` windows are settled at a time: those of whole slots, or a stretch
+    of one slot that goes on. Of that its different windows are carried, as of each the first has the smallest doc_id.
     """
 
     def settle(own: pa.Table, carried: tuple[np.ndarray, np.ndarray] | None):
-        row, place, words = _window_words(own)
+        row, place, windows = _windows(own)
         doc = own.column("doc_id").to_numpy()[row]
         old = 0
         if carried:
             old = len(carried[1])
-            words, doc = np.concatenate((carried[0], words)), np.concatenate((carried[1], doc))
-        hit = longest_previous(words, doc)
+            windows, doc = np.concatenate((carried[0], windows)), np.concatenate((carried[1], doc))
+        hit = longest_previous(windows, doc)
         found = np.flatnonzero(hit[old:])
         start = place[found]
         r = row[found]
@@ -296,33 +313,26 @@ def repeated_windows(rows: DataFrame, at_once: int = SORTED) -> DataFrame:
             [own.column("doc_id").combine_chunks().take(take), own.column("key").combine_chunks().take(take), pa.array(start[at]), pa.array(stop)],
             ["doc_id", "key", "start", "stop"],
         )
-        return batch, (words[~hit], doc[~hit])
+        return batch, (windows[~hit], doc[~hit])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, carried, last = [], 0, None, None
-        for b in batches:
-            for t in runs([b], ["slot"]):
-                slot = t.column("slot")[0].as_py()
-                if size >= at_once or (carried and slot != last):
-                    if held:
-                        out, rest = settle(pa.concat_tables(held), carried)
-                        yield out
-                        carried = rest if slot == last else None
-                    else:
-                        carried = carried if slot == last else None
-                    held, size = [], 0
-                step = max(1, at_once // SPAN)
-                for at in range(0, t.num_rows, step):
-                    piece = t.slice(at, step)
-                    if at:
-                        out, carried = settle(pa.concat_tables(held), carried)
-                        yield out
-                        held, size = [], 0
-                    held.append(piece)
-                    size += int((piece.column("high").to_numpy() - piece.column("low").to_numpy() + 1).sum())
-                last = slot
+        held: list[pa.Table] = []
+        size, carried, whose = 0, None, None
+        for b in slices(batches, max(1, at_once // SPAN)):
+            held.append(pa.Table.from_batches([b]))
+            size += int(pc.sum(pc.subtract(b.column("high"), b.column("low"))).as_py() or 0) + b.num_rows
+            if size < at_once:
+                continue
+            t = pa.concat_tables(held)
+            slot = t.column("slot").to_numpy()
+            cut = int(np.flatnonzero(slot != slot[-1])[-1]) + 1 if slot[0] != slot[-1] else t.num_rows
+            out, rest = settle(t.slice(0, cut), carried if whose == slot[0] else None)
+            yield out
+            carried, whose = (rest, slot[0]) if cut == t.num_rows else (None, None)
+            held = [t.slice(cut)] if cut < t.num_rows else []
+            size = int((held[0].column("high").to_numpy() - held[0].column("low").to_numpy() + 1).sum()) if held else 0
         if held:
-            yield settle(pa.concat_tables(held), carried)[0]
+            yield settle(pa.concat_tables(held), carried if whose == held[0].column("slot")[0].as_py() else None)[0]
 
     return (
         rows.repartition("slot").sortWithinPartitions("slot", "doc_id").mapInArrow(find, "doc_id long, key long, start long, stop long")
@@ -393,13 +403,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     with small_batches(docs.sparkSession):
         slots = scratch.save(shared_slots(texts, bits), "lpf-slots")
         found = mark_probable(anchors(texts, bits), "slot", slots.select("slot")).where("_probable").drop("_probable")
+        found = scratch.save(found, "lpf-anchors")  # read three times
         said = _first_documents(found, slots, 2 * total / (SPAN + 1)).withColumn("repeated", F.col("doc_id") > F.col("first"))
         said = said.where("repeated or not one").select(
             "doc_id", "key", "low", "high", "repeated", *[F.when(~F.col("repeated"), F.col(c)).alias(c) for c in ("slot", "hood")]
         )
         said = scratch.save(said, "lpf-said")
         mark = F.xxhash64("slot", "hood", "doc_id")
-        open_ = mark_probable(anchors(texts, bits, True).withColumn("_mark", mark), "_mark", said.where("not repeated").select(mark.alias("_mark")))
+        first = said.where("not repeated")
+        open_ = mark_probable(anchors(texts, bits, True), "slot", first.select("slot").distinct()).where("_probable").drop("_probable")
+        open_ = mark_probable(open_.withColumn("_mark", mark), "_mark", first.select(mark.alias("_mark")))
         spans = repeated_windows(open_.where("_probable").select("doc_id", "key", "slot", "low", "high", "bytes"))
         spans = said.where("repeated").select("doc_id", "key", F.col("low").alias("start"), (F.col("high") + LEAST).alias("stop")).unionByName(spans)
         spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # no more than a text has anchors

@@ -80,10 +80,10 @@ def test_long_texts_are_scanned_in_parts(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=60))
 def test_longest_previous_factors(rows):
-    words = np.array([[w, 7] for w, _ in rows], np.uint64)
+    windows = np.array([b"x" * 40 + bytes([w % 3]) * (10 - w) + bytes(w) for w, _ in rows], "S50")
     doc = np.array([d for _, d in rows])
-    want = [any(v == w and e < d for v, e in rows) for w, d in rows]
-    assert suffix_dedup.longest_previous(words, doc).tolist() == want
+    want = [any(v == w and e < d for v, (_, e) in zip(windows, rows)) for w, (_, d) in zip(windows, rows)]
+    assert suffix_dedup.longest_previous(windows, doc).tolist() == want
 
 
 def test_windows_of_one_slot_are_carried(spark):
