@@ -182,7 +182,22 @@ def ocr_elements(ocr: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-ADAPTERS = {"mineru": markdown_elements, "docling": structured_elements, "pymupdf": font_block_elements, "surya": ocr_elements}
+def page_elements(parts: DataFrame) -> DataFrame:
+    """paper_id, kind, ord, element_id, text, section of the elements of web pages (paper_id, kind, ord, text, section).
+
+    Paragraphs, list items and loose text are text under their last heading, images are figures; titles, headings, cells and links are left out.
+    """
+    kinds = {"text": "text", "item": "text", "loose": "text", "image": "figure"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("kind"))
+    rows = parts.where(F.col("kind").isin(*kinds)).withColumn("kind", kind)
+    n = F.row_number().over(Window.partitionBy("paper_id", "kind").orderBy("ord")) - 1
+    prefix = F.when(F.col("kind") == "figure", "fig").otherwise("c")
+    return rows.select("paper_id", "kind", n.alias("ord"), F.concat(prefix, n.cast("string")).alias("element_id"), "text", "section")
+
+
+ADAPTERS = {
+    "mineru": markdown_elements, "docling": structured_elements, "pymupdf": font_block_elements, "surya": ocr_elements, "html": page_elements,
+}
 
 
 def adapt(records: dict[str, tuple[DataFrame, ...]]) -> DataFrame:

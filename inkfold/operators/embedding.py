@@ -132,8 +132,8 @@ PAIRS = [
 ]
 
 
-def pair_similarities(spark: SparkSession, build: Callable[[], Embedder], pairs: list[tuple[str, str]] = PAIRS) -> DataFrame:
-    """a, b, dtype, similarity (dot product) of pairs of texts under a model."""
+def pair_similarities(spark: SparkSession, build: Callable[[], Embedder], pairs: list[tuple[str, str]] | DataFrame = PAIRS) -> DataFrame:
+    """a, b, dtype, similarity (dot product) of pairs of texts (a, b) under a model."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
@@ -141,4 +141,5 @@ def pair_similarities(spark: SparkSession, build: Callable[[], Embedder], pairs:
             x, y = model(f["a"].tolist()), model(f["b"].tolist())
             yield f.assign(dtype=str(x.dtype), similarity=(x.astype("float64") * y.astype("float64")).sum(1))
 
-    return spark.createDataFrame(pairs, "a string, b string").mapInPandas(run, "a string, b string, dtype string, similarity double")
+    rows = pairs if isinstance(pairs, DataFrame) else spark.createDataFrame(pairs, "a string, b string")
+    return rows.select("a", "b").mapInPandas(run, "a string, b string, dtype string, similarity double")

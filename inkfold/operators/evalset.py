@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -19,6 +20,8 @@ SEED = 7
 SHARES = {"text": 0.60, "figure": 0.15, "table": 0.15, "formula": 0.10}
 LEAST = {"text": 200, "figure": 10, "table": 10, "formula": 5}
 PROMPT_CUT, LEAST_QUESTION, SAME_ABOVE = 1500, 10, 0.5
+#: Words of a sentence that identifies its passage.
+LEAST_WORDS = 8
 
 
 def shuffled(key: str | Column, seed: int = SEED) -> Column:
@@ -141,6 +144,19 @@ def generated_cases(sample: DataFrame, build: Callable[[], Callable[[str, str],
     return made.select("question", F.array("chunk_id").alias("gold"), F.lit(True).alias("answerable"), "modality", kept.alias("kept"))
 
 
+def first_sentence_writer() -> Callable[[str, str], tuple[str, str]]:
+    """A writer that needs no model: it asks for the passage that begins with a chunk's first sentence, and vouches for sentences of
+    ``LEAST_WORDS`` words or more. A chunk that begins without a sentence is an error."""
+
+    def ask(modality: str, content: str) -> tuple[str, str]:
+        sentence = " ".join(re.split(r"[.!?]", content, maxsplit=1)[0].split())
+        if not sentence:
+            raise ValueError("no sentence")
+        return f"Which {modality} begins with: {sentence[:80]}?", "YES" if len(sentence.split()) >= LEAST_WORDS else "NO"
+
+    return ask
+
+
 def build_cases(
     sample: DataFrame, build: Callable[[], Callable[[str, str], tuple[str, str]]], target: int, factor: int = 3, wait: float = 2.0
 ) -> DataFrame:

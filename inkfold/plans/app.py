@@ -55,15 +55,20 @@ class Store:
         built.write(f"{self.path}/index", 8)
         return retrieval.SparseIndex.read(self.spark, f"{self.path}/index")
 
-    def ask(self, questions: DataFrame, generator: str = "extractive", k: int = 10) -> DataFrame:
+    def ask(self, questions: DataFrame, generator: str = "extractive", k: int = 10, dense: retrieval.Searcher | None = None) -> DataFrame:
         """Answers to (query_id, question), all by one plan."""
-        return answer.answer_questions(questions, self.search(questions, k), generator)
+        return answer.answer_questions(questions, self.search(questions, k, dense), generator)
 
-    def search(self, questions: DataFrame, k: int = 10) -> DataFrame:
+    def search(self, questions: DataFrame, k: int = 10, dense: retrieval.Searcher | None = None) -> DataFrame:
+        """Hybrid search; ``dense`` takes the place of the hash embeddings (hits: query_id, chunk_id, ord, rank)."""
         chunks = self.read("chunks")
         index = retrieval.SparseIndex.read(self.spark, f"{self.path}/index")
-        dense = chunks.select("chunk_id", "ord", embedding_text(F.col("modality"), F.col("content")).alias("content"))
-        fused = retrieval.fuse(retrieval.search_hashed(dense, questions, k), retrieval.search_sparse(index, questions, k), k)
+        if dense is None:
+            texts = chunks.select("chunk_id", "ord", embedding_text(F.col("modality"), F.col("content")).alias("content"))
+            near = retrieval.search_hashed(texts, questions, k)
+        else:
+            near = dense(questions, k)
+        fused = retrieval.fuse(near, retrieval.search_sparse(index, questions, k), k)
         return fused.join(chunks.select("chunk_id", "content"), "chunk_id")
 
     def evaluate(self, cases: DataFrame, generator: str = "extractive", k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:

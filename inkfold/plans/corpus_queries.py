@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.modality import modality_of_id
 from ..operators import chunking, evalset, quality, routing
-from .fixtures import CHUNKS, IDS, corpus, duck_values, literal_rows, strip_sql, table
+from .fixtures import CHUNKS, IDS, corpus, duck_values, literal_rows, over, strip_sql, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +59,7 @@ MIXED = f"mixed AS ({_mixed_sql})"
 
 
 def mixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("_mixed_documents")
-    return spark.sql(_mixed_sql.replace("FROM documents", "FROM _mixed_documents").replace("AS VARCHAR", "AS STRING"))
+    return over(spark, _mixed_sql.replace("AS VARCHAR", "AS STRING"), table(spark, sf_dir, "documents"), "documents")
 
 
 @query(
@@ -115,8 +114,7 @@ _formula_like = r"(contains(content, '^{') OR contains(content, '_{') OR contain
 
 
 def flagged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("_flag_documents")
-    return spark.sql(_flags_sql.replace("FROM documents", "FROM _flag_documents").replace("AS VARCHAR", "AS STRING"))
+    return over(spark, _flags_sql.replace("AS VARCHAR", "AS STRING"), table(spark, sf_dir, "documents"), "documents")
 
 
 @query(
@@ -157,9 +155,8 @@ SELECT paper_id, scanned, round(density, 6) AS formula_density, CASE WHEN scanne
 )
 def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    docs.createOrReplaceTempView("_route_documents")
-    all_ = _route_sql.replace("FROM documents", "FROM _route_documents").replace("AS VARCHAR", "AS STRING")
-    routed = routing.route(spark.sql(all_).select("paper_id"), spark.sql(_pages_sql.replace("ROUTED", all_)))
+    all_ = _route_sql.replace("AS VARCHAR", "AS STRING")
+    routed = routing.route(over(spark, all_, docs, "documents").select("paper_id"), over(spark, _pages_sql.replace("ROUTED", all_), docs, "documents"))
     return routed.withColumn("formula_density", F.round("formula_density", 6))
 
 
@@ -210,8 +207,7 @@ _shared = "len(list_intersect(a.t, b.t))"
 
 
 def near_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "benchmark").createOrReplaceTempView("_near_benchmark")
-    return spark.sql(_asked.replace("FROM benchmark", "FROM _near_benchmark"))
+    return over(spark, _asked, table(spark, sf_dir, "benchmark"), "benchmark")
 
 
 @query(

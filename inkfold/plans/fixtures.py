@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +115,16 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def over(spark: SparkSession, sql: str, frame: DataFrame, name: str) -> DataFrame:
+    """``sql`` with ``frame`` in the place of the table ``name``. The view has a name of its own and is gone once the plan is made."""
+    view = f"{name}_{uuid.uuid4().hex}"
+    frame.createOrReplaceTempView(view)
+    try:
+        return spark.sql(sql.replace(f"FROM {name}", f"FROM {view}"))
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 # ---- DuckDB ----
 DUCK_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

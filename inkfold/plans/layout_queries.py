@@ -12,6 +12,7 @@ from ..sources.tables import spread
 from .corpus_queries import MIXED, MODALITY, mixed_chunks
 from .fixtures import (
     BLOCKS, DUCK_SPACE, FONT_BLOCKS, FORMULAS, IMAGES, REGIONS, TABLES, duck_select, duck_values, literal_rows, orders_as, strip_sql, table,
+    over,
 )
 
 QUERIES: dict = {}
@@ -359,8 +360,7 @@ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id, kind ORDER BY pag
 SELECT paper_id, kind, ord, CASE kind WHEN 'text' THEN 'c' WHEN 'figure' THEN 'fig' ELSE 't' END || ord AS element_id, text, CAST(page_idx + 1 AS INTEGER) AS page FROM n"""
 )
 def ocr_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_ocr_orders")
-    o = spark.sql(_ocr.replace("//", "div").replace("INTEGER", "INT").replace("FROM orders", "FROM _ocr_orders"))
+    o = over(spark, _ocr.replace("//", "div").replace("INTEGER", "INT"), table(spark, sf_dir, "orders"), "orders")
     lines = o.where("o_custkey % 2 = 0").select("paper_id", "page_idx", F.col("no").alias("line_no"), "text")
     regions = o.where("o_custkey % 2 = 1").select("paper_id", "page_idx", F.col("no").alias("region_no"), "label")
     return adapters.ocr_elements(lines, regions)

@@ -9,7 +9,7 @@ from ..functions.text import STOPWORDS
 from ..operators import answer, embedding, evaluate, retrieval
 from ..sources import readers, tables, writers
 from ..streaming import pipelines
-from .fixtures import CHUNKS, questions, stored_corpus, strip_sql, table, words_sql
+from .fixtures import CHUNKS, over, questions, stored_corpus, strip_sql, table, words_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,8 +175,7 @@ _phrases = ", ".join("'" + p.replace("'", "''") + "'" for p in answer.SOFT_REFUS
 AND NOT regexp_matches(answer, '\\[[\\pL\\pN_.\\-:]+:[\\pL\\pN_]+\\]')) AS soft FROM ({_said})"""
 )
 def soft_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents").createOrReplaceTempView("_said_documents")
-    said = spark.sql(_said.replace("FROM documents", "FROM _said_documents"))
+    said = over(spark, _said, table(spark, sf_dir, "documents"), "documents")
     return said.select("doc_id", answer.soft_refusal(F.col("answer")).alias("soft"))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formula as fm
 from ..functions import modality as md
 from ..operators import adapters, answer, chunking, embedding, evalset, evaluate, quality, retrieval
-from ..sources import parsers, readers, tables, writers
+from ..sources import html, parsers, readers, tables, writers
 from . import layout_queries as lq
 from . import retrieval_queries as rq
 from .corpus_queries import MIXED, MODALITY, mixed_chunks
-from .fixtures import CHUNKS, corpus, duck_values, questions, stored_corpus, strip_sql, table, words_sql
+from .fixtures import CHUNKS, DUCK_SPACE, corpus, duck_values, questions, stored_corpus, strip_sql, table, words_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,73 +32,81 @@ def query(sql: str | None = None):
 
 # ---- documents and parsers ----
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file: path, paper_id, content, length, modificationTime, parser."""
+    """Every document as a file of its text: path, paper_id, content, length, modificationTime."""
     k = F.col("doc_id")
-    name = F.element_at(F.array(*[F.lit(p) for p in ("mineru", "docling", "pymupdf", "surya")]), (k % 4 + 1).cast("int"))
     return tables.spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("/papers/"), k.cast("string"), F.lit(".pdf")).alias("path"), k.cast("string").alias("paper_id"), F.col("text").cast("binary").alias("content"),
-        F.octet_length("text").cast("long").alias("length"), F.timestamp_seconds(k).alias("modificationTime"), name.alias("parser"),
+        F.octet_length("text").cast("long").alias("length"), F.timestamp_seconds(k).alias("modificationTime"),
     )
 
 
-def _broken(name: str):
-    def build():
-        def parse(paper: str, content: bytes) -> list[dict]:
-            k = int(paper)
-            if name == "surya" and k % 8 == 3 or name == "mineru" and k % 3 == 0 or name == "docling" and k % 5 < 2 or name == "pymupdf" and k % 7 == 0:
-                raise ValueError(name)
-            text = content.decode()
-            if name == "docling":
-                return [{"kind": "text", "element_id": f"c{i}", "text": t} for i, t in enumerate(text.split("\n"))] + [{"kind": "figure", "element_id": "fig0", "text": ""}]
-            if name == "surya":
-                return [{"kind": "line", "text": text, "page": 1}, {"kind": "region", "text": "Figure", "page": 1}]
-            return [{"kind": "markdown", "element_id": "m0", "text": f"# {name}\n\n{text}"}]
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of its markup, and every document as one of its text; French ones are written in UTF-16."""
+    pages = tables.spread(table(spark, sf_dir, "pages")).select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("paper_id"), F.col("html").cast("binary").alias("content"))
+    docs = tables.spread(table(spark, sf_dir, "documents"))
+    body = F.when(F.col("lang") == "fr", F.encode("text", "UTF-16")).otherwise(F.col("text").cast("binary"))
+    both = pages.unionByName(docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("paper_id"), body.alias("content")))
+    return both.select(F.concat(F.lit("/in/"), "paper_id").alias("path"), "paper_id", "content")
 
-        return parse
 
-    return build
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.stored(readers.parse_documents(_mixed_files(spark, sf_dir), "html"), "parsed")
 
 
-PARSERS = {p: _broken(p) for p in ("mineru", "docling", "pymupdf", "surya")}
-_engine = """CASE doc_id % 4 WHEN 3 THEN CASE WHEN doc_id % 8 <> 3 THEN 'surya' END WHEN 0 THEN CASE WHEN doc_id % 3 <> 0 THEN 'mineru' WHEN doc_id % 5 >= 2 THEN 'docling' WHEN doc_id % 7 <> 0 THEN 'pymupdf' END
-WHEN 1 THEN CASE WHEN doc_id % 5 >= 2 THEN 'docling' WHEN doc_id % 7 <> 0 THEN 'pymupdf' END ELSE CASE WHEN doc_id % 7 <> 0 THEN 'pymupdf' END END"""
-_errors = """array_to_string(list_filter([CASE WHEN doc_id % 4 = 3 THEN 'surya: ValueError: surya' END, CASE WHEN doc_id % 4 = 0 THEN 'mineru: ValueError: mineru' END,
-CASE WHEN doc_id % 4 < 2 THEN 'docling: ValueError: docling' END, CASE WHEN doc_id % 4 < 3 THEN 'pymupdf: ValueError: pymupdf' END], lambda x: x IS NOT NULL), '; ')"""
+#: Pages as blocks: markup that is left out goes, then the text between two tags of blocks has the kind of the tag before it.
+_tags = "|".join((*html.KINDS, *html.CONTAINERS))
+_kinds = " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in html.KINDS.items())
+_unescape = "replace(replace(replace(replace(regexp_replace({}, '&amp$', '&'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_squeezed = f"trim(regexp_replace({_unescape.format('x')}, '[{DUCK_SPACE}]+', ' ', 'g'))"
+PAGES = f"""clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^<>]*$', ''), '<!--.*?-->', '', 'gs'), '<(script|style)>.*?</(script|style)>', '', 'gs'), '<br>', ' ', 'g') AS h FROM pages),
+cutup AS (SELECT page_id, regexp_split_to_array(h, '</?(?:{_tags})(?:\\s[^>]*)?>') AS texts, [''] || regexp_extract_all(h, '<(/?(?:{_tags}))(?:\\s[^>]*)?>', 1) AS tags FROM clean),
+strips AS (SELECT page_id, i, CASE tags[i] {_kinds} ELSE 'loose' END AS kind, regexp_replace(texts[i], '<[^>]*>', '', 'g') AS x FROM cutup, unnest(range(1, len(texts) + 1)) AS u(i)),
+page_blocks AS (SELECT page_id, i, kind, {_squeezed} AS text FROM strips WHERE {_squeezed} <> ''),
+page_parts AS (SELECT 'page' || page_id AS paper_id, i, kind, text, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS section FROM page_blocks)"""
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.stored(readers.parse_documents(_files(spark, sf_dir), builders=PARSERS), "parsed")
+@query(
+    f"""WITH {PAGES}, links AS (SELECT 'page' || page_id AS paper_id, u.n - 1 AS n, hrefs[u.n] AS text FROM (SELECT page_id, regexp_extract_all(h, '<a href="([^"]*)">', 1) AS hrefs FROM clean), unnest(range(1, len(hrefs) + 1)) AS u(n))
+SELECT paper_id, kind, row_number() OVER (PARTITION BY paper_id, kind ORDER BY i) - 1 AS n, text, section FROM page_parts
+UNION ALL SELECT paper_id, 'link', n, {_unescape.format('text')}, NULL FROM links"""
+)
+def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headings, paragraphs, list items, loose texts and links of every page."""
+    e = readers.parse_documents(_mixed_files(spark, sf_dir).where("startswith(paper_id, 'page')"), "html")
+    n = F.regexp_extract("element_id", "([0-9]+)$", 1).cast("long")
+    return e.select("paper_id", "kind", n.alias("n"), "text", F.when(F.col("kind") != "link", F.col("section")).alias("section"))
+
+
+#: A file in UTF-16 begins with a mark that UTF-8 doesn't have.
+_unread = "lang = 'fr'"
 
 
 @query(
-    f"""WITH e AS (SELECT *, {_engine} AS engine FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS paper_id, engine, CASE engine WHEN 'surya' THEN 2 WHEN 'docling' THEN len(string_split(text, chr(10))) + 1 ELSE 1 END AS n_elements,
-CASE WHEN engine IS NULL THEN {_errors} END AS error FROM e"""
+    f"""WITH {PAGES} SELECT paper_id, 'html' AS engine, NULL AS error, n + len(regexp_extract_all(h, '<a href="')) AS n_elements
+FROM (SELECT paper_id, count(*) AS n FROM page_parts GROUP BY 1) JOIN (SELECT 'page' || page_id AS paper_id, h FROM clean) USING (paper_id)
+UNION ALL SELECT 'doc' || doc_id, CASE WHEN {_unread} THEN NULL ELSE 'utf8' END, CASE WHEN {_unread} THEN 'html: UnicodeDecodeError; utf8: UnicodeDecodeError' END, 1 FROM documents"""
 )
 def parser_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-ins of failing parsers, and one error row for a document that none can read."""
-    return _parsed(spark, sf_dir).groupBy("paper_id", "engine", "error").agg(F.count(F.lit(1)).alias("n_elements"))
+    """Pages are parsed as such, plain texts by the stand-in, and a file that neither can read gives one row with both errors."""
+    kinds = F.regexp_replace("error", r"(\w+: \w+): [^;]*", "$1")
+    return _parsed(spark, sf_dir).groupBy("paper_id", "engine", kinds.alias("error")).agg(F.count(F.lit(1)).alias("n_elements"))
 
 
-_whole = f"SELECT CAST(doc_id AS VARCHAR) AS paper_id, '# ' || engine || chr(10) || chr(10) || text AS markdown FROM (SELECT *, {_engine} AS engine FROM documents) WHERE engine IN ('mineru', 'pymupdf')"
+_whole = f"SELECT 'doc' || doc_id AS paper_id, text AS markdown FROM documents WHERE NOT {_unread}"
 _sections = f"""b AS (SELECT paper_id, i, {strip_sql('string_split(markdown, chr(10) || chr(10))[i]')} AS block FROM ({_whole}) m, unnest(range(1, len(string_split(markdown, chr(10) || chr(10))) + 1)) AS u(i)),
 h AS (SELECT *, starts_with(block, '#') AS head, last_value(CASE WHEN starts_with(block, '#') THEN {strip_sql("regexp_replace(block, '^#+', '')")} END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY i) AS section
 FROM b WHERE block <> '')"""
 
 
 @query(
-    f"""WITH e AS (SELECT *, CAST(doc_id AS VARCHAR) AS paper_id, {_engine} AS engine FROM documents), {_sections},
-l AS (SELECT paper_id, i, string_split(text, chr(10))[i] AS text FROM e, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE engine = 'docling')
-SELECT 'mineru' AS parser, paper_id, CAST(NULL AS VARCHAR) AS kind, row_number() OVER (PARTITION BY paper_id ORDER BY i) - 1 AS ord, block AS text, section, CAST(NULL AS INTEGER) AS page FROM h WHERE NOT head
-UNION ALL SELECT 'docling', paper_id, 'text', row_number() OVER (PARTITION BY paper_id ORDER BY i) - 1, text, NULL, NULL FROM l WHERE {strip_sql('text')} <> ''
-UNION ALL SELECT 'docling', paper_id, 'figure', 0, '', NULL, NULL FROM e WHERE engine = 'docling'
-UNION ALL SELECT 'surya', paper_id, 'text', 0, text, NULL, 1 FROM e WHERE engine = 'surya' AND {strip_sql('text')} <> ''
-UNION ALL SELECT 'surya', paper_id, 'figure', 0, '', NULL, 1 FROM e WHERE engine = 'surya'"""
+    f"""WITH {PAGES}, {_sections}
+SELECT 'mineru' AS parser, paper_id, CAST(NULL AS VARCHAR) AS kind, row_number() OVER (PARTITION BY paper_id ORDER BY i) - 1 AS ord, block AS text, section FROM h WHERE NOT head
+UNION ALL SELECT 'html', paper_id, 'text', row_number() OVER (PARTITION BY paper_id ORDER BY i) - 1, text, section FROM page_parts WHERE kind IN ('text', 'item', 'loose')"""
 )
 def adapted_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each engine gave, through its adapter, as one table."""
     e = adapters.adapt(parsers.records(_parsed(spark, sf_dir)))
-    return e.select("parser", "paper_id", "kind", F.col("ord").cast("long").alias("ord"), "text", "section", "page")
+    return e.select("parser", "paper_id", "kind", F.col("ord").cast("long").alias("ord"), "text", "section")
 
 
 @query(
@@ -110,24 +120,15 @@ def files_to_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.new_files(files, cached).select("path")
 
 
-def _rows_of(content: bytes):
-    text = content.decode()
-    if text.startswith("T"):
-        raise ValueError("broken")
-    yield {"kind": "page", "page_no": 0, "text": text, "width": 600.0}
-    for i, line in enumerate(text.split("\n")):
-        yield {"kind": "span", "page_no": 0, "block_no": i, "item_no": 0, "block_type": 0, "text": line, "font": "", "x0": 0.0, "y0": float(i), "x1": 9.0, "y1": i + 1.0}
-
-
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN starts_with(text, 'T') THEN 'error' ELSE 'span' END AS kind, CASE WHEN starts_with(text, 'T') THEN 1 ELSE len(string_split(text, chr(10))) END AS n,
-CASE WHEN starts_with(text, 'T') THEN 'ValueError: broken' END AS error FROM documents
-UNION ALL SELECT CAST(doc_id AS VARCHAR), 'page', 1, NULL FROM documents WHERE NOT starts_with(text, 'T')"""
+    f"""WITH {PAGES} SELECT paper_id, 'span' AS kind, count(*) AS n, CAST(NULL AS VARCHAR) AS error FROM page_parts GROUP BY 1
+UNION ALL SELECT 'page' || page_id, 'link', len(regexp_extract_all(h, '<a href="')), NULL FROM clean WHERE contains(h, '<a href="')
+UNION ALL SELECT 'doc' || doc_id, 'error', 1, CASE WHEN {_unread} THEN 'UnicodeDecodeError' ELSE 'ValueError' END FROM documents"""
 )
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of pages and spans from every file; a file that can't be read gives its error."""
-    raw = parsers.extract_pages(_files(spark, sf_dir), _rows_of)
-    return raw.groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("error"))
+    """Raw rows of every page; a file that is no page, or can't be decoded, gives its error."""
+    raw = parsers.extract_pages(_mixed_files(spark, sf_dir), html.raw_rows)
+    return raw.groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.regexp_extract("error", r"^(\w+)", 1)).alias("error"))
 
 
 @query("SELECT '2610.' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, doc_id % 11 <> 0 AS ok FROM documents")
@@ -202,13 +203,18 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS ({duck_values(embedding.PAIRS, 'a, b')}), w AS (SELECT id, 1 AS side, unnest({words_sql('a')}) AS t FROM p UNION ALL SELECT id, 2, unnest({words_sql('b')}) FROM p),
-v AS (SELECT id, side, md5_number_upper(t) % 384 AS k, count(*) AS n FROM w GROUP BY 1, 2, 3), u AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id, side)) AS x FROM v)
-SELECT p.a, p.b, 'float32' AS dtype, round(coalesce((SELECT sum(y.x * z.x) FROM u y JOIN u z ON y.id = z.id AND y.k = z.k AND y.side = 1 AND z.side = 2 WHERE y.id = p.id), 0), 5) AS similarity FROM p"""
+    f"""WITH p AS (SELECT row_number() OVER () AS id, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT id, 1 AS side, unnest({words_sql('a')}) AS t FROM p UNION ALL SELECT id, 2, unnest({words_sql('b')}) FROM p),
+v AS (SELECT id, side, md5_number_upper(t) % 384 AS k, count(*) AS n FROM w GROUP BY 1, 2, 3), u AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id, side)) AS x FROM v),
+d AS (SELECT y.id, sum(y.x * z.x) AS s FROM u y JOIN u z ON y.id = z.id AND y.k = z.k AND y.side = 1 AND z.side = 2 GROUP BY 1)
+SELECT p.a, p.b, 'float32' AS dtype, round(coalesce(d.s, 0), 4) AS similarity FROM p LEFT JOIN d USING (id)"""
 )
 def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A look at the embedder: fixed pairs of near and far texts."""
-    return embedding.pair_similarities(spark, embedding.hash_embedder).withColumn("similarity", F.round("similarity", 5))
+    """A look at the embedder: every turn of a conversation beside the next one."""
+    turns = table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    pairs = turns.join(after, ["conv_id", "turn"]).select(F.col("text").alias("a"), "b")
+    return embedding.pair_similarities(spark, embedding.hash_embedder, pairs).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(
@@ -261,19 +267,26 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MIXED} SELECT chunk_id AS id, 0.0 AS total, content, {MODALITY} AS modality, regexp_extract(chunk_id, '^[^:]*') AS paper_id, '384' AS dimension, 'COSINE' AS metric FROM mixed"""
+    f"""WITH {MIXED}, {rq._vectors('vec', 'mixed', 'chunk_id', 'content')}, t AS (SELECT chunk_id, sum(CAST(weight AS DOUBLE)) AS total FROM vec GROUP BY 1)
+SELECT mixed.chunk_id AS id, round(coalesce(total, 0), 4) AS total, content, {MODALITY.replace('chunk_id', 'mixed.chunk_id')} AS modality, regexp_extract(mixed.chunk_id, '^[^:]*') AS paper_id, '384' AS dimension, 'COSINE' AS metric
+FROM mixed LEFT JOIN t ON t.chunk_id = mixed.chunk_id"""
 )
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reset, filled and read: chunks without a vector have zeros of the table's dimension."""
-    name = "inkfold_vectors"
-    writers.reset_vector_table(spark, name, path=tables.shared_folder(spark, "vectors"))
-    chunks = mixed_chunks(spark, sf_dir).select(
-        "chunk_id", F.lit(None).cast("array<float>").alias("embedding"), "content", md.modality_of_id(F.col("chunk_id")).alias("modality"),
-        md.paper_of_id(F.col("chunk_id")).alias("paper_id"),
-    )
-    writers.insert_vectors(spark, name, writers.dense_records(chunks))
-    said = writers.vector_table_properties(spark, name)
-    rows = spark.table(name).select("id", F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("total"), "content", "modality", "paper_id")
+    """Reset, filled with the chunks' vectors and read; the table's name is its own, and only its files stay."""
+    name, path = f"vectors_{uuid.uuid4().hex}", tables.shared_folder(spark, "vectors")
+    chunks = tables.stored(mixed_chunks(spark, sf_dir), "vector-chunks")
+    vectors = embedding.dense(embedding.hash_vectors(chunks, "chunk_id", "content"), "chunk_id", chunks)
+    named = chunks.join(vectors, "chunk_id").select(
+        "chunk_id", "embedding", "content", md.modality_of_id(F.col("chunk_id")).alias("modality"), md.paper_of_id(F.col("chunk_id")).alias("paper_id")
+    )
+    writers.reset_vector_table(spark, name, path=path)
+    try:
+        writers.insert_vectors(spark, name, writers.dense_records(named))
+        said = writers.vector_table_properties(spark, name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x).cast("double")), 4)
+    rows = spark.read.parquet(path).select("id", total.alias("total"), "content", "modality", "paper_id")
     return rows.withColumns({k: F.lit(v) for k, v in said.items()})
 
 
@@ -320,48 +333,31 @@ def cited_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ids, ",").alias("cited"))
 
 
-def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "figure").otherwise("table")
-    sample = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.col("doc_id").cast("string"), F.lit("|"), "text").alias("content"), kind.alias("modality"))
-
-    def build():
-        failed: set[int] = set()
-
-        def ask(modality: str, content: str) -> tuple[str, str]:
-            key, _, text = content.partition("|")
-            k = int(key)
-            if k % 9 == 0 or k % 2 and k not in failed:  # some calls fail once, some always
-                failed.add(k)
-                raise OSError("busy")
-            return f"What is {len(text)}?", "no" if k % 4 == 0 else "Yes."
-
-        return ask
-
-    return evalset.generated_cases(sample, build, wait=0)
+_first = "trim(regexp_replace(regexp_extract(left(content, 1500), '^[^.!?]*'), '[{DUCK_SPACE}]+', ' ', 'g'))".replace("{DUCK_SPACE}", DUCK_SPACE)
+_vouched = f"len(string_split({_first}, ' ')) >= {evalset.LEAST_WORDS}"
 
 
 @query(
-    """WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'figure' ELSE 'table' END AS modality, doc_id % 4 <> 0 AND doc_id % 9 <> 0 AS kept FROM documents)
+    f"""WITH RECURSIVE {CHUNKS}, {_kinds}, s AS (SELECT modality, {_first} <> '' AND {_vouched} AS kept FROM kinds)
 SELECT modality, count(*) AS n_sampled, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_failed, round(count(*) FILTER (kept) / count(*), 6) AS success_rate FROM s GROUP BY 1"""
 )
 def generated_case_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases from a plug-in that fails now and then, checked by its verdicts."""
-    return evalset.build_stats(_made(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
+    """Cases from every chunk by a writer in the workers that vouches for some and fails on others."""
+    cases = evalset.generated_cases(_all_chunks(spark, sf_dir), evalset.first_sentence_writer, tries=1, wait=0)
+    return evalset.build_stats(cases).withColumn("success_rate", F.round("success_rate", 6))
 
 
 @query(
     f"""WITH RECURSIVE {CHUNKS}, r AS (SELECT *, md5('7:' || chunk_id) AS r FROM chunks), f AS (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY r, chunk_id) > 2 AS INTEGER) AS fill FROM r),
-t AS (SELECT * FROM f ORDER BY fill, r, chunk_id LIMIT 200), p AS (SELECT *, row_number() OVER (ORDER BY md5('8:' || chunk_id), chunk_id) AS position FROM t)
-SELECT chunk_id, 'What is ' || content || '?' AS question, length(content) % 5 = 0 AS kept FROM (SELECT * REPLACE (substr(content, 1, 1500) AS content) FROM p) WHERE position <= 120"""
+t AS (SELECT * FROM f ORDER BY fill, r, chunk_id LIMIT 200), p AS (SELECT *, row_number() OVER (ORDER BY md5('8:' || chunk_id), chunk_id) AS position FROM t),
+q AS (SELECT chunk_id, position, {_first} AS sentence, {_first} <> '' AND {_vouched} AS kept FROM p WHERE position <= 120),
+n AS (SELECT *, count(*) FILTER (kept) OVER (ORDER BY position) - CAST(kept AS INTEGER) AS before FROM q)
+SELECT chunk_id, CASE WHEN sentence <> '' THEN 'Which text begins with: ' || substr(sentence, 1, 80) || '?' END AS question, kept FROM n WHERE before < 40"""
 )
 def bounded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 cases are wanted and a fifth of the attempts succeed, so three times as many are made, and no more."""
+    """40 kept cases are wanted, and at most three times as many attempts are made."""
     sample = evalset.diverse_sample(corpus(spark, sf_dir), 200).withColumn("modality", F.lit("text"))
-
-    def build():
-        return lambda modality, content: (f"What is {content}?", "yes" if len(content) % 5 == 0 else "no")
-
-    made = evalset.build_cases(tables.stored(sample, "sample"), build, 40, wait=0)
+    made = evalset.build_cases(tables.stored(sample, "sample"), evalset.first_sentence_writer, 40, wait=0)
     return made.select(F.get("gold", F.lit(0)).alias("chunk_id"), "question", "kept")
 
 
@@ -398,6 +394,43 @@ def report_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("r.aggregate.n_cases", F.size("r.cases").alias("n_listed"), F.round("r.aggregate.recall", 6).alias("recall"), "r.tally.*")
 
 
-@query("SELECT * FROM (VALUES ('What is the main finding of this paper?', TRUE), ('What method was used in the experiments?', TRUE), ('Which antibiotic prevents neonatal infection?', FALSE)) AS t(question, answerable)")
+@query(
+    f"""{rq._evaluation()}, r AS (SELECT res.*, b.text AS question FROM res JOIN benchmark b ON b.item_id = res.query_id),
+s AS (SELECT count(*) AS n_cases, avg(recall) AS recall, avg(rr) FILTER (answerable) AS mrr, count(*) FILTER (status = 'refused') AS n_refused FROM res),
+h AS (SELECT unnest(range(9)) AS part, unnest(['| metric | value |', '| --- | --- |', '| n_cases | ' || n_cases || ' |', '| recall | ' || {_pct('recall')} || ' |', '| mrr | ' || {_pct('mrr')} || ' |', '| n_refused | ' || n_refused || ' |',
+  '', '| question | status | recall | rr |', '| --- | --- | --- | --- |']) AS line FROM s)
+SELECT part, 0 AS query_id, line FROM h UNION ALL
+SELECT 100, query_id, '| ' || {_cut(50)} || ' | ' || status || ' | ' || {_pct('recall')} || ' | ' || {_pct('rr')} || ' |' FROM r"""
+)
+def markdown_report_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole Markdown report: means, then every case."""
+    results = tables.stored(rq.results(spark, sf_dir), "results")
+    return writers.markdown_lines(results, evaluate.summary(results)).select("place.*", "line")
+
+
+@query(
+    f"""{rq._evaluation()}, r AS (SELECT res.*, b.text AS question FROM res JOIN benchmark b ON b.item_id = res.query_id),
+s AS (SELECT count(*) AS n_cases, count(*) FILTER (status = 'refused') AS n_refused, avg(recall) AS recall, avg(rr) FILTER (answerable) AS mrr, avg(citation_precision) AS cp, avg(citation_recall) AS cr, avg(groundedness) AS g FROM res),
+h AS (SELECT unnest(range(8)) AS part, unnest(['n_cases: ' || n_cases, 'n_refused: ' || n_refused, 'recall: ' || {_pct('recall')}, 'mrr: ' || {_pct('mrr')}, 'citation_precision: ' || {_pct('cp')},
+  'citation_recall: ' || {_pct('cr')}, 'groundedness: ' || {_pct('g')}, '']) AS line FROM s)
+SELECT part, 0 AS query_id, line FROM h UNION ALL
+SELECT 100, query_id, rpad({_cut(45)}, 45, ' ') || ' ' || rpad(status, 9, ' ') || ' ' || lpad({_pct('recall')}, 8, ' ') || ' ' || lpad({_pct('rr')}, 8, ' ') FROM r"""
+)
+def console_report_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report as plain lines."""
+    results = tables.stored(rq.results(spark, sf_dir), "results")
+    return writers.console_lines(results, evaluate.summary(results)).select("place.*", "line")
+
+
+_demo = duck_values([(q, "x") for q, *_ in readers.DEMO_CASES], "question, x")
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, {rq._tokens}, demo AS ({_demo}), asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT id AS query_id, unnest({words_sql('question')}) AS term FROM demo) GROUP BY 1, 2), {rq._sparse(5)}
+SELECT question, id <> 2 AS answerable, chunk_id, CAST(rank AS INTEGER) AS rank FROM demo LEFT JOIN sparse5 ON query_id = id"""
+)
 def demo_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.demo_cases(spark).select("question", "answerable")
+    """The demo cases asked of the whole corpus: their best chunks."""
+    cases = readers.demo_cases(spark).select(F.xxhash64("question").alias("query_id"), "question", "answerable")
+    hits = retrieval.search_sparse(retrieval.build_sparse(stored_corpus(spark, sf_dir)), cases, 5)
+    return cases.join(hits, "query_id", "left").select("question", "answerable", "chunk_id", "rank")

@@ -21,6 +21,8 @@ RAW = (
     "x0 double, y0 double, x1 double, y1 double, width double, n_bytes long, content binary, error string"
 )
 LEAST_TABLE = 20
+#: Rows of a file that are handed on at a time.
+ROWS = 1000
 
 
 def _mupdf_rows(content: bytes) -> Iterator[dict[str, Any]]:
@@ -50,13 +52,20 @@ def extract_pages(files: DataFrame, rows_of: Callable[[bytes], Iterator[dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):  # one file at a time, and its rows as they come
+                r = b.slice(i, 1).to_pylist()[0]
                 own = {"path": r["path"], "paper_id": r["paper_id"]}
+                found = []
                 try:
-                    found = [own | x for x in rows_of(r["content"])]
-                except Exception as x:  # belongs to this file alone
-                    found = [own | {"kind": "error", "error": f"{type(x).__name__}: {x}"}]
-                yield pa.RecordBatch.from_pylist(found, schema)
+                    for x in rows_of(r["content"]):
+                        found.append(own | x)
+                        if len(found) >= ROWS:
+                            yield pa.RecordBatch.from_pylist(found, schema)
+                            found = []
+                except Exception as x:  # belongs to this file alone; rows before it stay
+                    found.append(own | {"kind": "error", "error": f"{type(x).__name__}: {x}"})
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema)
 
     return files.select("path", "paper_id", "content").mapInArrow(run, RAW)
 
@@ -178,9 +187,10 @@ def records(parsed: DataFrame) -> dict[str, tuple[DataFrame, ...]]:
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "text")))), lambda x: x["text"])
 
     whole = good.where(F.col("kind") == "markdown").groupBy("paper_id").agg(F.array_join(texts("markdown"), "\n\n").alias("markdown"))
-    parts = good.where(F.col("kind").isin("text", "table", "figure")).groupBy("paper_id")
+    parts = good.where(F.col("kind").isin("text", "table", "figure") & (F.col("engine") != "html")).groupBy("paper_id")
     parts = parts.agg(texts("text").alias("texts"), texts("table").alias("tables"), texts("figure").alias("pictures"))
     place = ["paper_id", (F.col("page") - 1).alias("page_idx")]
     lines = good.where(F.col("kind") == "line").select(*place, F.col("ord").alias("line_no"), "text")
     regions = good.where(F.col("kind") == "region").select(*place, F.col("ord").alias("region_no"), F.col("text").alias("label"))
-    return {"mineru": (whole,), "docling": (parts,), "surya": (lines, regions)}
+    page = good.where(F.col("engine") == "html").select("paper_id", "kind", "ord", "text", "section")
+    return {"mineru": (whole,), "docling": (parts,), "surya": (lines, regions), "html": (page,)}

@@ -7,7 +7,7 @@ import os
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 from xml.etree import ElementTree
 
@@ -41,13 +41,13 @@ def document_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Da
 class Parser(Protocol):
     """A parser: the bytes of a document to elements (dicts with kind, element_id, text, section, page)."""
 
-    def __call__(self, name: str, content: bytes) -> list[dict]: ...
+    def __call__(self, name: str, content: bytes) -> Iterable[dict]: ...
 
 
 #: Builders of parsers by name; one parser is built in each Python worker.
 PARSERS: dict[str, Callable[[], Parser]] = {}
 #: What stands in for a parser that fails; a scan parser has no stand-in.
-FALLBACK = {"mineru": "docling", "docling": "pymupdf"}
+FALLBACK = {"mineru": "docling", "docling": "pymupdf", "html": "utf8"}
 
 
 def register_parser(name: str, build: Callable[[], Parser]) -> None:
@@ -82,7 +82,7 @@ def parse_documents(files: DataFrame, parser: str | None = None, builders: dict[
                     try:
                         if name not in built:
                             built[name] = registry[name]()
-                        found = built[name](r.paper_id, bytes(r.content))
+                        found = list(built[name](r.paper_id, bytes(r.content)))  # whole before any of it counts
                         for i, e in enumerate(found):
                             out.append((r.path, r.paper_id, name, e.get("kind"), i, e.get("element_id"), e.get("text"), e.get("section"), e.get("page"), None))
                         break

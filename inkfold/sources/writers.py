@@ -87,20 +87,40 @@ def report_lines(results: DataFrame, cut: int, form: str) -> DataFrame:
     return results.select("query_id", F.format_string(form, *cells).alias("line"))
 
 
-def markdown_report(results: DataFrame, summary: DataFrame, cut: int = 50) -> str:
-    """Two Markdown tables: the means, and a line per question."""
-    s = summary.select("n_cases", *[percent(F.col(c)).alias(c) for c in ("recall", "mrr")], "n_refused").first()
-    head = ["| metric | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in s.asDict().items())]
-    rows = [r["line"] for r in report_lines(results, cut, "| %s | %s | %s | %s |").orderBy("query_id").toLocalIterator()]
-    return "\n".join([*head, "", "| question | status | recall | rr |", "| --- | --- | --- | --- |", *rows])
+def _whole_report(figures: list[tuple[str, Column]], summary: DataFrame, form: str, before: list[str], between: list[str], cases: DataFrame) -> DataFrame:
+    """place, line: 0 to 99 for the head, from 100 on a line for each case in the order of query_id."""
+    head = [F.lit(x) for x in before] + [F.format_string(form, F.lit(k), v.cast("string")) for k, v in figures] + [F.lit(x) for x in between]
+    top = summary.select(F.posexplode(F.array(*head)).alias("_n", "line"))
+    return top.select(F.struct(F.col("_n").cast("long").alias("part"), F.lit(0).cast("long").alias("query_id")).alias("place"), "line").unionByName(
+        cases.select(F.struct(F.lit(100).cast("long").alias("part"), F.col("query_id").cast("long").alias("query_id")).alias("place"), "line")
+    )
 
 
-def console_report(results: DataFrame, summary: DataFrame, cut: int = 45) -> str:
+def markdown_lines(results: DataFrame, summary: DataFrame, cut: int = 50) -> DataFrame:
+    """The lines of two Markdown tables, the means and a line per question, by place (part, query_id)."""
+    figures = [("n_cases", F.col("n_cases")), *((c, percent(F.col(c))) for c in ("recall", "mrr")), ("n_refused", F.col("n_refused"))]
+    between = ["", "| question | status | recall | rr |", "| --- | --- | --- | --- |"]
+    cases = report_lines(results, cut, "| %s | %s | %s | %s |")
+    return _whole_report(figures, summary, "| %s | %s |", ["| metric | value |", "| --- | --- |"], between, cases)
+
+
+def console_lines(results: DataFrame, summary: DataFrame, cut: int = 45) -> DataFrame:
     """The same figures as plain lines."""
     names = ["recall", "mrr", "citation_precision", "citation_recall", "groundedness"]
-    s = summary.select("n_cases", "n_refused", *[percent(F.col(c)).alias(c) for c in names]).first()
-    rows = [r["line"] for r in report_lines(results, cut, "%-" + str(cut) + "s %-9s %8s %8s").orderBy("query_id").toLocalIterator()]
-    return "\n".join([*(f"{k}: {v}" for k, v in s.asDict().items()), "", *rows])
+    figures = [(c, F.col(c)) for c in ("n_cases", "n_refused")] + [(c, percent(F.col(c))) for c in names]
+    return _whole_report(figures, summary, "%s: %s", [], [""], report_lines(results, cut, "%-" + str(cut) + "s %-9s %8s %8s"))
+
+
+def _text(lines: DataFrame) -> str:
+    return "\n".join(r["line"] for r in lines.orderBy("place").toLocalIterator())
+
+
+def markdown_report(results: DataFrame, summary: DataFrame, cut: int = 50) -> str:
+    return _text(markdown_lines(results, summary, cut))
+
+
+def console_report(results: DataFrame, summary: DataFrame, cut: int = 45) -> str:
+    return _text(console_lines(results, summary, cut))
 
 
 def vector_dump(vectors: DataFrame, path: str, n: int = 20, key: str = "chunk_id") -> None:

@@ -40,7 +40,9 @@ def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, settin
     s = DEFAULTS | (settings or {})
     segments.create(spark, store)
     schema = spark.read.parquet(source).schema
-    stream = file_stream(spark, source, schema, s["files_per_batch"])
+    source = source.rstrip("/")
+    # as a pattern that only fits itself, as a stream takes folders or patterns, but no path of one file
+    stream = file_stream(spark, f"{source[:-1]}[{source[-1]}]", schema, s["files_per_batch"])
     named = stream.select(
         F.col(s["id"]).alias("doc_id"), F.col(s["text"]).alias("text"), F.col(s["version"]).cast("long").alias("version") if s["version"] else F.lit(0).cast("long").alias("version"),
         F.col(s["deleted"]).cast("boolean").alias("deleted") if s["deleted"] else F.lit(False).alias("deleted"),
