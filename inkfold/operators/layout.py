@@ -94,20 +94,26 @@ def large_images(images: DataFrame) -> DataFrame:
     return images.where(F.col("n_bytes") > LEAST_IMAGE_BYTES)
 
 
+def _band(y: Column) -> Column:
+    return F.floor(y / CAPTION_DISTANCE)
+
+
 def captions_below(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """paper_id, page_no, img_idx, caption, distance: the nearest caption block under a rectangle of the image.
 
-    images: one row per rectangle (paper_id, page_no, img_idx, rect_no, ix0, iy0, ix1, iy1). A hash join on the
-    page with the geometry as residual condition; ties go to the first (rectangle, block).
+    images: one row per rectangle (paper_id, page_no, img_idx, rect_no, ix0, iy0, ix1, iy1). Pages are cut into bands as high as the
+    largest distance: a rectangle looks into the two bands that a caption below it can begin in, a block is in one, so each pair
+    meets once, and a page of very many blocks is many keys. The geometry is the residual condition; ties go to the first (rectangle, block).
     """
-    texts = blocks.where(F.col("text").rlike(CAPTION)).select(*PAGE, "block_no", "text", "x0", "y0", "x1")
+    texts = blocks.where(F.col("text").rlike(CAPTION)).select(*PAGE, _band(F.col("y0")).alias("_band"), "block_no", "text", "x0", "y0", "x1")
+    images = images.withColumn("_band", F.explode(F.array(_band(F.col("iy1")), _band(F.col("iy1")) + 1)))
     near = (
         (F.col("y0") >= F.col("iy1")) & (F.col("y0") - F.col("iy1") <= CAPTION_DISTANCE)
         & (F.col("x1") >= F.col("ix0")) & (F.col("x0") <= F.col("ix1"))
     )
     first = F.min(F.struct((F.col("y0") - F.col("iy1")).alias("d"), "rect_no", "block_no", "text"))
     return (
-        images.join(texts, PAGE)
+        images.join(texts, [*PAGE, "_band"])
         .where(near)
         .groupBy(*PAGE, "img_idx")
         .agg(first.alias("_c"))
@@ -141,13 +147,15 @@ def figure_captions(images: DataFrame, blocks: DataFrame, pages: DataFrame) -> D
 def region_texts(regions: DataFrame, lines: DataFrame) -> DataFrame:
     """paper_id, page_no, region_no, n_lines, text: lines whose centre lies in the region's box, top to bottom.
 
-    regions (.., region_no, rx0, ry0, rx1, ry1); lines (.., line_no, text, x0, y0, x1, y1). A line may lie in several regions.
+    regions (.., region_no, rx0, ry0, rx1, ry1); lines (.., line_no, text, x0, y0, x1, y1). A line may lie in several regions. A
+    region looks into all bands of the page that it reaches, a line is in that of its centre.
     """
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1"))
     found = F.array_sort(F.collect_list(F.struct("y0", "line_no", "text")))
     hits = (
-        regions.join(lines, PAGE)
+        regions.where("ry0 <= ry1").withColumn("_band", F.explode(F.sequence(_band(F.col("ry0")), _band(F.col("ry1")))))
+        .join(lines.withColumn("_band", _band(cy)), [*PAGE, "_band"])
         .where(inside)
         .groupBy(*PAGE, "region_no")
         .agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(found, lambda s: s["text"]), " ").alias("text"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.modality import modality_of_id
-from ..operators import chunking, evalset, quality, routing
+from ..functions.modality import modality_of_id, paper_of_id
+from ..operators import chunking, evalset, quality, routing, statistics
+from ..sources import tables
 from .fixtures import CHUNKS, IDS, corpus, duck_values, literal_rows, over, strip_sql, table
 
 QUERIES: dict = {}
@@ -233,3 +234,27 @@ def near_duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalset.reject_near_duplicates(near_questions(spark, sf_dir))
 
 
+
+
+@query(
+    f"""WITH {MIXED}, m AS (SELECT {MODALITY} AS modality, length(content) AS n FROM mixed)
+SELECT modality, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars, CAST(min(n) AS BIGINT) AS min_len, CAST(max(n) AS BIGINT) AS max_len,
+array_to_string([{', '.join(f"count(*) FILTER (n >= {a} AND n < {b})" for a, b in zip((0, *quality.EDGES_5), (*quality.EDGES_5, 10**18)))}], ' ') AS histogram, TRUE AS close FROM m GROUP BY 1"""
+)
+def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of sixteen batches, written and merged: the exact ones, and whether quantiles and numbers of papers are within their bounds."""
+    chunks = tables.stored(mixed_chunks(spark, sf_dir), "statistics-chunks")
+    batches = statistics.of_batch(chunks.withColumn("batch", F.pmod(F.xxhash64("chunk_id"), F.lit(16))), "batch")
+    whole = statistics.merged(tables.stored(batches, "statistics"))
+    at = statistics.estimates(whole, (0.5, 0.9))
+    rows = chunks.select(modality_of_id(F.col("chunk_id")).alias("modality"), paper_of_id(F.col("chunk_id")).alias("_p"), F.length("content").alias("_n"))
+    rows = rows.join(F.broadcast(at.select("modality", "quantiles")), "modality")  # four rows
+    under = lambda i, strict: F.avg((F.col("_n") < F.get("quantiles", F.lit(i)) if strict else F.col("_n") <= F.get("quantiles", F.lit(i))).cast("double"))
+    e = statistics.RANK_ERROR
+    exact = rows.groupBy("modality").agg(
+        F.countDistinct("_p").alias("_papers"), *[((under(i, True) <= q + e) & (under(i, False) >= q - e)).alias(f"_q{i}") for i, q in enumerate((0.5, 0.9))]
+    )
+    close = (F.abs(F.col("n_papers") / F.col("_papers") - 1) <= statistics.PAPER_ERROR) & F.col("_q0") & F.col("_q1")
+    return at.join(exact, "modality").select(
+        "modality", "n_chunks", "n_chars", "min_len", "max_len", F.array_join(F.col("histogram").cast("array<string>"), " ").alias("histogram"), close.alias("close")
+    )
