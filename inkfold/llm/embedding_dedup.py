@@ -8,7 +8,7 @@ with nothing.
    a number of its own, whatever ids its rows have.
 2. Each class has a key in each of several tables: the signs of random projections, with
    the label and the dimension. The number of signs grows with the logarithm of the
-   largest label's number of classes, so that unrelated vectors of a label share about one
+   label's own number of classes, so that unrelated vectors of a label share about one
    bucket in sixteen tables at any size; the number of tables is then what keeps the chance
    that a pair at the least cosine shares none at ``MISS``. Classes with a key in common
    are candidates.
@@ -37,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -53,11 +53,16 @@ BLOCK, ELEMENTS = 2048, 1 << 19
 _odd = np.random.default_rng(5).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def settings(classes: int, least: float) -> tuple[int, int]:
-    """(bits, tables) for a label of so many different vectors and pairs at cosine ``least``."""
-    bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(2, classes))) + 4))
+def signs(classes: Column) -> Column:
+    """Signs of a key for a label of so many different vectors."""
+    return F.least(F.lit(MOST_BITS), F.greatest(F.lit(BITS), F.ceil(F.log2(F.greatest(F.lit(2), classes))).cast("int") + 4))
+
+
+@lru_cache(maxsize=64)
+def tables_for(bits: int, least: float) -> int:
+    """Tables of keys of so many signs for pairs at cosine ``least``."""
     alike = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi  # chance of one sign to agree
-    return bits, max(1, math.ceil(math.log(MISS) / math.log1p(-(alike**bits)))) if alike < 1 else 1
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(alike**bits)))) if alike < 1 else 1
 
 
 @lru_cache(maxsize=8)
@@ -116,29 +121,30 @@ def _checked(rows: DataFrame, kind: type) -> DataFrame:
     return rows.mapInArrow(check, "vec_id long, label long, digest binary, vector binary")
 
 
-def _keyed(classes: DataFrame, kind: type, bits: int, tables: int) -> DataFrame:
-    """node, dim, codes (of all tables, as bytes), keys of every class."""
+def _keyed(classes: DataFrame, kind: type, least: float) -> DataFrame:
+    """node, dim, codes (of all tables, as bytes), keys of every class (node, label, vector, bits)."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors, labels = b.column("vector").to_pylist(), b.column("label").to_numpy()
+            kinds = list(zip(map(len, vectors), b.column("bits").to_pylist()))
             codes: list[bytes] = [b""] * len(vectors)
             dim = [0] * len(vectors)
-            keys = np.empty((len(vectors), tables), np.int64)
-            for n in set(map(len, vectors)):
-                at = [i for i, v in enumerate(vectors) if len(v) == n]
+            keys = [np.empty(0, np.int64)] * len(vectors)
+            for n, bits in set(kinds):
+                at = [i for i, k in enumerate(kinds) if k == (n, bits)]
                 x = np.stack([_components(vectors[i], kind) for i in at])
-                found = table_codes(x, bits, tables)
-                keys[at] = table_keys(found, labels[at], x.shape[1])
-                for i, c in zip(at, found):
-                    codes[i], dim[i] = c.tobytes(), x.shape[1]
-            offsets = pa.array(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32))
+                found = table_codes(x, bits, tables_for(bits, least))
+                for i, c, k in zip(at, found, table_keys(found, labels[at], x.shape[1])):
+                    codes[i], dim[i], keys[i] = c.tobytes(), x.shape[1], k
+            offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array(dim, pa.int32()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                [b.column("node"), pa.array(dim, pa.int32()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
                 ["node", "dim", "codes", "keys"],
             )
 
-    return classes.select("node", "label", "vector").mapInArrow(key, "node long, dim int, codes binary, keys array<long>")
+    return classes.select("node", "label", "vector", "bits").mapInArrow(key, "node long, dim int, codes binary, keys array<long>")
 
 
 def _compare(rows: DataFrame, least: float, kind: type) -> DataFrame:
@@ -197,8 +203,9 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     )
     # written with its numbers, so that all branches see the same ones
     classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    keyed = scratch.save(_keyed(classes, kind, *settings(largest, least)), "vector-keys")
+    # a row for each label; a label may hold any share of the classes, and the join can be split
+    per_label = scratch.save(classes.groupBy("label").agg(signs(F.count(F.lit(1))).alias("bits")), "vector-labels")
+    keyed = scratch.save(_keyed(classes.join(per_label, "label"), kind, least), "vector-keys")
     # of buckets with the same members the one in the first table stays, which is the first that any two of them share
     buckets = keyed.select("node", "dim", F.explode("keys").alias("bucket"))
     members = blocks.drop_repeated_buckets(buckets, "bucket", "node", "dim").drop("dim", "pivot")

@@ -314,11 +314,12 @@ def test_embeddings_of_doubles(spark):
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
 
 
-def test_embedding_keys_find_pairs_at_the_edge():
+def test_embedding_keys_find_pairs_at_the_edge(spark):
     """Recall of the candidate search, for pairs exactly at the least cosine and the settings of small to huge labels."""
     rng = np.random.default_rng(2)
-    for classes in (100, 50_000, 10**8):
-        bits, tables = embedding_dedup.settings(classes, 0.98)
+    sizes = spark.createDataFrame([(100,), (50_000,), (10**8,)], "n long").select("n", embedding_dedup.signs(F.col("n")))
+    for classes, bits in sizes.collect():
+        tables = embedding_dedup.tables_for(bits, 0.98)
         assert 2.0**-bits * classes * tables < tables  # unrelated vectors of a label share few buckets
         a = rng.standard_normal((3000, 64))
         a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -331,6 +332,25 @@ def test_embedding_keys_find_pairs_at_the_edge():
     assert len(np.unique(keys)) == 6
 
 
+def test_each_label_has_its_own_keys(spark):
+    """A small label keeps its few tables beside a large one, and pairs of both are found."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for label, n in ((0, 1500), (1, 20)):
+        x = rng.standard_normal((n, 16))
+        rows += [(label * 10_000 + i, v.tolist(), label) for i, v in enumerate(np.concatenate((x, x[:10] + 0.01 * rng.standard_normal((10, 16)))))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    for label in (0, 1):
+        own = [(i, np.array(v)) for i, v, k in rows if k == label]
+        x = np.stack([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert [got[i] for i, _ in own] == ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+    classes = spark.createDataFrame([(i, label, np.array(v).tobytes(), b) for i, v, label in rows[:2] + rows[-2:] for b in [15 if label == 0 else 12]], "node long, label long, vector binary, bits int")
+    n = [len(r["keys"]) for r in embedding_dedup._keyed(classes, np.float64, 0.98).orderBy("node").collect()]
+    assert n == [embedding_dedup.tables_for(15, 0.98)] * 2 + [embedding_dedup.tables_for(12, 0.98)] * 2 and n[0] > n[2]
+
+
 def test_embeddings_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], 0, "x", 5, b"y"), (2, [1.0, 0.001], 0, "x", 5, b"y"), (3, [0.0, 1.0], 0, "x", 5, b"y"), (4, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, bucket string, node int, digest binary")
