@@ -10,8 +10,9 @@ million at 100 TB. A run of equal groups is dealt through the heap, in whole rou
 where it is long, and each shard takes a range of their numbers. Groups are numbered
 within their size by a range partition and look their range up in the plan, a written
 table of at most (rows of the histogram) * ``shards`` entries, and never more than
-groups; Spark broadcasts it only below its threshold. The result is that of one heap
-over all groups.
+groups; Spark broadcasts it only below its threshold. The driver writes it in pieces of
+``PIECE`` entries, so it holds 16 bytes for each size and one piece. The result is that of
+one heap over all groups.
 
 Slots number the rows of a shard from 0 in the order of doc_id; a range partition on
 (shard, doc_id) spreads a shard over many tasks. grown_shard is null, as the law is
@@ -23,29 +24,37 @@ text is a group of its own size, whole; other columns of any name are ignored.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import remove, shared_folder
 from .common import Scratch, number_in_class
 
-SHARDS = 24
+#: Shards, and entries of the plan that are held at a time.
+SHARDS, PIECE = 24, 1 << 20
 
 
-def deal(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def deal(sizes: np.ndarray, counts: np.ndarray, shards: int, piece: int = PIECE) -> Iterator[np.ndarray]:
     """Longest processing time over ``counts`` groups of each of the descending ``sizes``; ties go to the lower shard.
 
-    Returns ranges, as arrays (size, first number, last number + 1, shard).
+    Yields ranges as rows (size, first number, last number + 1, shard), at most about ``piece`` at a time.
     """
     heap = [(0, s) for s in range(shards)]
-    out: list[tuple[int, int, int, int]] = []
-    for size, n in zip(sizes.tolist(), counts.tolist()):
+    out = array("q")
+    for i in range(len(sizes)):
+        size, n = int(sizes[i]), int(counts[i])
+        if len(out) >= 4 * piece:
+            yield np.frombuffer(out, np.int64).reshape(-1, 4)
+            out = array("q")
         if n == 1:
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
-            out.append((size, 0, 1, s))
+            out.extend((size, 0, 1, s))
             continue
         got = dict.fromkeys(range(shards), 0)
         if n > shards * 4:
@@ -58,10 +67,10 @@ def deal(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray
                     low = k
                 else:
                     high = k - 1
-            for i, (load, s) in enumerate(heap):
+            for k, (load, s) in enumerate(heap):
                 q = (top + low * size - load) // size if low else 0
                 got[s], n = q, n - q
-                heap[i] = (load + q * size, s)
+                heap[k] = (load + q * size, s)
             heapq.heapify(heap)
         for _ in range(n):
             load, s = heap[0]
@@ -70,10 +79,9 @@ def deal(sizes: np.ndarray, counts: np.ndarray, shards: int) -> tuple[np.ndarray
         at = 0
         for s, q in got.items():
             if q:
-                out.append((size, at, at + q, s))
+                out.extend((size, at, at + q, s))
                 at += q
-    table = np.array(out, np.int64).reshape(-1, 4)
-    return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
+    yield np.array(out, np.int64).reshape(-1, 4)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -94,9 +102,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     counts = groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")).toArrow()
     sizes, n = counts.column("group_size").to_numpy(), counts.column("n").to_numpy()
     order = np.argsort(-sizes)
-    ranges = deal(sizes[order], n[order], shards)
-    plan = spark.createDataFrame(pa.table(dict(zip(("group_size", "_from", "_to", "_shard"), ranges))))
-    plan = scratch.save(plan, "shard-plan")
+    path = shared_folder(spark, "shard-plan")
+    for part in deal(sizes[order], n[order], shards):
+        columns = {c: part[:, i] for i, c in enumerate(("group_size", "_from", "_to", "_shard"))}
+        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
+    plan = spark.read.schema("group_size long, _from long, _to long, _shard long").parquet(path)
     # a size may have any share of all groups, and a group any share of all rows: both joins can be split
     numbered = number_in_class(groups, "group_size", ["group"], scratch=scratch)
     within = (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
@@ -105,6 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     dealt = scratch.save(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
     slots = number_in_class(dealt, "shard", ["doc_id"], "slot")
+    remove(spark, path)
     scratch.drop()
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

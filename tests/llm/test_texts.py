@@ -408,11 +408,13 @@ def plain_schedule(sizes, shards):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 30), max_size=300), st.integers(1, 7))
-def test_dealing_is_the_heap(sizes, shards):
+@given(st.lists(st.integers(1, 30), max_size=300), st.integers(1, 7), st.sampled_from([1, 5, 1 << 20]))
+def test_dealing_is_the_heap(sizes, shards, piece):
     found, n = np.unique(np.array(sizes, np.int64), return_counts=True)
     load, seen = dict.fromkeys(range(shards), 0), {}
-    for size, a, b, s in zip(*(x.tolist() for x in sharding.deal(found[::-1], n[::-1], shards))):
+    parts = list(sharding.deal(found[::-1], n[::-1], shards, piece))
+    assert all(len(p) < piece + shards for p in parts)
+    for size, a, b, s in (r for p in parts for r in p.tolist()):
         load[s] += size * (b - a)
         seen.setdefault(size, []).append((a, b))
     assert load == plain_schedule(sizes, shards)
