@@ -77,7 +77,7 @@ def build_sparse(corpus: DataFrame) -> SparseIndex:
     return SparseIndex(postings, weighted_terms(df, stats), stats, rows.select("ord", "chunk_id"))
 
 
-def _top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
+def top(scored: DataFrame, k: int, *ties: str | Column) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), *ties)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -105,21 +105,22 @@ def search_sparse(index: SparseIndex, questions: DataFrame, k: int = 10) -> Data
         .agg(F.sum(weight).alias("score"))
         .where(F.round("score", DIGITS) > 0)
     )
-    return _top(scored, k, "ord").join(index.chunks, "ord")
+    return top(scored, k, "ord").join(index.chunks, "ord")
 
 
-def _packed(rows: DataFrame, key: str, values: str, dim: int | None = None, size: int = BLOCK) -> DataFrame:
-    """keys, width, matrix: blocks of up to ``size`` rows (key, values), as bytes. Values are arrays of numbers, or with ``dim``
-    arrays of (bucket, weight); rows of different widths go to different blocks."""
+def packed(rows: DataFrame, key: str, values: str, dim: int | None = None, size: int = BLOCK, cell: str | None = None) -> DataFrame:
+    """cell, keys, width, matrix: blocks of up to ``size`` rows (key, values), as bytes. Values are arrays of numbers, or with ``dim``
+    arrays of (bucket, weight); rows of different widths or cells go to different blocks. Without ``cell`` all are in cell 0."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column("_v")
             keys, there = b.column("_k").to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
+            cells = b.column("_c").to_numpy(zero_copy_only=False)
             offsets, flat = col.offsets.to_numpy(), col.values
             width = np.where(there, np.diff(offsets), -1) if dim is None else np.where(there, dim, -1)
-            for d in np.unique(width[width > 0]).tolist():
-                own = np.flatnonzero(width == d)
+            for c, d in np.unique(np.stack([cells, width], 1)[width > 0], axis=0).tolist():
+                own = np.flatnonzero((width == d) & (cells == c))
                 for i in range(0, len(own), size):
                     at = own[i : i + size]
                     if dim is None:
@@ -130,26 +131,57 @@ def _packed(rows: DataFrame, key: str, values: str, dim: int | None = None, size
                         x = np.zeros((len(at), d), "<f8")
                         bucket, weight = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
                         x[np.repeat(np.arange(len(at)), n), bucket[part]] = weight[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([keys[at].astype("<i8").tobytes()], pa.binary()), pa.array([d], pa.int32()), pa.array([x.tobytes()], pa.binary())],
-                        ["keys", "width", "matrix"],
-                    )
+                    cols = [[c], [keys[at].astype("<i8").tobytes()], [d], [x.tobytes()]]
+                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], ["cell", "keys", "width", "matrix"])
 
-    return rows.select(F.col(key).cast("long").alias("_k"), F.col(values).alias("_v")).mapInArrow(pack, "keys binary, width int, matrix binary")
+    own = (F.col(cell) if cell else F.lit(0)).cast("long").alias("_c")
+    return rows.select(F.col(key).cast("long").alias("_k"), F.col(values).alias("_v"), own).mapInArrow(pack, "cell long, keys binary, width int, matrix binary")
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, unit: bool) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def best_of_blocks(v: np.ndarray, keys: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(score in units of the last digit, key) of the k best rows of ``v`` for each row of ``q``; keys ascend, and equal scores go by key."""
+    scores, found = [], []
+    for i in range(0, len(q), 256):
+        # digits and place in one number: the larger is the better, and no two are equal
+        s = (np.rint(q[i : i + 256] @ v.T * 10.0**DIGITS).astype(np.int64) << 16) + np.arange(len(keys))[::-1]
+        if len(keys) > k:
+            s = np.partition(s, len(keys) - k, axis=1)[:, -k:]
+        scores.append(s >> 16)
+        found.append(keys[len(keys) - 1 - (s & 0xFFFF)])
+    return np.concatenate(scores), np.concatenate(found)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, unit: bool, by_cell: bool = False) -> DataFrame:
     """query_id, key, score of the k best per partition of blocks of ``vectors`` for each query, by matrix products.
 
-    Blocks of queries meet blocks of vectors, never rows. Their number is known, as they are written: up to
-    ``MOST_BROADCAST`` they are broadcast.
+    Blocks of queries meet blocks of vectors, never rows. The queries are written, so their number is known: up to ``MOST_BROADCAST`` blocks
+    go to each worker once, and blocks of vectors pass by them; beyond that, both sides are written tables of blocks that meet in a product.
+    ``by_cell``: only blocks of equal cells meet, by an ordinary join.
     """
+    spark = queries.sparkSession
     asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_block", F.monotonically_increasing_id())
     asked = stored(asked, "query-blocks")
-    pairs = vectors.crossJoin(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked)
+    few = not by_cell and asked.count() <= MOST_BROADCAST
+    if few:
+        held = spark.sparkContext.broadcast([r.asDict() for r in asked.collect()])  # at most MOST_BROADCAST blocks
+        pairs = vectors
+    elif by_cell:
+        pairs = vectors.join(asked, vectors["cell"] == asked["q_cell"])
+    else:
+        pairs = stored(vectors, "vector-blocks").crossJoin(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        shape = _unit if unit else lambda x: x
+        ready: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if few:
+            ready = [(r["q_block"], np.frombuffer(r["q_keys"], "<i8"), shape(np.frombuffer(r["q_matrix"], "<f8").reshape(-1, r["q_width"]))) for r in held.value]
 
         def rows() -> Iterator[pa.RecordBatch]:
             for ids, score, own in best.values():
@@ -157,35 +189,26 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, unit: boo
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", key, "score"])
             best.clear()
 
-        def normal(x: np.ndarray) -> np.ndarray:
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            return np.divide(x, n, out=np.zeros_like(x), where=n > 0) if unit else x
-
         for b in batches:
-            for r in b.to_pylist():
-                if r["width"] != r["q_width"]:
-                    continue
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 keys = np.frombuffer(r["keys"], "<i8")
                 order = np.argsort(keys, kind="stable")
-                v = normal(np.frombuffer(r["matrix"], "<f8").reshape(len(keys), -1)[order])
-                q = normal(np.frombuffer(r["q_matrix"], "<f8").reshape(-1, r["width"]))
-                keys = keys[order]
-                scores, found = [], []
-                for i in range(0, len(q), 256):
-                    # digits and place in one number: the larger is the better, and no two are equal
-                    s = (np.rint(q[i : i + 256] @ v.T * 10.0**DIGITS).astype(np.int64) << 16) + np.arange(len(keys))[::-1]
-                    if len(keys) > k:
-                        s = np.partition(s, len(keys) - k, axis=1)[:, -k:]
-                    scores.append(s >> 16)
-                    found.append(keys[len(keys) - 1 - (s & 0xFFFF)])
-                score, own = np.concatenate(scores), np.concatenate(found)
-                if r["q_block"] in best:
-                    score, own = (np.concatenate(x, axis=1) for x in zip(best[r["q_block"]][1:], (score, own)))
-                    at = np.lexsort((own, -score), axis=1)[:, :k]
-                    score, own = np.take_along_axis(score, at, 1), np.take_along_axis(own, at, 1)
-                best[r["q_block"]] = np.frombuffer(r["q_keys"], "<i8"), score, own
-                if len(best) > MOST_KEPT:
-                    yield from rows()
+                keys, v = keys[order], shape(np.frombuffer(r["matrix"], "<f8").reshape(len(keys), -1)[order])
+                own_asked = ready
+                if not few:
+                    own_asked = [(r["q_block"], np.frombuffer(r["q_keys"], "<i8"), shape(np.frombuffer(r["q_matrix"], "<f8").reshape(-1, r["q_width"])))]
+                for block, ids, q in own_asked:
+                    if q.shape[1] != r["width"]:
+                        continue
+                    score, own = best_of_blocks(v, keys, q, k)
+                    if block in best:
+                        score, own = (np.concatenate(x, axis=1) for x in zip(best[block][1:], (score, own)))
+                        at = np.lexsort((own, -score), axis=1)[:, :k]
+                        score, own = np.take_along_axis(score, at, 1), np.take_along_axis(own, at, 1)
+                    best[block] = ids, score, own
+                    if len(best) > MOST_KEPT:
+                        yield from rows()
         yield from rows()
 
     return pairs.mapInArrow(search, f"query_id long, {key} long, score double")
@@ -196,9 +219,9 @@ def search_hashed(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int
 
     Exact, by blocked products; equal scores, 0 included, come in the order of the corpus.
     """
-    vectors = _packed(corpus.select("ord", hash_vector(F.col("content"), dim).alias("v")), "ord", "v", dim)
-    asked = _packed(questions.select("query_id", hash_vector(F.col("question"), dim).alias("v")), "query_id", "v", dim)
-    return _top(_nearest(vectors, asked, k, "ord", unit=False), k, "ord").join(corpus.select("ord", "chunk_id"), "ord")
+    vectors = packed(corpus.select("ord", hash_vector(F.col("content"), dim).alias("v")), "ord", "v", dim)
+    asked = packed(questions.select("query_id", hash_vector(F.col("question"), dim).alias("v")), "query_id", "v", dim)
+    return top(nearest(vectors, asked, k, "ord", unit=False), k, "ord").join(corpus.select("ord", "chunk_id"), "ord")
 
 
 def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
@@ -207,7 +230,8 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
     One plan for any number of queries; what is shuffled is partitions times k for each query, not vectors. A zero
     vector has score 0; a null one is left out, and so are vectors of another width than the query.
     """
-    return _top(_nearest(_packed(vectors, key, "embedding", size=block), _packed(queries, "query_id", "embedding", size=block), k, key, unit=True), k, key)
+    blocks, asked = packed(vectors, key, "embedding", size=block), packed(queries, "query_id", "embedding", size=block)
+    return top(nearest(blocks, asked, k, key, unit=True), k, key)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:
@@ -222,7 +246,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = ALPHA)
         "query_id", "chunk_id", F.coalesce("_do", "_so").alias("ord"), (zero(alpha, "dense_rank") + zero(1 - alpha, "sparse_rank")).alias("score"),
         "dense_rank", "sparse_rank",
     )
-    return _top(both, k, F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last())
+    return top(both, k, F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last())
 
 
 def search(corpus: DataFrame, index: SparseIndex, questions: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..operators import answer, embedding, evaluate, retrieval
+from ..operators import answer, cells, embedding, evaluate, retrieval
 from ..sources import readers, tables, writers
 from ..streaming import pipelines
 from .fixtures import CHUNKS, over, questions, stored_corpus, strip_sql, table, words_sql
@@ -106,6 +106,18 @@ def dense_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_vectors(vectors, asked).withColumn("score", F.round("score", 6))
 
 
+@query()
+def dense_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by an inverted file, asking as many cells as sample queries need for 0.95 of their exact neighbours.
+
+    Which cells those are isn't SQL; tests hold it against brute force.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    found = cells.CellIndex.write(vectors, tables.shared_folder(spark, "cells"), 32)
+    by = lambda r: vectors.where(F.col("vec_id") % 50 == r).select(F.col("vec_id").alias("query_id"), "embedding")
+    return found.search(by(0), found.probes_for(by(7))).withColumn("score", F.round("score", 6))
+
+
 @query(
     """SELECT vec_id, round(CASE WHEN n = 0 THEN 0 ELSE list_inner_product(e, q) / n END, 6) AS cosine FROM (
 SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS e, CAST(b.embedding AS DOUBLE[]) AS q, sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)) AS n
