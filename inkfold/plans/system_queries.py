@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula as fm
 from ..functions import modality as md
-from ..operators import adapters, answer, chunking, embedding, evalset, evaluate, quality, retrieval
+from ..operators import adapters, answer, chunking, embedding, evalset, evaluate, overlap, quality, retrieval
 from ..sources import html, parsers, readers, tables, writers
 from . import layout_queries as lq
 from . import retrieval_queries as rq
@@ -77,6 +77,19 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("paper_id", "kind", n.alias("n"), "text", F.when(F.col("kind") != "link", F.col("section")).alias("section"))
 
 
+@query(
+    f"""WITH {PAGES}, parts AS (SELECT paper_id || ' ' || kind || ' ' || (row_number() OVER (PARTITION BY paper_id, kind ORDER BY i) - 1) AS id, text FROM page_parts), {rq._vectors('vec', 'parts', 'id', 'text')}
+SELECT id, bucket, round(CAST(weight AS DOUBLE), 5) AS weight FROM vec"""
+)
+def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of every page parsed and embedded in the same tasks, the one ahead of the other."""
+    pages = _mixed_files(spark, sf_dir).where("startswith(paper_id, 'page')")
+    e = overlap.parse_and_embed(pages, "html", embedding.hash_embedder).where("kind <> 'link'")
+    n = F.row_number().over(Window.partitionBy("paper_id", "kind").orderBy("ord")) - 1
+    e = e.select(F.concat_ws(" ", "paper_id", "kind", n.cast("string")).alias("id"), "embedding").select("id", F.posexplode("embedding").alias("bucket", "weight"))
+    return e.where("weight <> 0").select("id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
 #: A file in UTF-16 begins with a mark that UTF-8 doesn't have.
 _unread = "lang = 'fr'"
 
