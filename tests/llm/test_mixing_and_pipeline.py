@@ -171,6 +171,6 @@ def test_pipeline_stages_take_very_long_texts(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
     assert set(queries.oracles()) <= set(queries.QUERIES)
     assert minhash_dedup.SQL and packing.CAPACITY == 1024
