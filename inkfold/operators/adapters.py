@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formula import is_formula
 from ..functions.text import strip
@@ -52,45 +55,49 @@ def structured_elements(docs: DataFrame) -> DataFrame:
     return part("text", "texts", "c").unionByName(part("table", "tables", "t")).unionByName(part("figure", "pictures", "fig"))
 
 
+def _numbered_groups(marks: DataFrame, least: int) -> DataFrame:
+    """``marks`` (paper_id, ord, length, alone) with _group, numbered from 0 in each paper.
+
+    A running sum that starts anew is no window function: rows pass by in order, and a task holds the sum of the group that is open.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paper, group, size = object(), 0, 0
+        for b in batches:
+            out = []
+            for p, n, alone in zip(*(b.column(c).to_pylist() for c in ("paper_id", "length", "alone"))):
+                if p != paper:
+                    paper, group, size = p, 0, 0
+                if alone:
+                    group += size > 0
+                    out.append(group)
+                    group, size = group + 1, 0
+                else:
+                    out.append(group)
+                    size += n + 1
+                    if size >= least:
+                        group, size = group + 1, 0
+            yield pa.RecordBatch.from_arrays([b.column("paper_id"), b.column("ord"), pa.array(out, pa.int64())], ["paper_id", "ord", "_group"])
+
+    rows = marks.repartition("paper_id").sortWithinPartitions("paper_id", "ord")
+    schema = T.StructType([marks.schema["paper_id"], marks.schema["ord"], T.StructField("_group", T.LongType())])
+    return rows.mapInArrow(number, schema)
+
+
 def merge_short_blocks(blocks: DataFrame, least: int = MERGE_LENGTH) -> DataFrame:
     """paper_id, ord, text, fonts, page, y0, y1, merged from (paper_id, ord, text, fonts, page, y0, y1).
 
     Short blocks of a paper are joined until they reach ``least`` characters; formulas and long blocks stand alone and
-    end a run. A running sum that starts anew is no window function: it is a fold inside a row for each run. Joined blocks
-    have no page and no box.
+    end a run. Groups are numbered by lengths alone, in time linear in the blocks of a paper, however long a run is. Joined blocks have no page and no box.
     """
     kept = blocks.withColumn("text", strip(F.col("text"))).where("text <> ''")
     kept = kept.withColumn("_alone", is_formula(F.col("text"), F.col("fonts")) | (F.length("text") >= least))
-    by_place = Window.partitionBy("paper_id").orderBy("ord")
-    # what stands alone ends a run, so the fold sees the lengths of one run, and numbers the groups in it
-    before = F.sum(F.col("_alone").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    kept = kept.withColumn("_run", F.coalesce(before, F.lit(0)))
-
-    def step(s: Column, x: Column) -> Column:
-        size = s["size"] + x["length"] + 1
-        ends = size >= least
-        return F.struct(
-            F.when(ends, s["group"] + 1).otherwise(s["group"]).alias("group"),
-            F.when(ends, F.lit(0)).otherwise(size).alias("size"),
-            F.concat(s["out"], F.array(F.struct(x["ord"].alias("ord"), s["group"].alias("group")))).alias("out"),
-        )
-
-    items = F.array_sort(F.collect_list(F.when(~F.col("_alone"), F.struct("ord", F.length("text").alias("length")))))
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("size"), F.array().cast("array<struct<ord:bigint,group:int>>").alias("out"))
-    groups = kept.groupBy("paper_id", "_run").agg(
-        F.aggregate(items, start, step, lambda s: s["out"]).alias("_g"), F.max(F.when(F.col("_alone"), F.col("ord").cast("bigint"))).alias("_last")
-    )
-    last = F.when(F.col("_last").isNull(), F.array().cast("array<struct<ord:bigint,group:int>>"))
-    last = last.otherwise(F.array(F.struct(F.col("_last").alias("ord"), F.lit(2**31 - 1).alias("group"))))
-    groups = groups.select("paper_id", "_run", F.explode(F.concat("_g", last)).alias("_g")).select("paper_id", "_run", "_g.*")
-    number = F.dense_rank().over(Window.partitionBy("paper_id").orderBy("_run", "group")) - 1
-    groups = groups.select("paper_id", "ord", number.alias("_group"))
+    groups = _numbered_groups(kept.select("paper_id", "ord", F.length("text").alias("length"), F.col("_alone").alias("alone")), least)
     alone = F.max("_alone")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
     one = lambda c, zero: F.when(alone, F.max(c)).otherwise(zero)
     return (
-        kept.drop("_run")
-        .join(groups, ["paper_id", "ord"])
+        kept.join(groups, ["paper_id", "ord"])
         .groupBy("paper_id", "_group")
         .agg(
             F.array_join(F.transform(ordered, lambda b: b["text"]), " ").alias("text"),
@@ -98,7 +105,7 @@ def merge_short_blocks(blocks: DataFrame, least: int = MERGE_LENGTH) -> DataFram
             one("page", F.lit(0)).alias("page"), one("y0", F.lit(0.0)).alias("y0"), one("y1", F.lit(0.0)).alias("y1"),
             (~alone).alias("merged"),
         )
-        .select("paper_id", F.col("_group").cast("long").alias("ord"), "text", "fonts", "page", "y0", "y1", "merged")
+        .select("paper_id", F.col("_group").alias("ord"), "text", "fonts", "page", "y0", "y1", "merged")
     )
 
 
