@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,23 +105,52 @@ def similar_questions(questions: DataFrame, above: float = SAME_ABOVE) -> DataFr
 def reject_near_duplicates(questions: DataFrame, above: float = SAME_ABOVE) -> DataFrame:
     """query_id, question, accepted: in order of query_id, a question too like an accepted one is rejected.
 
-    Questions without a like one are accepted at once. The others are settled in rounds: one is rejected when an earlier
-    like one is accepted, and accepted when all earlier like ones are rejected; every round settles at least the first of
-    those that are left. Each round is a join of the like pairs, and is written.
+    Questions without an earlier like one are accepted at once. The others are settled in rounds: pairs are dealt by ranges of the later
+    question, and a task goes through its range in order, with what it has just found for its own questions and what earlier rounds have
+    found for others. A round settles at least the first range that is open, so there are no more rounds than ranges, however long a chain
+    of like questions is; each is written.
     """
     rows = questions.select(F.col("query_id").cast("long").alias("query_id"), "question")
     pairs = stored(similar_questions(rows, above).select("a", "b"), "like-questions")
-    said = stored(pairs.select(F.col("a").alias("q")).union(pairs.select("b")).distinct().select("q", F.lit(None).cast("boolean").alias("ok")), "said")
+    later = pairs.select(F.col("b").alias("q")).distinct()
+    first = pairs.select(F.col("a").alias("q")).distinct().join(later, "q", "left_anti").select("q", F.lit(True).alias("ok"))
+    said = stored(first.unionByName(later.select("q", F.lit(None).cast("boolean").alias("ok"))), "said")
     while not said.where("ok is null").isEmpty():
-        earlier = pairs.join(said.select(F.col("q").alias("a"), F.col("ok").alias("_ok")), "a").groupBy(F.col("b").alias("q"))
-        earlier = earlier.agg(F.bool_or(F.coalesce("_ok", F.lit(False))).alias("_any"), F.bool_or(F.col("_ok").isNull()).alias("_open"))
-        now = F.when(F.coalesce("_any", F.lit(False)), False).when(~F.coalesce("_open", F.lit(False)), True)
-        said = stored(said.join(earlier, "q", "left").select("q", F.coalesce("ok", now).alias("ok")), "said")
+        open_ = said.where("ok is null").select(F.col("q").alias("b"))
+        asked = pairs.join(open_, "b").join(said.select(F.col("q").alias("a"), "ok"), "a")
+        found = asked.repartitionByRange("b").sortWithinPartitions("b", "a").mapInArrow(_settled, "q long, ok boolean")
+        said = stored(said.where("ok is not null").unionByName(found), "said")
     return rows.join(said.select(F.col("q").alias("query_id"), "ok"), "query_id", "left").select(
         "query_id", "question", F.coalesce("ok", F.lit(True)).alias("accepted")
     )
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """q, ok of each ``b`` in the rows (a, b, ok of a), in order: false after an accepted one, null where one is still open, else true."""
+    known: dict[int, bool | None] = {}
+    b, any_, open_ = None, False, False
+    out: list[tuple[int, bool | None]] = []
+
+    def end() -> None:
+        known[b] = False if any_ else None if open_ else True
+        out.append((b, known[b]))
+
+    for batch in batches:
+        for x, q, ok in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ok"))):
+            if q != b:
+                if b is not None:
+                    end()
+                b, any_, open_ = q, False, False
+            ok = known.get(x, ok)
+            any_, open_ = any_ or ok is True, open_ or ok is None
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], ["q", "ok"])
+            out.clear()
+    if b is not None:
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([k for _, k in out], pa.bool_())], ["q", "ok"])
+
+
 def generated_cases(sample: DataFrame, build: Callable[[], Callable[[str, str], tuple[str, str]]], tries: int = 3, wait: float = 2.0) -> DataFrame:
     """Cases from a plug-in that maps (modality, content) to (question, verdict): question, gold, answerable, modality, kept.
 

@@ -1,7 +1,7 @@
 import random
 import time
 
-from inkfold.operators import adapters
+from inkfold.operators import adapters, evalset
 
 SCHEMA = "paper_id string, ord long, text string, fonts array<string>, page int, y0 double, y1 double"
 
@@ -55,3 +55,26 @@ def test_a_paper_of_very_many_blocks_is_one_run(spark):
     blocks = [(f"some words of block {i}", False) for i in range(n)]
     want = plain(blocks)
     assert (merged.n, merged.size, merged.most) == (len(want), sum(len(t) + 1 for t, _ in want), max(len(t) for t, _ in want))
+
+
+def greedy(links, n):
+    accepted = {}
+    for i in range(n):
+        accepted[i] = not any(accepted[j] for j in links.get(i, ()))
+    return accepted
+
+
+def test_rejection_along_a_chain_of_thousands(spark, monkeypatch):
+    """A chain of like questions, and random links among others: rounds go with the ranges, not with the chain."""
+    rng = random.Random(3)
+    links = {i: [i - 1] for i in range(1, 6000)}
+    for i in range(6000, 7000):
+        links[i] = rng.sample(range(6000, i), min(i - 6000, rng.randint(0, 3)))
+    pairs = spark.createDataFrame([(a, b) for b, own in links.items() for a in own], "a long, b long")
+    monkeypatch.setattr(evalset, "similar_questions", lambda rows, above: pairs)
+    rounds, write = [], evalset.stored
+    monkeypatch.setattr(evalset, "stored", lambda df, name: rounds.append(name) or write(df, name))
+    df = spark.createDataFrame([(i, f"q {i}") for i in range(7000)], "query_id long, question string")
+    got = {r.query_id: r.accepted for r in evalset.reject_near_duplicates(df).collect()}
+    assert got == greedy(links, 7000)
+    assert rounds.count("said") <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 2
