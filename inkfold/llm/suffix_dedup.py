@@ -49,7 +49,7 @@ SPAN = LEAST - GRAM + 1
 #: Share of all anchors above which a slot is settled by an aggregate and a join.
 HOT = 1e-5
 #: Bytes that are scanned at a time, anchors that a task counts at a time, and mean anchors of a bucket.
-PART, COUNTED, BUCKET = 1 << 17, 1 << 22, 1 << 18
+PART, COUNTED, BUCKET = 1 << 17, 1 << 20, 1 << 18
 #: Windows that are sorted at a time.
 SORTED = 1 << 18
 
@@ -178,7 +178,7 @@ def _slots(gram: np.ndarray, bits: int) -> np.ndarray:
     return gram >> np.uint64(32 - bits)
 
 
-def shared_slots(texts: DataFrame, bits: int) -> DataFrame:
+def shared_slots(texts: DataFrame, bits: int, at_once: int = COUNTED) -> DataFrame:
     """slot, n of the slots that several documents of ``texts`` (text binary) have; a few others share one by chance."""
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def shared_slots(texts: DataFrame, bits: int) -> DataFrame:
             _, one = np.unique(slot * np.uint64(_MULTIPLIER) + part.row.astype(np.uint64), return_index=True)
             held.append(slot[one])
             size += len(one)
-            if size >= COUNTED:
+            if size >= at_once:
                 yield from pack(held)
                 held, size = [], 0
         if held:

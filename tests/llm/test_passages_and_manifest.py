@@ -98,6 +98,15 @@ def test_windows_of_one_slot_are_carried(spark):
         assert got == want
 
 
+def test_slots_are_counted_in_any_portions(spark, docs):
+    rows = docs.where("doc_id is not null and text is not null").selectExpr("doc_id", "cast(text as binary) AS text", "0L AS key")
+    whole, small = ({r.slot: r.n for r in suffix_dedup.shared_slots(rows, 6, n).collect()} for n in (suffix_dedup.COUNTED, 50))
+    assert whole == small and len(whole) > 50
+    found = suffix_dedup.anchors(rows, 6).groupBy("slot").agg(F.countDistinct("doc_id").alias("d"), F.count("*").alias("n")).where("n > 1").collect()
+    # rows that repeat a doc_id count each
+    assert {r.slot for r in found if r.d > 1} <= set(whole) <= {r.slot for r in found}
+
+
 def h(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
