@@ -163,3 +163,23 @@ def test_vision_generator(monkeypatch):
     net = types.SimpleNamespace(device="cpu", generate=lambda input_ids, max_new_tokens: np.zeros((1, 4 + max_new_tokens), int))
     monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoProcessor=loads(Processor()), AutoModelForImageTextToText=loads(net)))
     assert remote.vision_generator(max_tokens=7)(["q", "r"], [[{"source_id": "a", "snippet": "s"}], []]) == ["7 new; True", ""]
+
+
+def test_a_dense_search_of_ones_own(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "21.md").write_text(CATS)
+    (tmp_path / "docs" / "22.md").write_text("# Fish\n\nSilver fish swim in cold rivers.")
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest(str(tmp_path / "docs"), "utf8", "*.md")
+    store.index()
+    asked = spark.createDataFrame([(1, "where do dogs sleep"), (2, "silver fish")], "query_id long, question string")
+
+    def always_fish(questions, k=10):
+        fish = store.read("chunks").where("paper_id = '22'").selectExpr("chunk_id", "ord", "1.0D AS score", "1 AS rank")
+        return questions.select("query_id").crossJoin(fish)
+
+    best = {r.query_id: r.chunk_id for r in store.search(asked, 3, always_fish).where("rank = 1").collect()}
+    assert best == {1: "22:c0", 2: "22:c0"}
+    assert {r.query_id: r.chunk_id for r in store.search(asked, 3).where("rank = 1").collect()} == {1: "21:c1", 2: "22:c0"}
+    said = {r.query_id: r.status for r in store.ask(asked, k=3, dense=always_fish).collect()}
+    assert said[2] == "answered"
