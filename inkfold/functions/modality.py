@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines, squeeze, strip
+from .text import let, lines, squeeze, strip
 
 # Commands and their words, replaced in this order.
 LATEX_WORDS = {
@@ -35,28 +35,26 @@ def _cells(line: Column) -> Column:
 
 
 def table_rows(markdown: Column, caption: Column | None = None) -> Column:
-    """A pipe table as one text per row, each with its header names; anything else as one text."""
+    """A pipe table as one text per row, each with its header names; anything else as one text. Lines, header and cells are made
+    once, so the work is linear in the table."""
     caption = F.coalesce(caption, F.lit("")) if caption is not None else F.lit("")
-    ls = lines(markdown)
     whole = F.array(strip(F.concat(F.lit("table: "), caption, F.lit(" "), markdown)))
-    header = _cells(F.get(ls, F.lit(0)))
-    skip = F.when((F.size(ls) > 2) & F.contains(F.get(ls, F.lit(1)), F.lit("---")), 3).otherwise(2)
-    data = F.filter(F.slice(ls, skip, F.size(ls)), lambda x: F.startswith(x, F.lit("|")))
-
-    def row(line: Column) -> Column:
-        cells = _cells(line)
-        pairs = F.zip_with(
-            F.slice(header, F.lit(1), F.least(F.size(header), F.size(cells))),
-            F.slice(cells, F.lit(1), F.least(F.size(header), F.size(cells))),
-            lambda h, c: F.when(c != "", F.concat(h, F.lit("="), c)),
-        )
-        return F.array_join(F.array_compact(pairs), ", ")
-
     prefix = F.when(caption != "", F.concat(F.lit("table ("), caption, F.lit("): "))).otherwise(F.lit("table: "))
-    rows = F.transform(F.filter(F.transform(data, row), lambda r: r != ""), lambda r: F.concat(prefix, r))
-    return F.when(
-        (F.size(ls) >= 2) & F.startswith(F.get(ls, F.lit(0)), F.lit("|")) & (F.size(rows) > 0), rows
-    ).otherwise(whole)
+
+    def row(header: Column, cells: Column) -> Column:
+        n = F.least(F.size(header), F.size(cells))
+        named = F.zip_with(F.slice(header, F.lit(1), n), F.slice(cells, F.lit(1), n), lambda h, c: F.when(c != "", F.concat(h, F.lit("="), c)))
+        return F.array_join(F.array_compact(named), ", ")
+
+    def texts(ls: Column) -> Column:
+        skip = F.when((F.size(ls) > 2) & F.contains(F.get(ls, F.lit(1)), F.lit("---")), 3).otherwise(2)
+        cells = F.transform(F.filter(F.slice(ls, skip, F.size(ls)), lambda x: F.startswith(x, F.lit("|"))), _cells)
+        rows = let(_cells(F.get(ls, F.lit(0))), lambda header: F.transform(cells, lambda c: row(header, c)))
+        return F.transform(F.filter(rows, lambda r: r != ""), lambda r: F.concat(prefix, r))
+
+    is_table = lambda ls: (F.size(ls) >= 2) & F.startswith(F.get(ls, F.lit(0)), F.lit("|"))
+    rows = let(lines(markdown), lambda ls: F.when(is_table(ls), texts(ls)))
+    return let(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(whole))
 
 
 def figure_text(caption: Column, label: Column | None = None, ocr: Column | None = None) -> Column:
