@@ -73,8 +73,9 @@ def json_report(summary: DataFrame, tally: DataFrame, results: DataFrame) -> Dat
 
 
 def percent(c: Column) -> Column:
-    """Percent with one decimal, ``n/a`` for NULL."""
-    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c * 100))
+    """Percent with one decimal, ``n/a`` for NULL. Rounded as the double it is, a half to the even digit (6.25 is 6.2), as in Python and SQL;
+    a format string would round the shortest decimal, and halves up."""
+    return F.when(c.isNull(), "n/a").otherwise(F.concat(F.call_function("format_number", c * 100, F.lit("0.0")), F.lit("%")))
 
 
 def _cut(c: Column, n: int) -> Column:

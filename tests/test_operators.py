@@ -426,6 +426,14 @@ def test_vector_table_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 20
 
 
+def test_percents_round_as_doubles(spark):
+    """Halves go to the even digit, as in DuckDB's and Python's formats: 1/16 is 6.2 %, 0.0015 is 0.1 %."""
+    ratios = [1 / 16, 3 / 16, 5 / 16, 0.0015, 0.0005, 0.35, 1.0, 0.0, 1 / 3, 0.9995, 12.34567] + [i / n for n in (7, 48, 80, 160) for i in range(n + 1)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ratios)], "i int, x double")
+    got = [r.p for r in df.select("i", writers.percent(F.col("x")).alias("p")).orderBy("i").collect()]
+    assert got == [f"{x * 100:.1f}%" for x in ratios] and got[:4] == ["6.2%", "18.8%", "31.2%", "0.1%"]
+
+
 def test_stream_restarts(spark, tmp_path):
     docs = spark.createDataFrame([(i, "word " * 400) for i in range(6)], "doc_id long, text string")
     docs.where("doc_id < 3").write.parquet(str(tmp_path / "in"))
