@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_terms, strip
+from ..functions.text import content_terms, let, strip
 
 #: Characters of context, uses of one source, snippet and quote lengths, least shared terms, least score.
 BUDGET, PER_SOURCE, SNIPPET, QUOTE, OVERLAP, LEAST_SCORE = 4000, 2, 500, 200, 2, 0.3
@@ -55,8 +55,9 @@ def extractive_answer(question: Column, source_id: Column, snippet: Column, over
 
 def soft_refusal(answer: Column) -> Column:
     """Whether an answer refuses in its own words and cites nothing."""
-    head = F.substring(strip(F.lower(answer)), 1, 200)
-    says = F.exists(F.array(*[F.lit(p) for p in SOFT_REFUSALS]), lambda p: F.contains(head, p))
+    phrases = F.array(*[F.lit(p) for p in SOFT_REFUSALS])
+    # the head is made once, not for each phrase
+    says = let(F.substring(strip(F.lower(answer)), 1, 200), lambda head: F.exists(phrases, lambda p: F.contains(head, p)))
     return F.coalesce((answer == "") | (says & ~answer.rlike(r"(?U)\[[\w.\-:]+:\w+\]")), F.lit(True))
 
 

@@ -434,6 +434,20 @@ def test_percents_round_as_doubles(spark):
     assert got == [f"{x * 100:.1f}%" for x in ratios] and got[:4] == ["6.2%", "18.8%", "31.2%", "0.1%"]
 
 
+def test_soft_refusal_reads_an_answer_once(spark):
+    """Not once for each phrase: the head takes about as long as stripping the answer once."""
+    df = spark.createDataFrame([("A word  or two. " * 200_000,)], "a string").repartition(1).cache()
+
+    def seconds(c):
+        df.select(c).collect()
+        began = time.perf_counter()
+        df.select(c).collect()
+        return time.perf_counter() - began
+
+    once = seconds(F.length(F.substring(text.strip(F.lower("a")), 1, 200)))
+    assert seconds(answer.soft_refusal(F.col("a"))) < 6 * once + 0.3
+
+
 def test_stream_restarts(spark, tmp_path):
     docs = spark.createDataFrame([(i, "word " * 400) for i in range(6)], "doc_id long, text string")
     docs.where("doc_id < 3").write.parquet(str(tmp_path / "in"))
