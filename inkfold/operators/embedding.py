@@ -8,13 +8,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.modality import embedding_text
-from ..functions.text import counted, let, words
 
 DIM = 384
 
@@ -32,15 +32,60 @@ def bucket(token: Column, dim: int = DIM) -> Column:
     return ((half(1) % dim + (half(9) % dim) * ((1 << 32) % dim)) % dim).cast("int")
 
 
+#: Words whose buckets a task remembers, and texts that are counted at a time.
+MOST_WORDS, TEXTS = 1 << 17, 512
+
+
+class Buckets(dict):
+    """Buckets of words, by their first eight md5 bytes, little-endian and unsigned, modulo ``dim``. Up to ``MOST_WORDS`` are remembered."""
+
+    def __init__(self, dim: int = DIM):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        found = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little") % self.dim
+        if len(self) < MOST_WORDS:
+            self[word] = found
+        return found
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How often each text, in lower case, has words of each bucket."""
+        found: list[int] = []
+        sizes = []
+        for t in texts:
+            w = t.split()
+            found.extend(map(self.__getitem__, w))
+            sizes.append(len(w))
+        at = np.repeat(np.arange(len(texts)) * self.dim, sizes) + np.array(found, np.int64)
+        return np.bincount(at, minlength=len(texts) * self.dim).reshape(-1, self.dim)
+
+    def vectors(self, texts: list[str]) -> np.ndarray:
+        """Unit vectors of the counts, in single precision; zeros for a text without words."""
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for i in range(0, len(texts), TEXTS):
+            n = self.counts(texts[i : i + TEXTS])
+            norm = np.sqrt((n * n).sum(1, keepdims=True))
+            out[i : i + TEXTS] = np.divide(n, norm, out=np.zeros(n.shape), where=norm > 0)
+        return out
+
+
 def hash_vector(text: Column, dim: int = DIM) -> Column:
-    """array<struct<bucket, weight>>: the non-zero components of a text's unit vector of token counts, made inside the row."""
+    """array<struct<bucket, weight>>: the non-zero components of a text's unit vector of token counts; NULL for NULL."""
 
-    def weighted(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x["n"].cast("long") * x["n"]))
-        part = lambda x, n: F.struct(x["value"].alias("bucket"), (x["n"] / n).cast("float").alias("weight"))
-        return let(norm, lambda n: F.transform(counts, lambda x: part(x, n)))
+    def weighted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Buckets(dim)
+        for texts in batches:
+            parts = []
+            for i in range(0, max(len(texts), 1), TEXTS):
+                part = texts.slice(i, TEXTS)
+                x = known.vectors(part.fill_null("").to_pylist())
+                row, at = np.nonzero(x)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
+                values = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(x[row, at])], ["bucket", "weight"])
+                parts.append(pa.ListArray.from_arrays(pa.array(offsets), values, mask=part.is_null()))
+            yield pa.concat_arrays(parts)
 
-    return let(counted(F.transform(words(text), lambda w: bucket(w, dim))), weighted)
+    return F.arrow_udf(weighted, "array<struct<bucket:int,weight:float>>")(F.lower(text))
 
 
 def hash_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
@@ -88,13 +133,10 @@ def embed_chunks(
 def hash_embedder(dim: int = DIM) -> Embedder:
     """The same vectors as :func:`hash_vectors`, for texts in a worker."""
 
+    known = Buckets(dim)
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                out[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little") % dim] += 1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+        return known.vectors([t.lower() for t in texts])
 
     return embed
 
@@ -138,8 +180,10 @@ def pair_similarities(spark: SparkSession, build: Callable[[], Embedder], pairs:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
         for f in frames:
-            x, y = model(f["a"].tolist()), model(f["b"].tolist())
-            yield f.assign(dtype=str(x.dtype), similarity=(x.astype("float64") * y.astype("float64")).sum(1))
+            for i in range(0, len(f), TEXTS):  # vectors of few pairs at a time
+                part = f.iloc[i : i + TEXTS]
+                x, y = model(part["a"].tolist()), model(part["b"].tolist())
+                yield part.assign(dtype=str(x.dtype), similarity=(x.astype("float64") * y.astype("float64")).sum(1))
 
     rows = pairs if isinstance(pairs, DataFrame) else spark.createDataFrame(pairs, "a string, b string")
     return rows.select("a", "b").mapInPandas(run, "a string, b string, dtype string, similarity double")

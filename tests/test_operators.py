@@ -426,6 +426,31 @@ def test_vector_table_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 20
 
 
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_WORDS", 3)
+    known = embedding.Buckets(7)
+    got = known.counts(["a b c d e a", "", "é"])
+    want = np.zeros((3, 7), int)
+    for i, t in enumerate(["a b c d e a", "", "é"]):
+        for w in t.split():
+            want[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little") % 7] += 1
+    assert (got == want).all() and len(known) == 3
+
+
+def test_pairs_are_embedded_few_at_a_time(spark):
+    """The model gets no more than ``TEXTS`` texts at once, however many rows come in a batch."""
+
+    def build():
+        def model(texts):
+            assert len(texts) <= 512
+            return np.ones((len(texts), 2), np.float32)
+
+        return model
+
+    pairs = spark.range(2000).coalesce(1).selectExpr("cast(id as string) a", "'x' b")
+    assert embedding.pair_similarities(spark, build, pairs).where("similarity = 2").count() == 2000
+
+
 def test_percents_round_as_doubles(spark):
     """Halves go to the even digit, as in DuckDB's and Python's formats: 1/16 is 6.2 %, 0.0015 is 0.1 %."""
     ratios = [1 / 16, 3 / 16, 5 / 16, 0.0015, 0.0005, 0.35, 1.0, 0.0, 1 / 3, 0.9995, 12.34567] + [i / n for n in (7, 48, 80, 160) for i in range(n + 1)]
