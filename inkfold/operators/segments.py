@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import counted, words
-from ..sources.tables import stored
+from ..sources.tables import files_for, stored
 from .chunking import split_text
 from .retrieval import SparseIndex, weighted_terms
 
@@ -52,7 +52,7 @@ def _put(df: DataFrame, store: str, name: str, batch: int) -> None:
 
 
 def write_segment(docs: DataFrame, store: str, batch: int, size: int = 1200, overlap: int = 150, files: int = 4) -> None:
-    """``docs`` (doc_id, text, version, deleted) as the segment ``batch``.
+    """``docs`` (doc_id, text, version, deleted) as the segment ``batch``; its postings go to ``files`` files, or as many as their number asks for.
 
     A text is cut and tokenized once; only the newest row of each document of the batch meets others by a shuffle.
     """
@@ -71,7 +71,8 @@ def write_segment(docs: DataFrame, store: str, batch: int, size: int = 1200, ove
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     versions = own.join(counts, "doc_id", "left").select("doc_id", "version", "deleted", zero("n_chunks"), zero("n_words"))
     _put(pieces.drop("_t"), store, "chunks", batch)
-    _put(postings.repartitionByRange(files, "term").sortWithinPartitions("term"), store, "postings", batch)
+    n = pieces.agg(F.coalesce(F.sum(F.size("_t")), F.lit(0))).first()[0]
+    _put(postings.repartitionByRange(files_for(n, files), "term").sortWithinPartitions("term"), store, "postings", batch)
     _put(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), store, "terms", batch)
     _put(versions, store, "versions", batch)  # last: a segment without versions has no live row
 
@@ -131,7 +132,7 @@ def compact(spark: SparkSession, store: str, to: str, files: int = 4) -> int:
     gone = stored(hidden(spark, store), "segment-hidden")
     postings = read(spark, store, "postings").join(gone, ["doc_id", "batch"], "left_anti")
     _put(live_chunks(spark, store), to, "chunks", batch)
-    _put(postings.repartitionByRange(files, "term").sortWithinPartitions("term"), to, "postings", batch)
+    _put(postings.repartitionByRange(files_for(postings.count(), files), "term").sortWithinPartitions("term"), to, "postings", batch)
     _put(read(spark, to, "postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")), to, "terms", batch)
     _put(live_versions(spark, store).withColumn("deleted", F.lit(False)), to, "versions", batch)
     return batch

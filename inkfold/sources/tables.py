@@ -67,3 +67,12 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer files than cores, dealt to all cores; any other scan as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+#: Rows of postings, or the like, that one task sorts and writes.
+ROWS = 1 << 22
+
+
+def files_for(rows: int, least: int) -> int:
+    """How many files a table of so many rows is dealt to: at least ``least``, and as many more as keep a task at ``ROWS``."""
+    return max(least, -(-rows // ROWS))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkfold.operators import retrieval, segments
+from inkfold.sources import tables
 from jobs import config, ingest_documents, sweep_fusion
 
 ROWS = "doc_id long, text string, version long, gone boolean, batch string, term string"
@@ -142,3 +143,12 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 34 rows" in done.stderr and "wrote 33 documents" in done.stderr
     assert segments.live_versions(spark, str(tmp_path / "store")).count() == 33
+
+
+def test_files_of_postings_grow_with_them(spark, tmp_path, monkeypatch):
+    """A segment's postings aren't sorted by four tasks however many there are."""
+    monkeypatch.setattr(tables, "ROWS", 100)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 40 + j}" for j in range(40)), 0, False) for i in range(50)], "doc_id long, text string, version long, deleted boolean")
+    segments.write_segment(docs, str(tmp_path), 0)
+    written = segments.read(spark, str(tmp_path), "postings")
+    assert written.count() == 2000 and len(written.inputFiles()) > 10
