@@ -61,6 +61,10 @@ def _utf8() -> Parser:
 register_parser("utf8", _utf8)
 
 
+#: Elements that a worker holds before it hands them on, and those of one more file.
+ELEMENTS = 2000
+
+
 def parse_documents(files: DataFrame, parser: str | None = None, builders: dict[str, Callable[[], Parser]] | None = None) -> DataFrame:
     """Elements of files (path, paper_id, content and, without ``parser``, a column parser), with the engine that served.
 
@@ -73,10 +77,17 @@ def parse_documents(files: DataFrame, parser: str | None = None, builders: dict[
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        def table(out: list[tuple]) -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in ELEMENT.split(", ")])
+            return frame.astype({"ord": "Int32", "page": "Int32"})
+
         built: dict[str, Parser] = {}
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
+                if len(out) >= ELEMENTS:  # elements are handed on as they come, not a batch of files at once
+                    yield table(out)
+                    out = []
                 name, errors = r.parser, []
                 while name:
                     try:
@@ -91,8 +102,7 @@ def parse_documents(files: DataFrame, parser: str | None = None, builders: dict[
                         name = fallback.get(name)
                 else:
                     out.append((r.path, r.paper_id, None, None, None, None, None, None, None, "; ".join(errors)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in ELEMENT.split(", ")])
-            yield frame.astype({"ord": "Int32", "page": "Int32"})
+            yield table(out)
 
     return rows.mapInPandas(run, ELEMENT)
 

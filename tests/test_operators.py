@@ -460,6 +460,32 @@ def test_dense_search_packs_in_the_task_that_searches(spark):
     assert found._jdf.queryExecution().toString().split("Physical Plan")[-1].count("MapInArrow") == 1
 
 
+def test_elements_are_handed_on_as_they_come(spark, monkeypatch):
+    """A worker doesn't hold the elements of a whole batch of files."""
+    monkeypatch.setattr(readers, "ELEMENTS", 100)
+
+    def build():
+        live = [0]
+
+        class Text(str):
+            def __new__(cls, s):
+                live[0] += 1
+                return super().__new__(cls, s)
+
+            def __del__(self):
+                live[0] -= 1
+
+        def parse(paper, content):
+            assert live[0] < 500
+            return [{"kind": "text", "text": Text("x")} for _ in range(10)]
+
+        return parse
+
+    files = spark.range(400).coalesce(1).selectExpr("cast(id as string) path", "cast(id as string) paper_id", "cast('a' as binary) content")
+    e = readers.parse_documents(files, "counting", {"counting": build})
+    assert e.where("error is null").count() == 4000
+
+
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(embedding, "MOST_WORDS", 3)
     known = embedding.Buckets(7)
