@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ SPACE = (
     "\\t-\\r\\x1c-\\x20\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 )
 
+#: The same characters as a text.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+#: Texts that are split at a time.
+TEXTS = 512
+
 # Words that carry no content.
 STOPWORDS = (
     "the and for are was with this that from have has been which what how does can will not but all any one"
@@ -28,6 +37,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def trimmed(c: Column) -> Column:
+    """As :func:`strip`, reading only the ends of a text that has been cut from a longer one."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
@@ -64,3 +78,28 @@ def counted(values: Column) -> Column:
         return let(starts, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("value"), (end(b, k) - at).alias("n"))))
 
     return let(F.sort_array(values), runs)
+
+
+def word_counts(c: Column) -> Column:
+    """struct<dl, t array<struct<value, n>>>: how many :func:`words` a text has, and how often each, in any order; NULL for NULL."""
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("dl", pa.int32()), ("t", pa.list_(pa.struct([("value", pa.string()), ("n", pa.int32())])))])
+        for texts in batches:
+            parts = [pa.array([], kind)]
+            for i in range(0, len(texts), TEXTS):
+                part = texts.slice(i, TEXTS)
+                found, n, sizes, lengths = [], [], [0], []
+                for t in part.fill_null("").to_pylist():
+                    w = t.split()
+                    own = Counter(w)
+                    found.extend(own)
+                    n.extend(own.values())
+                    sizes.append(len(own))
+                    lengths.append(len(w))
+                pairs = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int32())], ["value", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pairs)
+                parts.append(pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), lists], ["dl", "t"], mask=part.is_null()))
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(count, "struct<dl:int,t:array<struct<value:string,n:int>>>")(F.lower(c))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.modality import table_rows
-from ..functions.text import SPACE, let, strip
+from ..functions.text import SPACE, let, strip, trimmed
 
 #: Shortest content by modality for the optional fragment filter.
 LEAST = {"text": 50, "figure": 5, "table": 10, "formula": 5}
@@ -66,7 +66,7 @@ def split_text(df: DataFrame, text: str = "text", size: int = 1200, overlap: int
     def cut(steps: Column) -> Column:
         more = lambda i: F.coalesce(F.left(F.get(steps, i + 1), F.lit(overlap)), F.lit(""))
         begins = _sums_before(F.transform(steps, F.length))
-        piece = lambda s, t: F.struct(s.alias("s"), (s + F.length(t)).alias("e"), strip(t).alias("p"))
+        piece = lambda s, t: F.struct(s.alias("s"), (s + F.length(t)).alias("e"), trimmed(t).alias("p"))
         joined = F.transform(steps, lambda t, i: F.concat(t, more(i)))
         return F.zip_with(begins, joined, piece)
 

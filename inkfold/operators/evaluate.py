@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import SPACE, TEXTS, strip
 from ..sources.tables import stored
 
 
@@ -97,6 +99,34 @@ def refusal_tally(rows: DataFrame) -> DataFrame:
 
 #: Most passages of one or two words that are looked for by a broadcast.
 MOST_SHORT = 10_000
+#: Most keys of passages that go to each worker.
+MOST_KEYS = 1 << 17
+
+
+def _with_keys(corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """chunk_id, _g of the chunks that have a key, one word or five with a space between. Texts are split in the task that reads them."""
+    held = corpus.sparkSession.sparkContext.broadcast(keys)
+    kind = dict(corpus.dtypes)["chunk_id"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(held.value)
+        heads = {k.split(" ", 1)[0] for k in known}
+        for b in batches:
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
+                at: list[int] = []
+                found: list[str] = []
+                for row, t in enumerate(part.column("content").to_pylist()):
+                    w = (t or "").split()
+                    if heads.isdisjoint(w):
+                        continue
+                    own = {g for j, x in enumerate(w) if x in heads for g in (x, " ".join(w[j : j + 5])) if g in known}
+                    at += [row] * len(own)
+                    found += own
+                if at:
+                    yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["chunk_id", "_g"])
+
+    return corpus.select("chunk_id", "content").mapInArrow(find, f"chunk_id {kind}, _g string")
 
 
 def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
@@ -104,9 +134,10 @@ def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
 
     The second to last but one word of a passage stand between white space in any text that holds it. A passage of seven or
     more words meets the chunks by equality of five of them, one of three to six by its longest one, and only then is the
-    text searched. One or two words may lie inside other words: up to ``MOST_SHORT`` such passages go to every task.
+    text searched. Up to ``MOST_KEYS`` such keys go to each worker and are looked up where a text is read; beyond that, all keys of all
+    chunks meet them by a join. One or two words may lie inside other words: up to ``MOST_SHORT`` such passages go to every task.
     """
-    space = r"[\t-\r\x1c-\x20]+"
+    space = f"[{SPACE}]+"  # as in the workers
     w = F.filter(F.split("content", space), lambda x: x != "")
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.array_join(F.slice("_w", i, 5), " "))
@@ -122,9 +153,11 @@ def gold_by_passage(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     middle = q.where("_n between 3 and 6").select("query_id", "question", longest.alias("_g"))
     short = q.where("_n < 3").select("query_id", "question")
     hit = F.contains("content", "question")
-    asked = [by_five.join(long_, "_g")]
-    if not middle.isEmpty():
-        asked.append(by_one.join(middle, "_g"))
+    keys = [r["_g"] for r in long_.union(middle).select("_g").distinct().limit(MOST_KEYS + 1).collect()]
+    if len(keys) <= MOST_KEYS:
+        asked = [_with_keys(corpus if keys else corpus.limit(0), keys).join(long_.union(middle), "_g")]
+    else:
+        asked = [by_five.join(long_, "_g"), by_one.join(middle, "_g")]
     # written: few chunks share a key with a passage, and their number is known before the texts are looked at
     asked = stored(reduce(DataFrame.unionByName, [a.select("query_id", "question", "chunk_id") for a in asked]).distinct(), "passage-candidates")
     found = corpus.select("chunk_id", "content").join(asked, "chunk_id").where(hit).select("query_id", "chunk_id").distinct()

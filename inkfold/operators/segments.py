@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import counted, words
+from ..functions.text import word_counts
 from ..sources.tables import files_for, stored
 from .chunking import split_text
 from .retrieval import SparseIndex, weighted_terms
@@ -62,9 +62,9 @@ def write_segment(docs: DataFrame, store: str, batch: int, size: int = 1200, ove
     newest = F.struct("version", F.length("text").alias("n"), "text", "deleted")
     own = stored(own.groupBy("doc_id").agg(F.max(newest).alias("_r")).select("doc_id", "_r.*"), "segment-rows")
     pieces = split_text(own.where("not deleted").select("doc_id", "text"), size=size, overlap=overlap)
-    pieces = pieces.select("doc_id", "window", F.col("piece").alias("content"), words(F.col("piece")).alias("_w"))
+    pieces = pieces.select("doc_id", "window", F.col("piece").alias("content"), word_counts(F.col("piece")).alias("_w"))
     chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit(":c"), F.col("window").cast("string"))
-    pieces = stored(pieces.select("doc_id", "window", chunk_id.alias("chunk_id"), "content", F.size("_w").alias("dl"), counted(F.col("_w")).alias("_t")), "segment-chunks")
+    pieces = stored(pieces.select("doc_id", "window", chunk_id.alias("chunk_id"), "content", F.col("_w.dl").alias("dl"), F.col("_w.t").alias("_t")), "segment-chunks")
     postings = pieces.select("doc_id", "window", "dl", F.inline("_t"))
     postings = postings.select("doc_id", "window", "dl", F.col("value").alias("term"), F.col("n").cast("long").alias("tf"))
     counts = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("n_words"))

@@ -37,12 +37,11 @@ DEFAULTS = {"alphas": [0.0, 0.3, 0.5, 0.7, 0.9, 1.0], "k": 5, "depth": 10}
 def sweep(spark: SparkSession, documents: str, questions: str, output: str, settings: dict | None = None) -> None:
     """Writes ``cases`` and ``summary`` under ``output``."""
     s = DEFAULTS | (settings or {})
-    docs = tables.spread(spark.read.parquet(documents)).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spark.read.parquet(documents).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit(":c"), F.col("window").cast("string")).alias("chunk_id")
-    chunks = tables.stored(split_text(docs).select(chunk_id, F.struct("doc_id", "window").alias("place"), F.col("piece").alias("content")), "sweep-chunks")
-    # blocked products name rows by a number, in the order of the documents
-    ordered = chunks.repartitionByRange("place").sortWithinPartitions("place")
-    chunks = tables.stored(ordered.select("chunk_id", F.monotonically_increasing_id().alias("ord"), "content"), "sweep-corpus")
+    # blocked products name rows by a number, in the order of the documents; those are sorted, not their chunks, which are then written once
+    pieces = split_text(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+    chunks = tables.stored(pieces.select(chunk_id, F.monotonically_increasing_id().alias("ord"), F.col("piece").alias("content")), "sweep-corpus")
     asked = tables.stored(spark.read.parquet(questions).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "sweep-questions")
     log.info("read %d chunks of %s and %d questions of %s", chunks.count(), documents, asked.count(), questions)
     gold = evaluate.gold_by_passage(chunks, asked).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("gold"))

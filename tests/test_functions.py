@@ -105,3 +105,14 @@ def test_counted(spark, lists):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
     for r in df.select("i", text.counted(F.col("x")).alias("c")).collect():
         assert [(c.value, c.n) for c in r.c] == sorted(((v, lists[r.i].count(v)) for v in set(lists[r.i])), key=lambda p: p[0].encode())
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(f"aBÉİſ{text.BLANKS}​"), max_size=40)), min_size=1, max_size=10))
+def test_word_counts_and_trimmed(spark, rows):
+    """Counts in the workers are those of the expressions, and trimming is stripping."""
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, x string")
+    w, x = text.words(F.col("x")), F.col("x")
+    for r in df.select(w.alias("w"), text.word_counts(x).alias("c"), text.strip(x).alias("s"), text.trimmed(x).alias("t")).collect():
+        assert r.s == r.t
+        assert r.c is None if r.w is None else (r.c.dl == len(r.w) and {p.value: p.n for p in r.c.t} == {v: r.w.count(v) for v in r.w})

@@ -618,3 +618,20 @@ def test_external_parsers(monkeypatch):
     monkeypatch.setitem(sys.modules, "surya.layout", module(LayoutPredictor=lambda: lambda images: [region for _ in images]))
     assert [(e["kind"], e["text"], e["page"]) for e in parsers._surya()("n", b"x")] == [("line", "l", 1), ("region", "Figure", 1)]
     assert readers.FALLBACK.get("surya") is None
+
+
+def test_passages_are_looked_up_where_texts_are_read(spark, monkeypatch):
+    """Up to a number of keys no chunk is exploded into its keys, and a join finds the same beyond it."""
+    texts = ["one two three four five six seven eight nine", "a b c d e f g h i", "xone two three", None, "", "one two three one two three"]
+    asked = ["two three four five six seven eight", "a b c d e f g h", "one two three", "e f g", "nine", "seven eight nine ten"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    df = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    want = {(q, i) for q, a in enumerate(asked) for i, t in enumerate(texts) if a in (t or "")}
+    used = []
+    with_keys = evaluate._with_keys
+    monkeypatch.setattr(evaluate, "_with_keys", lambda *x: used.append(1) or with_keys(*x))
+    for most in (1 << 17, 1):
+        monkeypatch.setattr(evaluate, "MOST_KEYS", most)
+        assert {(r.query_id, r.chunk_id) for r in evaluate.gold_by_passage(corpus, df).collect()} == want
+    assert used == [1]
+    assert evaluate.gold_by_passage(corpus, df.where("query_id = 4")).count() == 1
