@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkfold.functions import formula, modality, text
+from inkfold.operators.chunking import split_text
 from inkfold.plans.fixtures import FORMULAS, TABLES
 
 
@@ -116,3 +117,11 @@ def test_word_counts_and_trimmed(spark, rows):
     for r in df.select(w.alias("w"), text.word_counts(x).alias("c"), text.strip(x).alias("s"), text.trimmed(x).alias("t")).collect():
         assert r.s == r.t
         assert r.c is None if r.w is None else (r.c.dl == len(r.w) and {p.value: p.n for p in r.c.t} == {v: r.w.count(v) for v in r.w})
+
+
+def test_pieces_are_trimmed_at_their_ends(spark):
+    """No pattern is tried at every character of a piece to strip it."""
+    text_ = ("　\tword " * 300 + " ") * 2
+    pieces = split_text(spark.createDataFrame([(text_,)], "text string"))
+    assert "regexp_replace" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert (got := [r.piece for r in pieces.collect()]) and len(got) > 2 and all(p == p.strip() for p in got)
