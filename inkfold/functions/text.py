@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +104,15 @@ def word_counts(c: Column) -> Column:
             yield pa.concat_arrays(parts)
 
     return F.arrow_udf(count, "struct<dl:int,t:array<struct<value:string,n:int>>>")(F.lower(c))
+
+
+def texts_with(texts: pa.Array) -> list[pa.Array]:
+    """The different :func:`words` of lower-cased texts, and how many of the texts have each."""
+    found = pc.utf8_split_whitespace(texts.drop_null())
+    each = found.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(found)), pc.list_value_length(found))
+    pairs = each.indices.to_numpy().astype(np.int64) << 32 | row
+    pairs.sort()
+    n = pa.array(np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] >> 32, minlength=len(each.dictionary)), pa.int64())
+    there = pc.not_equal(each.dictionary, "")  # before and after white space at the ends
+    return [each.dictionary.filter(there), n.filter(there)]

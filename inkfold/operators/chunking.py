@@ -65,14 +65,14 @@ def split_text(df: DataFrame, text: str = "text", size: int = 1200, overlap: int
 
     def cut(steps: Column) -> Column:
         more = lambda i: F.coalesce(F.left(F.get(steps, i + 1), F.lit(overlap)), F.lit(""))
-        begins = _sums_before(F.transform(steps, F.length))
+        begins = let(F.transform(steps, F.length), lambda n: _sums_before(n))
         piece = lambda s, t: F.struct(s.alias("s"), (s + F.length(t)).alias("e"), trimmed(t).alias("p"))
         joined = F.transform(steps, lambda t, i: F.concat(t, more(i)))
         return F.zip_with(begins, joined, piece)
 
-    one = F.array(F.struct(F.lit(0).alias("s"), F.length(whole).alias("e"), whole.alias("p")))
-    pieces = F.when(F.length(whole) <= size, one).otherwise(let(_steps(whole, size, overlap), cut))
-    pieces = F.filter(pieces, lambda x: x["p"].rlike(f"[^{SPACE}]"))
+    one = F.when(whole.rlike(f"[^{SPACE}]"), F.array(F.struct(F.lit(0).alias("s"), F.length(whole).alias("e"), whole.alias("p"))))
+    several = F.filter(let(_steps(whole, size, overlap), cut), lambda x: x["p"] != "")
+    pieces = F.when(F.length(whole) <= size, one).otherwise(several)
     return df.select("*", F.col(text).alias("_text")).select("*", F.posexplode(pieces).alias("window", "_w")).select(
         *df.columns, "window", F.col("_w.s").alias("start"), F.col("_w.e").alias("end"), F.col("_w.p").alias("piece")
     )

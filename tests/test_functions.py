@@ -1,5 +1,7 @@
 import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,3 +127,22 @@ def test_pieces_are_trimmed_at_their_ends(spark):
     pieces = split_text(spark.createDataFrame([(text_,)], "text string"))
     assert "regexp_replace" not in pieces._jdf.queryExecution().optimizedPlan().toString()
     assert (got := [r.piece for r in pieces.collect()]) and len(got) > 2 and all(p == p.strip() for p in got)
+
+
+def test_texts_with():
+    """Every white space parts words as str.split() does, and a word counts once for each text."""
+    texts = [None, "", " ", "b a b", "　a ", *(f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000)]
+    want = Counter(w for t in texts if t for w in set(t.split()))
+    terms, n = text.texts_with(pa.array(texts))
+    assert dict(zip(terms.to_pylist(), n.to_pylist())) == want and len(terms) == len(want)
+    assert [len(x) for x in text.texts_with(pa.array([None], pa.string()))] == [0, 0]
+
+
+def test_blank_pieces_go_without_a_pattern(spark):
+    """Pieces of long texts are stripped already, so only a short text is searched for what isn't white space."""
+    rows = [None, "", " \n", "　" * 1200, " " * 5000, "a" + " " * 4000 + "b", " a "]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    pieces = split_text(df)
+    assert [(r.i, r.window, r.piece) for r in pieces.orderBy("i", "window").collect()] == [(5, 0, "a"), (5, 1, "b"), (6, 0, " a ")]
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == plan.count("RLIKE(_text") == 1

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import text
 from inkfold.operators import adapters, answer, chunking, embedding, evaluate, evalset, layout, quality, retrieval, routing
+from inkfold.plans import retrieval_queries
 from inkfold.sources import parsers, readers, tables, writers
 from inkfold.streaming import pipelines
 
@@ -650,3 +651,23 @@ def test_postings_are_not_exploded_to_be_searched(spark, tmp_path):
     got = lambda i: {(r.query_id, r.rank, r.ord, round(r.score, 9)) for r in retrieval.search_sparse(i, asked, 7).collect()}
     index.write(str(tmp_path), 2)
     assert got(index) == got(retrieval.SparseIndex.read(spark, str(tmp_path))) and len(got(index)) > 200
+
+
+def test_term_weights_need_no_postings(spark, sf, monkeypatch):
+    """The terms of an index, whose texts pass once: nothing but the sums of the tasks is exchanged and written."""
+    rng = np.random.default_rng(7)
+    rows = [(f"c{i}", i, " ".join(f"W{j}" for j in rng.zipf(1.5, int(rng.integers(0, 60))) % 90)) for i in range(900)] + [("n", 900, None), ("e", 901, " "), ("b", 902, " é É\u0085\x1c İ ")]
+    got = lambda df: {(r.term, r.df, round(r.idf, 9)) for r in df.collect()}
+    for own in (rows, rows[-3:], rows[-3:-1], []):
+        corpus = spark.createDataFrame(own, "chunk_id string, ord long, content string").repartition(2)
+        want = got(retrieval.build_sparse(corpus).terms)
+        assert got(retrieval.term_weights(corpus)) == want and (len(want) > 40) == (own is rows)
+        with monkeypatch.context() as m:  # sums are handed on again and again
+            m.setattr(retrieval, "TERMS", 5)
+            m.setattr(retrieval, "POSTINGS", 2)
+            m.setattr(retrieval, "TEXTS", 3)
+            assert got(retrieval.term_weights(corpus)) == want
+    written = []
+    monkeypatch.setattr(tables, "shared_folder", lambda s, name, f=tables.shared_folder: written.append(name) or f(s, name))
+    retrieval_queries.bm25_terms(spark, sf)
+    assert written == ["bm25-df"]
