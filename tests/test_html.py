@@ -100,3 +100,7 @@ def differing(spark, tmp_path, name):
 
 def test_adapted_elements_with_references_cut_off(spark, tmp_path):
     assert not differing(spark, tmp_path, "adapted_elements")
+
+
+def test_embedded_pages_with_references_cut_off(spark, tmp_path):
+    assert not differing(spark, tmp_path, "embedded_pages")
