@@ -104,3 +104,21 @@ def test_adapted_elements_with_references_cut_off(spark, tmp_path):
 
 def test_embedded_pages_with_references_cut_off(spark, tmp_path):
     assert not differing(spark, tmp_path, "embedded_pages")
+
+
+def test_html_elements_with_references_cut_off(spark, tmp_path):
+    assert not differing(spark, tmp_path, "html_elements")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("a &quot", "a &quot"), ("&copy 2026", "&copy 2026"), ("R&amp", "R&"), ("R&amp D", "R&amp D"), ("&amp;quot;", "&quot;"), ("&lt;&eacute;&#233;&#xE9;", "<ééé"),
+        ("&nothing;", "&nothing;"), ("&notit;", "&notit;"), ("&", "&"), ("&;&#;&#x;", "&;&#;&#x;"), ("&am<b>p;</b>x", "&x"),
+    ],
+)
+def test_references_count_with_their_semicolon(text, want, monkeypatch):
+    monkeypatch.setattr(html, "PIECE", 3)
+    assert found(f"<p>{text}</p>") == [("text", want, None)]
+    if "<b>" not in text:
+        assert found(f'<img alt="{text}">') == [("image", want, None)] and found(f'<a href="{text}">') == [("link", want, None)]
